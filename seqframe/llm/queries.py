@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqframe.llm import bpe, tokencount
+from seqframe.llm import bpe, simhash, tokencount
 from seqframe.llm.oracle import ORACLE_SQL  # noqa: F401
 
 
@@ -24,4 +24,9 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op7_byte_bpe)}
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op7_byte_bpe, op9_simhash)}
