@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqframe.llm import bpe, decontaminate, langid, secrets, simhash, substrings, tokencount
+from seqframe.llm import bpe, decontaminate, langid, secrets, simhash, substrings, tokencount, vafile
 from seqframe.llm.oracle import ORACLE_SQL  # noqa: F401
 
 
@@ -30,6 +30,10 @@ def op3_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), n.alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
 def _held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
@@ -57,4 +61,4 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(c.alias(n) for n, c in count.items()), F.sha2(base, 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_repeated_substrings, op5_language_id, op7_byte_bpe, op9_simhash, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_repeated_substrings, op4_top_k, op5_language_id, op7_byte_bpe, op9_simhash, op10_secrets)}
