@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 
 from seqframe.llm.common import cut
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # what separates words
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK = 512  # windows that start in a block
-GRAM = 6  # words of a gram, fewer in shorter windows
+GRAMS = 4  # grams of a window; a gram has the other words, but one at least
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -45,7 +45,7 @@ def lower_az(text: Column) -> Column:
 
 
 def words_of(text: str) -> Column:
-    return F.regexp_extract_all(lower_az(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(lower_az(F.coalesce(F.col(text), F.lit(""))), BETWEEN), "")
 
 
 def _runs(array: Column, n: int, body: Callable[[Column], Column]) -> Column:
@@ -54,17 +54,27 @@ def _runs(array: Column, n: int, body: Callable[[Column], Column]) -> Column:
     return F.transform(starts, lambda i: body(F.slice(array, i, n)))
 
 
-def fingerprints(words: Column, span: int) -> Column:
-    """array<long>: fingerprints of all windows of span words, each once."""
-    k = min(GRAM, span)
+def _grams(words: Column, span: int) -> Column:
+    """Hashes of the grams by their place."""
+    return _runs(words, _gram(span), lambda g: F.xxhash64(g, F.lit(span)))
+
+
+def _gram(span: int) -> int:
+    return max(1, span - GRAMS + 1)
 
-    def least(grams: Column) -> Column:
-        return F.array_distinct(_runs(grams, span - k + 1, lambda g: F.array_min(g)))
 
-    def grams(hashes: Column) -> Column:
-        return let(_runs(hashes, k, lambda g: F.xxhash64(g, F.lit(span))), least)
+def _least(hashes: Column, width: int, done: int = 1) -> Column:
+    """The least of each run of width elements, from those of runs of `done` elements."""
+    if done == width:
+        return hashes
+    by = min(done, width - done)
+    n = F.greatest(F.size(hashes) - by, F.lit(0))
+    return let(F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, by + 1, n), lambda x, y: F.least(x, y)), lambda h: _least(h, width, done + by))
 
-    return let(F.transform(words, lambda w: F.xxhash64(w)), grams)
+
+def fingerprints(words: Column, span: int) -> Column:
+    """array<long>: fingerprints of all windows of span words, each once."""
+    return let(_grams(words, span), lambda g: F.array_distinct(_least(g, span - _gram(span) + 1)))
 
 
 def windows(words: Column, span: int) -> Column:
@@ -150,11 +160,10 @@ def _marked(words: Column, span: int) -> Column:
 
 def _extended(words: Column, span: int, f: Column) -> Column:
     """The windows that hold a gram with the hash f."""
-    k = min(GRAM, span)
 
     def near(grams: Column) -> Column:
         places = F.filter(F.sequence(F.lit(0), F.size(grams) - 1), lambda i: F.get(grams, i) == f)
-        starts = F.flatten(F.transform(places, lambda p: F.sequence(F.greatest(p - (span - k), F.lit(0)), F.least(p, F.size(words) - span))))
+        starts = F.flatten(F.transform(places, lambda p: F.sequence(F.greatest(p - (span - _gram(span)), F.lit(0)), F.least(p, F.size(words) - span))))
         return F.transform(F.array_distinct(starts), lambda i: F.struct(i.alias("at"), F.array_join(F.slice(words, i + 1, span), " ").alias("text")))
 
-    return let(_runs(F.transform(words, lambda w: F.xxhash64(w)), k, lambda g: F.xxhash64(g, F.lit(span))), near)
+    return let(_grams(words, span), near)
