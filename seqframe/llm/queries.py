@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqframe.llm import bpe, decontaminate, extract, langid, secrets, simhash, substrings, tokencount, vafile
+from seqframe.llm import bpe, decontaminate, extract, langid, perplexity, secrets, simhash, substrings, tokencount, vafile
 from seqframe.llm.oracle import ORACLE_SQL  # noqa: F401
 
 
@@ -53,6 +53,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = _table(spark, sf_dir, "labels").where("quality = 1")
+    return perplexity.classify(_table(spark, sf_dir, "documents"), trusted)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
@@ -65,4 +70,4 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(c.alias(n) for n, c in count.items()), F.sha2(base, 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_repeated_substrings, op4_top_k, op5_language_id, op6_main_text, op7_byte_bpe, op9_simhash, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_repeated_substrings, op4_top_k, op5_language_id, op6_main_text, op7_byte_bpe, op8_quality, op9_simhash, op10_secrets)}
