@@ -1,6 +1,569 @@
-"""Every registered query with its DuckDB twin."""
+"""Every registered query of the engine, with its DuckDB twin where SQL can express it.
+
+The tables hold no sequences, so that reads are derived from documents the same way in
+both engines: the letters of the whole text, each mapped to one of A, C, G and T; the
+source is the barcode. Matches are the exact matches of five short motifs. Embeddings
+with their labels stand for feature tables with cluster assignments.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from seqframe.functions import sequence as S
+from seqframe.operators import cluster, embed, layout, motif, pairs, search, stats
+from seqframe.schema import neighbour_rules, primer_rules, queries_df
+
+MOTIFS = {"Left": "ACGT", "Right": "GATC", "RCLeft": "CTAG", "RCRight": "TACA", "Barcode1": "GGCA"}
+NAMES = sorted(MOTIFS)
+RULES = [{"start": "Left", "end": "RCRight", "orientation": "direct"}, {"start": "RCLeft", "end": "Left", "orientation": "reverse"}]
+PRIMERS = [{"primer": "Right", "distance_min": 0, "distance_max": 40, "orientation": "direct"}, {"primer": "Barcode1", "distance_min": 5, "distance_max": 15, "orientation": "reverse"}]
+
+_ALPHABET, _BASES = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def reads_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    letters = F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", ""))
+    seq = F.translate(letters, _ALPHABET, _BASES)
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id"), F.col("source").alias("barcode"), seq.alias("seq"))
+
+
+def matches_of(spark: SparkSession, sf_dir: str, barcode: bool = False) -> DataFrame:
+    reads = reads_of(spark, sf_dir)
+    found = search.exact_matches(reads, MOTIFS)
+    return found.join(reads.select("seq_id", "barcode"), "seq_id") if barcode else found
+
+
+def features_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("cluster"), F.transform("embedding", lambda x: x.cast("double")).alias("features"))
+
+
+def _r(c: Column | str, name: str, digits: int = 6) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, digits).alias(name)
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+_READS = f"""reads AS (SELECT doc_id AS seq_id, source AS barcode,
+  translate(lower(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), '{_ALPHABET}', '{_BASES}') AS seq FROM documents)"""
+_MOTIFS = "motifs(query_name, query_seq, query_idx) AS (VALUES " + ", ".join(f"('{n}', '{s}', {k})" for k, (n, s) in enumerate(MOTIFS.items())) + ")"
+_PLACES = "places AS (SELECT seq_id, barcode, seq, unnest(range(length(seq))) AS i FROM reads)"
+_MATCHES = f"""{_READS}, {_MOTIFS}, {_PLACES},
+matches AS (SELECT seq_id, barcode, query_name, query_idx, CAST(i AS INTEGER) AS position, 4 AS length, 1.0::DOUBLE AS score
+  FROM (SELECT seq_id, barcode, i, substring(seq, i + 1, 4) AS w FROM places) JOIN motifs ON w = query_seq)"""
+_PAIRS = f"""{_MATCHES},
+near AS (SELECT *, lead(query_name) OVER w AS next_name, lead(position) OVER w AS next_position, lead(length) OVER w AS next_length,
+  count(*) OVER (PARTITION BY seq_id) AS n_matches FROM matches WINDOW w AS (PARTITION BY seq_id ORDER BY position, query_name, length)),
+pairs AS (SELECT *, next_position - (position + length) AS gap, next_position - position AS start_delta FROM near WHERE next_name IS NOT NULL)"""
+_PLAIN = f"""{_MATCHES},
+near AS (SELECT *, lead(query_name) OVER w AS next_name, lead(position) OVER w AS next_position, lead(length) OVER w AS next_length
+  FROM matches WHERE NOT contains(query_name, 'Barcode') WINDOW w AS (PARTITION BY seq_id ORDER BY position, query_name, length)),
+pairs AS (SELECT *, next_position - (position + length) AS gap, next_position - position AS start_delta FROM near WHERE next_name IS NOT NULL)"""
+_RULES = "rules(query_name, next_name, orientation) AS (VALUES " + ", ".join(f"('{r['start']}', '{r['end']}', '{r['orientation']}')" for r in RULES) + ")"
+_FEATURES = "x AS (SELECT vec_id, label AS cluster, list_transform(embedding, lambda e: e::DOUBLE) AS features FROM embeddings), long AS (SELECT vec_id, cluster, unnest(features) AS v, unnest(range(len(features))) AS k FROM x)"
+_CENTRES = f"{_FEATURES}, centres AS (SELECT cluster, k, avg(v) AS c FROM long GROUP BY cluster, k), away AS (SELECT l.vec_id, l.cluster, sqrt(sum((v - c) * (v - c))) AS d FROM long l JOIN centres USING (cluster, k) GROUP BY 1, 2)"
+
+
+# Search
+
+
+@query(f"WITH {_MATCHES} SELECT seq_id, query_name, position, length, score FROM matches")
+def motif_exact(spark, sf_dir):
+    return matches_of(spark, sf_dir)
+
+
+@query(f"""WITH {_MATCHES} SELECT query_name, round(avg(position)) AS avg_pos, median(position) AS median_pos, min(position) AS min_pos,
+max(position) AS max_pos, round(stddev_samp(position), 6) AS std_pos, count(*) AS n FROM matches GROUP BY query_name""")
+def motif_stats(spark, sf_dir):
+    return stats.motif_statistics(matches_of(spark, sf_dir)).withColumn("std_pos", F.round("std_pos", 6))
+
+
+@query()
+def motif_edit(spark, sf_dir):
+    return search.edit_matches(reads_of(spark, sf_dir), {"M15": "ACGTGATCCTAGTAC", "M20": "GATCACGTCTAGTACAGGCA"}, 0.85)
+
+
+@query()
+def motif_window(spark, sf_dir):
+    return search.window_matches(reads_of(spark, sf_dir), {"M10": "ACGTGATCCT"}, 0.9)
+
+
+@query()
+def primer_alignment(spark, sf_dir):
+    reads = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq_id"), F.translate(F.lower(F.regexp_replace("text", "[^A-Za-z]", "")), _ALPHABET, _BASES).alias("seq"))
+    aligned = search.local_alignments(reads, {"Left": "ACGTGATCCTAGTACA", "Right": "GATCACGTCTAG"})
+    return search.primer_summary(aligned, 60.0)
+
+
+@query(f"WITH {_MOTIFS} SELECT query_name, CAST(floor(length(repeat(query_seq, query_idx + 2)) * (1.0::DOUBLE - 0.9::DOUBLE)) AS INTEGER) AS budget, o.n FROM motifs, (SELECT count(*) AS n FROM documents) o")
+def edit_budget(spark, sf_dir):
+    motifs = queries_df(spark, MOTIFS).withColumn("q", F.expr("repeat(query_seq, query_idx + 2)"))
+    return motifs.crossJoin(_table(spark, sf_dir, "documents").agg(F.count("*").alias("n"))).select("query_name", S.edit_budget("q", 0.9).alias("budget"), "n")
+
+
+@query(f"WITH {_READS} SELECT seq_id, reverse(translate(seq, 'ATGC', 'TACG')) AS rc, length(seq) AS n FROM reads")
+def rc_reads(spark, sf_dir):
+    return reads_of(spark, sf_dir).select("seq_id", S.reverse_complement("seq").alias("rc"), F.length("seq").cast("bigint").alias("n"))
+
+
+@query(f"WITH {_READS}, {_PLACES} SELECT kmer, count(*) AS n FROM (SELECT substring(seq, i + 1, 5) AS kmer FROM places WHERE i <= length(seq) - 5) GROUP BY kmer")
+def kmer_counts(spark, sf_dir):
+    return reads_of(spark, sf_dir).select(F.explode(S.kmers("seq", 5)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_READS}, {_PLACES} SELECT seq_id, CAST(i AS INTEGER) AS position, CAST((substring(w, 1, 1) = 'A')::INT + (substring(w, 3, 1) = 'G')::INT + (substring(w, 4, 1) = 'T')::INT AS DOUBLE) / 3 AS score
+FROM (SELECT seq_id, i, substring(seq, i + 1, 4) AS w FROM places WHERE i <= length(seq) - 4)
+WHERE substring(w, 1, 1) = 'A' AND substring(w, 3, 1) = 'G' AND substring(w, 4, 1) = 'T'""")
+def wildcard_scan(spark, sf_dir):
+    return search.wildcard_scan(reads_of(spark, sf_dir), {"W": "A*GT"}, 0.9).select("seq_id", "position", "score")
+
+
+@query(f"""WITH {_MATCHES}, g AS (SELECT *, coalesce(CAST(position - lag(position) OVER w > 12 AS INTEGER), 0) AS new FROM matches WINDOW w AS (PARTITION BY seq_id, query_name ORDER BY position)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY seq_id, query_name ORDER BY position) AS island FROM g)
+SELECT seq_id, query_name, position FROM (SELECT *, row_number() OVER (PARTITION BY seq_id, query_name, island ORDER BY score DESC, position) AS r FROM i) WHERE r = 1""")
+def islands_best(spark, sf_dir):
+    return search.best_of_islands(matches_of(spark, sf_dir).withColumn("length", F.lit(12))).select("seq_id", "query_name", "position")
+
+
+# Neighbours, junctions, trimming
+
+
+@query(f"WITH {_PAIRS} SELECT seq_id, query_name, next_name, position, gap, abs(gap) AS abs_gap, start_delta FROM pairs")
+def pair_gaps(spark, sf_dir):
+    return pairs.adjacent(matches_of(spark, sf_dir)).select("seq_id", "query_name", "next_name", "position", "gap", "abs_gap", "start_delta")
+
+
+_PAIR_STATS = f"""WITH {_PAIRS} SELECT query_name AS from_name, next_name AS to_name, count(*) AS n, round(avg(gap), 6) AS mean, round(stddev_pop(gap), 6) AS std,
+min(gap) AS min, max(gap) AS max, median(gap) AS median FROM pairs GROUP BY 1, 2"""
+
+
+def _rounded_pairs(spark, sf_dir):
+    return pairs.pair_statistics(matches_of(spark, sf_dir)).withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
+
+
+@query(_PAIR_STATS)
+def pair_stats(spark, sf_dir):
+    return _rounded_pairs(spark, sf_dir)
+
+
+@query(f"SELECT * FROM ({_PAIR_STATS}) WHERE min BETWEEN -3 AND 30 AND median BETWEEN 5 AND 66 AND n >= 5")
+def pair_stats_glued(spark, sf_dir):
+    return stats.ranged(_rounded_pairs(spark, sf_dir), {"min": (-3, 30), "median": (5, 66), "n": (5, 1 << 60)})
+
+
+@query(f"SELECT from_name, to_name, n FROM ({_PAIR_STATS}) WHERE (from_name, to_name) NOT IN (('Left', 'Right'), ('RCRight', 'RCLeft'))")
+def pairs_outside_list(spark, sf_dir):
+    listed = spark.createDataFrame([("Left", "Right"), ("RCRight", "RCLeft")], "from_name string, to_name string")
+    return pairs.by_pair(_rounded_pairs(spark, sf_dir), listed, keep=False).select("from_name", "to_name", "n")
+
+
+_FROM_TO = ["Left", "RCLeft", "RCRight", "Right"]
+
+
+@query(f"""WITH {_PLAIN} SELECT query_name AS from_name, {', '.join(f"coalesce(count(*) FILTER (next_name = '{n}'), 0) AS \"{n}\"" for n in _FROM_TO)} FROM pairs GROUP BY 1""")
+def pair_pivot_counts(spark, sf_dir):
+    return pairs.count_pivot(pairs.barcode_distances(matches_of(spark, sf_dir, True)), _FROM_TO)
+
+
+@query(f"""WITH {_PLAIN} SELECT query_name AS from_name, {', '.join(f"round(avg(start_delta) FILTER (next_name = '{n}'), 6) AS \"{n}\"" for n in _FROM_TO)} FROM pairs GROUP BY 1""")
+def pair_pivot_mean(spark, sf_dir):
+    wide = pairs.distance_pivot(pairs.barcode_distances(matches_of(spark, sf_dir, True)), _FROM_TO)
+    return wide.select("from_name", *[_r(n, n) for n in _FROM_TO])
+
+
+@query(f"WITH {_PLAIN} SELECT barcode, query_name AS from_name, next_name AS to_name, start_delta AS distance FROM pairs")
+def barcode_distances(spark, sf_dir):
+    return pairs.barcode_distances(matches_of(spark, sf_dir, True))
+
+
+_JUNCTION = f"WITH {_PAIRS}, {_RULES} SELECT DISTINCT seq_id, {{a}} AS start_pos, {{b}} AS end_pos, orientation FROM pairs JOIN rules USING (query_name, next_name) WHERE n_matches >= 3 AND gap BETWEEN 0 AND 20"
+
+
+@query(_JUNCTION.format(a="position + length", b="next_position"))
+def junction_inner(spark, sf_dir):
+    return pairs.junctions(matches_of(spark, sf_dir), neighbour_rules(spark, RULES), 0, 20)
+
+
+@query(_JUNCTION.format(a="position", b="next_position + next_length"))
+def junction_outer(spark, sf_dir):
+    return pairs.junctions(matches_of(spark, sf_dir), neighbour_rules(spark, RULES), 0, 20, include=True)
+
+
+@query(f"""WITH {_PLAIN} SELECT seq_id, position + length AS start_pos, next_position AS end_pos FROM pairs
+WHERE abs(gap) >= 3 AND ((query_name = 'RCRight' AND next_name = 'RCLeft') OR (query_name = 'Left' AND next_name = 'Right'))""")
+def primer_pairs(spark, sf_dir):
+    return pairs.primer_pairs(matches_of(spark, sf_dir), 3)
+
+
+@query(f"""WITH {_PLAIN} SELECT seq_id, position AS start_pos, next_position + next_length AS end_pos FROM pairs
+WHERE abs(gap) >= 3 AND query_name IN ('Left', 'RCRight') AND next_name IN ('Right', 'RCLeft')""")
+def primer_pairs_outer(spark, sf_dir):
+    return pairs.primer_pairs(matches_of(spark, sf_dir), 3, outer=True)
+
+
+@query(f"""WITH {_MATCHES}, p(query_name, distance_max, orientation) AS (VALUES ('Right', 40, 'direct'), ('Barcode1', 15, 'reverse')),
+c AS (SELECT *, count(*) OVER (PARTITION BY seq_id) AS n FROM matches)
+SELECT DISTINCT seq_id, position + length AS start_pos, position + length + distance_max AS end_pos, orientation FROM c JOIN p USING (query_name) WHERE n >= 3""")
+def primer_window(spark, sf_dir):
+    return pairs.primer_windows(matches_of(spark, sf_dir), primer_rules(spark, PRIMERS))
+
+
+@query(f"""WITH {_PAIRS}, {_RULES}, r AS (SELECT DISTINCT seq_id, gap, position + length AS a, next_position AS b, orientation FROM pairs JOIN rules USING (query_name, next_name)
+WHERE n_matches >= 3 AND gap BETWEEN 0 AND 5) SELECT gap, count(*) AS n_regions, count(DISTINCT seq_id) AS n_reads FROM r GROUP BY gap""")
+def junction_sweep(spark, sf_dir):
+    return pairs.junction_sweep(matches_of(spark, sf_dir), neighbour_rules(spark, RULES), 5)
+
+
+@query(f"""WITH {_PAIRS} SELECT seq_id, query_name, position, length FROM pairs WHERE gap >= 25
+UNION ALL SELECT seq_id, next_name, next_position, next_length FROM pairs WHERE gap >= 25""")
+def adjacent_gap_filter(spark, sf_dir):
+    return pairs.gap_filter(matches_of(spark, sf_dir), 25)
+
+
+@query(f"WITH {_MATCHES}, c AS (SELECT *, count(*) OVER (PARTITION BY seq_id) AS n FROM matches) SELECT seq_id, count(*) AS n FROM c WHERE n >= 40 GROUP BY seq_id")
+def enough_matches(spark, sf_dir):
+    return pairs.at_least(matches_of(spark, sf_dir), 40).groupBy("seq_id").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_MATCHES}, s AS (SELECT seq_id, bool_or(query_name = 'Left') AND bool_or(query_name = 'Right') AS direct, bool_or(query_name = 'RCLeft') AND bool_or(query_name = 'RCRight') AS reverse FROM matches GROUP BY seq_id)
+SELECT * FROM s WHERE direct OR reverse""")
+def valid_reads(spark, sf_dir):
+    return pairs.reads_with_all(matches_of(spark, sf_dir), ["Left", "Right"], ["RCLeft", "RCRight"])
+
+
+@query(f"""WITH {_READS} SELECT seq_id, 'r' || seq_id AS read_id, seq, 'direct' AS orientation FROM reads WHERE seq_id IN (SELECT doc_id FROM labels WHERE quality = 1)
+UNION ALL SELECT seq_id, 'r' || seq_id || '_RC', reverse(translate(seq, 'ATGC', 'TACG')), 'reverse' FROM reads WHERE seq_id IN (SELECT doc_id FROM labels WHERE toxic = 1)""")
+def select_rc(spark, sf_dir):
+    reads = reads_of(spark, sf_dir).select("seq_id", F.concat(F.lit("r"), F.col("seq_id").cast("string")).alias("read_id"), "seq", F.col("seq").alias("qual"))
+    labels = _table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "seq_id")
+    return pairs.selected_reads(reads, labels.where("quality = 1"), labels.where("toxic = 1"), key="seq_id").drop("qual")
+
+
+@query(f"""WITH {_PAIRS}, {_RULES}, r AS (SELECT DISTINCT seq_id, position AS a, next_position + next_length AS b, orientation FROM pairs JOIN rules USING (query_name, next_name) WHERE n_matches >= 3 AND gap BETWEEN 0 AND 20)
+SELECT seq_id, a AS start_pos, b AS end_pos, CASE WHEN orientation = 'reverse' THEN reverse(translate(substring(seq, a + 1, b - a), 'ATGC', 'TACG')) ELSE substring(seq, a + 1, b - a) END AS seq
+FROM r JOIN reads USING (seq_id)""")
+def trim(spark, sf_dir):
+    regions = pairs.junctions(matches_of(spark, sf_dir), neighbour_rules(spark, RULES), 0, 20, include=True)
+    reads = reads_of(spark, sf_dir).withColumn("qual", F.col("seq"))
+    return pairs.trimmed(reads, regions, renumber=False).select("seq_id", "start_pos", "end_pos", "seq")
+
+
+# Statistics
+
+
+@query(f"""WITH {_MATCHES}, n AS (SELECT barcode, count(DISTINCT seq_id) AS n_reads FROM reads GROUP BY barcode)
+SELECT m.barcode, query_name, count(*) AS n, round(avg(score), 6) AS avg_score, round(avg(length), 6) AS avg_length, n_reads FROM matches m JOIN n USING (barcode) GROUP BY m.barcode, query_name, n_reads""")
+def barcode_stats(spark, sf_dir):
+    out = stats.barcode_statistics(matches_of(spark, sf_dir, True), reads_of(spark, sf_dir))
+    return out.withColumns({"avg_score": F.round("avg_score", 6), "avg_length": F.round("avg_length", 6)})
+
+
+@query(f"WITH {_READS} SELECT seq_id, seq FROM (SELECT *, abs((length(seq) - avg(length(seq)) OVER ()) / stddev_pop(length(seq)) OVER ()) AS z FROM reads) WHERE z < 2")
+def length_outliers(spark, sf_dir):
+    return stats.length_outliers(reads_of(spark, sf_dir)).select("seq_id", "seq")
+
+
+@query(f"WITH {_READS} SELECT count(*) AS n_reads, min(length(seq)) AS shortest, max(length(seq)) AS longest, CAST(sum(length(seq)) AS BIGINT) AS bases FROM reads")
+def length_summary(spark, sf_dir):
+    out = stats.length_summary(reads_of(spark, sf_dir))
+    return out.withColumns({c: F.col(c).cast("bigint") for c in ("shortest", "longest")})
+
+
+@query(f"""WITH {_PAIRS} SELECT query_name, count(gap) AS n, round(avg(gap), 6) AS mean, round(stddev_samp(gap), 6) AS std, min(gap) AS min, quantile_cont(gap, 0.25) AS q25, quantile_cont(gap, 0.5) AS q50, quantile_cont(gap, 0.75) AS q75, max(gap) AS max FROM pairs GROUP BY 1""")
+def describe(spark, sf_dir):
+    out = stats.describe(pairs.adjacent(matches_of(spark, sf_dir)), "gap", ["query_name"])
+    return out.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
+
+
+@query(f"""WITH {_PAIRS}, e AS (SELECT min(gap)::DOUBLE AS lo, max(gap)::DOUBLE AS hi FROM pairs)
+SELECT CAST(least(floor((gap - lo) / (hi - lo) * 20), 19) AS INTEGER) AS bin, count(*) AS n FROM pairs, e GROUP BY 1""")
+def histogram(spark, sf_dir):
+    return stats.histogram(pairs.adjacent(matches_of(spark, sf_dir)), "gap", 20)
+
+
+@query(f"""WITH {_PAIRS}, q AS (SELECT query_name, quantile_cont(gap, 0.25) AS q25, quantile_cont(gap, 0.5) AS q50, quantile_cont(gap, 0.75) AS q75 FROM pairs GROUP BY 1)
+SELECT p.query_name, q25, q50, q75, min(gap) FILTER (gap BETWEEN q25 - 1.5 * (q75 - q25) AND q75 + 1.5 * (q75 - q25)) AS low, max(gap) FILTER (gap BETWEEN q25 - 1.5 * (q75 - q25) AND q75 + 1.5 * (q75 - q25)) AS high,
+count(*) FILTER (gap NOT BETWEEN q25 - 1.5 * (q75 - q25) AND q75 + 1.5 * (q75 - q25)) AS outliers FROM pairs p JOIN q ON p.query_name = q.query_name GROUP BY ALL""")
+def box_stats(spark, sf_dir):
+    return stats.box_statistics(pairs.adjacent(matches_of(spark, sf_dir)), "gap", ["query_name"])
+
+
+def _feature_sql(n: str) -> str:
+    at = f"FILTER (query_name = '{n}')"
+    return f"round(coalesce(avg(position / w) {at}, 0), 9) AS \"{n}_pos\", round(coalesce(stddev_pop(position / w) {at}, 0), 9) AS \"{n}_std\", round(coalesce(avg(score) {at}, 0), 9) AS \"{n}_score\", round(coalesce(avg(length) {at}, 0), 9) AS \"{n}_len\""
+
+
+@query(f"WITH {_MATCHES}, w AS (SELECT max(position + length)::DOUBLE AS w FROM matches) SELECT seq_id, {', '.join(map(_feature_sql, NAMES))} FROM matches, w GROUP BY seq_id")
+def features(spark, sf_dir):
+    out = stats.features(matches_of(spark, sf_dir), NAMES)
+    return out.select("seq_id", *[_r(c, c, 9) for c in out.columns if c != "seq_id"])
+
+
+@query("SELECT l_orderkey, l_linenumber, round((l_quantity - avg(l_quantity) OVER ()) / stddev_pop(l_quantity) OVER (), 5) AS l_quantity, round((l_tax - avg(l_tax) OVER ()) / stddev_pop(l_tax) OVER (), 5) AS l_tax FROM lineitem")
+def standardized(spark, sf_dir):
+    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_tax")
+    out = stats.standardized(rows, ["l_quantity", "l_tax"])
+    return out.select("l_orderkey", "l_linenumber", _r("l_quantity", "l_quantity", 5), _r("l_tax", "l_tax", 5))
+
+
+@query(f"WITH {_MATCHES} SELECT count(DISTINCT seq_id) AS n_reads, count(DISTINCT query_name) AS n_motifs, count(*) AS n_matches FROM matches")
+def distinct_counts(spark, sf_dir):
+    return stats.distinct_counts(matches_of(spark, sf_dir))
+
+
+@query(f"WITH {_MATCHES} SELECT DISTINCT query_name FROM matches")
+def distinct_motifs(spark, sf_dir):
+    return stats.distinct_motifs(matches_of(spark, sf_dir))
+
+
+# Embeddings
+
+
+@query(f"""WITH {_MATCHES} SELECT seq_id, {', '.join(f"coalesce(min(position) FILTER (query_name = '{n}'), 0) AS \"{n}\"" for n in NAMES)} FROM matches GROUP BY seq_id""")
+def direct_embedding(spark, sf_dir):
+    return embed.direct(matches_of(spark, sf_dir), NAMES)
+
+
+@query(f"WITH {_MATCHES} SELECT seq_id, string_agg(query_name || '@' || (position // 10), ' ' ORDER BY position, query_name) AS tokens FROM matches GROUP BY seq_id")
+def tokens(spark, sf_dir):
+    return embed.token_sequences(matches_of(spark, sf_dir), bucket=10).select("seq_id", F.array_join("tokens", " ").alias("tokens"))
+
+
+@query(f"WITH {_MATCHES} SELECT seq_id, query_name, position, " + ", ".join(f"round({'sin' if i % 2 == 0 else 'cos'}(position / pow(10000.0::DOUBLE, {i - i % 2} / 10.0::DOUBLE)), 6) AS e{i}" for i in range(10)) + " FROM matches")
+def pos_encoding(spark, sf_dir):
+    rows = matches_of(spark, sf_dir).withColumn("e", S.positional_encoding("position", 10))
+    return rows.select("seq_id", "query_name", "position", *[_r(F.col("e")[i], f"e{i}") for i in range(10)])
+
+
+@query(f"WITH {_MATCHES} SELECT seq_id, query_name, position, round(1.0 - 0.9 * (position - min(position) OVER w) / greatest((max(position) OVER w - min(position) OVER w)::DOUBLE, 1e-6), 6) AS weight FROM matches WINDOW w AS (PARTITION BY seq_id)")
+def pos_weight(spark, sf_dir):
+    from pyspark.sql import Window
+
+    by = Window.partitionBy("seq_id")
+    weight = S.position_weight(F.col("position"), F.min("position").over(by), F.max("position").over(by).cast("double"))
+    return matches_of(spark, sf_dir).select("seq_id", "query_name", "position", _r(weight, "weight"))
+
+
+@query(f"WITH {_PAIRS} SELECT seq_id, string_agg(query_name, ',' ORDER BY position, query_name) AS names, string_agg(start_delta, ',' ORDER BY position, query_name) AS distances FROM (SELECT *, next_position - position AS start_delta FROM near) GROUP BY seq_id")
+def names_and_distances(spark, sf_dir):
+    rows = embed.queries_and_distances(matches_of(spark, sf_dir))
+    text = F.array_join(F.transform("distances", lambda d: d.cast("string")), ",")
+    return rows.select("seq_id", F.array_join("names", ",").alias("names"), F.when(F.size("distances") > 0, text).alias("distances"))
+
+
+@query(f"""WITH {_READS}, n AS (SELECT query_name, row_number() OVER (ORDER BY query_name) AS id FROM (SELECT DISTINCT unnest(string_split(seq, '')) AS query_name FROM reads) WHERE query_name <> ''),
+c AS (SELECT seq_id, unnest(string_split(substring(seq, 1, 60), '')) AS query_name, unnest(range(60)) AS k FROM reads)
+SELECT seq_id, string_agg(coalesce(id + 1, 0), ',' ORDER BY k) AS ids FROM c LEFT JOIN n USING (query_name) WHERE k IS NOT NULL GROUP BY seq_id""")
+def vocab_encode(spark, sf_dir):
+    reads = reads_of(spark, sf_dir)
+    vocabulary = {r["char"]: r["id"] for r in embed.char_vocabulary(reads).limit(10_000).collect()}
+    out = embed.encode_chars(reads, vocabulary, 60)
+    return out.select("seq_id", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))
+
+
+@query()
+def word2vec_tokens(spark, sf_dir):
+    sequences = embed.token_sequences(matches_of(spark, sf_dir), bucket=100)
+    return embed.embed_tokens(sequences, embed.word_model(sequences, size=16, rounds=1))
+
+
+@query()
+def kmer_frequencies(spark, sf_dir):
+    return embed.kmer_frequencies(reads_of(spark, sf_dir), 3)
+
+
+@query()
+def projected_embedding(spark, sf_dir):
+    return embed.projected(matches_of(spark, sf_dir), size=8)
+
+
+# Motifs
+
+_PWM = f"""{_READS}, long AS (SELECT unnest(range(least(6, m))) AS pos, seq FROM reads, (SELECT min(length(seq)) AS m FROM reads)),
+counts AS (SELECT pos, base, count(*) FILTER (substring(seq, pos + 1, 1) = base) AS n FROM long, (VALUES ('A'), ('C'), ('G'), ('T')) b(base) GROUP BY pos, base)"""
+
+
+def _weights(spark, sf_dir):
+    return motif.position_weights(reads_of(spark, sf_dir), upto=6)
+
+
+@query(f"WITH {_PWM} SELECT CAST(pos AS INTEGER) AS pos, base, n, round(n / (SELECT count(*) FROM reads)::DOUBLE, 9) AS freq FROM counts")
+def pwm(spark, sf_dir):
+    return _weights(spark, sf_dir).withColumn("freq", F.round("freq", 9))
+
+
+@query(f"WITH {_PWM} SELECT string_agg(base, '' ORDER BY pos) AS consensus FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY n DESC, base) AS r FROM counts) WHERE r = 1")
+def consensus(spark, sf_dir):
+    return motif.consensus_sequence(_weights(spark, sf_dir)).select(F.when(F.col("consensus") != "", F.col("consensus")).alias("consensus"))
+
+
+@query(f"WITH {_PWM} SELECT CAST(pos AS INTEGER) AS pos, base, n FROM (SELECT *, max(n) OVER (PARTITION BY pos) AS top FROM counts) WHERE n > 0.5 * top")
+def consensus_sets(spark, sf_dir):
+    return motif.consensus_sets(_weights(spark, sf_dir))
+
+
+@query(f"""WITH {_PWM}, s AS (SELECT pos, base FROM (SELECT *, max(n) OVER (PARTITION BY pos) AS top FROM counts) WHERE n > 0.5 * top)
+SELECT a.pos || '_' || a.base AS source, b.pos || '_' || b.base AS target, 1 AS value FROM s a JOIN s b ON b.pos = a.pos + 1""")
+def motif_graph(spark, sf_dir):
+    return motif.motif_graph(motif.consensus_sets(_weights(spark, sf_dir)))[1]
+
+
+def _tree_sql(depth: int) -> str:
+    parts = [f"s AS (SELECT substring(seq, 1, {depth}) AS seq FROM reads WHERE length(seq) >= {depth})"]
+    for k in range(1, depth + 1):
+        within = f"AND substring(seq, 1, {k - 1}) IN (SELECT motif FROM k{k - 1})" if k > 1 else ""
+        parts.append(f"c{k} AS (SELECT substring(seq, 1, {k}) AS motif, substring(seq, 1, {k - 1}) AS parent, count(*) AS n FROM s WHERE true {within} GROUP BY 1, 2)")
+        parts.append(f"k{k} AS (SELECT motif, n FROM (SELECT *, max(n) OVER (PARTITION BY parent) AS top FROM c{k}) WHERE n >= top * (1 - 0.1))")
+    return f"WITH {_READS}, {', '.join(parts)} SELECT motif, n FROM k{depth}"
+
+
+@query(_tree_sql(6))
+def motif_tree(spark, sf_dir):
+    return motif.motif_tree(reads_of(spark, sf_dir), 6)
+
+
+# Clusters
+
+
+@query(f"WITH {_FEATURES} SELECT cluster, count(DISTINCT vec_id) AS n_reads FROM x GROUP BY cluster")
+def cluster_sizes(spark, sf_dir):
+    return stats.cluster_sizes(features_of(spark, sf_dir), "vec_id")
+
+
+@query(f"WITH {_FEATURES}, s AS (SELECT cluster, count(DISTINCT vec_id) AS n FROM x GROUP BY cluster) SELECT CAST(sum(n) AS BIGINT) AS n_reads, count(*) AS n_clusters, round(avg(n), 6) AS mean_size, max(n) AS max_size FROM s")
+def cluster_summary(spark, sf_dir):
+    return stats.cluster_summary(features_of(spark, sf_dir), "vec_id").withColumn("mean_size", F.round("mean_size", 6))
+
+
+@query(f"WITH {_FEATURES}, s AS (SELECT cluster, count(*) AS n FROM x GROUP BY cluster ORDER BY n DESC, cluster LIMIT 3) SELECT vec_id, cluster FROM x WHERE cluster IN (SELECT cluster FROM s)")
+def top_clusters(spark, sf_dir):
+    return stats.top_clusters(features_of(spark, sf_dir), 3, "vec_id").select("vec_id", "cluster")
+
+
+@query(f"WITH {_CENTRES} SELECT cluster, round(CASE WHEN count(*) <= 1 THEN 0 ELSE coalesce(avg(d) / nullif(max(d), 0), 0) END, 9) AS diversity FROM away GROUP BY cluster")
+def diversity(spark, sf_dir):
+    return cluster.diversity(features_of(spark, sf_dir)).withColumn("diversity", F.round("diversity", 9))
+
+
+@query(f"WITH {_CENTRES} SELECT cluster, arg_min(vec_id, d) AS vec_id FROM away GROUP BY cluster")
+def rep_centroid(spark, sf_dir):
+    return cluster.nearest_to_centroid(features_of(spark, sf_dir), key="vec_id")
+
+
+_NEAREST = f"""WITH {_FEATURES}, p AS (SELECT a.vec_id AS i, a.cluster AS ci, b.vec_id AS j, b.cluster AS cj, list_distance(a.features, b.features) AS d FROM x a JOIN x b ON a.vec_id <> b.vec_id)"""
+
+
+@query(f"{_NEAREST} SELECT round(quantile_cont(d, 0.9), 6) AS p90 FROM (SELECT i, min(d) AS d FROM p GROUP BY i)")
+def nn_percentile(spark, sf_dir):
+    near = cluster.neighbours(features_of(spark, sf_dir), 1, key="vec_id")
+    return near.agg(_r(F.percentile("distance", F.lit(0.9)), "p90"))
+
+
+@query(f"""{_NEAREST}, m AS (SELECT i, ci, cj, avg(d) AS d FROM p GROUP BY 1, 2, 3), n AS (SELECT cluster, count(*) AS n FROM x GROUP BY 1),
+s AS (SELECT i, ci, coalesce(max(d) FILTER (ci = cj), 0) AS a, min(d) FILTER (ci <> cj) AS b FROM m GROUP BY 1, 2)
+SELECT i AS vec_id, ci AS cluster, round(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END, 6) AS silhouette FROM s JOIN n ON ci = cluster""")
+def silhouette(spark, sf_dir):
+    return cluster.silhouettes(features_of(spark, sf_dir), key="vec_id").withColumn("silhouette", F.round("silhouette", 6))
+
+
+@query(f"""WITH {_CENTRES}, r AS (SELECT cluster, arg_min(vec_id, d) AS rep FROM away GROUP BY cluster), f AS (SELECT rep, features AS g FROM r JOIN x ON rep = vec_id)
+SELECT vec_id, arg_min(rep, list_distance(features, g)) AS rep, round(min(list_distance(features, g)), 6) AS distance FROM x, f GROUP BY vec_id""")
+def nearest_rep(spark, sf_dir):
+    table = features_of(spark, sf_dir)
+    reps = table.join(cluster.nearest_to_centroid(table, key="vec_id").select("vec_id"), "vec_id", "left_semi")
+    return cluster.nearest_representative(table, reps, key="vec_id").withColumn("distance", F.round("distance", 6))
+
+
+@query()
+def kmeans_clusters(spark, sf_dir):
+    return cluster.kmeans(features_of(spark, sf_dir).drop("cluster"), 10, key="vec_id")[0]
+
+
+@query()
+def ward_pipeline(spark, sf_dir):
+    return cluster.pipeline(features_of(spark, sf_dir).drop("cluster"), 10, reduce_to=400, key="vec_id")
+
+
+@query()
+def compressed_clusters(spark, sf_dir):
+    return cluster.compress(features_of(spark, sf_dir), 100, key="vec_id")
+
+
+@query()
+def mixture_clusters(spark, sf_dir):
+    reduced = embed.components(features_of(spark, sf_dir).drop("cluster"), 4)
+    return cluster.mixture(reduced, 3, key="vec_id")
+
+
+# Layout: users of events are reads, event types are motifs, sources are clusters
+
+
+def _clustered(spark, sf_dir):
+    found = layout.with_query_index(matches_of(spark, sf_dir), queries_df(spark, MOTIFS))
+    return layout.with_clusters(found, reads_of(spark, sf_dir).select("seq_id", F.col("barcode").alias("cluster")))
+
+
+@query(f"WITH {_MATCHES} SELECT DISTINCT barcode AS cluster, query_name, position, length FROM matches")
+def merge_compress(spark, sf_dir):
+    return layout.merged(_clustered(spark, sf_dir))
+
+
+@query(f"WITH {_MATCHES}, c AS (SELECT barcode AS cluster, seq_id, count(*) AS n FROM matches GROUP BY 1, 2) SELECT cluster, seq_id, n FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, seq_id) AS r FROM c) WHERE r = 1")
+def rep_most_matches(spark, sf_dir):
+    return layout.most_matches(_clustered(spark, sf_dir))
+
+
+@query(f"WITH {_MATCHES} SELECT barcode AS cluster, min(seq_id) AS seq_id FROM matches GROUP BY 1")
+def rep_first(spark, sf_dir):
+    return layout.first_read(_clustered(spark, sf_dir).withColumn("rec_no", F.col("seq_id")))
+
+
+@query(f"WITH {_MATCHES} SELECT barcode AS cluster, seq_id, query_name, position, CAST(dense_rank() OVER (ORDER BY barcode, seq_id) - 1 AS INTEGER) AS row FROM matches")
+def row_index(spark, sf_dir):
+    return layout.row_index(_clustered(spark, sf_dir)).select("cluster", "seq_id", "query_name", "position", "row")
+
+
+@query(f"""WITH {_MATCHES}, cells AS (SELECT seq_id, unnest(range(position, least(position + length, 200))) AS pos, query_idx, position FROM matches WHERE position < 200)
+SELECT seq_id, CAST(pos AS INTEGER) AS pos, query_idx FROM (SELECT *, row_number() OVER (PARTITION BY seq_id, pos ORDER BY position DESC, query_idx DESC) AS r FROM cells) WHERE r = 1""")
+def raster(spark, sf_dir):
+    return layout.raster(_clustered(spark, sf_dir), 200, order=["position", "query_idx"]).select("seq_id", "pos", "query_idx")
+
+
+@query(f"""WITH {_MATCHES}, p AS (SELECT position + length / 2.0 AS x, seq_id AS y, query_name FROM matches), e AS (SELECT min(x)::DOUBLE x0, max(x)::DOUBLE x1, min(y)::DOUBLE y0, max(y)::DOUBLE y1 FROM p)
+SELECT CAST(least(floor((x - x0) / (x1 - x0) * 80), 79) AS INTEGER) AS px, CAST(least(floor((y - y0) / (y1 - y0) * 40), 39) AS INTEGER) AS py, query_name, count(*) AS n FROM p, e GROUP BY 1, 2, 3""")
+def density(spark, sf_dir):
+    points = matches_of(spark, sf_dir).select((F.col("position") + F.col("length") / 2.0).alias("x"), F.col("seq_id").alias("y"), "query_name")
+    return layout.density(points, "x", "y", 80, 40, by=["query_name"])
+
+
+@query(f"""WITH {_MATCHES}, e AS (SELECT seq_id, max(position + length) AS e FROM matches GROUP BY 1) SELECT CAST(max(e) AS INTEGER) AS width FROM e""")
+def visual_width(spark, sf_dir):
+    return layout.visual_width(matches_of(spark, sf_dir))
+
+
+@query()
+def box_walk(spark, sf_dir):
+    return layout.walked_boxes(layout.raster(_clustered(spark, sf_dir), 400, order=["position", "query_idx"]))
+
+
+@query()
+def sampled_clusters(spark, sf_dir):
+    return layout.compressed(_clustered(spark, sf_dir), "sample", most=10)
