@@ -7,16 +7,24 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-READ = T.StructType.fromDDL("rec_no BIGINT, read_id STRING, description STRING, seq STRING, qual STRING")
-FASTA = T.StructType.fromDDL("rec_no BIGINT, id STRING, description STRING, seq STRING")
-QUERY = T.StructType.fromDDL("query_idx INT, query_name STRING, query_seq STRING")
-MATCH = T.StructType.fromDDL("seq_id STRING, query_name STRING, position INT, length SMALLINT, score FLOAT")
-MATCH_ORDINAL = T.StructType.fromDDL("seq_id INT, query_name STRING, position INT, length SMALLINT, score FLOAT")
-NEIGHBOUR_RULE = T.StructType.fromDDL("start STRING, end STRING, orientation STRING")
-PRIMER_RULE = T.StructType.fromDDL("primer STRING, distance_min INT, distance_max INT, orientation STRING")
-REGION = T.StructType.fromDDL("seq_id BIGINT, start_pos INT, end_pos INT, orientation STRING")
-EMBEDDING = T.StructType.fromDDL("seq_id STRING, features ARRAY<DOUBLE>")
-ASSIGNMENT = T.StructType.fromDDL("seq_id STRING, cluster INT")
+_TYPES = {"BIGINT": T.LongType(), "INT": T.IntegerType(), "SMALLINT": T.ShortType(), "FLOAT": T.FloatType(), "STRING": T.StringType(), "ARRAY<DOUBLE>": T.ArrayType(T.DoubleType())}
+
+
+def _struct(columns: str) -> T.StructType:
+    """A schema from NAME TYPE pairs; needs no session."""
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (c.split() for c in columns.split(", "))])
+
+
+READ = _struct("rec_no BIGINT, read_id STRING, description STRING, seq STRING, qual STRING")
+FASTA = _struct("rec_no BIGINT, id STRING, description STRING, seq STRING")
+QUERY = _struct("query_idx INT, query_name STRING, query_seq STRING")
+MATCH = _struct("seq_id STRING, query_name STRING, position INT, length SMALLINT, score FLOAT")
+MATCH_ORDINAL = _struct("seq_id INT, query_name STRING, position INT, length SMALLINT, score FLOAT")
+NEIGHBOUR_RULE = _struct("start STRING, end STRING, orientation STRING")
+PRIMER_RULE = _struct("primer STRING, distance_min INT, distance_max INT, orientation STRING")
+REGION = _struct("seq_id BIGINT, start_pos INT, end_pos INT, orientation STRING")
+EMBEDDING = _struct("seq_id STRING, features ARRAY<DOUBLE>")
+ASSIGNMENT = _struct("seq_id STRING, cluster INT")
 
 
 def queries_df(spark: SparkSession, motifs: Mapping[str, str]) -> DataFrame:
