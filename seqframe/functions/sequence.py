@@ -86,7 +86,8 @@ def occurrences(seq: Column | str, motif: Column) -> Column:
     pieces = F.split(_col(seq), F.concat(F.lit("(?=\\Q"), motif, F.lit("\\E)")), -1)
 
     def places(p: Column) -> Column:
-        marked = F.zip_with(p, running(F.transform(p, lambda x: F.length(x))), lambda x, at: F.when(F.startswith(x, motif), at))
+        first = F.startswith(_col(seq), motif)  # all pieces but the first begin with an occurrence
+        marked = F.transform(running(F.transform(p, lambda x: F.length(x))), lambda at, k: F.when((k > 0) | first, at))
         return F.filter(marked, lambda at: at.isNotNull())
 
     return let(pieces, places)

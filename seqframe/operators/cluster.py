@@ -241,8 +241,8 @@ def hdbscan(x: np.ndarray, least: int = 5, smallest: int = 10) -> np.ndarray:
 
 
 def optics(x: np.ndarray, least: int, *, fall: float = 0.05, smallest: int | None = None) -> np.ndarray:
-    """Points in the order of reachability; clusters are the valleys between steps of at
-    least `fall` (relative) down and up."""
+    """Points in the order of reachability; clusters are the valleys between its peaks,
+    which are what lies above its steepest relative step, of at least `fall`."""
     n, smallest = len(x), smallest or least
     d = distances(x)
     core = np.sort(d, axis=1)[:, min(least, n) - 1]
@@ -254,8 +254,10 @@ def optics(x: np.ndarray, least: int, *, fall: float = 0.05, smallest: int | Non
         reach = np.where(done, reach, np.minimum(reach, np.maximum(core[i], d[i])))
     plot = np.append(reach[order], np.inf)
     labels, k, start = np.full(n, -1), 0, 0
-    finite = plot[np.isfinite(plot)]
-    border = np.median(finite) * (1 + fall) + (finite.max() - np.median(finite)) * 0.5 if len(finite) else np.inf
+    finite = np.sort(plot[np.isfinite(plot)])
+    step = finite[1:] / np.maximum(finite[:-1], 1e-300)
+    step[: len(step) // 2] = 0  # the border is in the upper half, below the steepest step
+    border = finite[int(step.argmax())] if len(step) and step.max() > 1 + fall else np.inf
     for i in range(1, n + 1):
         if plot[i] > border:
             if i - start >= smallest:

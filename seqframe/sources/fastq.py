@@ -36,7 +36,7 @@ def read_fastq(spark: SparkSession, path: str, *, partitions: int | None = None)
 def read_fastq_files(spark: SparkSession, pattern: str) -> DataFrame:
     """Many FASTQ files at once: the columns of read_fastq and barcode, the file's name
     without its ending. Each file is one whole, as they are small; numbers restart."""
-    files = spark.read.option("wholetext", "true").text(pattern).select(F.input_file_name().alias("path"), "value")
+    files = spark.read.text(pattern, wholetext=True).select(F.input_file_name().alias("path"), "value")
     name = F.regexp_extract("path", r"([^/]+?)(?:\.(?:fastq|fq))?$", 1)
     lines = files.select(name.alias("barcode"), F.filter(F.split("value", r"\r?\n"), lambda x: x.isNotNull()).alias("l"))
     n = F.floor(F.size("l") / 4)
