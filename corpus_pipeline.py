@@ -16,9 +16,17 @@ from seqframe.llm.common import cut
 LEAST_SCORE = 0.35
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A name that no column of docs has."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs but for the ids in gone; rows without an id stay."""
-    return docs.join(gone.select(F.col("doc_id").alias("__gone")).distinct(), F.col("doc_id") == F.col("__gone"), "left_anti")
+    name = _free(docs, "__gone")
+    return docs.join(gone.select(F.col("doc_id").alias(name)).distinct(), F.col("doc_id") == F.col(name), "left_anti")
 
 
 def _labelled() -> Column:
@@ -46,11 +54,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Found secrets and their linked parts are replaced by a mark; n_chars follows."""
-    found = secrets.scan(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("spans").alias("__spans")).distinct()
+    key, h, spans = (_free(docs, n) for n in ("__id", "__h", "__spans"))
+    found = secrets.scan(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias(key), F.col("h").alias(h), F.col("spans").alias(spans)).distinct()
     found, _ = cut(found)
-    joined = docs.join(found, F.expr("doc_id <=> __id and xxhash64(text) = __h"), "left")
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(secrets.redacted(F.col("text"), F.col("__spans")))
-    out = joined.withColumn("text", text).withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    joined = docs.join(found, F.expr(f"doc_id <=> {key} and xxhash64(text) = {h}"), "left")
+    known = F.col(spans).isNotNull()
+    text = F.when(known, secrets.redacted(F.col("text"), F.col(spans))).otherwise(F.col("text"))
+    out = joined.withColumn("text", text).withColumn("n_chars", F.when(known, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 

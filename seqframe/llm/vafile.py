@@ -13,7 +13,8 @@ stated query set against all rows has this cost by its nature.
 
 Vectors that are null, or hold null or non-finite components, take no part, and only
 vectors of the same length meet. Components become floor(scale * x) as whole numbers;
-sums are exact. A vector never meets rows with its own id, repeated rows included; a
+sums are exact (one beyond a long becomes the
+nearest long). A vector never meets rows with its own id, repeated rows included; a
 repeated candidate row counts once. Empty tables give empty results.
 """
 
@@ -64,7 +65,7 @@ def top(qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndarray, k: int,
         out = []
         for i, a in zip(qid.tolist(), q.astype(object), strict=True):
             best = sorted((-int(s), j) for j, s in zip(xid.tolist(), x.astype(object) @ a, strict=True) if j != i)[:k]
-            out += [(i, j, -s) for s, j in best]
+            out += [(i, j, max(-(1 << 63), min((1 << 63) - 1, -s))) for s, j in best]
         return out
     xf, qf = x.astype(np.float64), q.astype(np.float64)
     cell, marks, _ = cells(xf, bits)
