@@ -168,3 +168,14 @@ def test_streams(spark, tmp_path):
     latest = max((tmp_path / "out").glob("batch=*"), key=lambda p: int(p.name.split("=")[1]))
     got = {r.query_name: r.n for r in spark.read.parquet(str(latest)).collect()}
     assert got == {r.query_name: r["count"] for r in rows.groupBy("query_name").count().collect()}
+
+
+def test_reads_leave_the_stream_once(spark, tmp_path):
+    schema = "seq_id string, query_name string, position int"
+    batches = [[("a", "y", 9), ("b", "x", 1)], [("a", "x", 2), ("a", "<end>", 99)], [("b", "<end>", 99), ("c", "z", 0)]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"p={k}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    q = streaming.whole_reads(stream).writeStream.format("memory").queryName("whole").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(150)
+    assert sorted(tuple(r) for r in spark.table("whole").collect()) == [("a", 2, "x,y"), ("b", 1, "x")]
