@@ -1,18 +1,12 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model.
 
-The model is of order 4 over 32 symbols: the letters a to z without case, lead and
-continuation bytes of other characters, digits, white space, punctuation, other signs.
-It is trained on trusted text only. Tasks count the grams of their documents and send
-each gram's count once; counts are added up by gram, so that the work grows with the
-corpus while no task holds more than the 32**4 cells that there can be. Lower orders
-count distinct left neighbours; discounts come from the counts of counts. Orders meet
-in joins of count tables, sharded by gram: each gram with the sums of its context and with the
-probability of its shorter form.
-
-A document's perplexity needs the log probability of each of its grams. That table has
-32**4 cells whatever the corpus, 4 MB, so it is broadcast and texts stay where they are.
-A document is kept if its perplexity is at most the quantile of trusted documents of
-its language; a language without trusted documents takes the quantile of all.
+classify() takes the model of codepoints.py: order 4 over whole code points, counted on
+trusted text only. A document's perplexity is that of a code point. A document is kept if it is at
+most the quantile of trusted documents of its language; a language without trusted
+documents takes the quantile of all.
+
+grams(), count_grams(), kneser_ney() and model() are a dense model over 32 byte classes
+with a table of 32**4 cells. No query uses it.
 
 Null and empty texts have perplexity null and aren't kept. Null lang is a language of
 its own. Each input row gives one output row; repeated rows too, but a repeated trusted
@@ -29,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqframe.llm.common import cut, row_map, text_of
+from seqframe.llm import codepoints
+from seqframe.llm.common import cut, text_of
 
 ORDER, SYMBOLS = 4, 32
 CELLS = SYMBOLS**ORDER
@@ -120,34 +115,17 @@ def model(spark: SparkSession, trusted: DataFrame, text: str = "text") -> np.nda
     return logp
 
 
-def perplexities(docs: DataFrame, logp: np.ndarray, *, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """Columns: key, lang, perplexity double (null for empty texts)."""
-    sent = docs.sparkSession.sparkContext.broadcast(logp)
-
-    def fn():
-        table = sent.value
-
-        def row(k, name, t):
-            text, total = t.encode(), 0.0
-            for j in range(0, len(text), 1 << 20):
-                g = grams(text[max(0, j - ORDER + 1) : j + (1 << 20)])
-                total += float(table[g[ORDER - 1 if j else 0 :]].sum(dtype=np.float64))
-            return k, name, float(np.exp(-total / len(text))) if text else None
-
-        return row
-
-    return row_map(docs.select(F.col(key), F.col(lang).cast("string").alias(lang), text_of(text).alias(text)), fn, f"{key} long, {lang} string, perplexity double")
-
-
 def classify(docs: DataFrame, trusted_keys: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = 0.99) -> DataFrame:
     """Columns: key, lang, perplexity, threshold, keep. trusted_keys: keys of trusted
     documents in the same column; keys without a document do nothing."""
     spark = docs.sparkSession
     good = trusted_keys.select(F.col(key)).where(F.col(key).isNotNull()).distinct()
     # The same way at every size: were a small list of keys broadcast, the shuffle would set in all at once.
-    logp = model(spark, docs.join(good.hint("shuffle_hash"), key, "left_semi"), text)
-    scored, _ = cut(perplexities(docs, logp, key=key, text=text, lang=lang))
-    known = scored.join(good, key, "left_semi").where("perplexity is not null")
+    rows = docs.select(F.col(key), F.col(lang).cast("string").alias("lang"), text_of(text).alias("text"))
+    rows = rows.join(good.withColumn("__good", F.lit(True)).hint("shuffle_hash"), key, "left")
+    rows = rows.select(F.col(key).alias("id"), "lang", "text", F.coalesce("__good", F.lit(False)).alias("trusted"))
+    scored, _ = cut(codepoints.perplexities(rows).select(F.col("id").alias(key), F.col("lang").alias(lang), "trusted", "perplexity"))
+    known = scored.where("trusted and perplexity is not null")
     border = F.percentile_approx("perplexity", quantile, 10_000)
     by_lang = known.groupBy(F.col(lang).alias("__lang")).agg(border.alias("own"))
     out = scored.join(by_lang, F.col(lang).eqNullSafe(F.col("__lang")), "left").crossJoin(F.broadcast(known.agg(border.alias("every"))))
