@@ -1,9 +1,11 @@
-"""Clustering of feature tables: key and features array<double>.
-
-k-means, mixtures and power iteration are Spark ML's. Methods that need a distance
-matrix (Ward, density trees, affinity propagation and others) run in numpy over a
-reduced sample of at most MOST points, as the methods' cost asks for; all other points
-then get the label of the nearest representative. Labels count from 0, noise is -1.
+"""Clustering of feature tables: key and features array<double>; keys are unique.
+
+k-means, mixtures and power iteration are Spark ML's. Nearest neighbours, silhouettes and
+DBSCAN are exact at any size: blocks of about BLOCK rows meet each other in groups.
+Other methods that need a distance matrix (Ward, density trees, affinity propagation and
+others) run in numpy over a reduced sample of at most MOST points, as the methods' cost asks
+for; all other points then get the label of the nearest representative. Labels count from 0,
+noise is -1.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from seqframe.functions.sequence import distance
 from seqframe.operators.stats import sample_of
 
 MOST = 5_000
+BLOCK = 2_048  # rows of a block, about
 
 
 def _with_vector(table: DataFrame) -> DataFrame:
@@ -117,25 +120,46 @@ def ward_tiered(table: DataFrame, k: int, *, key: str = "seq_id", large: int = 5
     return first.join(F.broadcast(names), "cluster").select(key, F.col("final").alias("cluster"))
 
 
-def neighbours(table: DataFrame, k: int, *, key: str = "seq_id") -> DataFrame:
-    """key, rank, near, distance: the k nearest other points of a reduced table. Blocks of
-    an Arrow batch against the matrix; exact."""
-    ids, x = points_of(table, key=key)
-    sent = table.sparkSession.sparkContext.broadcast((ids, x))
-    kind = table.select(key).schema[0].dataType.simpleString()
+def _met(table: DataFrame, run: Callable[[pd.DataFrame, np.ndarray, pd.DataFrame, np.ndarray], pd.DataFrame], schema: str, *, key: str, keep: tuple[str, ...] = (), block: int | None = None) -> DataFrame:
+    """What run returns for each block of rows with each block of rows: it gets the asking
+    rows and the others, both in the order of the key, each with its matrix."""
+    blocks = max(1, -(-table.count() // (block or BLOCK)))
+    share = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = table.select(share.alias("__a"), every.alias("__b"), F.lit(True).alias("__asks"), key, "features", *keep)
+    right = table.select(every.alias("__a"), share.alias("__b"), F.lit(False).alias("__asks"), key, "features", *keep)
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        own, other = (group[group["__asks"] == asks].sort_values(key, ignore_index=True) for asks in (True, False))
+        if not len(own) or not len(other):
+            return pd.DataFrame(columns=names)
+        return run(own, np.array(own["features"].tolist(), float), other, np.array(other["features"].tolist(), float))
+
+    return left.union(right).groupBy("__a", "__b").applyInPandas(meet, schema)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, points = sent.value
-        at = {n: i for i, n in enumerate(names)}
-        for frame in frames:
-            own = np.array([at[n] for n in frame[key]], int)
-            d = np.sqrt(((points[own][:, None, :] - points[None, :, :]) ** 2).sum(2)) if len(own) * points.size < 4e7 else distances(points[own], points)
-            d[np.arange(len(own)), own] = np.inf
-            best = np.argsort(d, axis=1, kind="stable")[:, : min(k, len(points) - 1)]
-            rows = [(names[i], r + 1, names[j], float(d[n, j])) for n, i in enumerate(own) for r, j in enumerate(best[n])]
-            yield pd.DataFrame(rows, columns=[key, "rank", "near", "distance"])
 
-    return table.select(key).mapInPandas(run, f"{key} {kind}, rank int, near {kind}, distance double")
+def neighbours(table: DataFrame, k: int, *, key: str = "seq_id", block: int | None = None) -> DataFrame:
+    """key, rank, near, distance: the k nearest other points, exact; the smallest key of equals."""
+    kind = table.select(key).schema[0].dataType.simpleString()
+
+    def run(own: pd.DataFrame, x: np.ndarray, other: pd.DataFrame, y: np.ndarray) -> pd.DataFrame:
+        names, near = own[key].to_numpy(), other[key].to_numpy()
+        size_x, size_y, out = (x * x).sum(1), (y * y).sum(1), []
+        slack = 1e-11 * (size_x + size_y.max())  # above the rounding of the product form
+        for at in range(0, len(x), 512):
+            square = size_x[at : at + 512, None] + size_y[None, :] - 2 * x[at : at + 512] @ y.T
+            square[names[at : at + 512, None] == near[None, :]] = np.inf
+            least = np.partition(square, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1]
+            for i, row in enumerate(square, at):
+                some = np.flatnonzero((row <= least[i - at] + 2 * slack[i]) & np.isfinite(row))
+                d = np.sqrt(((x[i] - y[some]) ** 2).sum(1))
+                out += [(names[i], near[some[j]], d[j]) for j in np.argsort(d, kind="stable")[:k]]
+        return pd.DataFrame(out, columns=[key, "near", "distance"])
+
+    found = _met(table, run, f"{key} {kind}, near {kind}, distance double", key=key, block=block)
+    by = Window.partitionBy(key).orderBy("distance", "near")
+    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select(key, "rank", "near", "distance")
 
 
 def neighbour_percentile(table: DataFrame, q: float, *, rank: int = 1, key: str = "seq_id") -> float:
@@ -159,6 +183,60 @@ def dbscan(x: np.ndarray, eps: float, least: int = 10) -> np.ndarray:
     return labels
 
 
+def dbscan_blocks(table: DataFrame, eps: float, least: int = 10, *, key: str = "seq_id", block: int | None = None) -> DataFrame:
+    """key, cluster as of dbscan(), over blocks. Core points come from counts of near ones;
+    each pair of blocks gives a forest of its near core points, whose components are found
+    by the least key; other points go to the first cluster that has a core point near."""
+    kind = table.select(key).schema[0].dataType.simpleString()
+    table = table.select(key, "features")
+
+    def count(own: pd.DataFrame, x: np.ndarray, other: pd.DataFrame, y: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({key: own[key], "n": [int((np.linalg.norm(y - v, axis=1) <= eps).sum()) for v in x]})
+
+    def forest(own: pd.DataFrame, x: np.ndarray, other: pd.DataFrame, y: np.ndarray) -> pd.DataFrame:
+        root = list(range(len(x) + len(y)))
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        edges = []
+        for i, v in enumerate(x):
+            for j in np.flatnonzero(np.linalg.norm(y - v, axis=1) <= eps):
+                a, b = find(i), find(len(x) + int(j))
+                if a != b:
+                    root[b] = a
+                    edges.append((own[key][i], other[key][int(j)]))
+        return pd.DataFrame(edges, columns=[key, "near"])
+
+    def first(own: pd.DataFrame, x: np.ndarray, other: pd.DataFrame, y: np.ndarray) -> pd.DataFrame:
+        label = other["root"].to_numpy()
+        hits = [label[(np.linalg.norm(y - v, axis=1) <= eps) & other["core"].to_numpy()] for v in x]
+        return pd.DataFrame([(i, min(h)) for i, h in zip(own[key], hits, strict=True) if len(h)], columns=[key, "root"])
+
+    n = _met(table, count, f"{key} {kind}, n long", key=key, block=block).groupBy(key).agg(F.sum("n").alias("n"))
+    core = table.join(n.where(F.col("n") >= least).select(key), key, "left_semi").localCheckpoint()
+    edges = _met(core, forest, f"{key} {kind}, near {kind}", key=key, block=block).where(F.col(key) != F.col("near"))
+    edges = edges.union(edges.select("near", key)).distinct().localCheckpoint()
+    roots = core.select(key, F.col(key).alias("root")).localCheckpoint()
+    while True:
+        passed = edges.join(roots.withColumnRenamed(key, "near"), "near").groupBy(key).agg(F.min("root").alias("low"))
+        new = roots.join(passed, key, "left").select(key, "root", F.least("root", F.coalesce("low", "root")).alias("low"))
+        up = roots.select(F.col(key).alias("low"), F.col("root").alias("above"))
+        new = new.join(up, "low").select(key, F.col("above").alias("new"), "root").localCheckpoint()
+        changed = new.where(F.col("new") != F.col("root")).limit(1).count()
+        roots = new.select(key, F.col("new").alias("root"))
+        if not changed:
+            break
+    marked = table.join(roots, key, "left").withColumn("core", F.col("root").isNotNull()).localCheckpoint()
+    reached = _met(marked, first, f"{key} {kind}, root {kind}", key=key, keep=("root", "core"), block=block).groupBy(key).agg(F.min("root").alias("reached"))
+    numbers = roots.select("root").distinct().withColumn("cluster", F.row_number().over(Window.orderBy("root")) - 1)
+    found = marked.join(reached, key, "left").select(key, F.coalesce("root", "reached").alias("root"))
+    return found.join(numbers, "root", "left").select(key, F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster"))
+
+
 def _reach(x: np.ndarray, least: int) -> np.ndarray:
     """Mutual reachability: the distance, or a core distance if that is greater."""
     d = distances(x)
@@ -370,10 +448,15 @@ def cluster(table: DataFrame, method: str, k: int = 10, *, key: str = "seq_id",
         return kmeans(table, k, key=key, seed=seed)[0]
     if method == "gmm":
         return mixture(table, None, key=key, seed=seed)
-    if method == "spectral":
-        return spectral(table, k, key=key)
     if method == "hierarchical":
         return ward_tiered(table, k, key=key, seed=seed)
+    if table.count() > MOST:
+        if method == "dbscan":
+            return dbscan_blocks(table, neighbour_percentile(table, 0.9, key=key), 10, key=key)
+        reps = reduced(table.select(key, "features"), MOST, key=key, seed=seed).localCheckpoint()
+        return propagated(table, reps.join(cluster(reps, method, k, key=key, seed=seed), key), key=key)
+    if method == "spectral":
+        return spectral(table, k, key=key)
     ids, x = points_of(table, key=key)
     return _labelled(table, ids, _estimated(method, table, x, k, key), key)
 
@@ -481,36 +564,25 @@ def compress(table: DataFrame, target: int = 100, *, key: str = "seq_id", spread
     return near.unionByName(chosen.select(key, "cluster", "features").groupBy("cluster").applyInPandas(pick, f"{key} {kind}, cluster int"))
 
 
-def silhouettes(table: DataFrame, *, key: str = "seq_id") -> DataFrame:
-    """key, cluster, silhouette with Euclidean distances, exact over a reduced table;
-    0 in clusters of one; noise left out."""
-    rows = table.where("cluster >= 0")
-    ids, x = points_of(rows, key=key)
-    labels = dict(rows.select(key, "cluster").limit(MOST + 1).toPandas().itertuples(index=False))
-    y = np.array([labels[i] for i in ids], int)
-    sent = table.sparkSession.sparkContext.broadcast((ids, x, y))
+def silhouettes(table: DataFrame, *, key: str = "seq_id", block: int | None = None) -> DataFrame:
+    """key, cluster, silhouette with Euclidean distances, exact; 0 in clusters of one;
+    noise left out."""
     kind = table.select(key).schema[0].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, points, own = sent.value
-        kinds = np.unique(own)
-        member = (own[:, None] == kinds[None, :]).astype(float)
-        n, at = member.sum(0), {v: i for i, v in enumerate(names)}
-        for frame in frames:
-            i = np.array([at[v] for v in frame[key]], int)
-            for k in range(0, len(i), 512):
-                p = i[k : k + 512]
-                d = np.stack([np.linalg.norm(points - points[j], axis=1) for j in p])
-                total, c = d @ member, np.searchsorted(kinds, own[p])
-                rows_ = np.arange(len(p))
-                a = total[rows_, c] / np.maximum(1, n[c] - 1)
-                mean = total / n
-                mean[rows_, c] = np.inf
-                b = mean.min(1)
-                s = np.where((n[c] > 1) & (np.maximum(a, b) > 0) & np.isfinite(b), (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
-                yield pd.DataFrame({key: [names[j] for j in p], "cluster": own[p], "silhouette": s})
-
-    return rows.select(key).mapInPandas(run, f"{key} {kind}, cluster int, silhouette double")
+    def run(own: pd.DataFrame, x: np.ndarray, other: pd.DataFrame, y: np.ndarray) -> pd.DataFrame:
+        kinds, at = np.unique(other["cluster"].to_numpy(), return_inverse=True)
+        total = np.stack([np.bincount(at, np.linalg.norm(y - v, axis=1), len(kinds)) for v in x])
+        n = np.bincount(at, minlength=len(kinds))
+        wide, many = len(kinds), len(own)
+        return pd.DataFrame({key: np.repeat(own[key].to_numpy(), wide), "cluster": np.repeat(own["cluster"].to_numpy(), wide), "other": np.tile(kinds, many), "total": total.ravel(), "n": np.tile(n, many)})
+
+    rows = table.where("cluster >= 0").select(key, "features", F.col("cluster").cast("int").alias("cluster"))
+    sums = _met(rows, run, f"{key} {kind}, cluster int, other int, total double, n long", key=key, keep=("cluster",), block=block)
+    sums = sums.groupBy(key, "cluster", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    own = F.col("other") == F.col("cluster")
+    near = sums.groupBy(key, "cluster").agg(F.max(F.when(own, F.col("n"))).alias("n"), F.max(F.when(own, F.col("total") / F.greatest(F.lit(1), F.col("n") - 1))).alias("a"), F.min(F.when(~own, F.col("total") / F.col("n"))).alias("b"))
+    s = F.when((F.col("n") > 1) & F.col("b").isNotNull() & (F.greatest("a", "b") > 0), (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0)
+    return near.select(key, "cluster", s.alias("silhouette"))
 
 
 def silhouette(table: DataFrame, *, key: str = "seq_id") -> float:
