@@ -561,7 +561,7 @@ def visual_width(spark, sf_dir):
 
 @query()
 def box_walk(spark, sf_dir):
-    return layout.walked_boxes(layout.raster(_clustered(spark, sf_dir), 400, order=["position", "query_idx"]))
+    return layout.walked_boxes(layout.raster(_clustered(spark, sf_dir), None, order=["position", "query_idx"]))
 
 
 @query()

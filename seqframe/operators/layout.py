@@ -46,11 +46,13 @@ def visual_width(matches: DataFrame, *, key: str = "seq_id", mode: str = "max")
     raise ValueError(f"no width {mode!r}")
 
 
-def raster(matches: DataFrame, width: int, *, order: list[str], key: str = "seq_id") -> DataFrame:
-    """key, pos, query_idx, length for each covered cell left of width; where matches
-    overlap, the last one in the given order."""
-    last = F.least(F.col("position") + F.col("length"), F.lit(width)) - 1
-    cells = matches.where((F.col("position") < width) & (F.col("length") > 0)).select(key, F.explode(F.sequence(F.col("position"), last)).alias("pos"), F.struct(*order).alias("__o"), "query_idx", "length")
+def raster(matches: DataFrame, width: int | None, *, order: list[str], key: str = "seq_id") -> DataFrame:
+    """key, pos, query_idx, length for each covered cell left of width (None: the greatest
+    end, so that no cell is left out); where matches overlap, the last one in the given order."""
+    end = F.col("position") + F.col("length")
+    last = (end if width is None else F.least(end, F.lit(width))) - 1
+    within = F.lit(True) if width is None else F.col("position") < width
+    cells = matches.where(within & (F.col("length") > 0)).select(key, F.explode(F.sequence(F.col("position"), last)).alias("pos"), F.struct(*order).alias("__o"), "query_idx", "length")
     top = F.max_by(F.struct("query_idx", "length"), "__o")
     return cells.groupBy(key, "pos").agg(top.alias("m")).select(key, "pos", "m.query_idx", "m.length")
 
