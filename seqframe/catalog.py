@@ -108,9 +108,7 @@ def motif_window(spark, sf_dir):
 
 @query()
 def primer_alignment(spark, sf_dir):
-    reads = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq_id"), F.translate(F.lower(F.regexp_replace("text", "[^A-Za-z]", "")), _ALPHABET, _BASES).alias("seq"))
-    aligned = search.local_alignments(reads, {"Left": "ACGTGATCCTAGTACA", "Right": "GATCACGTCTAG"})
-    return search.primer_summary(aligned, 60.0)
+    return search.local_alignments(reads_of(spark, sf_dir), {"Left": "ACGTGATCCTAGTACA", "Right": "GATCACGTCTAG"})
 
 
 @query(f"WITH {_MOTIFS} SELECT query_name, CAST(floor(length(repeat(query_seq, query_idx + 2)) * (1.0::DOUBLE - 0.9::DOUBLE)) AS INTEGER) AS budget, o.n FROM motifs, (SELECT count(*) AS n FROM documents) o")
@@ -381,8 +379,8 @@ def vocab_encode(spark, sf_dir):
 
 @query()
 def word2vec_tokens(spark, sf_dir):
-    sequences = embed.token_sequences(matches_of(spark, sf_dir), bucket=100)
-    return embed.embed_tokens(sequences, embed.word_model(sequences, size=16, rounds=1))
+    sequences = embed.token_sequences(matches_of(spark, sf_dir), bucket=10)
+    return embed.embed_tokens(sequences, embed.word_model(sequences))
 
 
 @query()
@@ -499,7 +497,7 @@ def kmeans_clusters(spark, sf_dir):
 
 @query()
 def ward_pipeline(spark, sf_dir):
-    return cluster.pipeline(features_of(spark, sf_dir).drop("cluster"), 10, reduce_to=400, key="vec_id")
+    return cluster.pipeline(features_of(spark, sf_dir).drop("cluster"), 10, key="vec_id")
 
 
 @query()

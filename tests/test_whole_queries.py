@@ -11,3 +11,21 @@ def test_boxes_reach_the_last_match(spark):
     last = catalog.matches_of(spark, SF).agg(F.max("position")).first()[0]
     got = catalog.QUERIES["box_walk"](spark, SF).agg(F.max(F.col("start") + F.col("length"))).first()[0]
     assert last > 400 and got >= last
+
+
+def test_every_read_is_aligned(spark):
+    reads = catalog.reads_of(spark, SF)
+    got = catalog.QUERIES["primer_alignment"](spark, SF)
+    assert got.select("seq_id").distinct().count() == reads.count() and got.count() == 2 * reads.count()
+
+
+def test_word_vectors_have_the_references_size(spark):
+    assert len(catalog.QUERIES["word2vec_tokens"](spark, SF).first().features) == 64
+
+
+def test_vectors_are_clustered_themselves(spark, monkeypatch):
+    seen = []
+    tiered = catalog.cluster.ward_tiered
+    monkeypatch.setattr(catalog.cluster, "ward_tiered", lambda table, *a, **k: seen.append(table.count()) or tiered(table, *a, **k))
+    n = catalog.QUERIES["ward_pipeline"](spark, SF).count()
+    assert seen == [n]
