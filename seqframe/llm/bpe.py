@@ -1,15 +1,16 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
-encode(): every match of the split pattern is merged by itself. The pairs of a
-pre-token wait in a queue of buckets, one for each merge rank; a bucket holds
+encode(): every match of the split pattern is merged by itself. The pairs of many
+pre-tokens wait in one queue of buckets, one for each merge rank; a bucket holds
 positions of the linked list of parts. Two levels of bitmaps say which buckets hold
 something: find-first-set on the upper, then on the lower word gives the next rank
 without a search. Entries are never removed when their pair changes: what comes out
 of the queue is compared with the pair that stands there now and skipped if it is
 stale. A pre-token of n bytes takes about n log n steps however long it is.
 
-Pre-tokens repeat, so that each worker keeps what it has encoded in a cache of bounded
-size. Nothing is shuffled: the work is one pass over the rows.
+Pre-tokens repeat, so that each worker keeps what it has encoded in a cache that is
+bounded in bytes; texts are taken in slices that are bounded in bytes too. Nothing is
+shuffled: the work is one pass over the rows.
 
 Null text counts as empty, which encodes to no ids. Each input row gives one output
 row, repeated rows too. Empty tables give empty results.
@@ -19,38 +20,49 @@ from __future__ import annotations
 
 import base64
 import re
-import struct
-from heapq import heappop, heappush
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from seqframe.llm.common import row_map, text_of
+from seqframe.llm.common import kind_of, slices, text_of
 
 _BITS = 8  # 256 ranks share a lower word of the bitmap
 _LOW = (1 << _BITS) - 1
-_CACHE = 600_000  # entries of a cache
+_CACHE_BYTES = 48 << 20  # of an encoder's cache, about
+_ENTRY = 200  # bytes of an entry besides its text and value
 _LONG = 48  # longer texts aren't kept
+_TEXTS = 4 << 20  # bytes of texts that are encoded together
+_MERGED = 1 << 19  # characters of pre-tokens that share a queue, about
 
 
 class Recent:
-    """A cache of bounded size: two generations, of which the older one goes when the
-    younger one is full, so that what is in use stays."""
-
-    def __init__(self, most: int):
-        self.most, self.young, self.old = most // 2, {}, {}
-
-    def get(self, key):
-        got = self.young.get(key)
-        if got is None and (got := self.old.get(key)) is not None:
-            self.put(key, got)
-        return got
-
-    def put(self, key, value) -> None:
-        if len(self.young) >= self.most:
-            self.old, self.young = self.young, {}
-        self.young[key] = value
+    """What has been worked out lately, in two generations of bounded size in bytes: the
+    older one goes when the younger one is full, so that what is in use stays. size: of a value."""
+
+    def __init__(self, most: int = _CACHE_BYTES, size: Callable = len):
+        self.most, self.size, self.held, self.young, self.old = most // 2, size, 0, {}, {}
+
+    def found(self, texts: set[str], work: Callable[[list[str]], dict]) -> dict:
+        """A table with the values of all texts; work() makes those that aren't there."""
+        if self.held > self.most:
+            self.old, self.young, self.held = self.young, {}, 0
+        young, old = self.young, self.old
+        missing = texts.difference(young)
+        again = missing.intersection(old)
+        fresh = {t: old[t] for t in again}
+        if len(missing) > len(again):
+            fresh.update(work(list(missing.difference(again))))
+        long = [t for t in fresh if len(t) > _LONG]
+        if long:
+            out = young | fresh
+            for t in long:
+                del fresh[t]
+        young.update(fresh)
+        self.held += _ENTRY * len(fresh) + 2 * sum(map(len, fresh)) + sum(map(self.size, fresh.values()))
+        return out if long else young
 
 
 class Encoder:
@@ -59,120 +71,139 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.split = regex.compile(pattern)
-        # The rank queue. It is empty between calls of merge().
-        self.words = [0] * ((max(ranks.values(), default=0) >> _BITS) + 1)
-        self.buckets: dict[int, list[int]] = {}
-        self.pieces = Recent(_CACHE)
-        self.chunks = Recent(_CACHE)
-
-    def merge(self, piece: bytes) -> list[int]:
-        """The ids of one pre-token. The queue: `top` has a bit for each word of
-        `words`, a word has a bit for each of 256 ranks, a bucket has the positions
-        that wait at a rank, the leftmost first."""
-        get = self.ranks.get
-        if (whole := get(piece)) is not None:
-            return [whole]
-        n = len(piece)
-        words, buckets, top = self.words, self.buckets, 0
+        self.one = np.array([ranks.get(bytes([a]), 0) for a in range(256)], np.int64)
+        self.two = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], np.int64)
+        #: Ids of stretches that follow a space, by what follows it.
+        self.known = Recent()
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of pre-tokens, as little-endian unsigned 32-bit integers. All share
+        one linked list, in which nothing crosses the border of a pre-token, and one queue:
+        `top` has a bit for each word of `words`, a word has a bit for each of 256 ranks, a
+        bucket has the positions that wait at a rank. The ranks of a pre-token come up in
+        the same order as if it were alone: the least of all that wait is its least too,
+        and within a bucket the leftmost goes first."""
+        get, known = self.ranks.get, self.two
+        text = b"".join(pieces)
+        n = len(text)
+        sizes = np.array([len(p) for p in pieces])
+        starts = np.cumsum(sizes) - sizes
+        border = bytearray(n + 1)  # 1 where a pre-token starts, and at the end
+        for i in [*starts.tolist(), n]:
+            border[i] = 1
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = [-1] * n  # rank of the part at i with the next one; -1: none, or no part starts here
-        for i in range(n - 1):
-            if (r := get(piece[i : i + 2])) is not None:
-                pair[i] = r
-                if r in buckets:
-                    buckets[r].append(i)  # ascending, so a heap
-                else:
-                    buckets[r] = [i]
-                    words[r >> _BITS] |= 1 << (r & _LOW)
-                    top |= 1 << (r >> _BITS)
+        token = self.one[np.frombuffer(text, np.uint8)].tolist()  # of the part that starts at i
+        raw = np.frombuffer(text + b"\0", np.uint8).astype(np.int64)
+        first = known[raw[:-1] << 8 | raw[1:]]
+        first[starts[1:] - 1] = -1
+        first[n - 1 :] = -1
+        pair = first.tolist()  # rank of the part at i with the next one; -1: none, or no part starts here
+        order = np.argsort(first, kind="stable")
+        order = order[np.searchsorted(first[order], 0) :]
+        waits = first[order]
+        turns = [0, *(np.flatnonzero(np.diff(waits)) + 1).tolist(), len(waits)]
+        order, waits = order.tolist(), waits.tolist()
+        buckets = {waits[x]: order[x:y] for x, y in zip(turns[:-1], turns[1:]) if x < y}
+        words, top = [0] * ((max(self.ranks.values(), default=0) >> _BITS) + 1), 0
+        for r in buckets:
+            words[r >> _BITS] |= 1 << (r & _LOW)
+            top |= 1 << (r >> _BITS)
         while top:
             high = (top & -top).bit_length() - 1
-            word = words[high]
-            bit = word & -word
-            r = (high << _BITS) | (bit.bit_length() - 1)
+            bit = words[high] & -words[high]
+            least = r = (high << _BITS) | (bit.bit_length() - 1)
             bucket = buckets[r]
-            i = heappop(bucket)
-            if not bucket:
+            if len(bucket) > 1:
+                bucket.sort()
+            for at, i in enumerate(bucket, 1):
+                if pair[i] != r:
+                    continue  # stale
+                j = after[i]
+                k = after[i] = after[j]
+                pair[j] = -1
+                token[i] = r
+                new = -1
+                if not border[k]:
+                    before[k] = i
+                    new = get(text[i : after[k]], -1)
+                    if new >= 0:
+                        if (held := buckets.get(new)) is not None:
+                            held.append(i)
+                        else:
+                            buckets[new] = [i]
+                            words[new >> _BITS] |= 1 << (new & _LOW)
+                            top |= 1 << (new >> _BITS)
+                        if new < least:
+                            least = new
+                pair[i] = new
+                if not border[i]:
+                    h = before[i]
+                    pair[h] = new = get(text[h:k], -1)
+                    if new >= 0:
+                        if (held := buckets.get(new)) is not None:
+                            held.append(h)
+                        else:
+                            buckets[new] = [h]
+                            words[new >> _BITS] |= 1 << (new & _LOW)
+                            top |= 1 << (new >> _BITS)
+                        if new < least:
+                            least = new
+                if least < r:  # comes before what is left of this bucket
+                    buckets[r] = bucket[at:]
+                    break
+            if least == r or not buckets[r]:
                 del buckets[r]
-                words[high] = word = word ^ bit
-                if not word:
+                words[high] ^= bit
+                if not words[high]:
                     top ^= 1 << high
-            if pair[i] != r:
-                continue  # stale
-            j = after[i]
-            k = after[i] = after[j]
-            pair[j] = pair[i] = -1
-            fresh = []
-            if k < n:
-                before[k] = i
-                fresh.append((i, get(piece[i : after[k]])))
-            h = before[i]
-            if h >= 0:
-                fresh.append((h, get(piece[h:k])))
-            for at, r in fresh:
-                if r is None:
-                    pair[at] = -1
-                    continue
-                pair[at] = r
-                if r in buckets:
-                    heappush(buckets[r], at)
-                else:
-                    buckets[r] = [at]
-                    words[r >> _BITS] |= 1 << (r & _LOW)
-                    top |= 1 << (r >> _BITS)
-        out, i = [], 0
+        out, cuts, i = [], [], 0
         while i < n:
-            k = after[i]
-            out.append(self.ranks[piece[i:k]])
-            i = k
-        return out
-
-    def piece(self, text: str) -> tuple[bytes, int]:
-        if len(text) > _LONG:
-            ids = self.merge(text.encode())
-            return np.array(ids, "<u4").tobytes(), len(ids)
-        if (got := self.pieces.get(text)) is None:
-            ids = self.merge(text.encode())
-            got = struct.pack(f"<{len(ids)}I", *ids), len(ids)
-            self.pieces.put(text, got)
-        return got
-
-    def chunk(self, text: str) -> tuple[bytes, int]:
-        """A stretch of text that no pre-token crosses: ids as little-endian unsigned
-        32-bit integers, and their number."""
-        if len(text) <= _LONG and (got := self.chunks.get(text)) is not None:
-            return got
-        found = [self.piece(x) for x in self.split.findall(text)]
-        got = found[0] if len(found) == 1 else (b"".join([x[0] for x in found]), sum([x[1] for x in found]))
-        if len(text) <= _LONG:
-            self.chunks.put(text, got)
-        return got
-
-    def encode(self, text: str) -> tuple[bytes, int]:
-        """ids as bytes, and their number. No pre-token goes on from a character that
-        isn't space to a space, so a text can be cut before each run of space."""
-        if not text:
-            return b"", 0
+            if border[i]:
+                cuts.append(4 * len(out))
+            out.append(token[i])
+            i = after[i]
+        ids = np.array(out, "<u4").tobytes()
+        return [ids[x:y] for x, y in zip(cuts, [*cuts[1:], len(ids)])]
+
+    def chunks(self, text: str) -> list[str]:
+        """The text in stretches that no pre-token crosses: none goes on from a character
+        that isn't space to a space, so that a text can be cut before each run of space."""
         if RUN.search(text):
             at = [m.start() for m in EDGE.finditer(text)]
-            chunks = [text[a:b] for a, b in zip([0, *at], [*at, len(text)], strict=True)]
-        else:
-            first, *rest = text.split(" ")
-            chunks = [first] * bool(first) + [" " + x for x in rest]
-        known, parts, n = self.chunks.young.get, [], 0
-        for c in chunks:
-            got = known(c)
-            if got is None:
-                got = self.chunk(c)
-                known = self.chunks.young.get
-            parts.append(got[0])
-            n += got[1]
-        return b"".join(parts), n
+            return [text[a:b] for a, b in zip([0, *at], [*at, len(text)], strict=True)]
+        first, *rest = text.split(" ")
+        return [first, *[" " + c for c in rest]]
+
+    def encode(self, text: str) -> tuple[bytes, int]:
+        """The ids of a text as bytes, and their number."""
+        ids = self.encode_all([text])[0]
+        return ids, len(ids) >> 2
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as bytes."""
+        cut = [self.chunks(t) for t in texts]
+        ids = self.known.found(set().union(*cut), self._fresh).__getitem__
+        return [b"".join(map(ids, c)) for c in cut]
+
+    def _fresh(self, chunks: list[str]) -> dict[str, bytes]:
+        """The ids of stretches, and of their pre-tokens."""
+        parts = {c: [c] if PLAIN.fullmatch(c) else self.split.findall(c) for c in chunks}
+        asked = set().union(*parts.values())
+        made = {p: got for p in asked if (got := self.known.young.get(p)) is not None}
+        rest = list(asked.difference(made))
+        turn = np.cumsum([len(p) for p in rest]) // _MERGED
+        for k in range(int(turn[-1]) + 1 if rest else 0):
+            some = rest[np.searchsorted(turn, k) : np.searchsorted(turn, k, side="right")]
+            made.update(zip(some, self.merge([p.encode() for p in some])))
+        get = made.__getitem__
+        return made | {c: b"".join(map(get, p)) for c, p in parts.items() if len(p) != 1}
 
 
 #: A space beside other white space: there the split at single spaces would not do.
 RUN = re.compile(r" \s|\s ")
 EDGE = re.compile(r"(?<=\S)(?=\s)")
+#: One pre-token for sure: Latin letters after a space or none.
+PLAIN = re.compile(r" ?[A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\u024F]+")
 
 
 class Decoder:
@@ -187,15 +218,20 @@ class Decoder:
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
 
     def decode(self, ids: bytes) -> bytes:
+        return self.decode_all([ids])[0]
+
+    def decode_all(self, ids: list[bytes]) -> list[bytes]:
+        """The bytes of each row of ids."""
         out = []
-        every = np.frombuffer(ids, "<u4")
-        for k in range(0, len(every), 1 << 18):
-            part = every[k : k + (1 << 18)]
+        for k in range(0, len(ids), 64):
+            part = np.frombuffer(b"".join(ids[k : k + 64]), "<u4")
             n = self.length[part]
-            first = np.cumsum(n) - n
-            at = np.arange(int(n.sum())) + np.repeat(self.start[part] - first, n)
-            out.append(self.bytes[at].tobytes())
-        return b"".join(out)
+            ends = np.cumsum(n)
+            at = np.arange(int(n.sum())) + np.repeat(self.start[part] - (ends - n), n)
+            ends = np.concatenate([[0], ends])[np.cumsum([0, *(len(i) >> 2 for i in ids[k : k + 64])])]
+            text = self.bytes[at].tobytes()
+            out += [text[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        return out
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -219,28 +255,24 @@ def encode(docs: DataFrame, path: str, pattern: str, *, key: str = "doc_id", tex
     and, if asked for, decoded binary: the ids turned back into bytes. path must lead
     to the rank file on every executor."""
 
-    def fn():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to, back = codec(path, pattern)
+        for part in slices(batches, 1, _TEXTS):
+            ids = to.encode_all(part.column(1).to_pylist())
+            columns = [part.column(0), pa.array([len(i) >> 2 for i in ids], pa.int64()), pa.array(ids, pa.binary())]
+            columns += [pa.array(back.decode_all(ids), pa.binary())] * decoded
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "n_tokens", "ids", "decoded"][: len(columns)])
 
-        def row(k, t):
-            ids, n = to.encode(t)
-            return (k, n, ids, back.decode(ids)) if decoded else (k, n, ids)
-
-        return row
-
-    kind = docs.select(key).schema[0].dataType.simpleString()
-    kind = "long" if kind == "bigint" else kind
-    schema = f"{key} {kind}, n_tokens long, ids binary" + ", decoded binary" * decoded
-    return row_map(docs.select(key, text_of(text).alias(text)), fn, schema, size=lambda r: sum(map(len, r[2:])))
+    return docs.select(key, text_of(text).alias(text)).mapInArrow(run, f"`{key}` {kind_of(docs, key)}, n_tokens long, ids binary" + ", decoded binary" * decoded)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, *, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """Columns: key, decoded binary. Null ids decode to empty bytes."""
 
-    def fn():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         back = codec(path, pattern)[1]
-        return lambda k, i: (k, back.decode(i or b""))
+        for part in slices(batches, 1, _TEXTS):
+            done = back.decode_all([i or b"" for i in part.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(done, pa.binary())], names=[key, "decoded"])
 
-    kind = encoded.select(key).schema[0].dataType.simpleString()
-    kind = "long" if kind == "bigint" else kind
-    return row_map(encoded.select(key, ids), fn, f"{key} {kind}, decoded binary", size=lambda r: len(r[1]))
+    return encoded.select(key, ids).mapInArrow(run, f"`{key}` {kind_of(encoded, key)}, decoded binary")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,14 +62,14 @@ def row_map(df: DataFrame, fn: Callable[[], Callable], schema: str, *, size: Cal
         out: list[tuple] = []
         held = 0
         for batch in batches:
-            cols = [batch.column(i) for i in range(batch.num_columns)]
-            for k in range(batch.num_rows):
-                row = f(*[c[k].as_py() for c in cols])
-                out.append(row)
-                held += 64 + (size(row) if size else 0)
-                if held > BATCH_BYTES:
-                    yield _batch(out, names, types)
-                    out, held = [], 0
+            for k in range(0, batch.num_rows, 256):
+                for values in zip(*(c.to_pylist() for c in batch.slice(k, 256).columns), strict=True):
+                    row = f(*values)
+                    out.append(row)
+                    held += 64 + (size(row) if size else 0)
+                    if held > BATCH_BYTES:
+                        yield _batch(out, names, types)
+                        out, held = [], 0
         if out:
             yield _batch(out, names, types)
 
@@ -86,3 +88,18 @@ def _arrow(schema: str) -> list[pa.DataType]:
 def text_of(text: str = "text") -> F.Column:
     """The text, null as empty."""
     return F.coalesce(F.col(text), F.lit(""))
+
+
+def kind_of(df: DataFrame, column: str) -> str:
+    """The SQL name of a column's type."""
+    return df.select(column).schema[0].dataType.simpleString()
+
+
+def slices(batches: Iterable[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about `most` bytes in a column of strings or binaries; one row at least."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+        cuts = [0, *(np.flatnonzero(np.diff(ends // most)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a < b:
+                yield batch.slice(a, b - a)

@@ -10,26 +10,38 @@ back; adjacent pairs decide alone, and the verdicts are kept.
 In this kind of vocabulary a word's last unit carries an end mark, so that a word has
 two such rows: of unmarked prefixes, which longer words go through, and of marked
 ones, which are the counts of the truncated word. Words are independent, so that the
-count of a text's prefix is the sum over its words; how many tokens a prefix has, and
-which prefix fits a budget, needs no second encoding.
+count of a text's prefix is the sum over its words.
+
+prefix_table() stores the counts: of the prefix that ends at each stretch between spaces,
+or of every prefix. How many tokens a prefix has, and which is the longest one that fits
+a budget, are answered from there for any number of budgets, without a second encoding:
+only the stretch in which a budget ends is looked into. The longest prefix may end inside
+a word. Positions are code points.
 
 Null text counts as empty. Each input row gives one output row, repeated rows too.
-Empty tables give empty results. Nothing is shuffled.
+Empty tables give empty results. Nothing is shuffled. Memory: a slice of texts of a few
+MB, and caches that are bounded in bytes.
 """
 
 from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from seqframe.llm.bpe import _LONG, Recent
-from seqframe.llm.common import row_map, text_of
+from seqframe.llm.bpe import Recent
+from seqframe.llm.common import kind_of, slices, text_of
 
-_WORDS = 600_000  # entries of the cache of stretches between spaces
-_VERDICTS = 400_000
+_CACHE_BYTES = 24 << 20  # of each of two caches, about
+_VERDICTS = 200_000  # entries after which the cache of verdicts is emptied
+_TEXTS = 4 << 20  # bytes of texts that are counted together
 
 
 def byte_letters() -> list[str]:
@@ -62,9 +74,9 @@ class PrefixCounter:
         self.split = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
         self.special = [t["content"] for t in spec["added_tokens"] if t["special"]]
         self.find_special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        self.known = Recent(_WORDS)
-        self.words = Recent(_WORDS)
-        self.verdicts: Recent = Recent(_VERDICTS)
+        #: Tokens of stretches between spaces, and of words.
+        self.known, self.words = (Recent(_CACHE_BYTES, lambda n: 0) for _ in range(2))
+        self.verdicts: dict[tuple[str, str], bool] = {}
 
     def encode(self, units: list[str]) -> list[str]:
         """Merges, lowest rank first; for pairs of tokens, which are short."""
@@ -84,7 +96,9 @@ class PrefixCounter:
         """Whether the encoding of a's and b's units is a, b; alone (a empty): is b."""
         if (got := self.verdicts.get((a, b))) is None:
             got = self.encode((self.units(a) if a else []) + self.units(b)) == ([a, b] if a else [b])
-            self.verdicts.put((a, b), got)
+            if len(self.verdicts) > _VERDICTS:
+                self.verdicts.clear()
+            self.verdicts[a, b] = got
         return got
 
     def _last(self, word: str, i: int, last: list[str], mark: str) -> str:
@@ -126,38 +140,82 @@ class PrefixCounter:
         letters = self.letters
         return "".join([letters[b] for b in word.encode()])
 
+    def words_of(self, text: str) -> list[str]:
+        """Words of text without special tokens, in byte letters."""
+        return [self.spelled(w) for w in self.split.findall(self.normal(text))]
+
+    def parts_of(self, text: str) -> tuple[int, list[str]]:
+        """Number of special tokens in text, and the words around them."""
+        if self.find_special and "<" in text and (hits := self.find_special.findall(text)):
+            return len(hits), [w for part in self.find_special.split(text) for w in self.words_of(part)]
+        return 0, self.words_of(text)
+
+    def _count_words(self, words: list[str]) -> dict[str, int]:
+        return {w: self.word_count(w) for w in words}
+
+    def _count_stretches(self, texts: list[str]) -> dict[str, int]:
+        parts = {t: self.parts_of(t) for t in texts}
+        one = self.words.found({w for _, words in parts.values() for w in words}, self._count_words).__getitem__
+        return {t: n + sum(map(one, words)) for t, (n, words) in parts.items()}
+
     def stretch(self, text: str) -> int:
         """Tokens of text between spaces."""
-        if len(text) <= _LONG and (got := self.known.get(text)) is not None:
-            return got
-        if self.find_special and "<" in text and (hits := self.find_special.findall(text)):
-            n = len(hits) + sum(map(self.stretch, filter(None, self.find_special.split(text))))
-        else:
-            n = 0
-            for w in self.split.findall(self.normal(text)):
-                if (one := self.words.get(w)) is None:
-                    one = self.word_count(self.spelled(w))
-                    if len(w) <= _LONG:
-                        self.words.put(w, one)
-                n += one
-        if len(text) <= _LONG:
-            self.known.put(text, n)
-        return n
+        return self._count_stretches([text])[text]
+
+    def stretches(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
+        """For each text where its stretches end, and the tokens of the prefixes that end there."""
+        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        count = self.known.found(set().union(*cut), self._count_stretches).__getitem__
+        return [([x - 1 for x in accumulate([len(c) + 1 for c in parts])], list(accumulate(map(count, parts)))) for parts in cut]
+
+    def inside(self, text: str) -> list[int]:
+        """Tokens of the prefixes of 0, 1, ... code points of a stretch between spaces."""
+        plain = self.normal(text)
+        special = self.find_special and "<" in text and self.find_special.search(text)
+        if special or len(plain) != len(text) or not unicodedata.is_normalized("NFC", text):
+            # Prefixes of the text aren't those of its normal form: count from the last sure border on.
+            out, done, start = [0], 0, 0
+            for i in range(1, len(text) + 1):
+                out.append(done + self.stretch(text[start:i]))
+                if i < len(text) and text[i - 1 : i + 1].isascii() and "<" not in text[start : i + 1] and text[i - 1].isdigit():
+                    done, start = out[-1], i
+            return out
+        out = [0]
+        for m in self.split.finditer(plain):
+            w, done = m[0], out[-1]
+            out += [done] * (m.start() + 1 - len(out))
+            if w[0] == "'" and w[1:].isalpha():  # shortened, it is two words
+                out += [done + self.stretch(w[:i]) for i in range(1, len(w))] + [done + self.word_count(self.spelled(w))]
+            else:
+                counts = self.prefix_counts(self.spelled(w))
+                out += [done + counts[e] for e in accumulate([len(c.encode()) for c in w])]
+        return out + [out[-1]] * (len(text) + 1 - len(out))
+
+    def fits(self, text: str, ends: list[int], counts: list[int], budget: int) -> int:
+        """Code points of the longest prefix of text with at most `budget` tokens, from what
+        stretches() says of it. A token has at most `most` units, so that not
+        more of a long stretch than that need be looked at."""
+        at = int(np.searchsorted(counts, budget, side="right"))
+        if at == len(ends):
+            return len(text)
+        start, before = (ends[at - 1] + 1, counts[at - 1]) if at else (0, 0)
+        inside = self.inside(text[start : min(ends[at], start + (budget - before + 1) * self.most * 4)])
+        found = max(i for i, n in enumerate(inside) if before + n <= budget)
+        return start + found if found or not at else start
 
     def count(self, text: str, budget: int) -> tuple[int, int]:
-        """Tokens of the text, and the characters of its longest prefix that ends with
-        a stretch between spaces (or is the text) and has no more tokens than budget."""
-        known, n, ends, fits = self.known.young.get, 0, 0, -1
-        for c in text.replace("\n", " ").split(" "):
-            got = known(c)
-            if got is None:
-                got = self.stretch(c)
-                known = self.known.young.get
-            n += got
-            if n > budget and fits < 0:
-                fits = max(0, ends - 1)
-            ends += len(c) + 1
-        return n, len(text) if fits < 0 else fits
+        """Tokens of the text, and the code points of its longest prefix that fits the budget."""
+        ends, counts = self.stretches([text])[0]
+        return counts[-1], self.fits(text, ends, counts, budget)
+
+    def every(self, text: str, ends: list[int], counts: list[int]) -> np.ndarray:
+        """Tokens of every prefix of 0, 1, ... code points."""
+        out = np.zeros(len(text) + 1, "<u4")
+        start, before = 0, 0
+        for end, n in zip(ends, counts, strict=True):
+            out[start : end + 1] = np.array(self.inside(text[start:end])) + before
+            start, before = end + 1, n
+        return out
 
 
 _LOADED: dict[str, PrefixCounter] = {}
@@ -170,21 +228,32 @@ def counter(path: str) -> PrefixCounter:
     return _LOADED[path]
 
 
-def count_tokens(docs: DataFrame, path: str, *, budget: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Columns: key, n_bytes long (UTF-8), n_tokens long, over_limit boolean (more tokens
-    than budget), fit_chars long (the longest prefix, in characters, that ends before a
-    space or newline and fits the budget; the whole text if it fits). path must lead to
-    the vocabulary file on every executor."""
+def prefix_table(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", budgets: tuple[int, ...] = (), every: bool = False) -> DataFrame:
+    """Columns: key, n_bytes long (UTF-8), n_tokens long, ends, counts binary: little-endian
+    unsigned 32-bit integers, where each stretch between spaces ends and how many tokens
+    the prefix up to there has (with every: of every prefix of 0, 1, ... code points, ends
+    then counts up); fits array<long>: for each budget the code points of the longest
+    prefix that has no more tokens. path must lead to the vocabulary file on every executor."""
 
-    def fn():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
+        for part in slices(batches, 1, _TEXTS):
+            texts = part.column(1).to_pylist()
+            found = c.stretches(texts)
+            fits = [[c.fits(t, *f, b) for b in budgets] for t, f in zip(texts, found, strict=True)]
+            total = [n[-1] for _, n in found]
+            if every:
+                found = [(range(len(t) + 1), c.every(t, *f)) for t, f in zip(texts, found, strict=True)]
+            packed = [[np.array(x[k], "<u4").tobytes() for x in found] for k in (0, 1)]
+            sizes = [len(t.encode()) for t in texts]
+            columns = [part.column(0), pa.array(sizes, pa.int64()), pa.array(total, pa.int64()), pa.array(packed[0], pa.binary()), pa.array(packed[1], pa.binary()), pa.array(fits, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "n_bytes", "n_tokens", "ends", "counts", "fits"])
 
-        def row(k, t):
-            n, fits = c.count(t, budget)
-            return k, len(t.encode()), n, n > budget, fits
+    return docs.select(key, text_of(text).alias(text)).mapInArrow(run, f"`{key}` {kind_of(docs, key)}, n_bytes long, n_tokens long, ends binary, counts binary, fits array<long>")
 
-        return row
 
-    kind = docs.select(key).schema[0].dataType.simpleString()
-    kind = "long" if kind == "bigint" else kind
-    return row_map(docs.select(key, text_of(text).alias(text)), fn, f"{key} {kind}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
+def count_tokens(docs: DataFrame, path: str, *, budget: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Columns: key, n_bytes, n_tokens, over_limit boolean (more tokens than budget),
+    fit_chars long (the longest prefix that fits the budget), from prefix_table()."""
+    table = prefix_table(docs, path, key=key, text=text, budgets=(budget,))
+    return table.select(key, "n_bytes", "n_tokens", (F.col("n_tokens") > budget).alias("over_limit"), F.col("fits")[0].alias("fit_chars"))

@@ -57,13 +57,25 @@ def test_every_prefix(words):
         assert counter.prefix_counts(counter.spelled(word)) == [len(library.encode(word[:i], add_special_tokens=False).ids) for i in range(len(word) + 1)]
 
 
-def test_what_fits(words):
-    text = "the quick brown fox jumps over the lazy internationalization of it"
-    for budget in range(16):
-        n, fits = words[0].count(text, budget)
-        count = lambda t: len(words[1].encode(t, add_special_tokens=False).ids)
-        ends = [0, *(i for i, c in enumerate(text) if c == " "), len(text)]
-        assert n == count(text) and fits == max(e for e in ends if count(text[:e]) <= budget)
+TEXTS = ["the quick brown fox jumps over the lazy internationalization of it", "a", "", "  x ", "l\u2019été d'Élise they're 'rx we'll 12 345", "e\u0301te\u0301 1e\u0301 \u03a3\u03a3 end", "x<|endoftext|>y !!<|startoftext|>", "漢字かな交じり文をつなげて書く" * 3, "thereofonwhble" * 4]
+
+
+@pytest.mark.parametrize("text", TEXTS)
+def test_what_fits(words, text):
+    count = lambda t: len(words[1].encode(t, add_special_tokens=False).ids)
+    each = [count(text[:i]) for i in range(len(text) + 1)]
+    assert words[0].every(text, *words[0].stretches([text])[0]).tolist() == each
+    for budget in range(max(each) + 2):
+        assert words[0].count(text, budget) == (each[-1], max(i for i, n in enumerate(each) if n <= budget))
+
+
+def test_prefix_table(spark, words):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id int, text string")
+    got = {r.doc_id: r for r in tokencount.prefix_table(docs, WORDS, budgets=(0, 3, 7), every=True).collect()}
+    for i, text in enumerate(TEXTS):
+        each = np.frombuffer(got[i].counts, "<u4").tolist()
+        assert len(each) == len(text) + 1 and each[-1] == got[i].n_tokens == words[0].count(text, 0)[0]
+        assert got[i].fits == [words[0].count(text, b)[1] for b in (0, 3, 7)]
 
 
 def test_odd_rows(spark, odd, nothing):
