@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _OWN: dict[str, str] = {}
+_OPEN: list[list[str]] = []  # paths of cut() by open scope
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables that cut() writes within are deleted at the end, but for those taken off the list."""
+    _OPEN.append([])
+    try:
+        yield _OPEN[-1]
+    finally:
+        for path in _OPEN.pop():
+            drop(spark, path)
 
 
 def cut(df: DataFrame) -> tuple[DataFrame, str]:
@@ -36,6 +49,8 @@ def cut(df: DataFrame) -> tuple[DataFrame, str]:
     executor costs no recomputation. Returns the table and its path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/seqframe-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

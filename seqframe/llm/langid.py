@@ -1,9 +1,9 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
 fit() trains on a bounded sample: at most `most` documents, chosen by a hash of their
-id with weights that even out the languages (a priority sample, kept by a top-k, not by
-a sort of all rows), and from each at most a few windows at places that the hash
-chooses too. predict() reads whole texts: each is cut into windows of `steps` bytes,
+id with weights that even out the languages (a priority sample: the numbers of documents
+say below which priority about twice as many lie, and only these go to a top-k), and from
+each at most a few windows at places that the hash chooses too. No language is left out for being rare. predict() reads whole texts: each is cut into windows of `steps` bytes,
 every position of every window gets a distribution over the languages, and the
 document's is their mean over all positions that belong to letters.
 
@@ -17,6 +17,7 @@ all rows get `und`. Empty tables give empty results.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqframe.llm.common import kind_of, slices
 from seqframe.llm.gru import BiGRU
 
 UNKNOWN = "und"
@@ -42,17 +44,33 @@ def training_rows(docs: DataFrame, *, key: str, text: str, lang: str, where: Col
     """Columns: lang, part: windows of text of the sample."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     rows = (rows.where(where) if where is not None else rows).select(F.col(key).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(256).collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one number to a language
     if not counts:
         return rows.select("lang", F.col("text").alias("part"))
     weight = F.create_map(*[F.lit(x) for pair in counts.items() for x in pair])[F.col("lang")]
     unit = (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) + 1) / float((1 << 30) + 1)
     size = F.length("text")
     parts = [F.substring(F.col("text"), (F.pmod(F.xxhash64("id", F.lit(k)), F.greatest(size - steps, F.lit(1))) + 1).cast("int"), F.lit(steps)) for k in range(windows)]
-    rows = rows.where(weight.isNotNull()).select((-F.log(unit) * weight).alias("priority"), "id", "lang", F.array(*parts).alias("parts"))
+    rows = rows.withColumn("priority", -F.log(unit) * weight).where(F.col("priority") <= cut_off(list(counts.values()), 2 * most))
+    rows = rows.select("priority", "id", "lang", F.array(*parts).alias("parts"))
     return rows.orderBy("priority", "id", "lang", "parts").limit(most).select("lang", F.explode("parts").alias("part"))
 
 
+def cut_off(counts: list[int], most: int) -> float:
+    """A priority below which about `most` documents are expected (all, if there are not so
+    many). A document of a language with n documents is below t with probability
+    1 - exp(-t / n), so that only a bounded number of rows goes on to the top-k."""
+    if sum(counts) <= most:
+        return float("inf")
+    low, high = 0.0, float(most)
+    while sum(n * -math.expm1(-high / n) for n in counts) < most:
+        low, high = high, 2 * high
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (low, middle) if sum(n * -math.expm1(-middle / n) for n in counts) >= most else (middle, high)
+    return high
+
+
 def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", where: Column | None = None, most: int = 600, windows: int = 6, steps: int = 64, units: int = 8, epochs: int = 5, seed: int = 7) -> dict:
     """The model: languages, network, window length. Learns from the rows that `where`
     leaves and whose lang isn't null. Bound of the sample: most x windows x steps characters."""
@@ -91,12 +109,13 @@ def _pooled(net: BiGRU, steps: int, texts: list[bytes]) -> np.ndarray:
 _TEXTS = 4 << 20  # bytes of texts that are looked at together
 
 
-def predict(docs: DataFrame, model: dict, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Columns: key, lang_pred string, score double (the pooled probability, 0 to 1)."""
+def predict(docs: DataFrame, model: dict, *, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Columns: key, those of keep, lang_pred string, score double (the pooled probability, 0 to 1)."""
     names, net, steps = model["languages"], model["net"], model["steps"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(ids: list, texts: list[bytes | None]) -> pa.RecordBatch:
+        for part in slices(batches, at, _TEXTS):
+            texts = [t.encode() if t and net is not None and has_letter(t) else None for t in part.column(at).to_pylist()]
             known = [t for t in texts if t is not None]
             total = iter(_pooled(net, steps, known) if known else ())
             langs, scores = [], []
@@ -108,20 +127,13 @@ def predict(docs: DataFrame, model: dict, *, key: str = "doc_id", text: str = "t
                 else:
                     langs.append(names[int(p.argmax())])
                     scores.append(float(min(1.0, p.max() / p.sum())))
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[key, "lang_pred", "score"])
-
-        ids, texts, held = [], [], 0
-        for batch in batches:
-            for k in range(batch.num_rows):
-                t = batch.column(1)[k].as_py()
-                t = t.encode() if t and net is not None and has_letter(t) else None
-                ids.append(batch.column(0)[k].as_py())
-                texts.append(t)
-                held += 64 + len(t or b"")
-                if held > _TEXTS:
-                    yield done(ids, texts)
-                    ids, texts, held = [], [], 0
-        if ids:
-            yield done(ids, texts)
-
-    return docs.select(key, text).mapInArrow(run, f"{key} long, lang_pred string, score double")
+            columns = [*part.columns[:kept], pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=names_)
+
+    kept = 1 + len(keep)
+    columns_ = [key, *keep] + [text] * (text not in keep)
+    at = columns_.index(text)
+    types = [*(kind_of(docs, c) for c in columns_[:kept]), "string", "double"]
+    names_ = [f"c{i}" for i in range(len(types))]  # keep may have a column called lang_pred
+    found = docs.select(*columns_).mapInArrow(run, ", ".join(f"{n} {t}" for n, t in zip(names_, types, strict=True)))
+    return found.toDF(*columns_[:kept], "lang_pred", "score")

@@ -30,9 +30,9 @@ BASE = {
     "hex": (r"(?<![0-9a-f])[0-9a-f]{24,}+", "what"),
 }
 WEAK = {
-    "identifier": (r"""(?i)(?<![A-Za-z0-9_])(?:(?:access_?key_?id|access_?id|client_?id|user_?name|user|login|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{4,}|[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+)""", "who"),
-    "candidate": (r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=-]{0,200}[0-9])(?=[0-9+/_=-]{0,200}[A-Za-z])[A-Za-z0-9+/_=-]{20,}+", "what"),
-    "endpoint": (r"""(?i)(?<![A-Za-z0-9_])(?:[a-z][a-z0-9+-]{1,15}://[^\s"'<>]{3,}+|(?:host|endpoint|server|url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:/_-]{4,})""", "where"),
+    "identifier": (r"""(?i)(?<![A-Za-z0-9_])(?:access_?key_?id|access_?id|client_?id|user_?name|user|login|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{4,}+|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++""", "who"),
+    "candidate": (r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=-]{20,}+", "what"),
+    "endpoint": (r"""(?i)(?<![A-Za-z0-9_+-])[a-z][a-z0-9+-]++://[^\s"'<>]{3,}+|(?<![A-Za-z0-9_])(?:host|endpoint|server|url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:/_-]{4,}+""", "where"),
 }
 KINDS = [*BASE, *WEAK]
 _STEP = 128
@@ -59,6 +59,18 @@ def running(n: Column) -> Column:
     return let(parts, inner)
 
 
+def furthest(n: Column) -> Column:
+    """array<int>: the greatest of each element of a non-empty array and those before it, by
+    blocks as in running()."""
+    parts = F.transform(F.sequence(F.lit(0), F.size(n) - 1, F.lit(_STEP)), lambda k: F.slice(n, k + 1, _STEP))
+
+    def inner(p: Column) -> Column:
+        most = F.transform(p, lambda x: F.array_max(x))
+        return let(most, lambda m: F.flatten(F.transform(p, lambda part, k: let(F.array_max(F.slice(m, 1, k)), lambda before: F.transform(part, lambda _, i: F.greatest(before, F.array_max(F.slice(part, 1, i + 1))))))))
+
+    return let(parts, inner)
+
+
 def spans_of(text: Column, pattern: str, kind: int, keep=None) -> Column:
     """array<struct<start, kind, end>> of the matches that keep() accepts. What split()
     leaves between the matches says where they are."""
@@ -79,11 +91,19 @@ def _long_value(m: Column) -> Column:
     return F.length(F.regexp_extract(m, BASE["assign"][0], 2)) >= 6
 
 
+def _mixed(m: Column) -> Column:
+    """A candidate has a letter and a digit."""
+    return m.rlike("[0-9]") & m.rlike("[A-Za-z]")
+
+
+_KEEP = {"assign": _long_value, "candidate": _mixed}
+
+
 def parts(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Columns: id, h (hash of the text), base, weak: all candidates of each row."""
     t = F.coalesce(F.col(text), F.lit(""))
-    base = F.concat(*[spans_of(t, p, k, _long_value if name == "assign" else None) for k, (name, (p, _)) in enumerate(BASE.items())])
-    weak = F.concat(*[spans_of(t, p, len(BASE) + k) for k, (p, _) in enumerate(WEAK.values())])
+    base = F.concat(*[spans_of(t, p, k, _KEEP.get(name)) for k, (name, (p, _)) in enumerate(BASE.items())])
+    weak = F.concat(*[spans_of(t, p, len(BASE) + k, _KEEP.get(name)) for k, (name, (p, _)) in enumerate(WEAK.items())])
     return docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("h"), F.array_sort(base).alias("base"), weak.alias("weak"))
 
 
@@ -133,11 +153,10 @@ def of_kind(spans: Column, *kinds: str) -> Column:
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """The text with each stretch that spans cover replaced by the mark. spans are sorted by start."""
-    ends = F.transform(spans, lambda _, i: F.array_max(F.transform(F.slice(spans, 1, i), lambda s: s["end"])))
 
     def cut_at(e: Column) -> Column:
-        pieces = F.transform(spans, lambda s, i: F.when(F.coalesce(F.get(e, i), F.lit(-1)) < s["start"], F.substring(text, F.coalesce(F.get(e, i), F.lit(0)) + 1, s["start"] - F.coalesce(F.get(e, i), F.lit(0)))))
-        last = F.array_max(F.transform(spans, lambda s: s["end"]))
-        return F.concat(F.array_join(pieces, mark), F.lit(mark), F.substring(text, last + 1, F.length(text)))
+        """e: the furthest end of each span and those before it."""
+        pieces = F.transform(spans, lambda s, i: F.when(F.coalesce(F.get(e, i - 1), F.lit(-1)) < s["start"], F.substring(text, F.coalesce(F.get(e, i - 1), F.lit(0)) + 1, s["start"] - F.coalesce(F.get(e, i - 1), F.lit(0)))))
+        return F.concat(F.array_join(pieces, mark), F.lit(mark), F.substring(text, F.get(e, F.size(e) - 1) + 1, F.length(text)))
 
-    return let(ends, cut_at)
+    return F.when(F.size(spans) > 0, let(furthest(F.transform(spans, lambda s: s["end"])), cut_at)).otherwise(text)

@@ -23,16 +23,20 @@ document id.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqframe.llm.common import cut, row_map, text_of
+from seqframe.llm.common import cut, kind_of, slices, text_of
 from seqframe.llm.components import connected
 
 _LOW = (1 << 32) - 1
 _PART = 1 << 16  # shingles whose votes are counted at once
+_TEXTS = 4 << 20  # bytes of texts that are taken together
 
 
 def fingerprint(text: str, width: int = 3) -> int:
@@ -52,9 +56,14 @@ def fingerprint(text: str, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
-    """Columns: key, fingerprint long. Null text has no words."""
-    rows = docs.select(key, text_of(text).alias(text))
-    return row_map(rows, lambda: lambda k, t: (k, fingerprint(t, width)), f"{key} long, fingerprint long")
+    """Columns: key, h (hash of the text), fingerprint long. Null text has no words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 2, _TEXTS):
+            prints = [fingerprint(t, width) for t in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(prints, pa.int64())], names=[key, "h", "fingerprint"])
+
+    return docs.select(key, F.xxhash64(text).alias("h"), text_of(text).alias(text)).mapInArrow(run, f"`{key}` {kind_of(docs, key)}, h long, fingerprint long")
 
 
 def _halves(f) -> tuple:
@@ -86,8 +95,8 @@ def links(prints: DataFrame, f: str = "fingerprint") -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
-    """Columns: key, fingerprint long, component_id long: the smallest key that links
-    lead to, itself included.
+    """Columns: key, h (hash of the text), fingerprint long, group long (the least fingerprint
+    of the component), component_id long: the smallest key that links lead to, itself included.
 
     One row to each input row, repeated rows too; rows that share a key share nothing
     else by that. Null and empty texts have fingerprint 0 and are linked like others.
@@ -97,9 +106,10 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     grouped = connected(links(nodes), "a", "b").withColumnRenamed("node", "fingerprint")
     named = grouped.join(nodes, "fingerprint")
     least = named.groupBy("component").agg(F.min("least").alias("of_component"))
-    named, _ = cut(grouped.join(least, "component").select("fingerprint", "of_component"))
-    labels, _ = cut(nodes.join(named, "fingerprint", "left").select("fingerprint", F.coalesce("of_component", "least").alias("component_id")))
-    return prints.join(labels, "fingerprint").select(key, "fingerprint", "component_id")
+    named, _ = cut(grouped.join(least, "component").select("fingerprint", F.col("component").alias("group"), "of_component"))
+    labels = nodes.join(named, "fingerprint", "left").select("fingerprint", F.coalesce("group", "fingerprint").alias("group"), F.when(F.col("group").isNull(), F.col("least")).otherwise(F.col("of_component")).alias("component_id"))
+    labels, _ = cut(labels)
+    return prints.join(labels, "fingerprint").select(key, "h", "fingerprint", "group", "component_id")
 
 
 def hexadecimal(f: str = "fingerprint"):

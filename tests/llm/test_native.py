@@ -98,5 +98,15 @@ def test_weak_parts_need_a_partner(spark):
     assert got == {1: set(), 2: {"assign", "endpoint", "identifier"}, 3: {"assign"}, 4: set(), 5: {"identifier", "candidate"}, 6: set()}
 
 
+def test_long_parts(spark):
+    """Parts are found however long they are: before, look-aheads and repeats ended at 200, 64, 63 and 15 characters."""
+    who = "user: bob77 "
+    for n in (10, 199, 201, 3000):
+        texts = [who + "x" * n + "1" + "y" * 20, "token = abcdef123 " + "g" * n + "@" + "k" * n + ".example.com", "token = abcdef123 " + "s" * n + "://h.example/path"]
+        found = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+        kinds = {r.doc_id: {secrets.KINDS[s.kind] for s in r.spans} for r in found}
+        assert kinds == {0: {"identifier", "candidate"}, 1: {"assign", "identifier"}, 2: {"assign", "endpoint"}}
+
+
 def test_secrets_odd_rows(odd, nothing):
     assert secrets.scan(odd).count() == odd.count() and secrets.scan(nothing).count() == 0
