@@ -5,8 +5,8 @@ model below the first order is that over all of Unicode, so that the probabiliti
 any context sum to one there.
 
 Documents are packed into blocks of about BLOCK symbols in the order in which they come,
-and written with them. A block's distinct grams are listed once, with their counts in
-trusted texts; counts are added up by gram, and the lower orders count distinct left
+as compressed Arrow data beside the block's distinct grams, and written once. Grams of trusted texts
+are counted by task and added up by gram; the lower orders count distinct left
 neighbours. What is asked (the distinct grams of all blocks) meets the count tables in
 joins sharded by gram or context, from the first order to the last. A block's log
 probabilities then meet its documents, which stream past them. Nothing but the counts of
@@ -15,6 +15,7 @@ counts goes to the driver, and no table is broadcast; a task holds the distinct
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,10 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqframe.llm.common import cut
+from seqframe.llm.common import cut, slices
 
 ORDER, SIGNS = 4, 0x110000
 BLOCK = 1 << 21
+_CHUNK = 1 << 19  # bytes of text in a packed row, about
+_COUNTED = 1 << 20  # distinct grams after which a task hands on its counts
 _PAD = np.full(ORDER - 1, ord(" "), np.int64)
 _ROWS = 1 << 16
 
@@ -46,18 +49,16 @@ def _pairs(s: np.ndarray) -> np.ndarray:
     return s[:-1] << 21 | s[1:]
 
 
-def tally(parts: list[np.ndarray], trusted: list[bool]) -> tuple[list[str], np.ndarray]:
-    """The distinct grams of some pieces and their counts in trusted ones (0 if none)."""
+def tally(parts: list[np.ndarray]) -> tuple[list[str], np.ndarray]:
+    """The distinct grams of some pieces and their counts."""
     ends = np.cumsum([len(p) for p in parts])
-    s, flag = np.concatenate(parts), np.repeat(trusted, [len(p) for p in parts])
+    s = np.concatenate(parts)
     within = np.ones(len(s) - ORDER + 1, bool)
     within[(ends[:-1, None] - np.arange(1, ORDER)).ravel()] = False
     pair = _pairs(s)
     pairs = np.unique(pair)
     at = np.searchsorted(pairs, pair)
-    g = np.sort(((at[:-2] * len(pairs) + at[2:]) << 1 | flag[: len(within)])[within])
-    gram, first = np.unique(g >> 1, return_index=True)
-    count = np.add.reduceat(g & 1, first)
+    gram, count = np.unique((at[:-2] * len(pairs) + at[2:])[within], return_counts=True)
     a, b = pairs[gram // len(pairs)], pairs[gram % len(pairs)]
     low = (1 << 21) - 1
     joined = np.stack([a >> 21, a & low, b >> 21, b & low], 1).astype("<u4").tobytes().decode("utf-32-le")
@@ -84,51 +85,57 @@ class Table:
         return total
 
 
-_PACKED = "block long, id long, lang string, text string, trusted boolean, grams array<string>, counts array<long>"
-_TYPES = pa.schema([("block", pa.int64()), ("id", pa.int64()), ("lang", pa.string()), ("text", pa.string()), ("trusted", pa.bool_()), ("grams", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: Counter = Counter()
+
+    def out() -> Iterator[pa.RecordBatch]:
+        grams, counts = list(seen), list(seen.values())
+        for k in range(0, len(grams), _ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(grams[k : k + _ROWS], pa.string()), pa.array(counts[k : k + _ROWS], pa.int64())], names=["gram", "c"])
+        seen.clear()
+
+    for part in slices(batches, 0, BLOCK):
+        held = [s for text in part.column(0).to_pylist() for s in pieces(text)]
+        for k in range(0, len(held), 1 << 12):
+            grams, count = tally(held[k : k + (1 << 12)])
+            seen.update(dict(zip(grams, count.tolist(), strict=True)))
+            if len(seen) > _COUNTED:
+                yield from out()
+    yield from out()
+
+
+def count_grams(texts: DataFrame, text: str = "text") -> DataFrame:
+    """Columns: gram, c: counts in all texts, which aren't null."""
+    return texts.select(text).mapInArrow(_count, "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+
+
+_PACKED = "block long, docs binary, grams array<string>"
+_TYPES = pa.schema([("block", pa.int64()), ("docs", pa.binary()), ("grams", pa.list_(pa.string()))])
+_DOCS = pa.schema([("id", pa.int64()), ("lang", pa.string()), ("text", pa.string())])
 
 
 def _pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, number = TaskContext.get().partitionId(), 0
-    seen: dict[str, int] = {}
-    held: list[np.ndarray] = []
-    flags: list[bool] = []
-    symbols = filled = 0
-
-    def put() -> None:
-        nonlocal held, flags, symbols
-        if held:
-            for g, c in zip(*(x if isinstance(x, list) else x.tolist() for x in tally(held, flags)), strict=True):
-                seen[g] = seen.get(g, 0) + c
-        held, flags, symbols = [], [], 0
+    part, number, filled = TaskContext.get().partitionId() << 32, 0, 0
+    seen: set[str] = set()
 
     def listed() -> Iterator[pa.RecordBatch]:
-        put()
         grams = list(seen)
         for k in range(0, len(grams), _ROWS):
-            some = grams[k : k + _ROWS]
-            yield pa.RecordBatch.from_pylist([{"block": part << 32 | number, "grams": some, "counts": [seen[g] for g in some]}], _TYPES)
+            yield pa.RecordBatch.from_arrays([pa.array([part | number], pa.int64()), pa.nulls(1, pa.binary()), pa.array([grams[k : k + _ROWS]], pa.list_(pa.string()))], schema=_TYPES)
         seen.clear()
 
-    for batch in batches:
-        start = 0
-        for k in range(batch.num_rows):
-            text, trusted = batch.column(2)[k].as_py(), batch.column(3)[k].as_py()
-            for s in pieces(text):
-                held.append(s)
-                flags.append(trusted)
-                symbols += len(s)
-                filled += len(s)
-                if symbols >= BLOCK:
-                    put()
-            if filled >= BLOCK or k + 1 == batch.num_rows:
-                rows = batch.slice(start, k + 1 - start)
-                n = rows.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array([part << 32 | number] * n, pa.int64()), *(rows.column(i).cast(t) for i, t in enumerate(_TYPES.types[1:5])), pa.nulls(n, _TYPES.types[5]), pa.nulls(n, _TYPES.types[6])], schema=_TYPES)
-                start = k + 1
-            if filled >= BLOCK:
-                yield from listed()
-                number, filled = number + 1, 0
+    for some in slices(batches, 2, _CHUNK):
+        held = [s for text in some.column(2).to_pylist() for s in pieces(text)]
+        for k in range(0, len(held), 1 << 12):
+            seen.update(tally(held[k : k + (1 << 12)])[0])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, _DOCS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+            stream.write_batch(pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(some.columns, _DOCS.types, strict=True)], schema=_DOCS))
+        yield pa.RecordBatch.from_arrays([pa.array([part | number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.nulls(1, _TYPES.types[2])], schema=_TYPES)
+        filled += sum(map(len, held))
+        if filled >= BLOCK:
+            yield from listed()
+            number, filled = number + 1, 0
     yield from listed()
 
 
@@ -173,25 +180,26 @@ def _score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if blocks[a] != block:
                 block, table, grams, logp = blocks[a], None, [], []
             if not is_doc[a]:
-                grams += part.column(5).to_pylist()
-                logp.append(part.column(6).to_numpy())
+                grams += part.column(3).to_pylist()
+                logp.append(part.column(4).to_numpy())
                 continue
             if table is None and grams:
                 table, grams = Table(grams, np.concatenate(logp)), []
-            texts = part.column(4).to_pylist()
-            worth = [float(np.exp(-table.score(t) / size_of(t))) if t else None for t in texts]
-            yield pa.RecordBatch.from_arrays([part.column(2), part.column(3), part.column(7), pa.array(worth, pa.float64())], names=["id", "lang", "trusted", "perplexity"])
-
-
-def perplexities(docs: DataFrame) -> DataFrame:
-    """Columns: id, lang, trusted, perplexity (per code point; null for empty texts).
-    docs: id long, lang string, text string not null, trusted boolean not null."""
-    packed, _ = cut(docs.select("id", "lang", "text", "trusted").mapInArrow(_pack, _PACKED))
-    listed = packed.where("grams is not null").select("block", F.explode(F.arrays_zip("grams", "counts")).alias("g")).select("block", F.col("g.grams").alias("gram"), F.col("g.counts").alias("c"))
-    counts, _ = cut(listed.where("c > 0").groupBy("gram").agg(F.sum("c").alias("c")))
+            for packed in part.column(2):
+                docs = pa.ipc.open_stream(packed.as_buffer()).read_all().combine_chunks()
+                worth = [float(np.exp(-table.score(t) / size_of(t))) if t else None for t in docs["text"].to_pylist()]
+                for rows in pa.table([docs["id"], docs["lang"], pa.array(worth, pa.float64())], names=["id", "lang", "perplexity"]).to_batches():
+                    yield rows
+
+
+def perplexities(docs: DataFrame, counts: DataFrame) -> DataFrame:
+    """Columns: id, lang, perplexity (per code point; null for empty texts). docs: id long,
+    lang string, text string not null; counts: of trusted texts, by count_grams()."""
+    packed, _ = cut(docs.select("id", "lang", "text").mapInArrow(_pack, _PACKED))
+    listed = packed.where("grams is not null").select("block", F.explode("grams").alias("gram"))
     found = kneser_ney(counts, listed)
     none = lambda kind: F.lit(None).cast(kind)
-    known = listed.join(found.hint("merge"), "gram").select("block", F.lit(False).alias("is_doc"), none("long").alias("id"), none("string").alias("lang"), none("string").alias("text"), "gram", F.log("p").alias("logp"), none("boolean").alias("trusted"))
-    rows = packed.where("grams is null").select("block", F.lit(True).alias("is_doc"), "id", "lang", "text", none("string").alias("gram"), none("double").alias("logp"), "trusted")
+    known = listed.join(found.hint("merge"), "gram").select("block", F.lit(False).alias("is_doc"), none("binary").alias("docs"), "gram", F.log("p").alias("logp"))
+    rows = packed.where("docs is not null").select("block", F.lit(True).alias("is_doc"), "docs", none("string").alias("gram"), none("double").alias("logp"))
     met = known.unionByName(rows).repartition("block").sortWithinPartitions("block", "is_doc")
-    return met.mapInArrow(_score, "id long, lang string, trusted boolean, perplexity double")
+    return met.mapInArrow(_score, "id long, lang string, perplexity double")

@@ -8,11 +8,14 @@ from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+FILTER_BITS = 27  # of the bitmap of passes()
+
 #: An output batch is handed to Spark when its values pass this many bytes.
 BATCH_BYTES = 8 << 20
 
@@ -118,3 +121,28 @@ def slices(batches: Iterable[pa.RecordBatch], column: int, most: int) -> Iterato
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if a < b:
                 yield batch.slice(a, b - a)
+
+
+def _hashed_bit(key) -> F.Column:
+    return F.pmod(F.xxhash64(key, F.lit("filter")), F.lit(1 << FILTER_BITS))
+
+
+def passes(docs: DataFrame, keys: DataFrame):
+    """A condition on docs.id that holds for all ids in keys and for few others. The
+    bitmap has 2**FILTER_BITS bits, however many keys there are."""
+    bit = _hashed_bit("id")
+    bits = keys.select(bit.alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit + 1)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit + 1))").alias("bits"))
+    table = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    width = (1 << 15) >> 3
+    for row in bits.toLocalIterator():
+        at = (row["bucket"] - 1) * width
+        table[at : at + width] |= np.frombuffer(bytes(row["bits"]), np.uint8)
+    sent = docs.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def passes(bit):
+        b = bit.to_numpy(dtype=np.int64, na_value=0)
+        t = sent.value
+        return pd.Series((t[b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 1)
+
+    return passes(_hashed_bit("id"))

@@ -1,134 +1,52 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model.
 
 classify() takes the model of codepoints.py: order 4 over whole code points, counted on
-trusted text only. A document's perplexity is that of a code point. A document is kept if it is at
-most the quantile of trusted documents of its language; a language without trusted
-documents takes the quantile of all.
+trusted text only. A document's perplexity is that of a code point. A part of the trusted
+documents, chosen by a hash of their key, is held out from the counts; the thresholds are
+quantiles of these, by language. A document is kept if it is at most the threshold of its
+language; a language without held-out documents takes the threshold of all.
 
-grams(), count_grams(), kneser_ney() and model() are a dense model over 32 byte classes
-with a table of 32**4 cells. No query uses it.
+Trusted keys may be few or many: a bitmap of fixed size keeps most other texts from being
+shuffled on the way to the counts, and the join by key decides. Quantiles are of Spark's
+approximate kind, within one part in 10,000 of the ranks, for bounded memory.
 
 Null and empty texts have perplexity null and aren't kept. Null lang is a language of
-its own. Each input row gives one output row; repeated rows too, but a repeated trusted
-row counts twice in training. Without trusted text all perplexities are those of the uniform model
+its own. A text just at the threshold is kept. Each input row gives one output row;
+repeated rows too, but a repeated trusted row counts twice in training; null keys are never
+trusted. Without trusted text all perplexities are those of the uniform model
 and the threshold is null, which keeps every text that isn't empty.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqframe.llm import codepoints
-from seqframe.llm.common import cut, text_of
-
-ORDER, SYMBOLS = 4, 32
-CELLS = SYMBOLS**ORDER
-_SPACE = 28
-
-
-def symbol_table() -> np.ndarray:
-    table = np.full(256, 31, np.uint8)
-    for b in range(128):
-        c = chr(b)
-        if c.isalpha():
-            table[b] = ord(c.lower()) - ord("a")
-        elif c.isdigit():
-            table[b] = 27
-        elif c.isspace():
-            table[b] = _SPACE
-        elif c in ".,;:!?'\"()-":
-            table[b] = 29
-    table[0x80:0xC0] = 26
-    table[0xC0:] = 30
-    return table
-
-
-_TABLE = symbol_table()
-_PAD = b" " * (ORDER - 1)
-
-
-def grams(text: bytes) -> np.ndarray:
-    """The cell of each symbol with the three before it; text begins after spaces."""
-    s = _TABLE[np.frombuffer(_PAD + text, np.uint8)].astype(np.int32)
-    n = len(text)
-    cell = s[:n]
-    for k in range(1, ORDER):
-        cell = cell * SYMBOLS + s[k : k + n]
-    return cell
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(CELLS, np.int64)
-    for batch in batches:
-        for t in batch.column(0):
-            text = (t.as_py() or "").encode()
-            for k in range(0, len(text), 1 << 20):
-                g = grams(text[max(0, k - ORDER + 1) : k + (1 << 20)])
-                total += np.bincount(g[ORDER - 1 if k else 0 :], minlength=CELLS)
-    seen = np.flatnonzero(total)
-    for k in range(0, len(seen), 1 << 16):
-        part = seen[k : k + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[part], pa.int64())], names=["gram", "c"])
-
-
-def count_grams(texts: DataFrame, text: str = "text") -> DataFrame:
-    """Columns: gram, c: of all texts."""
-    return texts.select(text).mapInArrow(_count, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
-
+from seqframe.llm.common import cut, passes, text_of
 
-def kneser_ney(spark: SparkSession, counts: DataFrame) -> DataFrame:
-    """Columns: gram, p for every possible gram of the highest order."""
-    tables = [counts]
-    for k in range(ORDER - 1, 0, -1):
-        tables.append(tables[-1].select((F.col("gram") % SYMBOLS**k).alias("gram")).groupBy("gram").agg(F.count("*").alias("c")))
-    lower = None
-    for k, table in enumerate(reversed(tables), 1):
-        of = [F.sum((F.col("c") == n).cast("double")).alias(f"n{n}") for n in (1, 2, 3, 4)]
-        n1, n2, n3, n4 = (float(x or 0) for x in table.agg(*of).first())
-        y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.0
-        d = [min(float(m), max(0.0, m - (m + 1) * y * b / a)) if a else 0.5 for m, (a, b) in enumerate(((n1, n2), (n2, n3), (n3, n4)), 1)]
-        cut_off = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).when(F.col("c") > 2, d[2]).otherwise(0.0)
-        context = table.groupBy(F.expr(f"gram div {SYMBOLS}").alias("context")).agg(F.sum("c").alias("total"), F.sum(cut_off).alias("kept_back"))
-        every = spark.range(SYMBOLS**k).select(F.col("id").alias("gram"), F.expr(f"id div {SYMBOLS}").alias("context"), F.expr(f"id % {SYMBOLS ** (k - 1)}").alias("shorter"))
-        every = every.join(table, "gram", "left").join(context, "context", "left")
-        if lower is None:
-            every = every.withColumn("q", F.lit(1.0 / SYMBOLS))
-        else:
-            every = every.join(lower.select(F.col("gram").alias("shorter"), F.col("p").alias("q")), "shorter")
-        own = F.greatest(F.coalesce("c", F.lit(0)) - cut_off, F.lit(0.0))
-        p = F.when(F.col("total").isNull(), F.col("q")).otherwise((own + F.col("kept_back") * F.col("q")) / F.col("total"))
-        lower, _ = cut(every.select("gram", p.alias("p")))
-    return lower
+#: One in so many trusted documents is held out.
+HELD_OUT = 5
 
 
-def model(spark: SparkSession, trusted: DataFrame, text: str = "text") -> np.ndarray:
-    """Log probability of each gram; CELLS numbers whatever the corpus."""
-    counts, _ = cut(count_grams(trusted, text))
-    got = kneser_ney(spark, counts).select("gram", F.log("p").cast("float").alias("l")).toArrow()
-    logp = np.zeros(CELLS, np.float32)
-    logp[got["gram"].to_numpy()] = got["l"].to_numpy()
-    return logp
+def held_out(key: str) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit("held out")), F.lit(HELD_OUT)) == 0
 
 
 def classify(docs: DataFrame, trusted_keys: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = 0.99) -> DataFrame:
     """Columns: key, lang, perplexity, threshold, keep. trusted_keys: keys of trusted
     documents in the same column; keys without a document do nothing."""
-    spark = docs.sparkSession
-    good = trusted_keys.select(F.col(key)).where(F.col(key).isNotNull()).distinct()
-    # The same way at every size: were a small list of keys broadcast, the shuffle would set in all at once.
-    rows = docs.select(F.col(key), F.col(lang).cast("string").alias("lang"), text_of(text).alias("text"))
-    rows = rows.join(good.withColumn("__good", F.lit(True)).hint("shuffle_hash"), key, "left")
-    rows = rows.select(F.col(key).alias("id"), "lang", "text", F.coalesce("__good", F.lit(False)).alias("trusted"))
-    scored, _ = cut(codepoints.perplexities(rows).select(F.col("id").alias(key), F.col("lang").alias(lang), "trusted", "perplexity"))
-    known = scored.where("trusted and perplexity is not null")
+    good = trusted_keys.select(F.col(key).alias("id")).where("id is not null").distinct()
+    rows = docs.select(F.col(key).alias("id"), F.col(lang).cast("string").alias("lang"), text_of(text).alias("text"))
+    learn = good.where(~held_out("id"))
+    # Merged at every size: were few keys broadcast, the shuffle would set in all at once.
+    texts = rows.select("id", "text").where(passes(rows, learn)).join(learn.hint("merge"), "id")
+    counts, _ = cut(codepoints.count_grams(texts))
+    scored, _ = cut(codepoints.perplexities(rows, counts))
+    known = scored.where("perplexity is not null").join(good.where(held_out("id")), "id")
     border = F.percentile_approx("perplexity", quantile, 10_000)
-    by_lang = known.groupBy(F.col(lang).alias("__lang")).agg(border.alias("own"))
-    out = scored.join(by_lang, F.col(lang).eqNullSafe(F.col("__lang")), "left").crossJoin(F.broadcast(known.agg(border.alias("every"))))
+    by_lang = known.groupBy(F.col("lang").alias("of")).agg(border.alias("own"))
+    out = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("of")), "left").crossJoin(F.broadcast(known.agg(border.alias("every"))))  # one row
     threshold = F.coalesce("own", "every")
     keep = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= threshold, F.lit(True))
-    return out.select(key, lang, "perplexity", threshold.alias("threshold"), keep.alias("keep"))
+    return out.select(F.col("id").alias(key), F.col("lang").alias(lang), "perplexity", threshold.alias("threshold"), keep.alias("keep"))

@@ -41,23 +41,23 @@ def test_language_odd_rows(odd, nothing):
     assert {r.lang_pred for r in langid.predict(odd, langid.fit(nothing)).collect()} == {"und"}
 
 
-def test_model_sums_to_one_and_finds_junk(spark):
+def test_quality_finds_junk(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
-    logp = perplexity.model(spark, docs.limit(40))
-    np.testing.assert_allclose(np.exp(logp.astype(float)).reshape(-1, 32).sum(1), 1, atol=1e-5)
     got = perplexity.classify(docs, labels.where("quality = 1")).join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("keep").cast("int"))).collect()
     kept = dict(got)
     assert kept[1] > 0.97 and kept[0] < 0.15
 
 
-def test_model_by_hand(spark):
-    texts = spark.createDataFrame([("abab",), ("ba",)], "text string")
-    counts = {r.gram: r.c for r in perplexity.count_grams(texts).collect()}
-    want = {}
-    for t in (b"abab", b"ba"):
-        for g in perplexity.grams(t).tolist():
-            want[g] = want.get(g, 0) + 1
-    assert counts == want and sum(counts.values()) == 6
+def test_threshold_is_that_of_held_out_documents(spark):
+    """Ties at the threshold are kept; what was counted says nothing about the threshold."""
+    line = "the quick brown fox jumps over the lazy dog again and again"
+    rows = [(i, line if i % 3 else line[::-1], "en") for i in range(60)] + [(90, line, "fr"), (91, line, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in perplexity.classify(docs, docs.where("doc_id < 60"), quantile=0.5).collect()}
+    held = {r.doc_id for r in docs.where(perplexity.held_out("doc_id")).collect()} & set(range(60))
+    worst = sorted(got[i].perplexity for i in held)[-(-len(held) // 2) - 1]
+    assert 0 < len(held) < 60 and {r.threshold for r in got.values()} == {worst}
+    assert all(r.keep == (r.perplexity <= worst) for r in got.values()) and any(r.perplexity == worst for r in got.values())
 
 
 def test_quality_odd_rows(odd, nothing):
