@@ -92,10 +92,24 @@ def test_top_k(spark):
 
 def test_bounds_hold():
     rng = np.random.default_rng(1)
-    x, q = rng.integers(-300, 300, (200, 6)).astype(float), rng.integers(-300, 300, (9, 6)).astype(float)
-    cell, marks, _ = vafile.cells(x, 3)
-    low, high = vafile.bounds(q, cell, marks)
-    assert (low <= q @ x.T).all() and (q @ x.T <= high).all()
+    for size in (300, 1 << 40):
+        x, q = rng.integers(-size, size, (200, 6)).astype(float), rng.integers(-size, size, (9, 6)).astype(float)
+        lo, width = x.min(0), np.ceil((x.max(0) - x.min(0) + 1) / 8)
+        cell = vafile.cells(x, lo, width, 3)
+        low, high = vafile.bounds(q, cell, lo, width, 3)
+        assert (low <= q @ x.T).all() and (q @ x.T <= high).all() and len(np.unique(cell)) == 8
+
+
+def test_top_k_beyond_exact_doubles(spark):
+    """The same method for large numbers; extra columns may have the names used within."""
+    rng = np.random.default_rng(2)
+    rows = [(i, (rng.normal(size=5) * 10 ** rng.integers(0, 12)).tolist(), "x", 1) for i in range(120)] + [(0, [1.0] * 5, "x", 1)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id string, h int")
+    got = {tuple(r) for r in vafile.top_k(table, F.col("vec_id") % 50 == 0, fit_rows=(30, 2)).collect()}
+    x = {(i, tuple(int(np.floor(256 * c)) for c in v)) for i, v, _, _ in rows}
+    for i in (0, 50, 100):
+        best = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(q, v)))), j) for j, v in x for n, q in x if n == i and j != i)[:5]
+        assert {r for r in got if r[0] == i} == {(i, n + 1, j, -s) for n, (s, j) in enumerate(best)}
 
 
 def test_pages(spark):
