@@ -127,7 +127,50 @@ def test_page_parts():
     assert extract.main_text(None, STOP) == extract.main_text("", STOP) == extract.main_text("<script>x", STOP) == ""
 
 
+PROSE = "This is one of the paragraphs that the article has, and it goes on for the sake of the test so that it is long enough to be judged by its words. "
+
+
+def test_names_are_priors_only():
+    """Names of elements around an article, or around all prose, don't empty the page."""
+    article = f"<h1>Title of it</h1><p>{PROSE}</p><p>{PROSE * 2}</p>"
+    want = ["Title of it", PROSE.strip(), (PROSE * 2).strip()]
+    for around in ('<div class="layout has-sidebar"><article>%s</article></div>', '<div id="content" class="no-comments"><article>%s</article></div>', '<form id="aspnetForm"><article>%s</article></form>', '<form id="aspnetForm"><div>%s</div></form>', '<div class="sidebar"><main>%s</main></div>', '<div class="widget"><div>%s</div></div>', "<div><div>%s</div></div>"):
+        page = f'<body><nav><a href=/>Home</a></nav>{around % article}<div class="sidebar"><p>Other things to see.</p></div><div id="comments"><p>{PROSE * 3}</p></div><footer>&copy; Us</footer></body>'
+        assert extract.main_text(page, STOP).split("\n") == want, around
+    comments = f'<article>{article}<section class="comments"><article class="comment"><p>{PROSE}</p></article></section></article>'
+    assert extract.main_text(comments, STOP).split("\n") == want
+
+
+def test_densities_decide():
+    """Links, lengths and stop words, in and outside an article, and attributes of any length."""
+    linked = '<p>This is <a href=1>one of the things that we have</a> and <a href=2>here is another one of them for you</a>, with more of it <a href=3>to be seen there</a>.</p>'
+    menu = "<ul>" + "".join(f"<li><a href={i}>Item {i}</a></li>" for i in range(9)) + "</ul>"
+    for tag in ("article", "div"):
+        got = extract.main_text(f"<{tag}><p>{PROSE * 2}</p>{linked}<p>{PROSE * 2}</p>{menu}</{tag}>", STOP)
+        assert "one of the things" in got and "Item" not in got
+    for n in (3_999, 4_001, 50_000):
+        assert extract.main_text(f'<article><p data-x="{"a>b" * n}">{PROSE}</p></article>', STOP) == PROSE.strip()
+    russian = "Это первый абзац статьи, и в нём нет ни одного слова из списков, но он длинный и без ссылок, а значит это текст. " * 3
+    assert extract.main_text(f"<div><ul><li><a>Дом</a><li><a>Мир</a></ul><p>{russian}</p><p>Коротко.</p><p>{russian}</p></div>", STOP).split("\n") == [russian.strip(), "Коротко.", russian.strip()]
+
+
+def test_pages_without_article(spark):
+    """Held-out form of the given pages: no tag says where the article is."""
+    kept = total = 0
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        inside = re.search(r"<article>(.*?)(?:</article>|$)", r.html, re.S)[1]
+        want = __import__("html").unescape(re.sub(r"<[^>]*>", " ", inside)).split()
+        got = extract.main_text(re.sub("(</?)article", r"\1div", r.html), STOP).split()
+        total += len(want)
+        kept += len(got) if got == want else sum(min(got.count(w), want.count(w)) for w in set(want))
+        assert len(got) <= len(want)
+    assert kept > 0.95 * total
+
+
 def test_pages_odd_rows(spark):
     rows = [(1, None, None), (1, None, None), (None, "u", ""), (2, "v", "<a" * 30_000), (3, "w", "<article><p>" + "the word of it " * 50_000)]
     got = extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(got) == 5 and max(r.n_chars for r in got) == 50_000 * 15 - 1
+    clash = spark.createDataFrame([(1, "u", "<article><p>" + PROSE, "x", 5, "y")], "page_id long, url string, html string, text string, n_chars int, k string")
+    assert [tuple(r) for r in extract.extract(clash).collect()] == [(1, "u", PROSE.strip(), len(PROSE.strip()))]
+    assert extract.extract(clash.limit(0)).count() == 0
