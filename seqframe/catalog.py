@@ -2,8 +2,9 @@
 
 The tables hold no sequences, so that reads are derived from documents the same way in
 both engines: the letters of the whole text, each mapped to one of A, C, G and T; the
-source is the barcode. Matches are the exact matches of five short motifs. Embeddings
-with their labels stand for feature tables with cluster assignments.
+source is the barcode. Matches are the exact matches of five short motifs, in the layout
+queries too. Embeddings with their labels stand for feature tables with cluster assignments.
+Every query reads its whole tables and whole reads.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from seqframe.functions import sequence as S
 from seqframe.operators import cluster, embed, layout, motif, pairs, search, stats
 from seqframe.schema import neighbour_rules, primer_rules, queries_df
+from seqframe.sources import fastq
 
 MOTIFS = {"Left": "ACGT", "Right": "GATC", "RCLeft": "CTAG", "RCRight": "TACA", "Barcode1": "GGCA"}
 NAMES = sorted(MOTIFS)
@@ -39,9 +41,7 @@ def reads_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matches_of(spark: SparkSession, sf_dir: str, barcode: bool = False) -> DataFrame:
-    reads = reads_of(spark, sf_dir)
-    found = search.exact_matches(reads, MOTIFS)
-    return found.join(reads.select("seq_id", "barcode"), "seq_id") if barcode else found
+    return search.exact_matches(reads_of(spark, sf_dir), MOTIFS, keep=("barcode",) if barcode else ())
 
 
 def features_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,9 +96,17 @@ def motif_stats(spark, sf_dir):
     return stats.motif_statistics(matches_of(spark, sf_dir)).withColumn("std_pos", F.round("std_pos", 6))
 
 
-@query()
+EDITED = {"M10": "ACGTGATCCT", "M12": "GATCACGTCTAG"}
+_EDITED = "m(query_name, q) AS (VALUES " + ", ".join(f"('{n}', '{q}')" for n, q in EDITED.items()) + ")"
+
+
+@query(f"""WITH {_READS}, {_EDITED}, b AS (SELECT *, CAST(floor(length(q) * (1.0::DOUBLE - 0.85::DOUBLE)) AS INTEGER) AS k FROM m),
+s AS (SELECT seq_id, seq, unnest(range(length(seq))) AS i FROM reads), w AS (SELECT query_name, q, k, unnest(range(length(q) - k, length(q) + k + 1)) AS l FROM b),
+c AS (SELECT seq_id, query_name, q, i, i + l AS j, levenshtein(substring(seq, i + 1, l), q) AS d FROM s, w WHERE i + l <= length(seq) AND levenshtein(substring(seq, i + 1, l), q) <= k),
+e AS (SELECT *, min(d) OVER (PARTITION BY seq_id, query_name) AS best FROM c)
+SELECT seq_id, query_name, CAST(min(i) AS INTEGER) AS position, CAST(j - min(i) AS INTEGER) AS length, 1.0::DOUBLE - d::DOUBLE / length(q) AS score FROM e WHERE d = best GROUP BY seq_id, query_name, q, j, d""")
 def motif_edit(spark, sf_dir):
-    return search.edit_matches(reads_of(spark, sf_dir), {"M15": "ACGTGATCCTAGTAC", "M20": "GATCACGTCTAGTACAGGCA"}, 0.85)
+    return search.edit_matches(reads_of(spark, sf_dir), EDITED, 0.85)
 
 
 @query()
@@ -111,10 +119,23 @@ def primer_alignment(spark, sf_dir):
     return search.local_alignments(reads_of(spark, sf_dir), {"Left": "ACGTGATCCTAGTACA", "Right": "GATCACGTCTAG"})
 
 
-@query(f"WITH {_MOTIFS} SELECT query_name, CAST(floor(length(repeat(query_seq, query_idx + 2)) * (1.0::DOUBLE - 0.9::DOUBLE)) AS INTEGER) AS budget, o.n FROM motifs, (SELECT count(*) AS n FROM documents) o")
+@query("""WITH w AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM documents)
+SELECT length(word)::INTEGER AS size, CAST(floor(length(word) * (1.0::DOUBLE - 0.9::DOUBLE)) AS INTEGER) AS budget, count(*) AS n FROM w GROUP BY 1, 2""")
 def edit_budget(spark, sf_dir):
-    motifs = queries_df(spark, MOTIFS).withColumn("q", F.expr("repeat(query_seq, query_idx + 2)"))
-    return motifs.crossJoin(_table(spark, sf_dir, "documents").agg(F.count("*").alias("n"))).select("query_name", S.edit_budget("q", 0.9).alias("budget"), "n")
+    words = _table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("word"))
+    return words.groupBy(F.length("word").alias("size"), S.edit_budget("word", 0.9).alias("budget")).agg(F.count("*").alias("n"))
+
+
+_TURNED = f"{_READS}, turned AS (SELECT seq_id, seq, reverse(translate(seq, 'ATGC', 'TACG')) AS rc FROM reads)"
+
+
+@query(f"""WITH {_TURNED}, c AS (SELECT seq_id, unnest(string_split(translate(seq, 'T', '*'), '')) AS a, unnest(string_split(rc, '')) AS b FROM turned WHERE seq <> ''),
+s AS (SELECT seq_id, sum((a = b)::INT)::DOUBLE / count(*) AS share FROM c WHERE a <> '*' GROUP BY seq_id)
+SELECT seq_id, round(coalesce(share, 0), 9) AS same, 0.0::DOUBLE AS longer FROM turned LEFT JOIN s USING (seq_id)""")
+def strand_similarity(spark, sf_dir):
+    """Wildcards are skipped; strings of different lengths have nothing in common."""
+    rows = reads_of(spark, sf_dir).select("seq_id", F.translate("seq", "T", "*").alias("a"), S.reverse_complement("seq").alias("b"))
+    return rows.select("seq_id", _r(S.wildcard_similarity("a", "b"), "same", 9), S.wildcard_similarity("a", F.concat("b", F.lit("A"))).alias("longer"))
 
 
 @query(f"WITH {_READS} SELECT seq_id, reverse(translate(seq, 'ATGC', 'TACG')) AS rc, length(seq) AS n FROM reads")
@@ -264,6 +285,60 @@ def trim(spark, sf_dir):
     return pairs.trimmed(reads, regions, renumber=False).select("seq_id", "start_pos", "end_pos", "seq")
 
 
+_TRIMMED = f"""WITH {_PAIRS}, {_RULES}, r AS (SELECT DISTINCT seq_id, position AS a, next_position + next_length AS b, orientation FROM pairs JOIN rules USING (query_name, next_name) WHERE n_matches >= 3 AND gap BETWEEN 0 AND 20),
+t AS (SELECT seq_id, a AS start_pos, b AS end_pos, CASE WHEN orientation = 'reverse' THEN reverse(translate(substring(seq, a + 1, b - a), 'ATGC', 'TACG')) ELSE substring(seq, a + 1, b - a) END AS seq FROM r JOIN reads USING (seq_id))"""
+
+
+@query(f"{_TRIMMED} SELECT CAST(row_number() OVER (ORDER BY seq_id, start_pos, end_pos) AS VARCHAR) AS read_id, seq_id, start_pos, end_pos, seq FROM t")
+def trim_renumbered(spark, sf_dir):
+    regions = pairs.junctions(matches_of(spark, sf_dir), neighbour_rules(spark, RULES), 0, 20, include=True)
+    reads = reads_of(spark, sf_dir).withColumn("qual", F.col("seq"))
+    return pairs.trimmed(reads, regions).select("read_id", "seq_id", "start_pos", "end_pos", "seq")
+
+
+@query(f"WITH {_READS} SELECT row_number() OVER (ORDER BY seq_id) - 1 AS rec_no, 'r' || seq_id AS read_id, 'r' || seq_id || ' of ' || coalesce(barcode, 'none') AS description, seq, seq AS qual FROM reads WHERE seq <> ''")
+def fastq_round_trip(spark, sf_dir):
+    """Reads as the numbered lines of a FASTQ file, and back."""
+    reads = reads_of(spark, sf_dir).where("seq <> ''")
+    name = F.concat(F.lit("r"), F.col("seq_id").cast("string"))
+    numbered = pairs.numbered(reads.select("seq_id", name.alias("read_id"), F.concat(name, F.lit(" of "), F.coalesce("barcode", F.lit("none"))).alias("description"), "seq", F.col("seq").alias("qual")), ["seq_id"], "rec")
+    lines = numbered.select("rec", fastq.fastq_line().alias("value")).select("rec", F.posexplode(F.split("value", "\n")).alias("k", "line"))
+    return fastq.fastq_records(lines.select(((F.col("rec").cast("long") - 1) * 4 + F.col("k")).alias("no"), "line"))
+
+
+@query(f"WITH {_MATCHES} SELECT seq_id, CAST(row_number() OVER (ORDER BY seq_id) AS VARCHAR) AS n FROM (SELECT DISTINCT seq_id FROM matches)")
+def distinct_reads(spark, sf_dir):
+    """Ids of the reads with matches, and their place in order."""
+    return pairs.numbered(matches_of(spark, sf_dir).select("seq_id").distinct(), ["seq_id"], "n").select("seq_id", "n")
+
+
+@query(f"""WITH {_READS}, n AS (SELECT *, (row_number() OVER (ORDER BY seq_id) - 1) // 100 AS page FROM reads)
+SELECT CAST(page AS BIGINT) AS page, count(*) AS n_reads, min(seq_id) AS first_id, max(seq_id) AS last_id, CAST(sum(length(seq)) AS BIGINT) AS bases FROM n GROUP BY page""")
+def read_pages(spark, sf_dir):
+    """Reads in order, a hundred to a page."""
+    rows = pairs.numbered(reads_of(spark, sf_dir).select("seq_id", F.length("seq").alias("n")), ["seq_id"], "at")
+    page = F.expr("(cast(at as bigint) - 1) div 100")
+    return rows.groupBy(page.alias("page")).agg(F.count("*").alias("n_reads"), F.min("seq_id").alias("first_id"), F.max("seq_id").alias("last_id"), F.sum("n").alias("bases"))
+
+
+@query(f"WITH {_READS} SELECT seq_id, length(seq)::INTEGER AS n FROM reads ORDER BY length(seq) DESC, seq_id LIMIT 25")
+def longest_reads(spark, sf_dir):
+    """A report of the 25 longest."""
+    return reads_of(spark, sf_dir).select("seq_id", F.length("seq").alias("n")).orderBy(F.desc("n"), "seq_id").limit(25)
+
+
+@query(f"WITH {_PAIRS} SELECT query_name || ' → ' || next_name AS pair, '...' || right(query_name, 8) AS short, count(*) AS n FROM pairs GROUP BY 1, 2")
+def pair_labels(spark, sf_dir):
+    rows = pairs.adjacent(matches_of(spark, sf_dir)).select(S.pair_label("query_name", "next_name").alias("pair"), S.short_label("query_name").alias("short"))
+    return rows.groupBy("pair", "short").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_MATCHES} SELECT query_name, n, round_even(n * 100.0::DOUBLE / sum(n) OVER (), 1) AS percent FROM (SELECT query_name, count(*) AS n FROM matches GROUP BY 1)")
+def motif_percent(spark, sf_dir):
+    counts = matches_of(spark, sf_dir).groupBy("query_name").agg(F.count("*").alias("n"))
+    return counts.crossJoin(counts.agg(F.sum("n").alias("all"))).select("query_name", "n", S.percent(F.col("n"), F.col("all"), 1).alias("percent"))
+
+
 # Statistics
 
 
@@ -351,13 +426,13 @@ def pos_encoding(spark, sf_dir):
     return rows.select("seq_id", "query_name", "position", *[_r(F.col("e")[i], f"e{i}") for i in range(10)])
 
 
-@query(f"WITH {_MATCHES} SELECT seq_id, query_name, position, round(1.0 - 0.9 * (position - min(position) OVER w) / greatest((max(position) OVER w - min(position) OVER w)::DOUBLE, 1e-6), 6) AS weight FROM matches WINDOW w AS (PARTITION BY seq_id)")
+@query(f"WITH {_MATCHES} SELECT seq_id, query_name, position, 1.0::DOUBLE - 0.9::DOUBLE * (position - min(position) OVER w) / greatest((max(position) OVER w - min(position) OVER w)::DOUBLE, 1e-6::DOUBLE) AS weight FROM matches WINDOW w AS (PARTITION BY seq_id)")
 def pos_weight(spark, sf_dir):
     from pyspark.sql import Window
 
     by = Window.partitionBy("seq_id")
     weight = S.position_weight(F.col("position"), F.min("position").over(by), F.max("position").over(by).cast("double"))
-    return matches_of(spark, sf_dir).select("seq_id", "query_name", "position", _r(weight, "weight"))
+    return matches_of(spark, sf_dir).select("seq_id", "query_name", "position", weight.alias("weight"))
 
 
 @query(f"WITH {_PAIRS} SELECT seq_id, string_agg(query_name, ',' ORDER BY position, query_name) AS names, string_agg(start_delta, ',' ORDER BY position, query_name) AS distances FROM (SELECT *, next_position - position AS start_delta FROM near) GROUP BY seq_id")
@@ -368,13 +443,43 @@ def names_and_distances(spark, sf_dir):
 
 
 @query(f"""WITH {_READS}, n AS (SELECT query_name, row_number() OVER (ORDER BY query_name) AS id FROM (SELECT DISTINCT unnest(string_split(seq, '')) AS query_name FROM reads) WHERE query_name <> ''),
-c AS (SELECT seq_id, unnest(string_split(substring(seq, 1, 60), '')) AS query_name, unnest(range(60)) AS k FROM reads)
-SELECT seq_id, string_agg(coalesce(id + 1, 0), ',' ORDER BY k) AS ids FROM c LEFT JOIN n USING (query_name) WHERE k IS NOT NULL GROUP BY seq_id""")
+c AS (SELECT seq_id, unnest(string_split(seq, '')) AS query_name, unnest(range(length(seq))) AS k FROM reads WHERE seq <> ''),
+j AS (SELECT seq_id, string_agg(coalesce(id + 1, 1), ',' ORDER BY k) AS ids FROM c LEFT JOIN n USING (query_name) GROUP BY seq_id)
+SELECT seq_id, coalesce(ids, '') AS ids FROM reads LEFT JOIN j USING (seq_id)""")
 def vocab_encode(spark, sf_dir):
+    return _encoded(spark, sf_dir)[0].select("seq_id", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))
+
+
+def _encoded(spark, sf_dir):
     reads = reads_of(spark, sf_dir)
-    vocabulary = {r["char"]: r["id"] for r in embed.char_vocabulary(reads).limit(10_000).collect()}
-    out = embed.encode_chars(reads, vocabulary, 60)
-    return out.select("seq_id", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))
+    vocabulary = {r["char"]: r["id"] for r in embed.char_vocabulary(reads).collect()}  # one row to a letter
+    return embed.encode_chars(reads, vocabulary, None), vocabulary
+
+
+@query(f"WITH {_READS} SELECT seq_id, seq FROM reads")
+def vocab_decode(spark, sf_dir):
+    encoded, vocabulary = _encoded(spark, sf_dir)
+    return embed.decode_chars(encoded, vocabulary)
+
+
+@query(f"WITH {_MATCHES} SELECT seq_id, query_name, position, CASE WHEN max(position) OVER w = 0 THEN 0 ELSE position::DOUBLE / max(position) OVER w END AS relative FROM matches WINDOW w AS (PARTITION BY seq_id)")
+def relative_positions(spark, sf_dir):
+    from pyspark.sql import Window
+
+    last = F.max("position").over(Window.partitionBy("seq_id"))
+    return matches_of(spark, sf_dir).select("seq_id", "query_name", "position", S.relative_position(F.col("position"), last).alias("relative"))
+
+
+@query("SELECT vec_id, CAST(k AS INTEGER) AS k, v FROM (SELECT vec_id, unnest(list_transform(embedding, lambda e: (e::DOUBLE * 3)::FLOAT)) AS v, unnest(range(len(embedding))) AS k FROM embeddings)")
+def float_cast(spark, sf_dir):
+    rows = features_of(spark, sf_dir).select("vec_id", F.transform("features", lambda x: (x * 3).cast("float")).alias("features"))
+    return rows.select("vec_id", F.posexplode("features").alias("k", "v"))
+
+
+@query(f"""WITH {_READS}, {_PLACES}, c AS (SELECT seq_id, substring(seq, i + 1, 3) AS kmer, count(*) AS n FROM places WHERE i <= length(seq) - 3 GROUP BY 1, 2)
+SELECT seq_id, kmer, round(n::DOUBLE / sum(n) OVER (PARTITION BY seq_id), 9) AS share FROM c""")
+def kmer_shares(spark, sf_dir):
+    return embed.kmer_shares(reads_of(spark, sf_dir), 3).withColumn("share", F.round("share", 9))
 
 
 @query()
@@ -395,12 +500,12 @@ def projected_embedding(spark, sf_dir):
 
 # Motifs
 
-_PWM = f"""{_READS}, long AS (SELECT unnest(range(least(6, m))) AS pos, seq FROM reads, (SELECT min(length(seq)) AS m FROM reads)),
+_PWM = f"""{_READS}, long AS (SELECT unnest(range(m)) AS pos, seq FROM reads, (SELECT min(length(seq)) AS m FROM reads)),
 counts AS (SELECT pos, base, count(*) FILTER (substring(seq, pos + 1, 1) = base) AS n FROM long, (VALUES ('A'), ('C'), ('G'), ('T')) b(base) GROUP BY pos, base)"""
 
 
 def _weights(spark, sf_dir):
-    return motif.position_weights(reads_of(spark, sf_dir), upto=6)
+    return motif.position_weights(reads_of(spark, sf_dir))
 
 
 @query(f"WITH {_PWM} SELECT CAST(pos AS INTEGER) AS pos, base, n, round(n / (SELECT count(*) FROM reads)::DOUBLE, 9) AS freq FROM counts")
@@ -424,18 +529,14 @@ def motif_graph(spark, sf_dir):
     return motif.motif_graph(motif.consensus_sets(_weights(spark, sf_dir)))[1]
 
 
-def _tree_sql(depth: int) -> str:
-    parts = [f"s AS (SELECT substring(seq, 1, {depth}) AS seq FROM reads WHERE length(seq) >= {depth})"]
-    for k in range(1, depth + 1):
-        within = f"AND substring(seq, 1, {k - 1}) IN (SELECT motif FROM k{k - 1})" if k > 1 else ""
-        parts.append(f"c{k} AS (SELECT substring(seq, 1, {k}) AS motif, substring(seq, 1, {k - 1}) AS parent, count(*) AS n FROM s WHERE true {within} GROUP BY 1, 2)")
-        parts.append(f"k{k} AS (SELECT motif, n FROM (SELECT *, max(n) OVER (PARTITION BY parent) AS top FROM c{k}) WHERE n >= top * (1 - 0.1))")
-    return f"WITH {_READS}, {', '.join(parts)} SELECT motif, n FROM k{depth}"
-
-
-@query(_tree_sql(6))
+@query(f"""WITH {_READS}, e AS (SELECT min(length(seq)) AS d FROM reads),
+c AS (SELECT k, substring(seq, 1, k) AS motif, substring(seq, 1, k - 1) AS parent, count(*) AS n FROM (SELECT seq, unnest(range(1, d + 1)) AS k FROM reads, e) WHERE substring(seq, k, 1) IN ('A', 'C', 'G', 'T') GROUP BY 1, 2, 3),
+ok AS (SELECT k, motif, n FROM (SELECT *, max(n) OVER (PARTITION BY k, parent) AS top FROM c) WHERE n >= top * (1 - 0.1))
+SELECT t.motif, t.n FROM ok t JOIN ok p ON p.motif = substring(t.motif, 1, p.k), e WHERE t.k = d GROUP BY t.motif, t.n, d HAVING count(*) = d""")
 def motif_tree(spark, sf_dir):
-    return motif.motif_tree(reads_of(spark, sf_dir), 6)
+    """As deep as the shortest read is long."""
+    reads = reads_of(spark, sf_dir)
+    return motif.motif_tree(reads, reads.agg(F.min(F.length("seq"))).first()[0] or 0)
 
 
 # Clusters
@@ -475,13 +576,21 @@ def nn_percentile(spark, sf_dir):
     return near.agg(_r(F.percentile("distance", F.lit(0.9)), "p90"))
 
 
-@query(f"""{_NEAREST}, m AS (SELECT i, ci, cj, avg(d) AS d FROM p GROUP BY 1, 2, 3), n AS (SELECT cluster, count(*) AS n FROM x GROUP BY 1),
+_SILHOUETTE = f"""{_NEAREST}, m AS (SELECT i, ci, cj, avg(d) AS d FROM p GROUP BY 1, 2, 3), n AS (SELECT cluster, count(*) AS n FROM x GROUP BY 1),
 s AS (SELECT i, ci, coalesce(max(d) FILTER (ci = cj), 0) AS a, min(d) FILTER (ci <> cj) AS b FROM m GROUP BY 1, 2)
-SELECT i AS vec_id, ci AS cluster, round(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END, 6) AS silhouette FROM s JOIN n ON ci = cluster""")
+SELECT i AS vec_id, ci AS cluster, round(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END, 6) AS silhouette FROM s JOIN n ON ci = cluster"""
+
+
+@query(_SILHOUETTE)
 def silhouette(spark, sf_dir):
     return cluster.silhouettes(features_of(spark, sf_dir), key="vec_id").withColumn("silhouette", F.round("silhouette", 6))
 
 
+@query(f"SELECT cluster, round(avg(silhouette), 5) AS silhouette FROM ({_SILHOUETTE}) GROUP BY cluster")
+def silhouette_by_cluster(spark, sf_dir):
+    return cluster.silhouette_by_cluster(features_of(spark, sf_dir), key="vec_id").withColumn("silhouette", F.round("silhouette", 5))
+
+
 @query(f"""WITH {_CENTRES}, r AS (SELECT cluster, arg_min(vec_id, d) AS rep FROM away GROUP BY cluster), f AS (SELECT rep, features AS g FROM r JOIN x ON rep = vec_id)
 SELECT vec_id, arg_min(rep, list_distance(features, g)) AS rep, round(min(list_distance(features, g)), 6) AS distance FROM x, f GROUP BY vec_id""")
 def nearest_rep(spark, sf_dir):
@@ -500,6 +609,36 @@ def ward_pipeline(spark, sf_dir):
     return cluster.pipeline(features_of(spark, sf_dir).drop("cluster"), 10, key="vec_id")
 
 
+@query()
+def ward_large_tier(spark, sf_dir):
+    """The tier of Ward for many points: clusters of a reduction, labels for all."""
+    return cluster.ward_tiered(features_of(spark, sf_dir).drop("cluster"), 10, key="vec_id", large=400)
+
+
+_EPS = 0.8
+
+
+@query(f"""WITH RECURSIVE x AS (SELECT vec_id, list_transform(embedding, lambda e: e::DOUBLE) AS f FROM embeddings), near AS (SELECT a.vec_id AS i, b.vec_id AS j FROM x a JOIN x b ON list_distance(a.f, b.f) <= {_EPS}),
+core AS (SELECT i FROM near GROUP BY i HAVING count(*) >= 10), edge AS (SELECT i, j FROM near WHERE i IN (SELECT i FROM core) AND j IN (SELECT i FROM core)),
+reach(i, root) AS (SELECT i, i FROM core UNION SELECT e.j, r.root FROM reach r JOIN edge e ON e.i = r.i), root AS (SELECT i, min(root) AS root FROM reach GROUP BY i),
+number AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS cluster FROM (SELECT DISTINCT root FROM root)), far AS (SELECT n.i, min(root) AS root FROM near n JOIN root r ON n.j = r.i GROUP BY n.i)
+SELECT vec_id, CAST(coalesce(cluster, -1) AS INTEGER) AS cluster FROM x LEFT JOIN (SELECT i, coalesce(r.root, f.root) AS root FROM far f LEFT JOIN root r USING (i)) g ON g.i = vec_id LEFT JOIN number USING (root)""")
+def dbscan_clusters(spark, sf_dir):
+    return cluster.dbscan_blocks(features_of(spark, sf_dir), _EPS, 10, key="vec_id")
+
+
+def _method(name: str):
+    def run(spark, sf_dir):
+        return cluster.cluster(features_of(spark, sf_dir).drop("cluster"), name, 10, key="vec_id")
+
+    run.__name__ = f"{name}_clusters"
+    return query()(run)
+
+
+for _name in ("hdbscan", "birch", "optics", "meanshift", "affinity", "spectral"):
+    _method(_name)
+
+
 @query()
 def compressed_clusters(spark, sf_dir):
     return cluster.compress(features_of(spark, sf_dir), 100, key="vec_id")
@@ -511,7 +650,7 @@ def mixture_clusters(spark, sf_dir):
     return cluster.mixture(reduced, 3, key="vec_id")
 
 
-# Layout: users of events are reads, event types are motifs, sources are clusters
+# Layout: reads are rows, sources are clusters
 
 
 def _clustered(spark, sf_dir):
@@ -539,10 +678,10 @@ def row_index(spark, sf_dir):
     return layout.row_index(_clustered(spark, sf_dir)).select("cluster", "seq_id", "query_name", "position", "row")
 
 
-@query(f"""WITH {_MATCHES}, cells AS (SELECT seq_id, unnest(range(position, least(position + length, 200))) AS pos, query_idx, position FROM matches WHERE position < 200)
+@query(f"""WITH {_MATCHES}, cells AS (SELECT seq_id, unnest(range(position, position + length)) AS pos, query_idx, position FROM matches)
 SELECT seq_id, CAST(pos AS INTEGER) AS pos, query_idx FROM (SELECT *, row_number() OVER (PARTITION BY seq_id, pos ORDER BY position DESC, query_idx DESC) AS r FROM cells) WHERE r = 1""")
 def raster(spark, sf_dir):
-    return layout.raster(_clustered(spark, sf_dir), 200, order=["position", "query_idx"]).select("seq_id", "pos", "query_idx")
+    return layout.raster(_clustered(spark, sf_dir), None, order=["position", "query_idx"]).select("seq_id", "pos", "query_idx")
 
 
 @query(f"""WITH {_MATCHES}, p AS (SELECT position + length / 2.0 AS x, seq_id AS y, query_name FROM matches), e AS (SELECT min(x)::DOUBLE x0, max(x)::DOUBLE x1, min(y)::DOUBLE y0, max(y)::DOUBLE y1 FROM p)
@@ -552,6 +691,67 @@ def density(spark, sf_dir):
     return layout.density(points, "x", "y", 80, 40, by=["query_name"])
 
 
+_ROWED = f"{_MATCHES}, rowed AS (SELECT *, dense_rank() OVER (ORDER BY barcode, seq_id) - 1 AS row FROM matches)"
+
+
+def _rowed(spark, sf_dir):
+    return layout.boxes(layout.row_index(_clustered(spark, sf_dir)))
+
+
+@query(f"WITH {_ROWED} SELECT seq_id, query_name, position AS x_start, position + length AS x_end, (position + position + length) / 2.0::DOUBLE AS x_mid, row - 0.4::DOUBLE AS y_bottom, row + 0.4::DOUBLE AS y_top FROM rowed")
+def raw_layout(spark, sf_dir):
+    return _rowed(spark, sf_dir).select("seq_id", "query_name", "x_start", "x_end", "x_mid", "y_bottom", "y_top")
+
+
+@query(f"WITH {_ROWED} SELECT seq_id, query_name, position, position + k * length / 9.0::DOUBLE AS x FROM (SELECT *, unnest(range(10)) AS k FROM rowed)")
+def line_points(spark, sf_dir):
+    return layout.line_points(_rowed(spark, sf_dir)).select("seq_id", "query_name", "position", "x")
+
+
+@query(f"""WITH {_ROWED}, e AS (SELECT max(position + length)::DOUBLE AS x1, max(row)::DOUBLE + 1 AS y1 FROM rowed),
+p AS (SELECT query_name, CAST(least(floor(row / y1 * 50), 49) AS INTEGER) AS py, CAST(least(floor(position / x1 * 100), 99) AS INTEGER) AS a, CAST(least(floor((position + length - 1) / x1 * 100), 99) AS INTEGER) AS b FROM rowed, e)
+SELECT CAST(px AS INTEGER) AS px, py, query_name, count(*) AS n FROM (SELECT query_name, py, unnest(range(a, b + 1)) AS px FROM p) GROUP BY 1, 2, 3""")
+def rectangle_density(spark, sf_dir):
+    boxed = _rowed(spark, sf_dir)
+    x, y = boxed.agg(F.max("x_end"), F.max("row") + 1).first()
+    return layout.rectangle_density(boxed, 100, 50, (0, x or 1, 0, y or 1), by=["query_name"])
+
+
+_GRID = f"""{_MATCHES}, p AS (SELECT position + length / 2.0 AS x, seq_id AS y FROM matches), ends AS (SELECT min(x)::DOUBLE x0, max(x)::DOUBLE x1, min(y)::DOUBLE y0, max(y)::DOUBLE y1 FROM p),
+grid AS (SELECT CAST(least(floor((x - x0) / (x1 - x0) * 80), 79) AS INTEGER) AS px, CAST(least(floor((y - y0) / (y1 - y0) * 40), 39) AS INTEGER) AS py, count(*) AS n FROM p, ends GROUP BY 1, 2)"""
+
+
+def _grid(spark, sf_dir):
+    points = matches_of(spark, sf_dir).select((F.col("position") + F.col("length") / 2.0).alias("x"), F.col("seq_id").alias("y"))
+    return layout.density(points, "x", "y", 80, 40)
+
+
+@query(f"WITH {_GRID} SELECT px, py, n, round(ln(1 + n::DOUBLE) / ln(1 + (max(n) OVER ())::DOUBLE), 9) AS level FROM grid")
+def shaded_log(spark, sf_dir):
+    return layout.shaded(_grid(spark, sf_dir)).select("px", "py", "n", _r("level", "level", 9))
+
+
+@query(f"WITH {_GRID}, r AS (SELECT n, round(sum(count(*)) OVER (ORDER BY n)::DOUBLE / sum(count(*)) OVER (), 9) AS level FROM grid GROUP BY n) SELECT px, py, n, level FROM grid JOIN r USING (n)")
+def shaded_by_rank(spark, sf_dir):
+    return layout.shaded(_grid(spark, sf_dir), "eq_hist").select("px", "py", "n", _r("level", "level", 9))
+
+
+@query(f"""WITH {_GRID}, o AS (SELECT unnest([-1, 0, 1]) AS d) SELECT CAST(px + a.d AS INTEGER) AS px, CAST(py + b.d AS INTEGER) AS py, max(n) AS n FROM grid, o a, o b WHERE px + a.d >= 0 AND py + b.d >= 0 GROUP BY 1, 2""")
+def spread_pixels(spark, sf_dir):
+    return layout.spread(_grid(spark, sf_dir), 1)
+
+
+@query(f"WITH {_MATCHES} SELECT DISTINCT barcode AS cluster, seq_id, query_name, position, length FROM matches WHERE position + length <= 5000")
+def dashboard_points(spark, sf_dir):
+    """The points of a dashboard left of 5,000, without its cap on their number."""
+    return layout.dashboard(_clustered(spark, sf_dir), most=(1 << 31) - 1, upto=5_000)
+
+
+@query(f"WITH {_MATCHES}, e AS (SELECT seq_id, max(position + length) AS e FROM matches GROUP BY 1) SELECT CAST(trunc(trunc(avg(e)) * 1.1::DOUBLE) AS INTEGER) AS width FROM e")
+def mean_width(spark, sf_dir):
+    return layout.visual_width(matches_of(spark, sf_dir), mode="mean")
+
+
 @query(f"""WITH {_MATCHES}, e AS (SELECT seq_id, max(position + length) AS e FROM matches GROUP BY 1) SELECT CAST(max(e) AS INTEGER) AS width FROM e""")
 def visual_width(spark, sf_dir):
     return layout.visual_width(matches_of(spark, sf_dir))

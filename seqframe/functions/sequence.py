@@ -95,13 +95,12 @@ def occurrences(seq: Column | str, motif: Column) -> Column:
 
 def wildcard_similarity(a: Column | str, b: Column | str) -> Column:
     """Share of equal positions among those without * on either side; 0.0 if there are
-    none. Strings are compared as far as the shorter one goes."""
-    a, b = letters(a), letters(b)
-    n = F.least(F.size(a), F.size(b))
-    pairs = F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: F.when((x == "*") | (y == "*"), None).otherwise((x == y).cast("int")))
+    none, or if the lengths differ."""
+    same = F.length(_col(a)) == F.length(_col(b))
+    pairs = F.zip_with(letters(a), letters(b), lambda x, y: F.when((x == "*") | (y == "*"), None).otherwise((x == y).cast("int")))
     known = F.filter(pairs, lambda p: p.isNotNull())
-    equal = F.aggregate(known, F.lit(0), lambda s, p: s + p)
-    return F.coalesce(F.try_divide(equal.cast("double"), F.size(known)), F.lit(0.0))
+    share = let(known, lambda k: F.try_divide(F.aggregate(k, F.lit(0), lambda s, p: s + p).cast("double"), F.size(k)))
+    return F.coalesce(F.when(same, share), F.lit(0.0))
 
 
 def edit_budget(motif: Column | str, threshold: float) -> Column:
@@ -130,6 +129,11 @@ def position_weight(position: Column, low: Column, high: Column) -> Column:
     return F.lit(1.0) - F.lit(0.9) * (position - low) / F.greatest(high - low, F.lit(1e-6))
 
 
+def relative_position(position: Column, last: Column) -> Column:
+    """position over the read's last one, 0.0 if that is 0."""
+    return F.coalesce(F.try_divide(position.cast("double"), last), F.lit(0.0))
+
+
 def padded(values: Column | str, length: int, fill: Column | None = None) -> Column:
     """Cut or filled up to that length."""
     fill = F.lit(0) if fill is None else fill

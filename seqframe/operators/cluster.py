@@ -21,7 +21,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqframe.functions.sequence import distance
+from seqframe.operators.pairs import numbered
 from seqframe.operators.stats import sample_of
+from seqframe.scratch import settled
 
 MOST = 5_000
 BLOCK = 2_048  # rows of a block, about
@@ -217,20 +219,20 @@ def dbscan_blocks(table: DataFrame, eps: float, least: int = 10, *, key: str = "
         return pd.DataFrame([(i, min(h)) for i, h in zip(own[key], hits, strict=True) if len(h)], columns=[key, "root"])
 
     n = _met(table, count, f"{key} {kind}, n long", key=key, block=block).groupBy(key).agg(F.sum("n").alias("n"))
-    core = table.join(n.where(F.col("n") >= least).select(key), key, "left_semi").localCheckpoint()
+    core = settled(table.join(n.where(F.col("n") >= least).select(key), key, "left_semi"))
     edges = _met(core, forest, f"{key} {kind}, near {kind}", key=key, block=block).where(F.col(key) != F.col("near"))
-    edges = edges.union(edges.select("near", key)).distinct().localCheckpoint()
-    roots = core.select(key, F.col(key).alias("root")).localCheckpoint()
+    edges = settled(edges.union(edges.select("near", key)).distinct())
+    roots = settled(core.select(key, F.col(key).alias("root")))
     while True:
         passed = edges.join(roots.withColumnRenamed(key, "near"), "near").groupBy(key).agg(F.min("root").alias("low"))
         new = roots.join(passed, key, "left").select(key, "root", F.least("root", F.coalesce("low", "root")).alias("low"))
         up = roots.select(F.col(key).alias("low"), F.col("root").alias("above"))
-        new = new.join(up, "low").select(key, F.col("above").alias("new"), "root").localCheckpoint()
+        new = settled(new.join(up, "low").select(key, F.col("above").alias("new"), "root"))
         changed = new.where(F.col("new") != F.col("root")).limit(1).count()
         roots = new.select(key, F.col("new").alias("root"))
         if not changed:
             break
-    marked = table.join(roots, key, "left").withColumn("core", F.col("root").isNotNull()).localCheckpoint()
+    marked = settled(table.join(roots, key, "left").withColumn("core", F.col("root").isNotNull()))
     reached = _met(marked, first, f"{key} {kind}, root {kind}", key=key, keep=("root", "core"), block=block).groupBy(key).agg(F.min("root").alias("reached"))
     numbers = roots.select("root").distinct().withColumn("cluster", F.row_number().over(Window.orderBy("root")) - 1)
     found = marked.join(reached, key, "left").select(key, F.coalesce("root", "reached").alias("root"))
@@ -410,9 +412,7 @@ def leaders(x: np.ndarray, threshold: float, k: int) -> np.ndarray:
 
 def spectral(table: DataFrame, k: int, *, near: int = 10, key: str = "seq_id") -> DataFrame:
     """Power iteration on the graph of nearest neighbours; a relative of spectral clustering."""
-    ids = table.select(key).distinct().orderBy(key).toPandas()[key].tolist()
-    kind = table.select(key).schema[0].dataType.simpleString()
-    names = table.sparkSession.createDataFrame(list(enumerate(ids)), f"n long, {key} {kind}")
+    names = settled(numbered(table.select(key).distinct(), [key], "n").select((F.col("n").cast("long") - 1).alias("n"), key))
     edges = neighbours(table, near, key=key).join(names.withColumnRenamed("n", "src"), key)
     edges = edges.join(names.select(F.col("n").alias("dst"), F.col(key).alias("near")), "near")
     pair = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), F.lit(1.0).alias("weight")).distinct()
@@ -453,7 +453,7 @@ def cluster(table: DataFrame, method: str, k: int = 10, *, key: str = "seq_id",
     if table.count() > MOST:
         if method == "dbscan":
             return dbscan_blocks(table, neighbour_percentile(table, 0.9, key=key), 10, key=key)
-        reps = reduced(table.select(key, "features"), MOST, key=key, seed=seed).localCheckpoint()
+        reps = settled(reduced(table.select(key, "features"), MOST, key=key, seed=seed))
         return propagated(table, reps.join(cluster(reps, method, k, key=key, seed=seed), key), key=key)
     if method == "spectral":
         return spectral(table, k, key=key)
@@ -504,7 +504,7 @@ def nearest_representative(table: DataFrame, reps: DataFrame, *, key: str = "seq
 def propagated(table: DataFrame, labelled: DataFrame, *, key: str = "seq_id") -> DataFrame:
     """key, cluster of every point from labelled representatives (key, features, cluster)."""
     near = nearest_representative(table, labelled, key=key)
-    return near.join(F.broadcast(labelled.select(F.col(key).alias("rep"), "cluster")), "rep").select(key, "cluster")
+    return near.join(labelled.select(F.col(key).alias("rep"), "cluster"), "rep").select(key, "cluster")
 
 
 def centroids(table: DataFrame, *, size: int | None = None) -> DataFrame:
@@ -517,7 +517,7 @@ def centroids(table: DataFrame, *, size: int | None = None) -> DataFrame:
 
 def to_centroid(table: DataFrame) -> DataFrame:
     """The table with the distance to its cluster's centre."""
-    return table.join(F.broadcast(centroids(table)), "cluster").withColumn("distance", distance("features", "centre"))
+    return table.join(centroids(table), "cluster").withColumn("distance", distance("features", "centre"))
 
 
 def diversity(table: DataFrame) -> DataFrame:
@@ -548,11 +548,13 @@ def farthest_points(x: np.ndarray, n: int) -> list[int]:
 def compress(table: DataFrame, target: int = 100, *, key: str = "seq_id", spread: float = 0.3, share: float = 0.1) -> DataFrame:
     """Representatives of labelled points: all, if there are no more than target; else of
     each cluster the point nearest to the centre, or in diverse ones (over `spread`) a
-    tenth of it chosen by farthest points. A cluster is one group and is measured against MOST."""
+    tenth of it chosen by farthest points. Clusters of more than MOST points are dealt by a hash of
+    the key into parts of about as many at most, each of which gives a tenth of its own."""
     if table.count() <= target:
         return table.select(key, "cluster")
-    wide = diversity(table).where(F.col("diversity") > spread).select("cluster")
-    near = nearest_to_centroid(table.join(F.broadcast(wide), "cluster", "left_anti"), key=key).select(key, "cluster")
+    size = table.groupBy("cluster").agg(F.ceil(F.count("*") / float(MOST)).alias("parts"))
+    wide = diversity(table).where(F.col("diversity") > spread).join(size, "cluster").select("cluster", "parts")
+    near = nearest_to_centroid(table.join(wide, "cluster", "left_anti"), key=key).select(key, "cluster")
     kind = table.select(key).schema[0].dataType.simpleString()
 
     def pick(group: pd.DataFrame) -> pd.DataFrame:
@@ -560,8 +562,8 @@ def compress(table: DataFrame, target: int = 100, *, key: str = "seq_id", spread
         at = farthest_points(np.array(group["features"].tolist(), float), max(1, int(len(group) * share)))
         return group.iloc[at][[key, "cluster"]]
 
-    chosen = table.where("cluster >= 0").join(F.broadcast(wide), "cluster", "left_semi")
-    return near.unionByName(chosen.select(key, "cluster", "features").groupBy("cluster").applyInPandas(pick, f"{key} {kind}, cluster int"))
+    chosen = table.where("cluster >= 0").join(wide, "cluster").select(key, "cluster", "features", F.pmod(F.xxhash64(key), "parts").alias("part"))
+    return near.unionByName(chosen.groupBy("cluster", "part").applyInPandas(pick, f"{key} {kind}, cluster int"))
 
 
 def silhouettes(table: DataFrame, *, key: str = "seq_id", block: int | None = None) -> DataFrame:
@@ -585,6 +587,11 @@ def silhouettes(table: DataFrame, *, key: str = "seq_id", block: int | None = No
     return near.select(key, "cluster", s.alias("silhouette"))
 
 
+def silhouette_by_cluster(table: DataFrame, *, key: str = "seq_id") -> DataFrame:
+    """cluster, silhouette: the mean over its members."""
+    return silhouettes(table, key=key).groupBy("cluster").agg(F.avg("silhouette").alias("silhouette"))
+
+
 def silhouette(table: DataFrame, *, key: str = "seq_id") -> float:
     return float(silhouettes(table, key=key).agg(F.avg("silhouette")).first()[0] or 0.0)
 
@@ -595,7 +602,7 @@ def compared(table: DataFrame, methods: list[str], k: int, *, key: str = "seq_id
     for method in methods:
         began = time.perf_counter()
         try:
-            labels = cluster(table, method, k, key=key).persist()
+            labels = settled(cluster(table, method, k, key=key))
             n = labels.where("cluster >= 0").select("cluster").distinct().count()
             out.append({"method": method, "clusters": n, "score": score(table.join(labels, key), key=key) if n > 1 else 0.0, "seconds": time.perf_counter() - began})
         except Exception as e:  # noqa: BLE001  the grid goes on; the row says what happened
@@ -605,7 +612,7 @@ def compared(table: DataFrame, methods: list[str], k: int, *, key: str = "seq_id
 
 def pipeline(table: DataFrame, k: int, *, reduce_to: int = 5_000, strategy: str = "kmeans", key: str = "seq_id", seed: int = 42) -> DataFrame:
     """Reduce, cluster the representatives by Ward, label every point by the nearest one."""
-    reps = reduced(table, min(reduce_to, MOST), strategy, key=key, seed=seed).persist()
+    reps = settled(reduced(table, min(reduce_to, MOST), strategy, key=key, seed=seed))
     labels = ward_tiered(reps, k, key=key, seed=seed)
     return propagated(table, reps.join(labels, key), key=key)
 

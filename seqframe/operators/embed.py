@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqframe.functions.sequence import kmers, letters, padded, position_weight, positional_encoding, token
+from seqframe.functions.sequence import kmers, letters, padded, position_weight, positional_encoding, relative_position, token
 
 
 def direct(matches: DataFrame, names: list[str], *, key: str = "seq_id", fill: int | None = 0) -> DataFrame:
@@ -91,13 +91,19 @@ def kmer_frequencies(reads: DataFrame, k: int = 4, *, key: str = "seq_id", seq:
     return Normalizer(inputCol="c", outputCol="f", p=1.0).transform(counted).select(key, vector_to_array("f").alias("features"))
 
 
+def kmer_shares(reads: DataFrame, k: int = 4, *, key: str = "seq_id", seq: str = "seq") -> DataFrame:
+    """key, kmer, share: the same as rows, of the k-mers that a read has."""
+    counts = reads.select(key, F.explode(kmers(seq, k)).alias("kmer")).groupBy(key, "kmer").agg(F.count("*").alias("__n"))
+    return counts.select(key, "kmer", (F.col("__n") / F.sum("__n").over(Window.partitionBy(key))).alias("share"))
+
+
 def projected(matches: DataFrame, *, key: str = "seq_id", length: int = 20, size: int = 30, seed: int = 42) -> DataFrame:
     """A fixed random projection of the first `length` (motif number, relative position)
     pairs of each read: what untrained recurrent or attention layers with a seed give."""
     last = F.max("position").over(Window.partitionBy(key))
     names = matches.select("query_name").distinct()
     index = names.withColumn("__i", F.dense_rank().over(Window.orderBy("query_name")))
-    rows = matches.withColumn("__p", F.coalesce(F.try_divide(F.col("position").cast("double"), last), F.lit(0.0))).join(F.broadcast(index), "query_name")
+    rows = matches.withColumn("__p", relative_position(F.col("position"), last)).join(F.broadcast(index), "query_name")
     one = F.array_sort(F.collect_list(F.struct("position", "query_name", F.col("__i").cast("double").alias("i"), F.col("__p").alias("p"))))
     flat = rows.groupBy(key).agg(F.flatten(F.transform(one, lambda x: F.array(x["i"], x["p"]))).alias("x"))
     flat = flat.select(key, padded("x", 2 * length, F.lit(0.0)).alias("x"))
@@ -117,11 +123,12 @@ def char_vocabulary(reads: DataFrame, *, seq: str = "seq") -> DataFrame:
     return chars.withColumn("id", F.dense_rank().over(Window.orderBy("char")) + 1)
 
 
-def encode_chars(reads: DataFrame, vocabulary: dict[str, int], length: int, *, key: str = "seq_id", seq: str = "seq") -> DataFrame:
-    """key, ids: numbers of the letters, filled with 0 or cut to the length."""
+def encode_chars(reads: DataFrame, vocabulary: dict[str, int], length: int | None, *, key: str = "seq_id", seq: str = "seq") -> DataFrame:
+    """key, ids: numbers of the letters, filled with 0 or cut to the length; None: as they are."""
     table = F.create_map(*[F.lit(x) for pair in vocabulary.items() for x in pair]) if vocabulary else F.create_map().cast("map<string,int>")
-    ids = F.transform(letters(F.substring(F.col(seq), 1, length)), lambda c: F.coalesce(F.try_element_at(table, c), F.lit(1)))
-    return reads.select(key, padded(ids, length).alias("ids"))
+    text = F.col(seq) if length is None else F.substring(F.col(seq), 1, length)
+    ids = F.transform(letters(text), lambda c: F.coalesce(F.try_element_at(table, c), F.lit(1)))
+    return reads.select(key, (ids if length is None else padded(ids, length)).alias("ids"))
 
 
 def decode_chars(rows: DataFrame, vocabulary: dict[str, int], *, key: str = "seq_id") -> DataFrame:

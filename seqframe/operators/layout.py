@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqframe.operators.pairs import numbered
 from seqframe.operators.stats import sample_of, sample_per_cluster, top_clusters
+from seqframe.scratch import small
 
 
 def with_clusters(matches: DataFrame, assigned: DataFrame, *, key: str = "seq_id") -> DataFrame:
@@ -14,19 +16,15 @@ def with_clusters(matches: DataFrame, assigned: DataFrame, *, key: str = "seq_id
 
 def with_query_index(matches: DataFrame, queries: DataFrame) -> DataFrame:
     """query_idx by motif; unknown motifs are dropped."""
-    return matches.join(F.broadcast(queries.select("query_name", "query_idx")), "query_name")
+    return matches.join(small(queries.select("query_name", "query_idx")), "query_name")
 
 
 def row_index(matches: DataFrame, *, key: str = "seq_id", by: str | None = "cluster") -> DataFrame:
     """A dense row number from 0 for each read, in the order of cluster and read. Reads
     are ranked in two steps, within ranges and over the ranges' sizes, so that no task sees all."""
     order = [by, key] if by else [key]
-    ids = matches.select(*order).distinct().repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).persist()
-    sizes = ids.groupBy("__part").agg(F.count("*").alias("__size"))
-    before = sizes.select("__part", F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    numbered = ids.join(F.broadcast(before), "__part").select(*order, (own - 1 + F.col("__before")).cast("int").alias("row"))
-    return matches.join(numbered, order)
+    rows = numbered(matches.select(*order).distinct(), order, "__n").select(*order, (F.col("__n").cast("int") - 1).alias("row"))
+    return matches.join(rows, order)
 
 
 def boxes(matches: DataFrame) -> DataFrame:
@@ -147,6 +145,14 @@ def line_points(boxed: DataFrame, n: int = 10) -> DataFrame:
     return rows.withColumn("x", F.col("x_start") + F.col("k") * (F.col("x_end") - F.col("x_start")) / float(n - 1)).drop("k")
 
 
+def spread(grid: DataFrame, px: int = 1, *, value: str = "n") -> DataFrame:
+    """px, py, value: each pixel takes the greatest value within px pixels to every side."""
+    near = F.sequence(F.lit(-px), F.lit(px))
+    rows = grid.select("*", F.explode(near).alias("__dx")).select("*", F.explode(near).alias("__dy"))
+    rows = rows.select((F.col("px") + F.col("__dx")).alias("px"), (F.col("py") + F.col("__dy")).alias("py"), value)
+    return rows.where("px >= 0 and py >= 0").groupBy("px", "py").agg(F.max(value).alias(value))
+
+
 def rectangle_density(boxed: DataFrame, width: int, height: int, bounds: tuple[float, float, float, float], *, by: list[str] | None = None) -> DataFrame:
     """Matches as rectangles: every pixel column that one covers in its row counts once."""
     x0, x1, y0, y1 = map(float, bounds)

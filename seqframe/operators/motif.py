@@ -54,11 +54,11 @@ def motif_tree(seqs: DataFrame, depth: int, threshold: float = 0.1, *, seq: str
     (1 - threshold) of the greatest. A level is one aggregation of prefix counts, of
     which there are at most four to a branch."""
     rows = seqs.where(F.length(seq) >= depth).select(F.substring(F.col(seq), 1, depth).alias("seq")).groupBy("seq").agg(F.count("*").alias("n"))
-    kept = None
+    kept = rows.select(F.col("seq").alias("motif"), "n").limit(0)
     for k in range(1, depth + 1):
         level = rows.groupBy(F.substring("seq", 1, k).alias("motif")).agg(F.sum("n").alias("n"))
         level = level.where(F.substring("motif", k, 1).isin(*BASES)).withColumn("parent", F.substring("motif", 1, k - 1))
-        if kept is not None:
+        if k > 1:
             level = level.join(kept.select(F.col("motif").alias("parent")), "parent", "left_semi")
         top = F.max("n").over(Window.partitionBy("parent"))
         kept = level.withColumn("__top", top).where(F.col("n") >= F.col("__top") * (1 - threshold)).select("motif", "n")

@@ -2,7 +2,7 @@
 
 Adjacency is lead() within a read in a total order (position, then name, then length),
 so there is one shuffle by read and no self join. Rules are small tables and are
-joined by broadcast.
+joined by broadcast after a count.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqframe.functions.sequence import iupac_reverse_complement, sliced
+from seqframe.scratch import settled, small
 
 ORDER = ("position", "query_name", "length")
 
@@ -71,7 +72,7 @@ def junctions(matches: DataFrame, rules: DataFrame, low: int, high: int, *, incl
     """Regions between (or over, with include) neighbours that a rule names, with a gap
     in [low, high]; only reads with min_matches or more. Distinct."""
     pairs = adjacent(matches, key=key).where((F.col("n_matches") >= min_matches) & F.col("gap").between(low, high))
-    pairs = pairs.join(F.broadcast(rules.select(F.col("start").alias("query_name"), F.col("end").alias("next_name"), "orientation")), ["query_name", "next_name"])
+    pairs = pairs.join(small(rules.select(F.col("start").alias("query_name"), F.col("end").alias("next_name"), "orientation")), ["query_name", "next_name"])
     start = F.col("position") if include else F.col("position") + F.col("length")
     end = F.col("next_position") + F.col("next_length") if include else F.col("next_position")
     return pairs.select(key, start.alias("start_pos"), end.alias("end_pos"), "orientation").distinct()
@@ -92,7 +93,7 @@ def primer_pairs(matches: DataFrame, least: int, *, outer: bool = False, key: st
 
 def primer_windows(matches: DataFrame, rules: DataFrame, *, min_matches: int = 3, key: str = "seq_id") -> DataFrame:
     """Regions from the end of each named primer as far as its rule says. Distinct."""
-    rows = at_least(matches, min_matches, key=key).join(F.broadcast(rules.withColumnRenamed("primer", "query_name")), "query_name")
+    rows = at_least(matches, min_matches, key=key).join(small(rules.withColumnRenamed("primer", "query_name")), "query_name")
     end = F.col("position") + F.col("length")
     return rows.select(key, end.alias("start_pos"), (end + F.col("distance_max")).alias("end_pos"), "orientation").distinct()
 
@@ -100,7 +101,7 @@ def primer_windows(matches: DataFrame, rules: DataFrame, *, min_matches: int = 3
 def junction_sweep(matches: DataFrame, rules: DataFrame, most: int = 5, *, min_matches: int = 3, key: str = "seq_id") -> DataFrame:
     """Regions for every gap of 0 to most in one pass: gap, regions, reads."""
     pairs = adjacent(matches, key=key).where((F.col("n_matches") >= min_matches) & F.col("gap").between(0, most))
-    pairs = pairs.join(F.broadcast(rules.select(F.col("start").alias("query_name"), F.col("end").alias("next_name"), "orientation")), ["query_name", "next_name"])
+    pairs = pairs.join(small(rules.select(F.col("start").alias("query_name"), F.col("end").alias("next_name"), "orientation")), ["query_name", "next_name"])
     regions = pairs.select(key, "gap", (F.col("position") + F.col("length")).alias("a"), F.col("next_position").alias("b"), "orientation").distinct()
     return regions.groupBy("gap").agg(F.count("*").alias("n_regions"), F.countDistinct(key).alias("n_reads"))
 
@@ -126,10 +127,10 @@ def trimmed(reads: DataFrame, regions: DataFrame, *, key: str = "seq_id", drop_s
 
 
 def numbered(rows: DataFrame, order: list[str], name: str = "read_id") -> DataFrame:
-    """1, 2, ... as text in a total order. Partitions are sorted by range and counted, so
-    that no task sees all rows."""
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    ranged = ranged.persist()
+    """1, 2, ... as text in a total order. Rows are dealt by range, written with the number
+    of their range, and counted, so that no task sees all; what is lost later is read again,
+    not dealt again."""
+    ranged = settled(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
     sizes = ranged.groupBy("__part").count()
     before = sizes.withColumn("__before", F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
     own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
@@ -145,7 +146,7 @@ def pair_statistics(matches: DataFrame, *, key: str = "seq_id", value: str = "ga
 
 def by_pair(rows: DataFrame, pairs: DataFrame, *, keep: bool = True) -> DataFrame:
     """Rows whose (from_name, to_name) is in the list, or is not."""
-    return rows.join(F.broadcast(pairs.select("from_name", "to_name").distinct()), ["from_name", "to_name"], "left_semi" if keep else "left_anti")
+    return rows.join(small(pairs.select("from_name", "to_name").distinct()), ["from_name", "to_name"], "left_semi" if keep else "left_anti")
 
 
 def barcode_distances(matches: DataFrame, *, barcode: str = "barcode", key: str = "seq_id", word: str = "Barcode") -> DataFrame:

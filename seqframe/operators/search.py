@@ -4,9 +4,9 @@ Matches have seq_id, query_name, position (0-based), length and score. Motifs co
 dictionary or as a table of schema.QUERY; they are a handful of short strings given by
 the caller, so the table is collected once and its size checked.
 
-Exact search and scores of wildcards stay in the JVM. Edit distance, window similarity
-and local alignment are dynamic programs: they run over Arrow batches in numpy, all
-reads of a batch at once, and only over reads that pass a seed filter.
+Scores of wildcards stay in the JVM. Exact search, edit distance, window similarity and
+local alignment run over Arrow batches in numpy. All reads of a slice are one array then, and
+the budgeted search runs its dynamic program in the neighbourhood of seeds only.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqframe.functions.sequence import edit_budget, exact_edit_budget, kmers, occurrences, reverse_complement, wildcard_similarity
+from seqframe.functions.sequence import edit_budget, exact_edit_budget, kmers, reverse_complement, wildcard_similarity
 
 MOST_MOTIFS = 10_000
 _MATCH = "{id} {type}, query_name string, position int, length int, score double"
@@ -38,10 +38,60 @@ def _motif_table(reads: DataFrame, motifs: list[tuple[str, str]]) -> DataFrame:
     return F.broadcast(reads.sparkSession.createDataFrame(motifs, "query_name string, query_seq string"))
 
 
-def exact_matches(reads: DataFrame, queries: DataFrame | Mapping[str, str], *, key: str = "seq_id", seq: str = "seq") -> DataFrame:
-    """All occurrences, overlapping ones too. Score is 1.0."""
-    pairs = reads.select(key, F.col(seq).alias("seq")).crossJoin(_motif_table(reads, motif_rows(queries))).where("length(query_seq) > 0 and contains(seq, query_seq)")
-    return pairs.select(key, "query_name", F.explode(occurrences("seq", F.col("query_seq"))).alias("position"), F.length("query_seq").alias("length"), F.lit(1.0).alias("score"))
+class Text:
+    """Reads one after the other in one array of code points, each followed by a 0."""
+
+    def __init__(self, seqs: list[str]):
+        joined = "\0".join([*seqs, ""])
+        self.codes = np.frombuffer(joined.encode(), np.uint8) if joined.isascii() else np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        size = np.array([len(s) + 1 for s in seqs], np.int64)
+        self.starts = np.cumsum(size) - size
+
+    def places(self, motif: str) -> np.ndarray:
+        """Where the motif begins in the array, in order; a 0 ends every match."""
+        q = np.frombuffer(motif.encode("utf-32-le"), np.uint32)
+        at = np.flatnonzero(self.codes[: max(0, len(self.codes) - len(q))] == q[0])
+        for k in range(1, len(q)):
+            at = at[self.codes[at + k] == q[k]]
+        return at
+
+    def owner(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, at, side="right") - 1
+
+
+def _searched(reads: DataFrame, motifs: list[tuple[str, str]], find, key: str, seq: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Matches by find(text, motif) -> owner, position, length and score of each; the columns in keep are taken along."""
+    kept = [key, *keep]
+    names = [*(f"k{i}" for i in range(len(kept))), "query_name", "position", "length", "score"]
+    types = [reads.select(c).schema[0].dataType.simpleString() for c in kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                text = Text([s or "" for s in part.column(len(kept)).to_pylist()])
+                for name, motif in motifs:
+                    owner, *rest = find(text, motif)
+                    if len(owner):
+                        own = [c.take(pa.array(owner)) for c in part.columns[: len(kept)]]
+                        rest = [pa.array(x, t) for x, t in zip(rest, (pa.int32(), pa.int32(), pa.float64()), strict=True)]
+                        yield pa.RecordBatch.from_arrays([*own, pa.array([name]).take(pa.array(np.zeros(len(owner), np.int64))), *rest], names=names)
+
+    schema = ", ".join(f"k{i} {t}" for i, t in enumerate(types)) + ", query_name string, position int, length int, score double"
+    found = reads.select(*kept, F.col(seq).cast("string").alias("seq")).mapInArrow(run, schema)
+    return found.toDF(*kept, *names[len(kept) :]).select(key, *names[len(kept) :], *keep)
+
+
+def exact_matches(reads: DataFrame, queries: DataFrame | Mapping[str, str], *, key: str = "seq_id", seq: str = "seq", keep: tuple[str, ...] = ()) -> DataFrame:
+    """All occurrences, overlapping ones too. Score is 1.0. Empty motifs match nothing;
+    columns of reads named in keep follow."""
+
+    def find(text: Text, motif: str):
+        at = text.places(motif)
+        owner = text.owner(at)
+        return owner, at - text.starts[owner], np.full(len(at), len(motif)), np.ones(len(at))
+
+    return _searched(reads, [(n, q) for n, q in motif_rows(queries) if q], find, key, seq, keep)
 
 
 def wildcard_scan(reads: DataFrame, queries: DataFrame | Mapping[str, str], threshold: float, *, key: str = "seq_id", seq: str = "seq") -> DataFrame:
@@ -60,46 +110,63 @@ def wildcard_scan(reads: DataFrame, queries: DataFrame | Mapping[str, str], thre
 _BIG = np.int64(1) << 32
 
 
-def _codes(seqs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Reads as a matrix of code points, filled with 0, and their lengths."""
-    n = np.array([len(s) for s in seqs])
-    out = np.zeros((int(n.max(initial=0)), len(seqs)), np.uint32)
-    for k, s in enumerate(seqs):
-        out[: n[k], k] = np.frombuffer(s.encode("utf-32-le"), np.uint32)
-    return out, n
+def _windows(text: Text, motif: str, budget: int) -> np.ndarray:
+    """Where windows of len(motif) + 2 * budget characters begin that together hold every
+    place within the budget: one of budget + 1 pieces of the motif is there unchanged, and
+    not further off than the budget."""
+    m = len(motif)
+    if budget >= m:
+        return np.arange(-2 * budget, len(text.codes), 1)
+    size = -(-m // (budget + 1))
+    starts = [text.places(motif[k : k + size]) - k - budget for k in range(0, m, size)]
+    return np.unique(np.concatenate(starts))
 
 
-def best_locations(seqs: list[str], motif: str, budget: int) -> list[list[tuple[int, int, int]]]:
-    """For each read the places (start, end, distance) of the least edit distance between
-    the motif and any substring, if that is within the budget: one place to each end,
+def best_places(text: Text, motif: str, budget: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Owner, start, end and distance of the places with the least edit distance between the
+    motif and any substring of a read, if that is within the budget: one place to each end,
     with the earliest start. Distance and start share one number, so that the least
-    distance wins and the earliest start breaks ties."""
-    found: list[list[tuple[int, int, int]]] = [[] for _ in seqs]
-    size = -(-len(motif) // (budget + 1))
-    seeds = [motif[k : k + size] for k in range(0, len(motif), size)]  # an edit spoils one of budget + 1 pieces
-    some = [k for k, s in enumerate(seqs) if any(p in s for p in seeds)] if budget < len(motif) else list(range(len(seqs)))
-    some.sort(key=lambda k: len(seqs[k]))
+    distance wins and the earliest start breaks ties. Nothing goes on over the end of a read."""
     q = np.frombuffer(motif.encode("utf-32-le"), np.uint32)
-    for at in range(0, len(some), 512):
-        part = some[at : at + 512]
-        text, n = _codes([seqs[k] for k in part])
-        column = np.arange(len(q) + 1, dtype=np.int64)[:, None] * _BIG + np.zeros((1, len(part)), np.int64)
-        ends = np.empty((len(text) + 1, len(part)), np.int64)
-        ends[0] = column[-1]
-        for j in range(1, len(text) + 1):
-            old = column
-            column = np.empty_like(old)
-            column[0] = j
-            step = np.minimum(old[:-1] + (q[:, None] != text[j - 1]) * _BIG, old[1:] + _BIG)
-            for i in range(1, len(q) + 1):
+    m, reach = len(q), len(q) + 2 * budget
+    every = _windows(text, motif, budget)
+    ends, keys = [], []
+    padded = np.concatenate([np.zeros(reach, np.uint32), text.codes.astype(np.uint32), np.zeros(reach, np.uint32)])
+    up = np.arange(m + 1, dtype=np.int64)[:, None] * _BIG
+    for k in range(0, len(every), 1 << 15):
+        first = every[k : k + (1 << 15)]
+        column = up + np.maximum(first, 0)
+        for j in range(reach):
+            c = padded[first + reach + j]
+            old, column = column, np.empty_like(column)
+            column[0] = np.maximum(first + j + 1, 0)
+            step = np.minimum(old[:-1] + (q[:, None] != c) * _BIG, old[1:] + _BIG)
+            for i in range(1, m + 1):
                 np.minimum(step[i - 1], column[i - 1] + _BIG, out=column[i])
-            ends[j] = column[-1]
-        distance = ends >> np.int64(32)
-        distance[np.arange(len(text) + 1)[:, None] > n[None, :]] = len(q) + 1
-        best = distance.min(axis=0)
-        for c, k in enumerate(part):
-            if best[c] <= budget:
-                found[k] = [(int(ends[j, c] & (_BIG - 1)), int(j), int(best[c])) for j in np.flatnonzero(distance[:, c] == best[c])]
+            border = np.flatnonzero(c == 0)
+            column[:, border] = up + column[0, border]  # starts anew behind it
+            good = np.flatnonzero((column[m] >> np.int64(32) <= budget) & (c != 0))
+            ends.append(first[good] + j + 1)
+            keys.append(column[m, good])
+    end, value = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (ends, keys))
+    order = np.lexsort((value, end))
+    end, value = end[order], value[order]
+    new = np.diff(end, prepend=-1) != 0
+    end, value = end[new], value[new]
+    owner, distance = text.owner(end - 1), value >> np.int64(32)
+    least = np.full(len(text.starts), m + 1)
+    np.minimum.at(least, owner, distance)
+    best = distance == least[owner]
+    owner, end, value = owner[best], end[best], value[best]
+    base = text.starts[owner]
+    return owner, (value & (_BIG - 1)) - base, end - base, value >> np.int64(32)
+
+
+def best_locations(seqs: list[str], motif: str, budget: int) -> list[list[tuple[int, int, int]]]:
+    """best_places() by read: (start, end, distance)."""
+    found: list[list[tuple[int, int, int]]] = [[] for _ in seqs]
+    for o, *place in zip(*(x.tolist() for x in best_places(Text(seqs), motif, budget)), strict=True):
+        found[o].append(tuple(place))
     return found
 
 
@@ -140,10 +207,11 @@ def edit_matches(reads: DataFrame, queries: DataFrame | Mapping[str, str], thres
     budgets = {r["q"]: r["k"] for r in table.select("q", budget.alias("k")).collect()} if motifs else {}
     less = 1 if length_mode == "reference" else 0
 
-    def per_motif(seqs, motif):
-        return [[(a, b - a - less, 1.0 - d / len(motif)) for a, b, d in hits] for hits in best_locations(seqs, motif, budgets[motif])]
+    def find(text: Text, motif: str):
+        owner, start, end, distance = best_places(text, motif, budgets[motif])
+        return owner, start, end - start - less, 1.0 - distance / len(motif)
 
-    return _mapped(reads, motifs, per_motif, key, seq)
+    return _searched(reads, motifs, find, key, seq)
 
 
 def indel_similarity(windows: np.ndarray, motif: np.ndarray) -> np.ndarray:

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqframe.scratch import settled
 from seqframe.operators import cluster, embed, layout, pairs, search, stats
 from seqframe.schema import queries_df
 from seqframe.sources.fastq import read_fasta, read_fastq, write_fasta, write_fastq
@@ -78,7 +79,7 @@ def grid(matches: DataFrame, names: list[str], embeddings: list[str], methods: l
     out = []
     for e in embeddings:
         try:
-            table = embed_and_cluster(matches, names, k, method=e).select("seq_id", "features").persist()
+            table = settled(embed_and_cluster(matches, names, k, method=e).select("seq_id", "features"))
         except Exception as error:  # noqa: BLE001  the grid goes on; the row says what happened
             out.append({"embedding": e, "error": str(error)[:200]})
             continue
@@ -95,7 +96,7 @@ def picture(matches: DataFrame, assigned: DataFrame, queries: DataFrame, method:
 def primer_analysis(spark: SparkSession, fasta: str, primers: Mapping[str, str], threshold: float = 80.0, *, denominator: str = "primer") -> tuple[DataFrame, DataFrame]:
     """The report by sequence and the summary of a FASTA file."""
     rows = read_fasta(spark, fasta).withColumnRenamed("id", "seq_id")
-    aligned = search.local_alignments(rows, primers, denominator=denominator).persist()
+    aligned = settled(search.local_alignments(rows, primers, denominator=denominator))
     return search.primer_report(aligned, threshold), search.primer_summary(aligned, threshold)
 
 

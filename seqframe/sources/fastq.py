@@ -7,7 +7,7 @@ goes by file; over several files rec_no restarts in each and barcode is the file
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,27 +23,29 @@ def _lines(spark: SparkSession, path: str, partitions: int | None = None) -> Dat
 def read_fastq(spark: SparkSession, path: str, *, partitions: int | None = None) -> DataFrame:
     """rec_no (from 0), read_id, description, seq, qual. Records without four lines, or whose
     lines don't begin as they should, raise an error when they are read."""
-    lines = _lines(spark, path, partitions)
+    return fastq_records(_lines(spark, path, partitions))
+
+
+def fastq_records(lines: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The records of numbered lines (no from 0, line), and of several files if `by` names them."""
     at = F.col("no") % 4
-    records = lines.groupBy(F.expr("no div 4").alias("rec_no")).agg(*[F.max(F.when(at == k, F.col("line"))).alias(n) for k, n in enumerate(("head", "seq", "plus", "qual"))])
+    records = lines.groupBy(*by, F.expr("no div 4").alias("rec_no")).agg(*[F.max(F.when(at == k, F.col("line"))).alias(n) for k, n in enumerate(("head", "seq", "plus", "qual"))])
     records = records.where("not (head = '' and seq is null)")
     good = F.col("head").startswith("@") & F.col("plus").startswith("+") & (F.length("seq") == F.length("qual"))
     records = records.withColumn("head", F.when(F.coalesce(good, F.lit(False)), F.col("head")).otherwise(F.raise_error(F.concat(F.lit("not a FASTQ record: "), F.col("rec_no").cast("string")))))
     description = F.substring("head", 2, 1 << 30)
-    return records.select("rec_no", F.split(description, r"\s+")[0].alias("read_id"), description.alias("description"), "seq", "qual")
+    return records.select(*by, "rec_no", F.split(description, r"\s+")[0].alias("read_id"), description.alias("description"), "seq", "qual")
 
 
 def read_fastq_files(spark: SparkSession, pattern: str) -> DataFrame:
     """Many FASTQ files at once: the columns of read_fastq and barcode, the file's name
-    without its ending. Each file is one whole, as they are small; numbers restart."""
+    without its ending. Numbers restart in each. A file is split into lines in one row, so that each
+    should be small; a record that is cut short raises an error as in read_fastq."""
     files = spark.read.text(pattern, wholetext=True).select(F.input_file_name().alias("path"), "value")
     name = F.regexp_extract("path", r"([^/]+?)(?:\.(?:fastq|fq))?$", 1)
-    lines = files.select(name.alias("barcode"), F.filter(F.split("value", r"\r?\n"), lambda x: x.isNotNull()).alias("l"))
-    n = F.floor(F.size("l") / 4)
-    records = lines.select("barcode", "l", F.explode(F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(F.array().cast("array<int>"))).alias("k"))
-    get = lambda k: F.get("l", F.col("k") * 4 + k)
-    head = F.substring(get(0), 2, 1 << 30)
-    return records.select("barcode", F.col("k").cast("long").alias("rec_no"), F.split(head, r"\s+")[0].alias("read_id"), head.alias("description"), get(1).alias("seq"), get(3).alias("qual"))
+    text = F.regexp_replace("value", r"[\r\n]+\z", "")
+    lines = files.where(F.length(text) > 0).select(name.alias("barcode"), F.posexplode(F.split(text, r"\r?\n")).alias("no", "line"))
+    return fastq_records(lines, ("barcode",))
 
 
 def read_fasta(spark: SparkSession, path: str, *, partitions: int | None = None) -> DataFrame:
@@ -70,8 +72,13 @@ def read_fasta(spark: SparkSession, path: str, *, partitions: int | None = None)
     return rows.select("rec_no", F.split(head, r"\s+")[0].alias("id"), head.alias("description"), F.array_join(F.transform(F.slice("l", 2, F.size("l")), lambda x: F.trim(x)), "").alias("seq"))
 
 
+def fastq_line() -> Column:
+    """The four lines of a record."""
+    return F.concat(F.lit("@"), F.coalesce("description", "read_id"), F.lit("\n"), "seq", F.lit("\n+\n"), "qual")
+
+
 def fastq_lines(reads: DataFrame) -> DataFrame:
-    return reads.select(F.concat(F.lit("@"), F.coalesce("description", "read_id"), F.lit("\n"), "seq", F.lit("\n+\n"), "qual").alias("value"))
+    return reads.select(fastq_line().alias("value"))
 
 
 def write_fastq(reads: DataFrame, path: str, *, order: str | None = "rec_no", mode: str = "errorifexists") -> None:
@@ -98,4 +105,4 @@ def empty_reads(spark: SparkSession, schema: T.StructType = READ) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-__all__ = ["FASTA", "READ", "empty_reads", "fastq_lines", "read_fasta", "read_fastq", "read_fastq_files", "seeded_quality", "write_fasta", "write_fastq"]
+__all__ = ["FASTA", "READ", "empty_reads", "fastq_line", "fastq_lines", "fastq_records", "read_fasta", "read_fastq", "read_fastq_files", "seeded_quality", "write_fasta", "write_fastq"]
