@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,7 +36,9 @@ _CACHE_BYTES = 48 << 20  # of an encoder's cache, about
 _ENTRY = 200  # bytes of an entry besides its text and value
 _LONG = 48  # longer texts aren't kept
 _TEXTS = 4 << 20  # bytes of texts that are encoded together
-_MERGED = 1 << 19  # characters of pre-tokens that share a queue, about
+_MERGED = 1 << 20  # characters of pre-tokens that share a queue, about
+_MANY, _SMALL = 64, 16  # entries of a large bucket; so many small ones in a row end the work by buckets
+_SHORT = 256  # bytes of pre-tokens that are merged by buckets, with one entry of each at a time
 
 
 class Recent:
@@ -65,49 +68,90 @@ class Recent:
         return out if long else young
 
 
+class Chain:
+    """A linked list of parts, at first the single bytes of all pre-tokens."""
+
+    def __init__(self, text: bytes, sizes: np.ndarray, starts: np.ndarray, one: np.ndarray, two: np.ndarray):
+        n = len(text)
+        raw = np.frombuffer(text + b"\0", np.uint8).astype(np.int32)
+        self.border = np.zeros(n + 1, np.uint8)  # 1 where a pre-token starts, and at the end
+        self.border[starts] = self.border[n] = 1
+        self.owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        self.after, self.before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        self.token = one[raw[:-1]]  # of the part that starts at i
+        self.pair = np.where(self.border[1:] == 1, -1, two[raw[:-1] << 8 | raw[1:]]).astype(np.int32)  # rank of the part at i with the next one; -1: none, or no part starts here
+
+
+class Queue:
+    """Buckets of positions by rank under a hierarchical bitmap: `top` has a bit for each
+    word of `words`, a word has a bit for each of 256 ranks."""
+
+    def __init__(self, most: int):
+        self.words, self.top, self.buckets = [0] * ((most >> _BITS) + 1), 0, {}
+
+    def least(self) -> int:
+        """Find-first-set on both levels; -1 if nothing waits."""
+        if not self.top:
+            return -1
+        high = (self.top & -self.top).bit_length() - 1
+        return (high << _BITS) | ((self.words[high] & -self.words[high]).bit_length() - 1)
+
+    def push(self, at: np.ndarray, ranks: np.ndarray) -> int:
+        """Positions wait at their ranks (-1: they don't). Returns the least rank."""
+        some = np.flatnonzero(ranks >= 0)
+        if not len(some):
+            return 1 << 62
+        some = some[np.argsort(ranks[some], kind="stable")]
+        at, ranks = at[some], ranks[some]
+        cuts = [0, *(np.flatnonzero(np.diff(ranks)) + 1).tolist(), len(ranks)]
+        for r, x, y in zip(ranks[cuts[:-1]].tolist(), cuts[:-1], cuts[1:], strict=True):
+            if (held := self.buckets.get(r)) is not None:
+                held.append(at[x:y])
+            else:
+                self.buckets[r] = [at[x:y]]
+                self.words[r >> _BITS] |= 1 << (r & _LOW)
+                self.top |= 1 << (r >> _BITS)
+        return int(ranks[0])
+
+    def drop(self, r: int) -> None:
+        high = r >> _BITS
+        if r not in self.buckets:
+            self.words[high] &= ~(1 << (r & _LOW))
+            if not self.words[high]:
+                self.top &= ~(1 << high)
+
+
 class Encoder:
     """Encodes by a table from byte strings to ranks."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.split = regex.compile(pattern)
-        self.one = np.array([ranks.get(bytes([a]), 0) for a in range(256)], np.int64)
-        self.two = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], np.int64)
+        self.one = np.array([ranks.get(bytes([a]), 0) for a in range(256)], np.int32)
+        self.two = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], np.int32)
+        made = sorted((get_a << 32 | get_b, r) for t, r in ranks.items() for k in range(1, len(t)) if (get_a := ranks.get(t[:k])) is not None and (get_b := ranks.get(t[k:])) is not None)
+        self.pairs, self.pair_ranks = np.array([x for x, _ in made], np.int64), np.array([x for _, x in made], np.int32)
         #: Ids of stretches that follow a space, by what follows it.
         self.known = Recent()
 
     def merge(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of pre-tokens, as little-endian unsigned 32-bit integers. All share
-        one linked list, in which nothing crosses the border of a pre-token, and one queue:
-        `top` has a bit for each word of `words`, a word has a bit for each of 256 ranks, a
-        bucket has the positions that wait at a rank. The ranks of a pre-token come up in
-        the same order as if it were alone: the least of all that wait is its least too,
-        and within a bucket the leftmost goes first."""
-        get, known = self.ranks.get, self.two
+        one linked list, in which nothing crosses the border of a pre-token, and one queue.
+        The ranks of a pre-token come up in the same order as if it were alone: the least of
+        all that wait is its least too, and within a bucket the leftmost goes first."""
         text = b"".join(pieces)
         n = len(text)
         sizes = np.array([len(p) for p in pieces])
         starts = np.cumsum(sizes) - sizes
-        border = bytearray(n + 1)  # 1 where a pre-token starts, and at the end
-        for i in [*starts.tolist(), n]:
-            border[i] = 1
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        token = self.one[np.frombuffer(text, np.uint8)].tolist()  # of the part that starts at i
-        raw = np.frombuffer(text + b"\0", np.uint8).astype(np.int64)
-        first = known[raw[:-1] << 8 | raw[1:]]
-        first[starts[1:] - 1] = -1
-        first[n - 1 :] = -1
-        pair = first.tolist()  # rank of the part at i with the next one; -1: none, or no part starts here
-        order = np.argsort(first, kind="stable")
-        order = order[np.searchsorted(first[order], 0) :]
-        waits = first[order]
-        turns = [0, *(np.flatnonzero(np.diff(waits)) + 1).tolist(), len(waits)]
-        order, waits = order.tolist(), waits.tolist()
-        buckets = {waits[x]: order[x:y] for x, y in zip(turns[:-1], turns[1:]) if x < y}
-        words, top = [0] * ((max(self.ranks.values(), default=0) >> _BITS) + 1), 0
-        for r in buckets:
-            words[r >> _BITS] |= 1 << (r & _LOW)
-            top |= 1 << (r >> _BITS)
+        queue = Queue(max(self.ranks.values(), default=0))
+        chain = Chain(text, sizes, starts, self.one, self.two)
+        queue.push(np.arange(n), chain.pair)
+        if int(sizes.max(initial=0)) <= _SHORT:
+            self._merge_many(chain, queue)
+        border = bytes(chain.border)
+        after, before, token, pair = (array("i", x.tobytes()) for x in (chain.after, chain.before, chain.token, chain.pair))
+        buckets = {r: np.concatenate(x).tolist() for r, x in queue.buckets.items()}
+        get, words, top = self.ranks.get, queue.words, queue.top
         while top:
             high = (top & -top).bit_length() - 1
             bit = words[high] & -words[high]
@@ -165,6 +209,44 @@ class Encoder:
         ids = np.array(out, "<u4").tobytes()
         return [ids[x:y] for x, y in zip(cuts, [*cuts[1:], len(ids)])]
 
+    def _merge_many(self, chain: Chain, queue: Queue) -> None:
+        """The same steps for whole buckets at a time, as long as these are large: of each
+        pre-token the leftmost entry, then the next, unless a lower rank has come up."""
+        after, before, pair, token, border = chain.after, chain.before, chain.pair, chain.token, chain.border
+        small = 0
+        while small < _SMALL and (r := queue.least()) >= 0:
+            bucket = np.concatenate(queue.buckets.pop(r))
+            small = 0 if len(bucket) >= _MANY else small + 1
+            wait = np.sort(bucket[pair[bucket] == r])  # the others are stale
+            least = r
+            while len(wait) and least == r:
+                new = np.diff(chain.owner[wait], prepend=-1) != 0
+                i, wait = wait[new], wait[~new]
+                j = after[i]
+                k = after[j]
+                after[i], token[i], pair[j] = k, r, -1
+                right = border[k] == 0
+                before[k[right]] = i[right]
+                ahead = np.full(len(i), -1, np.int32)
+                ahead[right] = self._rank(r, token[k[right]])
+                pair[i] = ahead
+                left = before[i[border[i] == 0]]
+                behind = self._rank(token[left], r)
+                pair[left] = behind
+                least = min(least, queue.push(np.concatenate([i, left]), np.concatenate([ahead, behind])))
+                wait = wait[pair[wait] == r]
+            if len(wait):
+                queue.buckets[r] = [wait]
+            else:
+                queue.drop(r)
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of tokens, -1 for none."""
+        keys = np.int64(a) << 32 | b if np.isscalar(a) else a.astype(np.int64) << 32 | b
+        at = np.searchsorted(self.pairs, keys)
+        at[at == len(self.pairs)] = 0
+        return np.where(self.pairs[at] == keys, self.pair_ranks[at], -1).astype(np.int32) if len(self.pairs) else np.full(len(keys), -1, np.int32)
+
     def chunks(self, text: str) -> list[str]:
         """The text in stretches that no pre-token crosses: none goes on from a character
         that isn't space to a space, so that a text can be cut before each run of space."""
@@ -189,8 +271,12 @@ class Encoder:
         """The ids of stretches, and of their pre-tokens."""
         parts = {c: [c] if PLAIN.fullmatch(c) else self.split.findall(c) for c in chunks}
         asked = set().union(*parts.values())
-        made = {p: got for p in asked if (got := self.known.young.get(p)) is not None}
-        rest = list(asked.difference(made))
+        young, old = self.known.young, self.known.old
+        made = {p: got for p in asked if (got := young.get(p) or old.get(p))}
+        rest = sorted(asked.difference(made), key=len)
+        long = [p for p in rest if len(p) > _SHORT // 4]
+        rest = rest[: len(rest) - len(long)]
+        made.update(zip(long, self.merge([p.encode() for p in long])) if long else ())
         turn = np.cumsum([len(p) for p in rest]) // _MERGED
         for k in range(int(turn[-1]) + 1 if rest else 0):
             some = rest[np.searchsorted(turn, k) : np.searchsorted(turn, k, side="right")]
