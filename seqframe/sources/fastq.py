@@ -1,29 +1,44 @@
 """FASTQ and FASTA in and out.
 
 FASTQ of four lines a record is read as text with line numbers: record = line div 4, so
-that quality lines that begin with @ do no harm and files split anywhere. Numbering
-goes by file; over several files rec_no restarts in each and barcode is the file's name.
+that quality lines that begin with @ do no harm and files split anywhere. Lines are
+numbered by the split they come from: the lines of each split are counted, which is one number to a
+split, and a line's number is its place in the split after all splits before. Both passes are plain text scans in the
+JVM. Numbering goes by file; over several files rec_no restarts in each and barcode is the file's name.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqframe.schema import FASTA, READ
+from seqframe.scratch import small
 
 
-def _lines(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
-    """no, line: numbered lines of one file (or of files in the order of names)."""
-    rows = spark.sparkContext.textFile(path, partitions).zipWithIndex().map(lambda x: (x[1], x[0].rstrip("\r")))
-    return spark.createDataFrame(rows, "no long, line string")
+def _splits(spark: SparkSession, path: str) -> DataFrame:
+    """file, at (where the split begins), i (growing with the place in the split), line."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("i"), "value")
+    return rows.select("file", "at", "i", F.rtrim("value", F.lit("\r")).alias("line"))
 
 
-def read_fastq(spark: SparkSession, path: str, *, partitions: int | None = None) -> DataFrame:
+def _before(splits: DataFrame, count: Column, name: str) -> DataFrame:
+    """file, at, first (the least i), name: what count adds up to in all splits before. A row to a split."""
+    counts = splits.groupBy("file", "at").agg(F.min("i").alias("first"), count.alias("__n"))
+    return small(counts.select("file", "at", "first", F.coalesce(F.sum("__n").over(Window.orderBy("file", "at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(name)))
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """no, line: numbered lines of one file (or of the files of a folder in the order of names)."""
+    splits = _splits(spark, path)
+    return splits.join(_before(splits, F.count("*"), "before"), ["file", "at"]).select((F.col("before") + F.col("i") - F.col("first")).alias("no"), "line")
+
+
+def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """rec_no (from 0), read_id, description, seq, qual. Records without four lines, or whose
     lines don't begin as they should, raise an error when they are read."""
-    return fastq_records(_lines(spark, path, partitions))
+    return fastq_records(_lines(spark, path))
 
 
 def fastq_records(lines: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -48,26 +63,15 @@ def read_fastq_files(spark: SparkSession, pattern: str) -> DataFrame:
     return fastq_records(lines, ("barcode",))
 
 
-def read_fasta(spark: SparkSession, path: str, *, partitions: int | None = None) -> DataFrame:
+def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """rec_no (from 0), id, description, seq. Sequences may run over many lines, and a
-    record over many partitions: each partition's headers are counted first, then every
-    line knows its record."""
-    lines = spark.sparkContext.textFile(path, partitions).zipWithIndex()
-    heads = lines.mapPartitionsWithIndex(lambda k, rows: [(k, sum(line.startswith(">") for line, _ in rows))]).collectAsMap()  # a number to a partition
-    before, total = {}, 0
-    for k in sorted(heads):
-        before[k] = total
-        total += heads[k]
-
-    def numbered(k, rows):
-        n = before[k] - 1
-        for line, no in rows:
-            n += line.startswith(">")
-            if n >= 0:
-                yield n, no, line.rstrip("\r")
-
-    rows = spark.createDataFrame(lines.mapPartitionsWithIndex(numbered), "rec_no long, no long, line string")
-    rows = rows.groupBy("rec_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("no", "line"))), lambda x: x["line"]).alias("l"))
+    record over many splits: each split's headers are counted first, then every
+    line knows its record. What stands before the first header is left out."""
+    splits = _splits(spark, path).withColumn("head", F.startswith("line", F.lit(">")).cast("int"))
+    so_far = F.sum("head").over(Window.partitionBy("file", "at").orderBy("i"))
+    lines = splits.withColumn("own", so_far).join(_before(splits, F.sum("head"), "before"), ["file", "at"])
+    lines = lines.select((F.col("before") + F.col("own") - 1).alias("rec_no"), "file", "at", "i", "line").where("rec_no >= 0")
+    rows = lines.groupBy("rec_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("file", "at", "i", "line"))), lambda x: x["line"]).alias("l"))
     head = F.substring(F.col("l")[0], 2, 1 << 30)
     return rows.select("rec_no", F.split(head, r"\s+")[0].alias("id"), head.alias("description"), F.array_join(F.transform(F.slice("l", 2, F.size("l")), lambda x: F.trim(x)), "").alias("seq"))
 

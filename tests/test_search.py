@@ -51,8 +51,17 @@ def test_exact_search(spark):
     assert sorted(r.position for r in search.exact_matches(reads, {"t": "TTTT"}).collect()) == [0, 1, 2, 3]
 
 
+def test_matches_end_with_their_read(spark):
+    """Neither search goes over from a read to the next one; columns are taken along."""
+    reads = spark.createDataFrame([("a", "GGAC", "x"), ("b", "GTGG", None), ("c", "ACGT", "y"), ("d", "éACGTé", "z")], "seq_id string, seq string, query_name string").coalesce(1)
+    got = search.exact_matches(reads.withColumnRenamed("query_name", "tag"), {"m": "ACGT", "none": "", "e": "é"}, keep=("tag",)).collect()
+    assert sorted((r.seq_id, r.query_name, r.position, r.tag) for r in got) == [("c", "m", 0, "y"), ("d", "e", 0, "z"), ("d", "e", 5, "z"), ("d", "m", 1, "z")]
+    assert search.best_locations(["GGAC", "GTGG", "GAC"], "ACGT", 1) == [[], [], []]
+    assert search.best_locations(["GGACG", "CGTGG"], "ACGT", 1) == [[(2, 5, 1)], [(0, 3, 1)]]
+
+
 def test_peaks():
-    assert search.peaks(np.array([0.95, 0.95, 0.95, 0.95, 0.925, 0.9, 0.875])) == []
+    assert search.peaks(np.array([0.8, 0.8, 0.7, 0.6])) == []  # a plateau at the edge is none
     assert search.peaks(np.array([0, 1, 1, 1, 0, 2, 0.0])) == [2, 5]
     assert search.peaks(np.array([0, 1, 0, 2, 0.0]), apart=3) == [3]
     assert search.peaks(np.array([0, 1, 0, 0, 1, 2, 3, 2, 1, 0.0]), width=2) == [6]

@@ -49,3 +49,9 @@ def test_query_sets(spark):
     assert with_reverse({"L": "AACG"}) == {"L": "AACG", "RCL": "CGTT"}
     assert parse_primers(["P=acgr"]) == {"P": "ACGR", "RC_P": "YCGT"}
     assert [tuple(r) for r in queries_df(spark, {"b": "AC", "a": "GT"}).orderBy("query_idx").collect()] == [(0, "b", "AC"), (1, "a", "GT")]
+
+
+def test_strings_of_different_lengths_have_nothing_in_common(spark):
+    rows = [("ACG", "ACGT"), ("ACG", "ACT"), ("A*G", "ATG"), ("", ""), ("**", "AC"), (None, "A")]
+    got = column(spark, rows, "a string, b string", S.wildcard_similarity("a", "b"))
+    assert [round(x, 9) for x in got] == [0.0, round(2 / 3, 9), 1.0, 0.0, 0.0, 0.0]

@@ -9,11 +9,22 @@ from seqframe.sources import fastq, tables
 from seqframe.streaming import matches as streaming
 
 
+def with_splits(spark, size):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+@pytest.fixture(autouse=True)
+def usual_splits(spark):
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_fastq_round_trip(spark, tmp_path):
     path = tmp_path / "a.fastq"
     path.write_text("".join(f"@r{i} note {i}\nACGT{'A' * i}\n+\n@III{'#' * i}\n" for i in range(25)))
-    for parts in (1, 5):
-        reads = fastq.read_fastq(spark, str(path), partitions=parts).orderBy("rec_no").collect()
+    for size in ("128m", "64"):
+        with_splits(spark, size)
+        reads = fastq.read_fastq(spark, str(path)).orderBy("rec_no").collect()
         assert [(r.rec_no, r.read_id, r.description, r.seq, r.qual) for r in reads] == [(i, f"r{i}", f"r{i} note {i}", "ACGT" + "A" * i, "@III" + "#" * i) for i in range(25)]
     fastq.write_fastq(fastq.read_fastq(spark, str(path)), str(tmp_path / "out"))
     again = fastq.read_fastq(spark, str(tmp_path / "out"))
@@ -28,11 +39,24 @@ def test_broken_fastq_is_an_error(spark, tmp_path):
         fastq.read_fastq(spark, str(tmp_path / "b.fastq")).collect()
 
 
+@pytest.mark.parametrize("rest", ["@s\n", "@s\nAC\n", "@s\nAC\n+\n", "@s\nAC\n+\nI\n", "s\nAC\n+\nII\n"])
+def test_broken_records_of_many_files(spark, tmp_path, rest):
+    """A record that is cut short is an error in both readers; nothing is dropped."""
+    (tmp_path / "c.fastq").write_text("@r\nACGT\n+\nIIII\n" + rest)
+    for read in (fastq.read_fastq, fastq.read_fastq_files):
+        with pytest.raises(Exception, match="not a FASTQ record"):
+            read(spark, str(tmp_path / "c.fastq")).collect()
+    (tmp_path / "d.fastq").write_text("@r\r\nACGT\r\n+\r\nIIII\r\n\r\n")
+    (tmp_path / "e.fastq").write_text("")
+    assert [tuple(r) for r in fastq.read_fastq_files(spark, str(tmp_path / "[de].fastq")).collect()] == [("d", 0, "r", "r", "ACGT", "IIII")]
+
+
 def test_fasta_round_trip(spark, tmp_path):
     path = tmp_path / "a.fasta"
     path.write_text(">a one\nACGT\nAC\n>b\n\n>c\nGG\n")
-    for parts in (1, 3):
-        assert [tuple(r) for r in fastq.read_fasta(spark, str(path), partitions=parts).orderBy("rec_no").collect()] == [(0, "a", "a one", "ACGTAC"), (1, "b", "b", ""), (2, "c", "c", "GG")]
+    for size in ("128m", "7"):
+        with_splits(spark, size)
+        assert [tuple(r) for r in fastq.read_fasta(spark, str(path)).orderBy("rec_no").collect()] == [(0, "a", "a one", "ACGTAC"), (1, "b", "b", ""), (2, "c", "c", "GG")]
     rows = spark.createDataFrame([(0, "x", "A" * 130)], "rec_no long, read_id string, seq string")
     fastq.write_fasta(rows, str(tmp_path / "o"))
     text = "".join(p.read_text() for p in (tmp_path / "o").glob("part*"))
@@ -51,6 +75,23 @@ def test_table_files(spark, tmp_path):
     assert [list(r.features) for r in tables.read_vectors(spark, str(tmp_path / "v.txt")).collect()] == [[1.0, 2.5], [3.0, 4.0]]
 
 
+def test_pixels_spread(spark):
+    grid = spark.createDataFrame([(0, 0, 5), (3, 3, 2)], "px int, py int, n long")
+    got = {(r.px, r.py): r.n for r in layout.spread(grid, 1).collect()}
+    assert got == {**{(x, y): 5 for x in (0, 1) for y in (0, 1)}, **{(x, y): 2 for x in (2, 3, 4) for y in (2, 3, 4)}}
+
+
+def test_large_clusters_are_dealt(spark, monkeypatch):
+    """Farthest points of parts of bounded size; small clusters give what they gave as a whole."""
+    table, _ = blobs(spark)
+    table = table.withColumn("cluster", F.lit(0)).unionByName(table.select(F.concat(F.lit("q"), "seq_id").alias("seq_id"), "features").withColumn("cluster", F.lit(1)))
+    whole = {tuple(r) for r in cluster.compress(table, 10).collect()}
+    assert len(whole) == 36
+    monkeypatch.setattr(cluster, "MOST", 50)
+    parts = cluster.compress(table, 10).groupBy("cluster").count().collect()
+    assert all(10 <= r["count"] <= 22 for r in parts) and len(parts) == 2
+
+
 def blobs(spark, n=60):
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(c, 0.3, (n, 2)) for c in ((0, 0), (6, 0), (0, 6))])
