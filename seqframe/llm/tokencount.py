@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from seqframe.llm.bpe import Recent
 from seqframe.llm.common import kind_of, slices, text_of
 
-_CACHE_BYTES = 24 << 20  # of each of two caches, about
-_VERDICTS = 200_000  # entries after which the cache of verdicts is emptied
+_CACHE_BYTES = 128 << 20  # of each of two caches, about
+_VERDICTS = 400_000  # entries after which the cache of verdicts is emptied
 _TEXTS = 4 << 20  # bytes of texts that are counted together
 
 
