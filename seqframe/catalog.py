@@ -9,6 +9,7 @@ Every query reads its whole tables and whole reads.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 from seqframe.functions import sequence as S
 from seqframe.operators import cluster, embed, layout, motif, pairs, search, stats
 from seqframe.schema import neighbour_rules, primer_rules, queries_df
-from seqframe.sources import fastq
+from seqframe.scratch import shared_dir
+from seqframe.sources import fastq, tables
 
 MOTIFS = {"Left": "ACGT", "Right": "GATC", "RCLeft": "CTAG", "RCRight": "TACA", "Barcode1": "GGCA"}
 NAMES = sorted(MOTIFS)
@@ -96,19 +98,39 @@ def motif_stats(spark, sf_dir):
     return stats.motif_statistics(matches_of(spark, sf_dir)).withColumn("std_pos", F.round("std_pos", 6))
 
 
-EDITED = {"M10": "ACGTGATCCT", "M12": "GATCACGTCTAG"}
+EDITED = {"M8": "TTATTAGC", "M12": "GATCACGTCTAG"}
 _EDITED = "m(query_name, q) AS (VALUES " + ", ".join(f"('{n}', '{q}')" for n, q in EDITED.items()) + ")"
 
 
 @query(f"""WITH {_READS}, {_EDITED}, b AS (SELECT *, CAST(floor(length(q) * (1.0::DOUBLE - 0.85::DOUBLE)) AS INTEGER) AS k FROM m),
 s AS (SELECT seq_id, seq, unnest(range(length(seq))) AS i FROM reads), w AS (SELECT query_name, q, k, unnest(range(length(q) - k, length(q) + k + 1)) AS l FROM b),
-c AS (SELECT seq_id, query_name, q, i, i + l AS j, levenshtein(substring(seq, i + 1, l), q) AS d FROM s, w WHERE i + l <= length(seq) AND levenshtein(substring(seq, i + 1, l), q) <= k),
-e AS (SELECT *, min(d) OVER (PARTITION BY seq_id, query_name) AS best FROM c)
+c AS (SELECT seq_id, query_name, q, k, i, i + l AS j, levenshtein(substring(seq, i + 1, l), q) AS d FROM s, w WHERE i + l <= length(seq)),
+e AS (SELECT *, min(d) OVER (PARTITION BY seq_id, query_name) AS best FROM c WHERE d <= k)
 SELECT seq_id, query_name, CAST(min(i) AS INTEGER) AS position, CAST(j - min(i) AS INTEGER) AS length, 1.0::DOUBLE - d::DOUBLE / length(q) AS score FROM e WHERE d = best GROUP BY seq_id, query_name, q, j, d""")
 def motif_edit(spark, sf_dir):
     return search.edit_matches(reads_of(spark, sf_dir), EDITED, 0.85)
 
 
+@query()
+def motif_window_apart(spark, sf_dir):
+    return search.window_matches(reads_of(spark, sf_dir), {"M10": "ACGTGATCCT"}, 0.7, pick="distance")
+
+
+@query()
+def primer_detected(spark, sf_dir):
+    """By read: the primers' hits, and those at or over 60 percent."""
+    return search.primer_report(_aligned(spark, sf_dir), 60.0)
+
+
+@query()
+def primer_share(spark, sf_dir):
+    return search.primer_summary(_aligned(spark, sf_dir), 60.0)
+
+
+def _aligned(spark, sf_dir):
+    return search.local_alignments(reads_of(spark, sf_dir), {"Left": "ACGTGATCCTAGTACA", "Right": "GATCACGTCTAG"})
+
+
 @query()
 def motif_window(spark, sf_dir):
     return search.window_matches(reads_of(spark, sf_dir), {"M10": "ACGTGATCCT"}, 0.9)
@@ -116,7 +138,7 @@ def motif_window(spark, sf_dir):
 
 @query()
 def primer_alignment(spark, sf_dir):
-    return search.local_alignments(reads_of(spark, sf_dir), {"Left": "ACGTGATCCTAGTACA", "Right": "GATCACGTCTAG"})
+    return _aligned(spark, sf_dir)
 
 
 @query("""WITH w AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM documents)
@@ -306,6 +328,83 @@ def fastq_round_trip(spark, sf_dir):
     return fastq.fastq_records(lines.select(((F.col("rec").cast("long") - 1) * 4 + F.col("k")).alias("no"), "line"))
 
 
+def _folder(spark) -> str:
+    return f"{shared_dir(spark)}/seqframe-{uuid.uuid4().hex}"
+
+
+_NAMED = f"WITH {_READS}, named AS (SELECT row_number() OVER (ORDER BY seq_id) - 1 AS rec_no, 'r' || seq_id AS read_id, seq FROM reads WHERE seq <> '')"
+
+
+def _numbered_reads(spark, sf_dir):
+    reads = reads_of(spark, sf_dir).where("seq <> ''").select("seq_id", F.concat(F.lit("r"), F.col("seq_id").cast("string")).alias("read_id"), "seq", F.col("seq").alias("qual"))
+    return pairs.numbered(reads, ["seq_id"], "n").withColumns({"rec_no": F.col("n").cast("long") - 1, "description": F.col("read_id")})
+
+
+@query(f"{_NAMED} SELECT rec_no, read_id, read_id AS description, seq, seq AS qual FROM named")
+def fastq_files(spark, sf_dir):
+    """Reads written as FASTQ and read back, in order."""
+    path = _folder(spark)
+    fastq.write_fastq(_numbered_reads(spark, sf_dir), path)
+    return fastq.read_fastq(spark, path)
+
+
+@query(f"{_NAMED} SELECT rec_no, read_id AS id, read_id AS description, seq FROM named")
+def fasta_files(spark, sf_dir):
+    path = _folder(spark)
+    fastq.write_fasta(_numbered_reads(spark, sf_dir), path)
+    return fastq.read_fasta(spark, path)
+
+
+@query(f"WITH {_MATCHES} SELECT seq_id::VARCHAR AS seq_id, query_name, position, length::SMALLINT AS length, score::FLOAT AS score FROM matches")
+def match_files(spark, sf_dir):
+    path = _folder(spark)
+    tables.write_matches(matches_of(spark, sf_dir), path)
+    return tables.read_matches(spark, path)
+
+
+@query(f"WITH {_MATCHES} SELECT seq_id, query_name, position, length FROM matches")
+def csv_files(spark, sf_dir):
+    path = _folder(spark)
+    tables.write_csv(matches_of(spark, sf_dir).select("seq_id", "query_name", "position", "length"), path)
+    return tables.read_csv(spark, path, "seq_id long, query_name string, position int, length int")
+
+
+@query(f"WITH {_MATCHES} SELECT query_name, count(*) AS n, min(position) AS first FROM matches GROUP BY 1")
+def report_files(spark, sf_dir):
+    """Reports are JSON lines."""
+    path = _folder(spark)
+    found = matches_of(spark, sf_dir).groupBy("query_name").agg(F.count("*").alias("n"), F.min("position").alias("first"))
+    tables.write_report(found, path)
+    return spark.read.schema("query_name string, n long, first int").json(path)
+
+
+_LONG_VECTORS = "SELECT vec_id, CAST(k AS INTEGER) AS k, v FROM (SELECT vec_id, unnest({v}) AS v, unnest(range(len(embedding))) AS k FROM embeddings)"
+
+
+@query(_LONG_VECTORS.format(v="list_transform(embedding, lambda e: e::DOUBLE)"))
+def embedding_files(spark, sf_dir):
+    """Embeddings as columns e0, e1, ... of Parquet, and as arrays again."""
+    path, rows = _folder(spark), features_of(spark, sf_dir)
+    size = rows.agg(F.max(F.size("features"))).first()[0] or 0
+    tables.write_embeddings(tables.wide(rows, size, key="vec_id"), path)
+    return tables.narrow(spark.read.parquet(path), key="vec_id").select("vec_id", F.posexplode("features").alias("k", "v"))
+
+
+@query(f"SELECT CAST(k AS INTEGER) AS k, v, count(*) AS n FROM ({_LONG_VECTORS.format(v='list_transform(embedding, lambda e: (round(e::DOUBLE, 3) + 0.0::DOUBLE)::FLOAT)')}) GROUP BY 1, 2")
+def vector_files(spark, sf_dir):
+    """Vectors as lines of text. They have no keys, so that values are counted by place."""
+    path = _folder(spark)
+    features_of(spark, sf_dir).select(F.concat_ws(", ", F.transform("features", lambda x: (F.round(x, 3) + F.lit(0.0)).cast("string"))).alias("value")).write.text(path)
+    return tables.read_vectors(spark, path).select(F.posexplode("features").alias("k", "v")).groupBy("k", "v").agg(F.count("*").alias("n"))
+
+
+@query("SELECT vec_id, label AS cluster FROM embeddings")
+def cluster_files(spark, sf_dir):
+    path = _folder(spark)
+    tables.write_clusters(features_of(spark, sf_dir), path, key="vec_id")
+    return tables.read_csv(spark, f"{path}/csv", "vec_id long, cluster int").join(spark.read.parquet(f"{path}/parquet").select("vec_id", "cluster"), ["vec_id", "cluster"])
+
+
 @query(f"WITH {_MATCHES} SELECT seq_id, CAST(row_number() OVER (ORDER BY seq_id) AS VARCHAR) AS n FROM (SELECT DISTINCT seq_id FROM matches)")
 def distinct_reads(spark, sf_dir):
     """Ids of the reads with matches, and their place in order."""
@@ -488,6 +587,27 @@ def word2vec_tokens(spark, sf_dir):
     return embed.embed_tokens(sequences, embed.word_model(sequences))
 
 
+def _named(spark, sf_dir):
+    matches = matches_of(spark, sf_dir)
+    return matches, embed.word_model(embed.name_sequences(matches), size=16)
+
+
+@query()
+def word2vec_names(spark, sf_dir):
+    matches, model = _named(spark, sf_dir)
+    return embed.embed_tokens(embed.name_sequences(matches), model)
+
+
+@query()
+def positional_embedding(spark, sf_dir):
+    return embed.embed_positional(*_named(spark, sf_dir))
+
+
+@query()
+def weighted_embedding(spark, sf_dir):
+    return embed.embed_weighted(*_named(spark, sf_dir))
+
+
 @query()
 def kmer_frequencies(spark, sf_dir):
     return embed.kmer_frequencies(reads_of(spark, sf_dir), 3)
@@ -609,6 +729,17 @@ def ward_pipeline(spark, sf_dir):
     return cluster.pipeline(features_of(spark, sf_dir).drop("cluster"), 10, key="vec_id")
 
 
+@query()
+def compressed_reads(spark, sf_dir):
+    return cluster.compress_reads(stats.features(matches_of(spark, sf_dir), NAMES), 100)
+
+
+@query()
+def kmeans_of_components(spark, sf_dir):
+    """k-means after a reduction to principal components."""
+    return cluster.kmeans(embed.components(features_of(spark, sf_dir).drop("cluster"), 8), 10, key="vec_id")[0]
+
+
 @query()
 def ward_large_tier(spark, sf_dir):
     """The tier of Ward for many points: clusters of a reduction, labels for all."""

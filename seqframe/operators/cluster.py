@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from seqframe.functions.sequence import distance
 from seqframe.operators.pairs import numbered
-from seqframe.operators.stats import sample_of
+from seqframe.operators.stats import sample_of, standardized
 from seqframe.scratch import settled
 
 MOST = 5_000
@@ -566,6 +566,19 @@ def compress(table: DataFrame, target: int = 100, *, key: str = "seq_id", spread
     return near.unionByName(chosen.groupBy("cluster", "part").applyInPandas(pick, f"{key} {kind}, cluster int"))
 
 
+def compress_reads(features: DataFrame, target: int = 100, *, key: str = "seq_id") -> DataFrame:
+    """key, cluster, n_reads of one read to a cluster: features (as of stats.features) are
+    standardized, clustered by Ward into at most `target`, and of each cluster the read nearest to
+    the centre stands for n_reads. Up to target reads each is its own cluster."""
+    names = [c for c in features.columns if c != key]
+    table = settled(standardized(features, names).select(key, F.array(*names).alias("features")))
+    if table.count() <= target:
+        return numbered(table.select(key), [key], "n").select(key, (F.col("n").cast("int") - 1).alias("cluster"), F.lit(1).cast("long").alias("n_reads"))
+    labelled = table.join(ward_tiered(table, target, key=key), key)
+    sizes = labelled.groupBy("cluster").agg(F.count("*").alias("n_reads"))
+    return nearest_to_centroid(labelled, key=key).join(sizes, "cluster").select(key, "cluster", "n_reads")
+
+
 def silhouettes(table: DataFrame, *, key: str = "seq_id", block: int | None = None) -> DataFrame:
     """key, cluster, silhouette with Euclidean distances, exact; 0 in clusters of one;
     noise left out."""

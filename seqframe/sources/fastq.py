@@ -98,6 +98,12 @@ def write_fasta(reads: DataFrame, path: str, *, key: str = "read_id", width: int
     rows.select(F.concat(F.lit(">"), F.col(key), F.lit("\n"), seq).alias("value")).write.mode(mode).text(path)
 
 
+def write_cluster_fastq(reads: DataFrame, assigned: DataFrame, path: str, *, key: str = "seq_id", mode: str = "errorifexists") -> None:
+    """FASTQ parts of each cluster in a folder of its own, path/cluster=N; noise (-1) is left out."""
+    rows = reads.join(assigned.where("cluster >= 0").select(key, "cluster"), key)
+    rows.select("cluster", fastq_line().alias("value")).write.mode(mode).partitionBy("cluster").text(path)
+
+
 def seeded_quality(reads: DataFrame, *, low: int = 20, high: int = 40, seed: int = 42, key: str = "seq_id") -> DataFrame:
     """Reads with a quality string of numbers between low and high that depend on read,
     place and seed."""
@@ -109,4 +115,4 @@ def empty_reads(spark: SparkSession, schema: T.StructType = READ) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-__all__ = ["FASTA", "READ", "empty_reads", "fastq_line", "fastq_lines", "fastq_records", "read_fasta", "read_fastq", "read_fastq_files", "seeded_quality", "write_fasta", "write_fastq"]
+__all__ = ["FASTA", "READ", "empty_reads", "fastq_line", "fastq_lines", "fastq_records", "read_fasta", "read_fastq", "read_fastq_files", "seeded_quality", "write_cluster_fastq", "write_fasta", "write_fastq"]

@@ -23,6 +23,25 @@ def test_word_vectors_have_the_references_size(spark):
     assert len(catalog.QUERIES["word2vec_tokens"](spark, SF).first().features) == 64
 
 
+def test_every_read_has_its_stand_in(spark):
+    got = catalog.QUERIES["compressed_reads"](spark, SF).collect()
+    reads = catalog.matches_of(spark, SF).select("seq_id").distinct().count()
+    assert sum(r.n_reads for r in got) == reads and len(got) == len({r.cluster for r in got}) == min(reads, 100)
+    few = catalog.cluster.compress_reads(catalog.stats.features(catalog.matches_of(spark, SF), catalog.NAMES), 10_000).collect()
+    assert {r.n_reads for r in few} == {1} and sorted(r.cluster for r in few) == list(range(reads))
+
+
+def test_clusters_as_fastq(spark, tmp_path):
+    from seqframe.sources import fastq
+
+    reads = catalog._numbered_reads(spark, SF)
+    assigned = reads.select("seq_id", (F.col("seq_id") % 3 - 1).cast("int").alias("cluster"))
+    fastq.write_cluster_fastq(reads, assigned, str(tmp_path / "c"))
+    for k in (0, 1):
+        back = fastq.read_fastq(spark, str(tmp_path / "c" / f"cluster={k}"))
+        assert sorted(r.read_id for r in back.collect()) == sorted(r.read_id for r in reads.where(f"seq_id % 3 = {k + 1}").collect())
+
+
 def test_vectors_are_clustered_themselves(spark, monkeypatch):
     seen = []
     tiered = catalog.cluster.ward_tiered
