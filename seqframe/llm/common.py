@@ -8,7 +8,6 @@ from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -141,6 +140,8 @@ def passes(docs: DataFrame, keys: DataFrame):
 
     @F.pandas_udf("boolean")
     def passes(bit):
+        import pandas as pd  # here, so that workers of other functions do without its memory
+
         b = bit.to_numpy(dtype=np.int64, na_value=0)
         t = sent.value
         return pd.Series((t[b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 1)
