@@ -4,13 +4,17 @@ Letters lose their case, nothing else is folded; a text begins after spaces. The
 model below the first order is that over all of Unicode, so that the probabilities after
 any context sum to one there.
 
-Documents are packed into blocks of about BLOCK symbols in the order in which they come,
-as compressed Arrow data beside the block's distinct grams, and written once. Grams of trusted texts
+Documents are dealt into blocks of about BLOCK symbols in the order in which they are read,
+and a block's distinct grams are listed. Grams of trusted texts
 are counted by task and added up by gram; the lower orders count distinct left
 neighbours. What is asked (the distinct grams of all blocks) meets the count tables in
-joins sharded by gram or context, from the first order to the last. A block's log
-probabilities then meet its documents, which stream past them. Nothing but the counts of
+joins sharded by gram or context, from the first order to the last. The log
+probabilities go back to their blocks, packed by task and block; there the block's documents, read a second
+time and sent as compressed Arrow data, stream past them. So texts are shuffled once and never written. Nothing but the counts of
 counts goes to the driver, and no table is broadcast; a task holds the distinct grams of one block.
+
+The two readings must give the same rows in the same order, as scans of files do; otherwise a gram is
+missing from its block and the job stops with an error.
 """
 
 from __future__ import annotations
@@ -20,14 +24,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqframe.llm.common import cut, slices
 
 ORDER, SIGNS = 4, 0x110000
-BLOCK = 1 << 21
+BLOCK = 1 << 23
 _CHUNK = 1 << 19  # bytes of text in a packed row, about
 _COUNTED = 1 << 20  # distinct grams after which a task hands on its counts
 _PAD = np.full(ORDER - 1, ord(" "), np.int64)
@@ -68,8 +72,8 @@ def tally(parts: list[np.ndarray]) -> tuple[list[str], np.ndarray]:
 class Table:
     """Log probabilities of a block's grams."""
 
-    def __init__(self, grams: list[str], logp: np.ndarray):
-        c = np.frombuffer("".join(grams).encode("utf-32-le"), "<u4").astype(np.int64).reshape(-1, ORDER)
+    def __init__(self, grams: str, logp: np.ndarray):
+        c = np.frombuffer(grams.encode("utf-32-le"), "<u4").astype(np.int64).reshape(-1, ORDER)
         a, b = c[:, 0] << 21 | c[:, 1], c[:, 2] << 21 | c[:, 3]
         self.pairs = np.unique(np.concatenate([a, b]))
         g = np.searchsorted(self.pairs, a) * len(self.pairs) + np.searchsorted(self.pairs, b)
@@ -80,8 +84,13 @@ class Table:
         """The log probability of a text all of whose grams are in the table."""
         total = 0.0
         for s in pieces(text):
-            at = np.searchsorted(self.pairs, _pairs(s))
-            total += float(self.logp[np.searchsorted(self.grams, at[:-2] * len(self.pairs) + at[2:])].sum())
+            pair = _pairs(s)
+            at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+            g = at[:-2] * len(self.pairs) + at[2:]
+            where = np.minimum(np.searchsorted(self.grams, g), len(self.grams) - 1)
+            if (self.pairs[at] != pair).any() or (self.grams[where] != g).any():
+                raise ValueError("a document isn't in the block that it was listed in: its table changed between two readings")
+            total += float(self.logp[where].sum())
         return total
 
 
@@ -109,34 +118,69 @@ def count_grams(texts: DataFrame, text: str = "text") -> DataFrame:
     return texts.select(text).mapInArrow(_count, "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c"))
 
 
-_PACKED = "block long, docs binary, grams array<string>"
-_TYPES = pa.schema([("block", pa.int64()), ("docs", pa.binary()), ("grams", pa.list_(pa.string()))])
+_LISTED = "block long, grams array<string>"
+_PACKED = "block long, docs binary"
 _DOCS = pa.schema([("id", pa.int64()), ("lang", pa.string()), ("text", pa.string())])
 
 
-def _pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, number, filled = TaskContext.get().partitionId() << 32, 0, 0
-    seen: set[str] = set()
-
-    def listed() -> Iterator[pa.RecordBatch]:
-        grams = list(seen)
-        for k in range(0, len(grams), _ROWS):
-            yield pa.RecordBatch.from_arrays([pa.array([part | number], pa.int64()), pa.nulls(1, pa.binary()), pa.array([grams[k : k + _ROWS]], pa.list_(pa.string()))], schema=_TYPES)
-        seen.clear()
-
+def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, list[np.ndarray], bool]]:
+    """Block, some rows of it, their symbols, and whether the block ends with them."""
+    block, filled, before = None, 0, None
     for some in slices(batches, 2, _CHUNK):
+        block = some.column(3)[0].as_py() << 32 if block is None else block
         held = [s for text in some.column(2).to_pylist() for s in pieces(text)]
+        if before is not None:
+            yield *before, False
+        filled += sum(map(len, held))
+        before = block, some, held
+        if filled >= BLOCK:
+            yield *before, True
+            block, filled, before = block + 1, 0, None
+    if before is not None:
+        yield *before, True
+
+
+def _list(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set[str] = set()
+    for block, _, held, last in _blocks(batches):
         for k in range(0, len(held), 1 << 12):
             seen.update(tally(held[k : k + (1 << 12)])[0])
+        if last:
+            grams = list(seen)
+            for k in range(0, len(grams), _ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([grams[k : k + _ROWS]], pa.list_(pa.string()))], names=["block", "grams"])
+            seen.clear()
+
+
+def _pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block, some, _, _ in _blocks(batches):
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, _DOCS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
-            stream.write_batch(pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(some.columns, _DOCS.types, strict=True)], schema=_DOCS))
-        yield pa.RecordBatch.from_arrays([pa.array([part | number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.nulls(1, _TYPES.types[2])], schema=_TYPES)
-        filled += sum(map(len, held))
-        if filled >= BLOCK:
-            yield from listed()
-            number, filled = number + 1, 0
-    yield from listed()
+            stream.write_batch(pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(some.columns[:3], _DOCS.types, strict=True)], schema=_DOCS))
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "docs"])
+
+
+def _gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """block, gram, logp row by row -> a row to a block of what the task has of it."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        rows = rows.take(pa.compute.sort_indices(rows, sort_keys=[("block", "ascending")])).combine_chunks()
+        block, grams, logp = rows["block"].to_numpy(), rows["gram"].to_pylist(), rows["logp"].to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array([block[x]]), pa.array(["".join(grams[x:y])]), pa.array([logp[x:y].tobytes()], pa.binary())], names=["block", "grams", "logp"])
+
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= 1 << 19:
+            yield from out()
+            held, size = [], 0
+    if size:
+        yield from out()
 
 
 def kneser_ney(counts: DataFrame, asked: DataFrame) -> DataFrame:
@@ -171,35 +215,33 @@ def kneser_ney(counts: DataFrame, asked: DataFrame) -> DataFrame:
 def _score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     block, table = None, None
     grams: list[str] = []
-    logp: list[np.ndarray] = []
+    logp: list[bytes] = []
     for batch in batches:
-        blocks, is_doc = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-        turns = np.flatnonzero((np.diff(blocks) != 0) | (np.diff(is_doc.astype(int)) != 0)) + 1
-        for a, b in zip([0, *turns], [*turns, len(blocks)], strict=True):
-            part = batch.slice(a, b - a)
-            if blocks[a] != block:
-                block, table, grams, logp = blocks[a], None, [], []
-            if not is_doc[a]:
-                grams += part.column(3).to_pylist()
-                logp.append(part.column(4).to_numpy())
+        for one in range(batch.num_rows):
+            now, is_doc, packed, g, l = (batch.column(c)[one] for c in range(5))
+            if now.as_py() != block:
+                block, table, grams, logp = now.as_py(), None, [], []
+            if not is_doc.as_py():
+                grams.append(g.as_py())
+                logp.append(l.as_py())
                 continue
-            if table is None and grams:
-                table, grams = Table(grams, np.concatenate(logp)), []
-            for packed in part.column(2):
-                docs = pa.ipc.open_stream(packed.as_buffer()).read_all().combine_chunks()
-                worth = [float(np.exp(-table.score(t) / size_of(t))) if t else None for t in docs["text"].to_pylist()]
-                for rows in pa.table([docs["id"], docs["lang"], pa.array(worth, pa.float64())], names=["id", "lang", "perplexity"]).to_batches():
-                    yield rows
+            if table is None:
+                table = Table("".join(grams), np.frombuffer(b"".join(logp)))
+            docs = pa.ipc.open_stream(packed.as_buffer()).read_all().combine_chunks()
+            worth = [float(np.exp(-table.score(t) / size_of(t))) if t else None for t in docs["text"].to_pylist()]
+            yield from pa.table([docs["id"], docs["lang"], pa.array(worth, pa.float64())], names=["id", "lang", "perplexity"]).to_batches()
 
 
 def perplexities(docs: DataFrame, counts: DataFrame) -> DataFrame:
     """Columns: id, lang, perplexity (per code point; null for empty texts). docs: id long,
     lang string, text string not null; counts: of trusted texts, by count_grams()."""
-    packed, _ = cut(docs.select("id", "lang", "text").mapInArrow(_pack, _PACKED))
-    listed = packed.where("grams is not null").select("block", F.explode("grams").alias("gram"))
+    docs = docs.select("id", "lang", "text", F.spark_partition_id().cast("long").alias("part"))
+    listed, _ = cut(docs.mapInArrow(_list, _LISTED))
+    listed = listed.select("block", F.explode("grams").alias("gram"))
     found = kneser_ney(counts, listed)
+    known = listed.join(found.hint("merge"), "gram").select("block", "gram", F.log("p").alias("logp")).mapInArrow(_gather, "block long, grams string, logp binary")
     none = lambda kind: F.lit(None).cast(kind)
-    known = listed.join(found.hint("merge"), "gram").select("block", F.lit(False).alias("is_doc"), none("binary").alias("docs"), "gram", F.log("p").alias("logp"))
-    rows = packed.where("docs is not null").select("block", F.lit(True).alias("is_doc"), "docs", none("string").alias("gram"), none("double").alias("logp"))
+    known = known.select("block", F.lit(False).alias("is_doc"), none("binary").alias("docs"), "grams", "logp")
+    rows = docs.mapInArrow(_pack, _PACKED).select("block", F.lit(True).alias("is_doc"), "docs", none("string").alias("grams"), none("binary").alias("logp"))
     met = known.unionByName(rows).repartition("block").sortWithinPartitions("block", "is_doc")
     return met.mapInArrow(_score, "id long, lang string, perplexity double")

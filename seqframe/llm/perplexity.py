@@ -6,8 +6,9 @@ documents, chosen by a hash of their key, is held out from the counts; the thres
 quantiles of these, by language. A document is kept if it is at most the threshold of its
 language; a language without held-out documents takes the threshold of all.
 
-Trusted keys may be few or many: a bitmap of fixed size keeps most other texts from being
-shuffled on the way to the counts, and the join by key decides. Quantiles are of Spark's
+Trusted keys may be few or many: a bitmap of fixed size lets trusted documents pass and few
+others, whose keys are found by a join of keys and taken out again; with far more keys than bits
+these others are many and Spark shuffles the texts to take them out. Quantiles are of Spark's
 approximate kind, within one part in 10,000 of the ranks, for bounded memory.
 
 Null and empty texts have perplexity null and aren't kept. Null lang is a language of
@@ -39,9 +40,11 @@ def classify(docs: DataFrame, trusted_keys: DataFrame, *, key: str = "doc_id", t
     good = trusted_keys.select(F.col(key).alias("id")).where("id is not null").distinct()
     rows = docs.select(F.col(key).alias("id"), F.col(lang).cast("string").alias("lang"), text_of(text).alias("text"))
     learn = good.where(~held_out("id"))
-    # Merged at every size: were few keys broadcast, the shuffle would set in all at once.
-    texts = rows.select("id", "text").where(passes(rows, learn)).join(learn.hint("merge"), "id")
-    counts, _ = cut(codepoints.count_grams(texts))
+    learn, _ = cut(learn)
+    # The bitmap lets all of these pass and few others, whose ids alone are sorted out: so the texts stay where they are.
+    some = passes(rows, learn)
+    others, _ = cut(rows.select("id").where(some).join(learn.hint("merge"), "id", "left_anti").distinct())
+    counts, _ = cut(codepoints.count_grams(rows.select("id", "text").where(some).join(others, "id", "left_anti")))
     scored, _ = cut(codepoints.perplexities(rows, counts))
     known = scored.where("perplexity is not null").join(good.where(held_out("id")), "id")
     border = F.percentile_approx("perplexity", quantile, 10_000)
