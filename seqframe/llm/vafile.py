@@ -5,7 +5,8 @@ dimension's range, which one aggregation over all vectors finds. It is written o
 query bounds its product with any candidate from both sides by the candidate's cells.
 
 1. Scan: blocks of queries meet blocks of cells. Of a block a query keeps what may still
-   reach its k best: all candidates whose upper bound is not below the k-th lower bound.
+   reach its k best: all candidates whose upper bound is not below the k-th lower bound
+   (of equal vectors those with the k smallest ids: the others score the same and come later).
 2. The k-th lower bound over all blocks thins these out.
 3. Exact vectors are read in the order of upper bounds: first those of the leading
    candidates, then those whose upper bound still reaches the k-th exact score. What
@@ -111,7 +112,11 @@ def _scan(k: int, bits: int):
             return _NEAR.empty_table()
         dim = asking["dim"][0].as_py()
         qid, qh, xid, xh = (x.to_numpy() for x in (asking["id"], asking["h"], rows["id"], rows["h"]))
-        new = np.unique(np.stack([xid, xh]), axis=1, return_index=True)[1]  # repeated rows are in the same block
+        # Repeated rows are in the same block. Of equal vectors only the k smallest ids, and the query's own, can matter.
+        new = np.unique(np.stack([xh, xid]), axis=1, return_index=True)[1]
+        first = np.flatnonzero(np.diff(xh[new], prepend=xh[new[0]] - 1) != 0)
+        nth = np.arange(len(new)) - np.repeat(first, np.diff(np.append(first, len(new))))
+        new = new[nth <= k]
         xid, xh = xid[new], xh[new]
         cell = np.frombuffer(b"".join(rows["cells"].to_pylist()), np.uint8).reshape(-1, dim)[new]
         q = _matrix(asking["v"].combine_chunks(), dim).astype(np.float64)

@@ -100,6 +100,14 @@ def test_bounds_hold():
         assert (low <= q @ x.T).all() and (q @ x.T <= high).all() and len(np.unique(cell)) == 8
 
 
+def test_top_k_of_equal_vectors(spark):
+    """A vector that many rows share: ties go to the smaller ids, in every block."""
+    rows = [(i, [1.0, 2.0]) for i in range(150)] + [(i, [0.0, 1.0]) for i in range(150, 160)] + [(200, [3.0, 3.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for fit_rows in ((16_384, 4_096), (20, 2)):
+        assert {tuple(r) for r in vafile.top_k(table, F.col("vec_id") % 50 == 0, fit_rows=fit_rows).collect()} == exact_top(rows, 5, 2)
+
+
 def test_top_k_beyond_exact_doubles(spark):
     """The same method for large numbers; extra columns may have the names used within."""
     rng = np.random.default_rng(2)
