@@ -108,8 +108,10 @@ def test_blobs_come_apart(spark, method):
     table, _ = blobs(spark, 20)
     got = {r.seq_id: r.cluster for r in cluster.cluster(table, method, 3).collect()}
     labels = [got[f"p{i:03d}"] for i in range(60)]
-    if method in ("kmeans", "hierarchical"):
+    if method in ("kmeans", "hierarchical", "birch"):
         assert same_partition(labels, 20)
+    else:  # these may find more clusters, but none that has points of two blobs
+        assert all(len({i // 20 for i in range(60) if labels[i] == c}) == 1 for c in set(labels))
     assert len(labels) == 60 and min(labels) >= -1
     with pytest.raises(ValueError):
         cluster.cluster(table, "none of these", 3)
@@ -122,6 +124,14 @@ def test_density_methods():
         assert labels[-1] == -1 and same_partition(labels.tolist(), 30)
 
 
+def test_bandwidth_and_preference():
+    """With parameters that fit the blobs both methods find just these."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(c, 0.3, (20, 2)) for c in ((0, 0), (6, 0), (0, 6))])
+    assert same_partition(cluster.mean_shift(x, 2.0).tolist(), 20)
+    assert same_partition(cluster.leaders(x, 2.0, 3).tolist(), 20)
+
+
 def test_ward_heights_and_brute_force():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(25, 3))
