@@ -32,7 +32,7 @@ from seqframe.llm.common import kind_of, slices, text_of
 
 _BITS = 8  # 256 ranks share a lower word of the bitmap
 _LOW = (1 << _BITS) - 1
-_CACHE_BYTES = 48 << 20  # of an encoder's cache, about
+_CACHE_BYTES = 96 << 20  # of an encoder's cache, about
 _ENTRY = 200  # bytes of an entry besides its text and value
 _LONG = 48  # longer texts aren't kept
 _TEXTS = 4 << 20  # bytes of texts that are encoded together
