@@ -33,7 +33,7 @@ from seqframe.llm.common import cut, slices
 ORDER, SIGNS = 4, 0x110000
 BLOCK = 1 << 23
 _CHUNK = 1 << 19  # bytes of text in a packed row, about
-_COUNTED = 1 << 20  # distinct grams after which a task hands on its counts
+_COUNTED = 1 << 18  # distinct grams after which a task hands on its counts
 _PAD = np.full(ORDER - 1, ord(" "), np.int64)
 _ROWS = 1 << 16
 
@@ -103,7 +103,7 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(grams[k : k + _ROWS], pa.string()), pa.array(counts[k : k + _ROWS], pa.int64())], names=["gram", "c"])
         seen.clear()
 
-    for part in slices(batches, 0, BLOCK):
+    for part in slices(batches, 0, 2 * _CHUNK):
         held = [s for text in part.column(0).to_pylist() for s in pieces(text)]
         for k in range(0, len(held), 1 << 12):
             grams, count = tally(held[k : k + (1 << 12)])
