@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqframe.llm import bpe, decontaminate, extract, langid, perplexity, secrets, simhash, substrings, tokencount, vafile
+from seqframe.llm import align, bpe, decontaminate, extract, fim, langid, perplexity, secrets, simhash, substrings, tokencount, urlfilter, vafile
 from seqframe.llm.oracle import ORACLE_SQL  # noqa: F401
 
 
@@ -70,4 +70,22 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(c.alias(n) for n, c in count.items()), F.sha2(base, 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_repeated_substrings, op4_top_k, op5_language_id, op6_main_text, op7_byte_bpe, op8_quality, op9_simhash, op10_secrets)}
+#: Fixed values of op11's contract.
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
+    return urlfilter.judge(_table(spark, sf_dir, "pages"), rules)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.rearrange(fim.pack(_table(spark, sf_dir, "documents")), seed=42, rate=50, spm=80))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = align.align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_repeated_substrings, op4_top_k, op5_language_id, op6_main_text, op7_byte_bpe, op8_quality, op9_simhash, op10_secrets, op11_url_filter, op12_fill_in_middle, op13_alignment)}
