@@ -111,6 +111,32 @@ def motif_edit(spark, sf_dir):
     return search.edit_matches(reads_of(spark, sf_dir), EDITED, 0.85)
 
 
+def _starts(spark, sf_dir, table, size):
+    """The first letters of each text, as a table of motifs named after themselves."""
+    letters = F.translate(F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")), _ALPHABET, _BASES)
+    rows = _table(spark, sf_dir, table).select(F.substring(letters, 1, size).alias("query_name")).where(F.length("query_name") == size).distinct()
+    return rows.select("query_name", F.col("query_name").alias("query_seq"), F.xxhash64("query_name").alias("query_idx"))
+
+
+@query(f"""WITH {_READS}, {_PLACES}, m AS (SELECT DISTINCT substring(seq, 1, 20) AS q FROM reads WHERE length(seq) >= 20)
+SELECT seq_id, q AS query_name, CAST(i AS INTEGER) AS position, 20 AS length, 1.0::DOUBLE AS score FROM (SELECT seq_id, i, substring(seq, i + 1, 20) AS q FROM places) JOIN m USING (q)""")
+def motif_many_exact(spark, sf_dir):
+    """The beginning of every read is a motif: as many motifs as reads."""
+    return search.exact_matches(reads_of(spark, sf_dir), _starts(spark, sf_dir, "documents", 20))
+
+
+@query(f"""WITH {_READS}, {_PLACES}, b AS (SELECT translate(lower(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), '{_ALPHABET}', '{_BASES}') AS seq FROM benchmark),
+m AS (SELECT DISTINCT substring(seq, 1, 15) AS q FROM b WHERE length(seq) >= 15), p AS (SELECT q, 0 AS off, substring(q, 1, 7) AS w FROM m UNION ALL SELECT q, 7, substring(q, 8, 8) FROM m),
+h AS (SELECT seq_id, seq, q, i - off AS diag FROM places JOIN p ON substring(seq, i + 1, 7) = w AND off = 0 UNION SELECT seq_id, seq, q, i - off FROM places JOIN p ON substring(seq, i + 1, 8) = w AND off = 7),
+c AS (SELECT DISTINCT seq_id, q, diag + x.s AS i, diag + 15 + y.s AS j, seq FROM h, (VALUES (-1), (0), (1)) x(s), (VALUES (-1), (0), (1)) y(s)),
+d AS (SELECT seq_id, q, i, j, levenshtein(substring(seq, i + 1, j - i), q) AS d FROM c WHERE i >= 0 AND j <= length(seq)),
+e AS (SELECT *, min(d) OVER (PARTITION BY seq_id, q) AS best FROM d WHERE d <= 1)
+SELECT seq_id, q AS query_name, CAST(min(i) AS INTEGER) AS position, CAST(j - min(i) AS INTEGER) AS length, 1.0::DOUBLE - d::DOUBLE / 15 AS score FROM e WHERE d = best GROUP BY seq_id, q, j, d""")
+def motif_many_edit(spark, sf_dir):
+    """The beginning of every benchmark item is a motif, found with one edit."""
+    return search.edit_matches(reads_of(spark, sf_dir), _starts(spark, sf_dir, "benchmark", 15), 0.9)
+
+
 @query()
 def motif_window_apart(spark, sf_dir):
     return search.window_matches(reads_of(spark, sf_dir), {"M10": "ACGTGATCCT"}, 0.7, pick="distance")

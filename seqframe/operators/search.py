@@ -1,81 +1,86 @@
 """Motif search: a theta join of reads and a small set of motifs that yields matches.
 
 Matches have seq_id, query_name, position (0-based), length and score. Motifs come as a
-dictionary or as a table of schema.QUERY; they are a handful of short strings given by
-the caller, so the table is collected once and its size checked.
+dictionary or as a table of schema.QUERY, and are searched for in blocks of bounded size,
+of which most sets have one: a block goes to every task, and all its motifs are found in
+one pass over the reads (seeds.py).
 
 Scores of wildcards stay in the JVM. Exact search, edit distance, window similarity and
-local alignment run over Arrow batches in numpy. All reads of a slice are one array then, and
-the budgeted search runs its dynamic program in the neighbourhood of seeds only.
+local alignment run over Arrow batches in numpy. All reads of a slice are one text then.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqframe.functions.sequence import edit_budget, exact_edit_budget, kmers, reverse_complement, wildcard_similarity
+from seqframe.operators.seeds import Automaton, Budgeted, Text
 
-MOST_MOTIFS = 10_000
+_BLOCK = 1 << 20  # letters of motifs that are searched for together, about
+_SLICE = 1 << 21  # letters of reads that are one text
+_ROWS = 1 << 17  # of an output batch
 _MATCH = "{id} {type}, query_name string, position int, length int, score double"
 
 
-def motif_rows(queries: DataFrame | Mapping[str, str]) -> list[tuple[str, str]]:
-    """Names and sequences in order."""
-    if isinstance(queries, Mapping):
-        return list(queries.items())
-    rows = queries.orderBy("query_idx").select("query_name", "query_seq").limit(MOST_MOTIFS + 1).collect()
-    if len(rows) > MOST_MOTIFS:
-        raise ValueError(f"more than {MOST_MOTIFS} motifs")
-    return [(r[0], r[1]) for r in rows]
+def motif_blocks(queries: DataFrame | Mapping[str, str]) -> Iterator[list[tuple[str, str]]]:
+    """Names and sequences in order, in blocks of bounded size; one empty block if there are none.
+    A table of motifs comes to the driver block by block."""
+    rows = queries.items() if isinstance(queries, Mapping) else queries.orderBy("query_idx").select("query_name", "query_seq").toLocalIterator()
+    block, size, any_block = [], 0, False
+    for name, motif in rows:
+        if size and size + len(motif or "") > _BLOCK:
+            yield block
+            block, size, any_block = [], 0, True
+        block.append((name, motif or ""))
+        size += len(motif or "") + 16
+    if block or not any_block:
+        yield block
 
 
-def _motif_table(reads: DataFrame, motifs: list[tuple[str, str]]) -> DataFrame:
-    return F.broadcast(reads.sparkSession.createDataFrame(motifs, "query_name string, query_seq string"))
+def _by_block(queries: DataFrame | Mapping[str, str], search: Callable[[list[tuple[str, str]]], DataFrame]) -> DataFrame:
+    """One pass over the reads for each block of motifs."""
+    return reduce(DataFrame.unionAll, map(search, motif_blocks(queries)))
 
 
-class Text:
-    """Reads one after the other in one array of code points, each followed by a 0."""
-
-    def __init__(self, seqs: list[str]):
-        joined = "\0".join([*seqs, ""])
-        self.codes = np.frombuffer(joined.encode(), np.uint8) if joined.isascii() else np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        size = np.array([len(s) + 1 for s in seqs], np.int64)
-        self.starts = np.cumsum(size) - size
+def _motif_table(reads: DataFrame, motifs: list[tuple[str, str]]) -> DataFrame:
+    """To be broadcast: a block has a bounded size."""
+    return F.broadcast(reads.sparkSession.createDataFrame(motifs, "query_name string, query_seq string"))
 
-    def places(self, motif: str) -> np.ndarray:
-        """Where the motif begins in the array, in order; a 0 ends every match."""
-        q = np.frombuffer(motif.encode("utf-32-le"), np.uint32)
-        at = np.flatnonzero(self.codes[: max(0, len(self.codes) - len(q))] == q[0])
-        for k in range(1, len(q)):
-            at = at[self.codes[at + k] == q[k]]
-        return at
 
-    def owner(self, at: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.starts, at, side="right") - 1
+def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Runs of reads with about _SLICE letters in all; one read at least."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        turn = np.cumsum(sizes) // _SLICE
+        cuts = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a < b:
+                yield batch.slice(a, b - a)
 
 
-def _searched(reads: DataFrame, motifs: list[tuple[str, str]], find, key: str, seq: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Matches by find(text, motif) -> owner, position, length and score of each; the columns in keep are taken along."""
+def _searched(reads: DataFrame, motifs: list[tuple[str, str]], finder: Callable, key: str, seq: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Matches by finder(), called once a task: it gives a function from a text to motif, owner,
+    position, length and score of each match. The columns in keep are taken along."""
     kept = [key, *keep]
     names = [*(f"k{i}" for i in range(len(kept))), "query_name", "position", "length", "score"]
     types = [reads.select(c).schema[0].dataType.simpleString() for c in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                text = Text([s or "" for s in part.column(len(kept)).to_pylist()])
-                for name, motif in motifs:
-                    owner, *rest = find(text, motif)
-                    if len(owner):
-                        own = [c.take(pa.array(owner)) for c in part.columns[: len(kept)]]
-                        rest = [pa.array(x, t) for x, t in zip(rest, (pa.int32(), pa.int32(), pa.float64()), strict=True)]
-                        yield pa.RecordBatch.from_arrays([*own, pa.array([name]).take(pa.array(np.zeros(len(owner), np.int64))), *rest], names=names)
+        find, called = finder(), pa.array([n for n, _ in motifs], pa.string())
+        for part in _slices(batches, len(kept)):
+            found = find(Text([s or "" for s in part.column(len(kept)).to_pylist()]))
+            for k in range(0, len(found[0]), _ROWS):
+                motif, owner, *rest = (x[k : k + _ROWS] for x in found)
+                own = [c.take(pa.array(owner)) for c in part.columns[: len(kept)]]
+                rest = [pa.array(x, t) for x, t in zip(rest, (pa.int32(), pa.int32(), pa.float64()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*own, called.take(pa.array(motif)), *rest], names=names)
 
     schema = ", ".join(f"k{i} {t}" for i, t in enumerate(types)) + ", query_name string, position int, length int, score double"
     found = reads.select(*kept, F.col(seq).cast("string").alias("seq")).mapInArrow(run, schema)
@@ -83,53 +88,54 @@ def _searched(reads: DataFrame, motifs: list[tuple[str, str]], find, key: str, s
 
 
 def exact_matches(reads: DataFrame, queries: DataFrame | Mapping[str, str], *, key: str = "seq_id", seq: str = "seq", keep: tuple[str, ...] = ()) -> DataFrame:
-    """All occurrences, overlapping ones too. Score is 1.0. Empty motifs match nothing;
-    columns of reads named in keep follow."""
+    """All occurrences, overlapping ones too, of any number of motifs in one pass. Score is
+    1.0. Empty motifs match nothing; columns of reads named in keep follow."""
+
+    def search(block: list[tuple[str, str]]) -> DataFrame:
+        motifs = [(n, q) for n, q in block if q]
+
+        def finder():
+            machine = Automaton([q for _, q in motifs])
+            size = np.array([len(q) for _, q in motifs], np.int64)
+
+            def find(text: Text) -> tuple:
+                motif, at = machine.find(text)
+                owner = text.owner(at)
+                return motif, owner, at - text.starts[owner], size[motif], np.ones(len(at))
+
+            return find
 
-    def find(text: Text, motif: str):
-        at = text.places(motif)
-        owner = text.owner(at)
-        return owner, at - text.starts[owner], np.full(len(at), len(motif)), np.ones(len(at))
+        return _searched(reads, motifs, finder, key, seq, keep)
 
-    return _searched(reads, [(n, q) for n, q in motif_rows(queries) if q], find, key, seq, keep)
+    return _by_block(queries, search)
 
 
 def wildcard_scan(reads: DataFrame, queries: DataFrame | Mapping[str, str], threshold: float, *, key: str = "seq_id", seq: str = "seq") -> DataFrame:
     """Every window with wildcard similarity of at least the threshold; * skips."""
-    motifs = motif_rows(queries)
-    out = None
-    for m in sorted({len(q) for _, q in motifs if q}):
-        windows = reads.select(key, F.posexplode(kmers(seq, m)).alias("position", "w"))
-        rows = windows.crossJoin(_motif_table(reads, [x for x in motifs if len(x[1]) == m]))
-        rows = rows.withColumn("score", wildcard_similarity("w", "query_seq")).where(F.col("score") >= threshold)
-        rows = rows.select(key, "query_name", "position", F.lit(m).alias("length"), "score")
-        out = rows if out is None else out.union(rows)
-    return out if out is not None else reads.select(key, F.lit("").alias("query_name"), F.lit(0).alias("position"), F.lit(0).alias("length"), F.lit(0.0).alias("score")).limit(0)
 
+    def search(motifs: list[tuple[str, str]]) -> DataFrame:
+        out = reads.select(key, F.lit("").alias("query_name"), F.lit(0).alias("position"), F.lit(0).alias("length"), F.lit(0.0).alias("score")).limit(0)
+        for m in sorted({len(q) for _, q in motifs if q}):
+            windows = reads.select(key, F.posexplode(kmers(seq, m)).alias("position", "w"))
+            rows = windows.crossJoin(_motif_table(reads, [x for x in motifs if len(x[1]) == m]))
+            rows = rows.withColumn("score", wildcard_similarity("w", "query_seq")).where(F.col("score") >= threshold)
+            out = out.union(rows.select(key, "query_name", "position", F.lit(m).alias("length"), "score"))
+        return out
 
-_BIG = np.int64(1) << 32
+    return _by_block(queries, search)
 
 
-def _windows(text: Text, motif: str, budget: int) -> np.ndarray:
-    """Where windows of len(motif) + 2 * budget characters begin that together hold every
-    place within the budget: one of budget + 1 pieces of the motif is there unchanged, and
-    not further off than the budget."""
-    m = len(motif)
-    if budget >= m:
-        return np.arange(-2 * budget, len(text.codes), 1)
-    size = -(-m // (budget + 1))
-    starts = [text.places(motif[k : k + size]) - k - budget for k in range(0, m, size)]
-    return np.unique(np.concatenate(starts))
+_BIG = np.int64(1) << 32
 
 
 def best_places(text: Text, motif: str, budget: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Owner, start, end and distance of the places with the least edit distance between the
     motif and any substring of a read, if that is within the budget: one place to each end,
-    with the earliest start. Distance and start share one number, so that the least
+    with the earliest start. Looks everywhere, for budgets that leave no piece of a motif. Distance and start share one number, so that the least
     distance wins and the earliest start breaks ties. Nothing goes on over the end of a read."""
     q = np.frombuffer(motif.encode("utf-32-le"), np.uint32)
     m, reach = len(q), len(q) + 2 * budget
-    every = _windows(text, motif, budget)
+    every = np.arange(-2 * budget, len(text.codes))
     ends, keys = [], []
     padded = np.concatenate([np.zeros(reach, np.uint32), text.codes.astype(np.uint32), np.zeros(reach, np.uint32)])
     up = np.arange(m + 1, dtype=np.int64)[:, None] * _BIG
@@ -162,10 +168,24 @@ def best_places(text: Text, motif: str, budget: int) -> tuple[np.ndarray, np.nda
     return owner, (value & (_BIG - 1)) - base, end - base, value >> np.int64(32)
 
 
+def _placed(motifs: list[str], budgets: list[int]) -> Callable[[Text], tuple]:
+    """A function from a text to motif, owner, start, end and distance of the best places."""
+    seeded = Budgeted(motifs, budgets)
+
+    def find(text: Text) -> tuple:
+        found = [seeded.find(text)]
+        for k in seeded.loose:
+            owner, *rest = best_places(text, motifs[k], budgets[k])
+            found.append((np.full(len(owner), k), owner, *rest))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    return find
+
+
 def best_locations(seqs: list[str], motif: str, budget: int) -> list[list[tuple[int, int, int]]]:
-    """best_places() by read: (start, end, distance)."""
+    """By read the best places of a motif: (start, end, distance)."""
     found: list[list[tuple[int, int, int]]] = [[] for _ in seqs]
-    for o, *place in zip(*(x.tolist() for x in best_places(Text(seqs), motif, budget)), strict=True):
+    for _, o, *place in zip(*(x.tolist() for x in _placed([motif], [budget])(Text(seqs))), strict=True):
         found[o].append(tuple(place))
     return found
 
@@ -200,18 +220,27 @@ def edit_matches(reads: DataFrame, queries: DataFrame | Mapping[str, str], thres
     characters covered, 'reference' one fewer, as it is stored there."""
     if length_mode not in ("span", "reference"):
         raise ValueError(f"no length mode {length_mode!r}")
-    motifs = [(n, q) for n, q in motif_rows(queries) if q]
-    spark = reads.sparkSession
-    table = spark.createDataFrame(motifs, "n string, q string")
     budget = (exact_edit_budget if exact_budget else edit_budget)("q", threshold)
-    budgets = {r["q"]: r["k"] for r in table.select("q", budget.alias("k")).collect()} if motifs else {}
     less = 1 if length_mode == "reference" else 0
 
-    def find(text: Text, motif: str):
-        owner, start, end, distance = best_places(text, motif, budgets[motif])
-        return owner, start, end - start - less, 1.0 - distance / len(motif)
+    def search(block: list[tuple[str, str]]) -> DataFrame:
+        motifs = [(n, q) for n, q in block if q]
+        table = reads.sparkSession.createDataFrame([(q,) for _, q in motifs], "q string").select("q", budget.alias("k"))
+        allowed = {r["q"]: r["k"] for r in table.collect()} if motifs else {}  # a row to each motif of the block
+
+        def finder():
+            places = _placed([q for _, q in motifs], [allowed[q] for _, q in motifs])
+            size = np.array([len(q) for _, q in motifs], np.int64)
+
+            def find(text: Text) -> tuple:
+                motif, owner, start, end, distance = places(text)
+                return motif, owner, start, end - start - less, 1.0 - distance / size[motif]
+
+            return find
+
+        return _searched(reads, motifs, finder, key, seq)
 
-    return _searched(reads, motifs, find, key, seq)
+    return _by_block(queries, search)
 
 
 def indel_similarity(windows: np.ndarray, motif: np.ndarray) -> np.ndarray:
@@ -304,7 +333,7 @@ def window_matches(reads: DataFrame, queries: DataFrame | Mapping[str, str], thr
             out.append([(int(at[k]), len(q), float(score[k])) for k in best])
         return out
 
-    return _mapped(reads, motif_rows(queries), per_motif, key, seq)
+    return _by_block(queries, lambda motifs: _mapped(reads, motifs, per_motif, key, seq))
 
 
 def best_of_islands(passing: DataFrame, *, key: str = "seq_id") -> DataFrame:
@@ -373,27 +402,29 @@ def local_alignments(reads: DataFrame, queries: DataFrame | Mapping[str, str], *
     pairs over the length of the primer or of the sequence, unrounded."""
     if denominator not in ("primer", "sequence"):
         raise ValueError(f"no denominator {denominator!r}")
-    motifs = motif_rows(queries)
     kind = reads.select(key).schema[0].dataType.simpleString()
     schema = _ALIGNED.format(id=key, type=kind)
 
-    def run(frames):
-        import pandas as pd
-
-        for frame in frames:
-            rows = []
-            for name, s in zip(frame.iloc[:, 0], frame.iloc[:, 1], strict=True):
-                s = s or ""
-                for q, motif in motifs:
-                    score, blocks, equal = align_local(motif, s)
-                    ma, sa = ("".join(x[b[k] : b[k + 1]] for b in blocks) for x, k in ((motif, 0), (s, 2)))
-                    a, e = (min(b[2] for b in blocks), max(b[3] for b in blocks)) if blocks else (0, 0)
-                    marked = f"{s[:a]}<{q}>{s[a:e]}</{q}>{s[e:]}" if blocks else s
-                    whole = len(motif) if denominator == "primer" else len(s)
-                    rows.append((name, q, score, len(ma), 100.0 * equal / whole if whole else 0.0, [b[2] for b in blocks], [b[3] for b in blocks], ma, sa, marked, drawn(motif, s, blocks)))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-
-    return reads.select(key, F.col(seq).alias("seq")).mapInPandas(run, schema)
+    def search(motifs: list[tuple[str, str]]) -> DataFrame:
+        def run(frames):
+            import pandas as pd
+
+            for frame in frames:
+                rows = []
+                for name, s in zip(frame.iloc[:, 0], frame.iloc[:, 1], strict=True):
+                    s = s or ""
+                    for q, motif in motifs:
+                        score, blocks, equal = align_local(motif, s)
+                        ma, sa = ("".join(x[b[k] : b[k + 1]] for b in blocks) for x, k in ((motif, 0), (s, 2)))
+                        a, e = (min(b[2] for b in blocks), max(b[3] for b in blocks)) if blocks else (0, 0)
+                        marked = f"{s[:a]}<{q}>{s[a:e]}</{q}>{s[e:]}" if blocks else s
+                        whole = len(motif) if denominator == "primer" else len(s)
+                        rows.append((name, q, score, len(ma), 100.0 * equal / whole if whole else 0.0, [b[2] for b in blocks], [b[3] for b in blocks], ma, sa, marked, drawn(motif, s, blocks)))
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+        return reads.select(key, F.col(seq).alias("seq")).mapInPandas(run, schema)
+
+    return _by_block(queries, search)
 
 
 def primer_report(alignments: DataFrame, threshold: float = 80.0, *, key: str = "seq_id") -> DataFrame:
