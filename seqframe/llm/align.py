@@ -32,6 +32,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -77,8 +78,15 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         value = {letter: b for b, letter in enumerate(byte_letters())}
         spelled = sorted((i, t) for t, i in self.a.get_vocab().items())
-        self.bytes_a = {i: bytes([value[c] for c in t]) if all(c in value for c in t) else t.encode() for i, t in spelled}
-        self.bytes_b = {i: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i in range(self.b.get_piece_size()) for p in [self.b.id_to_piece(i)]}
+        self.bytes_a = [b""] * (spelled[-1][0] + 1)
+        for i, t in spelled:
+            self.bytes_a[i] = bytes([value[c] for c in t]) if all(c in value for c in t) else t.encode()
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.length_a, self.length_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
+        #: Ids of A and of B, each within a group and at the end of one.
+        self.spelled = [f"{i}{sign}" for n, end in ((len(self.bytes_a), "|"), (len(pieces), ";")) for i in range(n) for sign in (",", end)]
+        self.spelled_length = np.array(list(map(len, self.spelled)), np.int64)
         self.space = self.b.piece_to_id("▁")
         self.known = Recent(_CACHE_BYTES, lambda v: 200 + len(v[0]) + len(v[1]) if v else 0)
 
@@ -96,36 +104,44 @@ class Aligner:
         for x, y in zip(cuts[:-1], cuts[1:], strict=True):
             some = stretches[x:y]
             a, b = self._encoded(some)
-            whole = [b"".join(map(self.bytes_a.__getitem__, i)) == s.encode() == b"".join(map(self.bytes_b.__getitem__, j)) for s, i, j in zip(some, a, b, strict=True)]
-            out.update((s, None) for s, ok in zip(some, whole, strict=True) if not ok)
-            some, a, b = ([v for v, ok in zip(values, whole, strict=True) if ok] for values in (some, a, b))
+            if not (self._back(some, a, self.bytes_a, self.length_a) and self._back(some, b, self.bytes_b, self.length_b)):
+                whole = [b"".join(map(self.bytes_a.__getitem__, i)) == s.encode() == b"".join(map(self.bytes_b.__getitem__, j)) for s, i, j in zip(some, a, b, strict=True)]
+                out.update((s, None) for s, ok in zip(some, whole, strict=True) if not ok)
+                some, a, b = ([v for v, ok in zip(values, whole, strict=True) if ok] for values in (some, a, b))
             if some:
                 out.update(zip(some, self._aligned(a, b), strict=True))
         return out
 
+    def _back(self, some: list[str], ids: list[list[int]], table: list[bytes], length: np.ndarray) -> bool:
+        """Whether the tokens of all stretches give their bytes back, each its own."""
+        text = "".join(some)
+        flat = list(chain.from_iterable(ids))
+        if b"".join(map(table.__getitem__, flat)) != text.encode():
+            return False
+        ends = np.cumsum(list(map(len, some)) if text.isascii() else [len(s.encode()) for s in some])
+        return bool((np.concatenate([[0], np.cumsum(length[flat])])[np.cumsum(list(map(len, ids)))] == ends).all())
+
     def _aligned(self, a: list[list[int]], b: list[list[int]]) -> Iterator[tuple]:
-        ids_a, ids_b = (np.fromiter((i for ids in x for i in ids), np.int64) for x in (a, b))
-        ends_a, ends_b = (np.cumsum([len(table[i]) for i in ids]) for table, ids in ((self.bytes_a, ids_a.tolist()), (self.bytes_b, ids_b.tolist())))
+        size_a, size_b = (np.array(list(map(len, x)), np.int64) for x in (a, b))
+        ids_a, ids_b = (np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in ((a, size_a), (b, size_b)))
+        ends_a, ends_b = np.cumsum(self.length_a[ids_a]), np.cumsum(self.length_b[ids_b])
         to, last = successors(ends_a, ends_b)
         n = len(ids_a)
-        group_a, group_b = to[:n], to[n:]  # terminal tokens are tokens of A, in order
         first = np.searchsorted(ends_b, np.concatenate([[0], ends_a[:-1]]), side="right")
         many = last - first + 1
         pairs = np.repeat(ids_a << 32, many) | ids_b[np.repeat(first - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
-        packed, pair_ends = pairs.astype("<u8").tobytes(), np.cumsum(many).tolist()
-        at_a, at_b = 0, 0
-        text_a, text_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
-        where_a = np.flatnonzero(np.diff(group_a, append=-1)).tolist()  # last token of each group
-        where_b = np.flatnonzero(np.diff(group_b, append=-1)).tolist()
-        g, done = 0, 0
-        for some_a, some_b in zip(a, b, strict=True):
-            stop, groups = at_a + len(some_a), []
-            while at_a < stop:
-                i, j = where_a[g] + 1, where_b[g] + 1
-                groups.append(",".join(text_a[at_a:i]) + "|" + ",".join(text_b[at_b:j]))
-                at_a, at_b, g = i, j, g + 1
-            yield ";".join(groups), packed[8 * done : 8 * pair_ends[stop - 1]], len(some_a), len(some_b), len(groups)
-            done = pair_ends[stop - 1]
+        # Terminal tokens are tokens of A and stand in order. Each token is written with the sign behind it.
+        close_a, close_b = np.diff(to[:n], append=-1) != 0, np.diff(to[n:], append=-1) != 0
+        written = np.concatenate([2 * ids_a + close_a, 2 * (ids_b + len(self.bytes_a)) + close_b])
+        written = written[np.argsort(np.concatenate([2 * to[:n], 2 * to[n:] + 1]), kind="stable")]
+        text = "".join(map(self.spelled.__getitem__, written.tolist()))
+        text_ends = np.cumsum(self.spelled_length[written])[np.cumsum(size_a + size_b) - 1].tolist()
+        groups = np.diff(np.cumsum(close_a)[np.cumsum(size_a) - 1], prepend=0).tolist()
+        packed, pair_ends = pairs.astype("<u8").tobytes(), (8 * np.cumsum(many)[np.cumsum(size_a) - 1]).tolist()
+        at, done = 0, 0
+        for end, stop, x, y, z in zip(text_ends, pair_ends, size_a.tolist(), size_b.tolist(), groups, strict=True):
+            yield text[at : end - 1], packed[done:stop], x, y, z
+            at, done = end, stop
 
     def align(self, texts: list[str]) -> tuple[list[list[str]], dict[str, tuple | None]]:
         """The stretches of each text, and what is known of each stretch."""
@@ -143,45 +159,56 @@ def aligner(path_a: str, path_b: str) -> Aligner:
     return _LOADED[path_a, path_b]
 
 
+def _summed(keys: np.ndarray, weights: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order, and the sum of their weights (1 by default)."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    if weights is None:
+        return keys[first], np.diff(first, append=len(keys))
+    return keys[first], np.add.reduceat(weights[order], first) if len(first) else weights
+
+
 class Slice:
     """Documents and the table of their id pairs."""
 
     def __init__(self) -> None:
-        self.rows: list[list] = []  # values of each document
+        self.rows: list[tuple] = []  # values of each document
         self.keys: list[pa.Array] = []
         self.parts: list[tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]] = []  # pairs, their documents, and each document's pairs by place with multiplicity
         self.size = 0
 
     def add(self, keys: pa.Array, texts: list[str], to: Aligner, digest: bool) -> None:
         cuts, known = to.align(texts)
-        good = [all(known[c] is not None for c in set(some)) for some in cuts]
-        cuts = [some if ok else [] for some, ok in zip(cuts, good, strict=True)]
-        place = {c: i for i, c in enumerate(set().union(*cuts))}
-        found = [known[c] for c in place]
+        every = list(set().union(*cuts))
+        found = list(map(known.__getitem__, every))
+        if None in found:
+            bad = {c for c, v in zip(every, found, strict=True) if v is None}
+            cuts = [some if bad.isdisjoint(some) else [] for some in cuts]
+            every, found = ([x for x, v in zip(values, found, strict=True) if v is not None] for values in (every, found))
+        place = dict(zip(every, range(len(every)), strict=True))
+        text = [v[0] for v in found]
         sizes = np.array([v[2:] for v in found], np.int64).reshape(-1, 3)
-        codes = np.frombuffer(b"".join(v[1] for v in found), "<u8").astype(np.int64)
         many = np.array([len(v[1]) >> 3 for v in found], np.int64)
-        start = np.cumsum(many) - many
-        pairs, code = np.unique(codes, return_inverse=True)
-        docs_of, of_docs = np.zeros(len(pairs), np.int64), []
-        for some in cuts:
-            groups = ";".join([known[c][0] for c in some])
-            which, times = np.unique(np.fromiter((place[c] for c in some), np.int64, len(some)), return_counts=True)
-            n_a, n_b, n_groups = (times @ sizes[which]).tolist() if some else (0, 0, 0)
-            n = many[which]
-            here = code[np.repeat(start[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-            order = np.argsort(here, kind="stable")
-            here, weight = here[order], np.repeat(times, n)[order]
-            new = np.flatnonzero(np.diff(here, prepend=-1))
-            held = (here[new], np.add.reduceat(weight, new) if len(new) else new)
-            docs_of[held[0]] += 1
-            of_docs.append(held)
-            if digest:
-                groups = hashlib.sha256(groups.encode()).hexdigest() if some else ""
-            self.rows.append([n_a, n_b, n_groups, int(held[1].sum()), groups])
+        pairs, code = np.unique(np.frombuffer(b"".join([v[1] for v in found]), "<u8").astype(np.int64), return_inverse=True)
+        n, which = len(texts), [list(map(place.__getitem__, some)) for some in cuts]
+        flat = np.fromiter(chain.from_iterable(which), np.int64)
+        at, times = _summed(np.repeat(np.arange(n), list(map(len, which))) * len(every) + flat, None)
+        doc, stretch = at // max(1, len(every)), at % max(1, len(every))
+        tokens = [np.bincount(doc, times * sizes[stretch, k], n).astype(np.int64).tolist() for k in range(3)]
+        links = many[stretch]
+        here = code[np.repeat((np.cumsum(many) - many)[stretch] - (np.cumsum(links) - links), links) + np.arange(int(links.sum()))]
+        at, times = _summed(np.repeat(doc, links) * len(pairs) + here, np.repeat(times, links))
+        doc, here = at // max(1, len(pairs)), at % max(1, len(pairs))
+        total = np.bincount(doc, times, n).astype(np.int64).tolist()
+        borders = np.searchsorted(doc, np.arange(n + 1)).tolist()
+        groups = [";".join(map(text.__getitem__, some)) for some in which]
+        if digest:
+            groups = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
+        self.rows += zip(*tokens, total, groups, strict=True)
         self.keys.append(keys)
-        self.parts.append((pairs, docs_of, of_docs))
-        self.size += sum(map(len, texts)) + 64 * len(texts)
+        self.parts.append((pairs, np.bincount(here, minlength=len(pairs)), [(here[x:y], times[x:y]) for x, y in zip(borders[:-1], borders[1:], strict=True)]))
+        self.size += sum(map(len, texts)) + 64 * n
 
     def done(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """Each document's pairs, packed; the pairs of the slice and their documents."""
@@ -206,7 +233,7 @@ def read_links(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(both[0]), both[1]
 
 
-def _slices(docs: DataFrame, path_a: str, path_b: str, key: str, text: str, digest: bool) -> DataFrame:
+def _slices(docs: DataFrame, path_a: str, path_b: str, key: str, text: str, digest: bool, most: int = _SLICE) -> DataFrame:
     """Rows of documents, and one row to each slice with its pairs (packed)."""
     kind = kind_of(docs, key)
 
@@ -231,9 +258,9 @@ def _slices(docs: DataFrame, path_a: str, path_b: str, key: str, text: str, dige
                 one = [pa.array([number], pa.int64()), pa.nulls(1, keys.type), *(pa.nulls(1, t) for t in [pa.int64()] * 4 + [pa.string(), pa.binary()])]
                 yield pa.RecordBatch.from_arrays([*one, pa.array([every.astype("<i8").tobytes()], pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names=names)
 
-        for part in slices(batches, 1, _TEXTS):
+        for part in slices(batches, 1, min(_TEXTS, most)):
             now.add(part.column(0), part.column(1).to_pylist(), to, digest)
-            if now.size >= _SLICE:
+            if now.size >= most:
                 yield from flush()
                 now, made = Slice(), made + 1
         if now.rows:
@@ -260,16 +287,18 @@ def _listed(tables: DataFrame) -> DataFrame:
 def pair_counts(docs: DataFrame, path_a: str, path_b: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Columns: a, b, n long: how many documents hold ids a and b linked."""
     tables, _ = cut(_slices(docs, path_a, path_b, key, text, True).where("pairs is not null").select("slice", "pairs", "held"))
-    return _listed(tables).groupBy("pair").agg(F.sum("n").alias("n")).select(F.shiftright("pair", 32).alias("a"), F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)).alias("b"), "n")
+    counted = _listed(tables).groupBy("pair").agg(F.sum("n").alias("n")).where("n > 0")  # 0: only in stretches of texts without tokens
+    return counted.select(F.shiftright("pair", 32).alias("a"), F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)).alias("b"), "n")
 
 
-def align(docs: DataFrame, path_a: str, path_b: str, *, key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
+def align(docs: DataFrame, path_a: str, path_b: str, *, key: str = "doc_id", text: str = "text", digest: bool = False, slice_size: int = _SLICE) -> DataFrame:
     """Columns: key, n_a, n_b, n_groups, n_links, n_best, count_sum long and groups string
     (a1,a2|b1;a3|b2,b3: ids of A and B in order; with digest its SHA-256 in lowercase hex,
     which spares several times the text). n_best: links whose pair is the most frequent one
     of their A id, ties included; count_sum: the sum of the pairs' documents over all links.
-    Both paths must lead to the vocabulary files on every executor."""
-    kept, _ = cut(_slices(docs, path_a, path_b, key, text, digest))
+    Both paths must lead to the vocabulary files on every executor. slice_size: bytes of
+    texts that share a table of pairs, about."""
+    kept, _ = cut(_slices(docs, path_a, path_b, key, text, digest, slice_size))
     rows = _listed(kept.where("pairs is not null"))
     counts, _ = cut(rows.groupBy("pair").agg(F.sum("n").alias("total")).withColumn("a", F.shiftright("pair", 32)))
     highest = counts.groupBy("a").agg(F.max("total").alias("most"))
