@@ -129,7 +129,7 @@ class Writer:
 
 def compressed(text: bytes, most: int = FRAME) -> Frames:
     """A text in frames of about `most` bytes, cut at the end of a unit where there is one."""
-    out, at, n = Writer(), 0, len(text)
+    out, at, n, most = Writer(), 0, len(text), max(4, most)  # a code point at least
     while at < n:
         end = min(n, at + most)
         if end < n:
