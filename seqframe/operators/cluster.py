@@ -15,14 +15,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import GaussianMixture, KMeans, PowerIterationClustering
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqframe.functions.sequence import distance
+from seqframe.operators.cells import Cells, nearest, place_of, rank_of
+from seqframe.operators.cells import distances as between
 from seqframe.operators.pairs import numbered
-from seqframe.operators.stats import sample_of, standardized
+from seqframe.operators.stats import quantile, sample_of, standardized
 from seqframe.scratch import settled
 
 MOST = 5_000
@@ -60,9 +63,7 @@ def _labelled(table: DataFrame, ids: list, labels: np.ndarray, key: str) -> Data
 
 
 def distances(x: np.ndarray, y: np.ndarray | None = None) -> np.ndarray:
-    y = x if y is None else y
-    square = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T
-    return np.sqrt(np.maximum(square, 0))
+    return between(x, x if y is None else y)
 
 
 def ward_merges(x: np.ndarray, weight: np.ndarray | None = None) -> list[tuple[int, int, float]]:
@@ -141,33 +142,74 @@ def _met(table: DataFrame, run: Callable[[pd.DataFrame, np.ndarray, pd.DataFrame
     return left.union(right).groupBy("__a", "__b").applyInPandas(meet, schema)
 
 
-def neighbours(table: DataFrame, k: int, *, key: str = "seq_id", block: int | None = None) -> DataFrame:
-    """key, rank, near, distance: the k nearest other points, exact; the smallest key of equals."""
-    kind = table.select(key).schema[0].dataType.simpleString()
+def vectors(table: DataFrame, *, key: str = "seq_id") -> DataFrame:
+    """key, features, n: a row to each different vector, under the least key of its copies."""
+    return table.groupBy("features").agg(F.min(key).alias(key), F.count("*").alias("n")).select(key, "features", "n")
 
-    def run(own: pd.DataFrame, x: np.ndarray, other: pd.DataFrame, y: np.ndarray) -> pd.DataFrame:
-        names, near = own[key].to_numpy(), other[key].to_numpy()
-        size_x, size_y, out = (x * x).sum(1), (y * y).sum(1), []
-        slack = 1e-11 * (size_x + size_y.max())  # above the rounding of the product form
-        for at in range(0, len(x), 512):
-            square = size_x[at : at + 512, None] + size_y[None, :] - 2 * x[at : at + 512] @ y.T
-            square[names[at : at + 512, None] == near[None, :]] = np.inf
-            least = np.partition(square, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1]
-            for i, row in enumerate(square, at):
-                some = np.flatnonzero((row <= least[i - at] + 2 * slack[i]) & np.isfinite(row))
-                d = np.sqrt(((x[i] - y[some]) ** 2).sum(1))
-                out += [(names[i], near[some[j]], d[j]) for j in np.argsort(d, kind="stable")[:k]]
-        return pd.DataFrame(out, columns=[key, "near", "distance"])
-
-    found = _met(table, run, f"{key} {kind}, near {kind}, distance double", key=key, block=block)
+
+def _first_keys(table: DataFrame, names: DataFrame, k: int, *, key: str) -> tuple[DataFrame, DataFrame]:
+    """Every point with its vector's name, and of each vector the k least keys. A vector with
+    many copies is dealt first."""
+    own = settled(table.select(key, "features").join(names.select(F.col(key).alias("vector"), "features"), "features").select(key, "vector"))
+    some = own.withColumn("__s", F.pmod(F.xxhash64(key), F.lit(64)))
+    for by in (["vector", "__s"], ["vector"]):
+        some = some.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(key))).where(F.col("__n") <= k)
+    return own, some.select("vector", F.col(key).alias("near"))
+
+
+def _k_nearest(index: Cells, asks: DataFrame, k: int, *, key: str, itself: bool) -> DataFrame:
+    """key, near, distance: the k nearest rows of the index, the least key of equals. First a chunk
+    nearby gives each asking point a bound, then all chunks within it are searched."""
+    kind = asks.select(key).schema[0].dataType.simpleString()
+
+    def found(own: pa.Table, x: np.ndarray, other: pa.Table, y: np.ndarray):
+        return nearest(x, y, rank_of(other.column(key)), k, place_of(own.column(key), other.column(key)) if itself else None)
+
+    def bounds(own: pa.Table, x: np.ndarray, other: pa.Table, y: np.ndarray) -> pa.Table:
+        i, _, d = found(own, x, other, y)
+        many = np.bincount(i, minlength=len(x))
+        far = np.zeros(len(x))
+        np.maximum.at(far, i, d)
+        limit = np.where(many >= k, far, own.column("__bound").to_numpy())
+        return pa.table({key: own.column(key), "features": own.column("features"), "bound": np.minimum(limit, own.column("__bound").to_numpy())})
+
+    def search(own: pa.Table, x: np.ndarray, other: pa.Table, y: np.ndarray) -> pa.Table:
+        i, j, d = found(own, x, other, y)
+        return pa.table({key: own.column(key).take(pa.array(i)), "near": other.column(key).take(pa.array(j)), "distance": d})
+
+    asks = asks.select(key, "features")
+    if index.whole:
+        return index.join(asks, search, f"{key} {kind}, near {kind}, distance double")
+    bounded = settled(index.join(asks, bounds, f"{key} {kind}, features array<double>, bound double", near=k + itself, home=True))
+    met = index.join(bounded, search, f"{key} {kind}, near {kind}, distance double", bound=F.col("bound"))
     by = Window.partitionBy(key).orderBy("distance", "near")
-    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select(key, "rank", "near", "distance")
+    return met.withColumn("__n", F.row_number().over(by)).where(F.col("__n") <= k).drop("__n")
+
+
+def neighbours(table: DataFrame, k: int, *, key: str = "seq_id", block: int | None = None, seen: list | None = None) -> DataFrame:
+    """key, rank, near, distance: the k nearest other points, exact; the smallest key of equals.
+    A join over Voronoi cells (cells.py) of the different vectors; copies get the same answer.
+    seen: the index is appended, for the share of pairs compared."""
+    table = table.select(key, F.transform("features", lambda v: v.cast("double")).alias("features"))
+    points = settled(vectors(table, key=key))
+    index = Cells(points, key=key, block=block)
+    if seen is not None:
+        seen.append(index)
+    found = _k_nearest(index, points, k, key=key, itself=True)
+    by = Window.partitionBy(key).orderBy("distance", "near")
+    if not points.where("n > 1").limit(1).count():
+        return found.withColumn("rank", F.row_number().over(by)).select(key, "rank", "near", "distance")
+    own, first = _first_keys(table, points, k + 1, key=key)
+    found = found.select(F.col(key).alias("asks"), F.col("near").alias("vector"), "distance").union(points.select(F.col(key), F.col(key), F.lit(0.0)))
+    named = found.join(first, "vector").withColumn("__n", F.row_number().over(Window.partitionBy("asks").orderBy("distance", "near"))).where(F.col("__n") <= k + 1)
+    out = own.join(named.select(F.col("asks").alias("vector"), "near", "distance"), "vector").where(F.col(key) != F.col("near"))
+    return out.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select(key, "rank", "near", "distance")
 
 
 def neighbour_percentile(table: DataFrame, q: float, *, rank: int = 1, key: str = "seq_id") -> float:
     """The q quantile (linear) of the distances to the rank-th nearest other point."""
     near = neighbours(table, rank, key=key).where(F.col("rank") == rank)
-    return float(near.agg(F.percentile("distance", F.lit(q))).first()[0] or 0.0)
+    return quantile(near, "distance", q) or 0.0
 
 
 def dbscan(x: np.ndarray, eps: float, least: int = 10) -> np.ndarray:
@@ -480,25 +522,12 @@ def reduced(table: DataFrame, n: int, strategy: str = "kmeans", *, key: str = "s
     return table.join(best.select(key), key, "left_semi")
 
 
-def nearest_representative(table: DataFrame, reps: DataFrame, *, key: str = "seq_id") -> DataFrame:
-    """key, rep, distance: the nearest row of reps, the smallest key of equals. reps is
-    a reduced table, refused beyond MOST points, and goes to the tasks as a matrix."""
-    ids, x = points_of(reps, key=key)
-    sent = table.sparkSession.sparkContext.broadcast((ids, x))
-    kind = table.select(key).schema[0].dataType.simpleString()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, points = sent.value
-        for frame in frames:
-            for at in range(0, len(frame), 1024):
-                part = frame.iloc[at : at + 1024]
-                v = np.array(part["features"].tolist(), float)
-                d = distances(v, points)
-                j = d.argmin(1)
-                exact = np.linalg.norm(v - points[j], axis=1)
-                yield pd.DataFrame({key: part[key].to_numpy(), "rep": [names[i] for i in j], "distance": exact})
-
-    return table.select(key, "features").mapInPandas(run, f"{key} {kind}, rep {kind}, distance double")
+def nearest_representative(table: DataFrame, reps: DataFrame, *, key: str = "seq_id", block: int | None = None) -> DataFrame:
+    """key, rep, distance: the nearest row of reps, the smallest key of equals, for any number of
+    them: a join over Voronoi cells of reps (cells.py). Of copies in reps the smallest key stands for all."""
+    wide = lambda df: df.select(key, F.transform("features", lambda v: v.cast("double")).alias("features"))
+    index = Cells(settled(vectors(wide(reps), key=key)), key=key, block=block)
+    return _k_nearest(index, wide(table), 1, key=key, itself=False).select(key, F.col("near").alias("rep"), "distance")
 
 
 def propagated(table: DataFrame, labelled: DataFrame, *, key: str = "seq_id") -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqframe.scratch import settled
+
 
 def motif_statistics(matches: DataFrame) -> DataFrame:
     """By motif: rounded mean, median, extremes and sample deviation of the position, count."""
@@ -116,6 +120,36 @@ def ranged(rows: DataFrame, conditions: dict[str, tuple[float, float]]) -> DataF
     return rows
 
 
+def quantile(rows: DataFrame, column: str, q: float, *, most: int = 10_000, slots: int = 1_000) -> float | None:
+    """The exact quantile (linear between two values) of a column of doubles, null without values.
+    Rounds of counts by range close in on the wanted ranks until at most `most` different values are left
+    there; only those come to the driver, with their counts."""
+    values = settled(rows.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v")))
+    n, low, high = values.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if not n:
+        return None
+    at = q * (n - 1)
+    below = 0  # values under low
+    while low < high:
+        some = values.where(F.col("v").between(low, high))
+        left = some.groupBy("v").agg(F.count("*").alias("n")).orderBy("v").limit(most + 1).collect()
+        if len(left) <= most:
+            ends = list(accumulate((r["n"] for r in left), initial=below))[1:]
+            pick = lambda rank: next(r["v"] for r, end in zip(left, ends, strict=True) if rank < end)
+            a, b = pick(int(at)), pick(min(n - 1, int(at) + 1))
+            return a + (b - a) * (at - int(at))
+        slot = F.least(F.floor((F.col("v") - low) / ((high - low) / slots)), F.lit(slots - 1)).cast("int")
+        counts = some.groupBy(slot.alias("s")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("s").collect()  # a row to a slot
+        ends = list(accumulate((r["n"] for r in counts), initial=below))
+        first = next(k for k in range(len(counts)) if int(at) < ends[k + 1])
+        last = next(k for k in range(len(counts)) if min(n - 1, int(at) + 1) < ends[k + 1])
+        below, now = ends[first], (counts[first]["lo"], counts[last]["hi"])
+        if now == (low, high):
+            most *= 4  # values too close together for ranges
+        low, high = now
+    return low
+
+
 def sample_of(rows: DataFrame, n: int, *, key: str, seed: int = 42) -> DataFrame:
     """n rows that depend on the key and the seed only."""
     return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
