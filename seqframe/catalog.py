@@ -718,8 +718,8 @@ _NEAREST = f"""WITH {_FEATURES}, p AS (SELECT a.vec_id AS i, a.cluster AS ci, b.
 
 @query(f"{_NEAREST} SELECT round(quantile_cont(d, 0.9), 6) AS p90 FROM (SELECT i, min(d) AS d FROM p GROUP BY i)")
 def nn_percentile(spark, sf_dir):
-    near = cluster.neighbours(features_of(spark, sf_dir), 1, key="vec_id")
-    return near.agg(_r(F.percentile("distance", F.lit(0.9)), "p90"))
+    found = stats.quantile(cluster.neighbours(features_of(spark, sf_dir), 1, key="vec_id"), "distance", 0.9)
+    return spark.createDataFrame([(found,)], "p90 double").select(_r("p90", "p90"))
 
 
 _SILHOUETTE = f"""{_NEAREST}, m AS (SELECT i, ci, cj, avg(d) AS d FROM p GROUP BY 1, 2, 3), n AS (SELECT cluster, count(*) AS n FROM x GROUP BY 1),
@@ -760,6 +760,12 @@ def compressed_reads(spark, sf_dir):
     return cluster.compress_reads(stats.features(matches_of(spark, sf_dir), NAMES), 100)
 
 
+@query()
+def ward_clusters(spark, sf_dir):
+    """Ward over all points, by rounds of clusters that are each other's nearest."""
+    return cluster.ward_clusters(features_of(spark, sf_dir), 10, key="vec_id")
+
+
 @query()
 def kmeans_of_components(spark, sf_dir):
     """k-means after a reduction to principal components."""
@@ -768,7 +774,7 @@ def kmeans_of_components(spark, sf_dir):
 
 @query()
 def ward_large_tier(spark, sf_dir):
-    """The tier of Ward for many points: clusters of a reduction, labels for all."""
+    """The tier of Ward for many points: Ward on the centres of k-means, labels for all."""
     return cluster.ward_tiered(features_of(spark, sf_dir).drop("cluster"), 10, key="vec_id", large=400)
 
 

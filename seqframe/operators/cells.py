@@ -145,6 +145,14 @@ class Cells:
         self.chunks = np.maximum(1, -(-self.size // self.block))
         self.table = ringed.select(*kept, "__ring")
 
+    def dense(self, width: float, least: int) -> list[int]:
+        """Rings of at least so many points no two of which are farther apart than width."""
+        if self.whole:
+            return []
+        high, n = np.empty(len(self.ring)), np.empty(len(self.ring), np.int64)
+        high[self.bounds.order], n[self.bounds.order] = self.bounds.high, self.bounds.n
+        return self.ring[(2 * high <= width) & (n >= least)].tolist()
+
     def share(self, asked: int | None = None) -> float:
         """Pairs compared so far over all pairs (of one join, of as many asking points)."""
         return self.compared / max(1, self.n * (self.n if asked is None else asked))

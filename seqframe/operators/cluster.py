@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqframe.functions.sequence import distance
-from seqframe.operators.cells import Cells, nearest, place_of, rank_of
+from seqframe.operators.cells import Cells, matrix, nearest, place_of, rank_of
 from seqframe.operators.cells import distances as between
 from seqframe.operators.pairs import numbered
 from seqframe.operators.stats import quantile, sample_of, standardized
@@ -109,13 +110,114 @@ def ward(x: np.ndarray, k: int, weight: np.ndarray | None = None) -> np.ndarray:
     return np.array([names.setdefault(find(i), len(names)) for i in range(len(x))], int)
 
 
-def ward_tiered(table: DataFrame, k: int, *, key: str = "seq_id", large: int = 5_000, seed: int = 42) -> DataFrame:
+def ward_joins(table: DataFrame, *, key: str = "seq_id", block: int | None = None) -> DataFrame:
+    """a, b, height: the merges of Ward's criterion, as many as points but for one; a < b are
+    the least keys of two clusters, which are a from then on. Ward's criterion is reducible: clusters that
+    are each other's nearest may be merged in any order, so that a round merges all of them. A
+    round is a join over Voronoi cells of the centres (cells.py), bounded by the criterion of a cluster nearby and
+    the least size; centres and sizes merge by weighted means. Rounds go on until one chunk of clusters
+    is left, which is a bounded number, and is merged in one place. Of equal heights the least keys go first."""
+    kind = table.select(key).schema[0].dataType.simpleString()
+    spark = table.sparkSession
+    rows = table.select(key, F.transform("features", lambda v: v.cast("double")).alias("features"))
+    points = settled(vectors(rows, key=key).withColumnRenamed("n", "size"))
+    copies = rows.join(points.select("features", F.col(key).alias("a")), "features").where(F.col(key) != F.col("a"))
+    merges = [settled(copies.select("a", F.col(key).alias("b"), F.lit(0.0).alias("height")))]
+    now = points.select(key, "features", F.col("size").cast("double").alias("size"))
+    schema = f"{key} {kind}, near {kind}, height double"
+
+    def closest(own: pa.Table, x: np.ndarray, other: pa.Table, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Asking rows, the other cluster and the height of the least merge."""
+        same, rank = place_of(own.column(key), other.column(key)), rank_of(other.column(key))
+        mine, theirs = own.column("size").to_numpy(), other.column("size").to_numpy()
+        size_x, size_y, out = (x * x).sum(1), (y * y).sum(1), []
+        for at in range(0, len(x), 512):
+            some = slice(at, at + 512)
+            factor = 2 * mine[some, None] * theirs[None, :] / (mine[some, None] + theirs[None, :])
+            square = np.maximum(size_x[some, None] + size_y[None, :] - 2 * x[some] @ y.T, 0) * factor
+            slack = 1e-9 * (size_x[some].max() + size_y.max()) * factor.max(axis=1)
+            held = np.flatnonzero(same[some] >= 0)
+            square[held, same[some][held]] = np.inf
+            i, j = np.nonzero((square <= (square.min(axis=1) + slack)[:, None]) & np.isfinite(square))
+            height = np.sqrt(((x[at + i] - y[j]) ** 2).sum(1) * factor[i, j])
+            order = np.lexsort((rank[j], height, i))
+            new = order[np.diff(i[order], prepend=-1) != 0]
+            out.append((at + i[new], j[new], height[new]))
+        return tuple(np.concatenate(v) for v in zip(*out))
+
+    while True:
+        least, most, n = now.agg(F.min("size"), F.max("size"), F.count("*")).first()
+        if n <= (block or BLOCK):
+            break
+        index = Cells(now, key=key, keep=("size",), block=block)
+        away = lambda size, other: np.sqrt(2 * size * other / (size + other))  # noqa: E731  height over distance
+
+        def bounds(own: pa.Table, x: np.ndarray, other: pa.Table, y: np.ndarray) -> pa.Table:
+            size, limit = own.column("size").to_numpy(), own.column("__bound").to_numpy()
+            limit = limit * away(size, most)
+            i, _, height = closest(own, x, other, y)
+            limit[i] = np.minimum(limit[i], height)
+            return pa.table({key: own.column(key), "features": own.column("features"), "size": own.column("size"), "bound": limit / away(size, least)})
+
+        def search(own: pa.Table, x: np.ndarray, other: pa.Table, y: np.ndarray) -> pa.Table:
+            i, j, height = closest(own, x, other, y)
+            return pa.table({key: own.column(key).take(pa.array(i)), "near": other.column(key).take(pa.array(j)), "height": height})
+
+        bounded = settled(index.join(now, bounds, f"{key} {kind}, features array<double>, size double, bound double", near=2, home=True, keep=("size",)))
+        met = index.join(bounded, search, schema, bound=F.col("bound"), keep=("size",))
+        near = settled(met.groupBy(key).agg(F.min(F.struct("height", F.col("near"))).alias("m")).select(key, "m.near", "m.height"))
+        back = near.select(F.col(key).alias("near"), F.col("near").alias(key))
+        pairs = settled(near.join(back, [key, "near"]).where(F.col(key) < F.col("near")).select(F.col(key).alias("a"), F.col("near").alias("b"), "height"))
+        if not pairs.limit(1).count():  # only if rounding breaks ties in a circle: the least merge goes alone
+            pairs = settled(near.select(F.least(key, "near").alias("a"), F.greatest(key, "near").alias("b"), "height").orderBy("height", "a", "b").limit(1))
+        merges.append(pairs)
+        gone = now.join(pairs.select(F.col("b").alias(key), "a"), key)
+        moved = gone.select(F.col("a").alias(key), F.col("features").alias("f2"), F.col("size").alias("s2"))
+        stays = now.join(pairs.select(F.col("b").alias(key)), key, "left_anti").join(moved, key, "left")
+        mixed = F.zip_with("features", "f2", lambda u, v: (u * F.col("size") + v * F.col("s2")) / (F.col("size") + F.col("s2")))
+        now = settled(stays.select(key, F.when(F.col("f2").isNull(), F.col("features")).otherwise(mixed).alias("features"), (F.col("size") + F.coalesce("s2", F.lit(0.0))).alias("size")))
+    left = now.orderBy(key).toArrow()  # BLOCK rows at most
+    names = left.column(key).to_pylist()
+    root, rows = list(range(len(names))), []
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    if names:
+        for i, j, height in ward_merges(matrix(left.column("features")), left.column("size").to_numpy()):
+            i, j = sorted((find(i), find(j)))
+            root[j] = i
+            rows.append((names[i], names[j], height))
+    merges.append(spark.createDataFrame(rows, f"a {kind}, b {kind}, height double"))
+    return reduce(DataFrame.unionAll, merges)
+
+
+def ward_clusters(table: DataFrame, k: int, *, key: str = "seq_id", block: int | None = None) -> DataFrame:
+    """key, cluster: the merges of ward_joins() but for the k - 1 highest; clusters count from 0 in
+    the order of their least keys."""
+    merges = settled(ward_joins(table, key=key, block=block))
+    cut = merges.orderBy(F.desc("height"), "a", "b").limit(max(0, k - 1))
+    kept = merges.join(cut.select("b"), "b", "left_anti")  # each key is merged into another one once
+    up = settled(table.select(key).join(kept.select(F.col("b").alias(key), "a"), key, "left").select(key, F.coalesce("a", key).alias("root")))
+    while True:  # pointers to a lesser key of the same cluster, doubled
+        above = up.select(F.col(key).alias("root"), F.col("root").alias("above"))
+        new = settled(up.join(above, "root").select(key, F.col("above"), "root"))
+        changed = new.where(F.col("above") != F.col("root")).limit(1).count()
+        up = new.select(key, F.col("above").alias("root"))
+        if not changed:
+            break
+    return up.join(_counted(up), "root").select(key, "cluster")
+
+
+def ward_tiered(table: DataFrame, k: int, *, key: str = "seq_id", large: int = 20_000, seed: int = 42) -> DataFrame:
     """Ward up to `large` points. Beyond, k-means with min(1000, n / 100) centres, Ward on
     the centres, and each point gets its centre's label by a join."""
     n = table.count()
-    if n <= min(large, MOST):
-        ids, x = points_of(table, key=key)
-        return _labelled(table, ids, ward(x, k), key)
+    if n <= large:
+        return ward_clusters(table, k, key=key)
     first, centres = kmeans(table, max(k, min(1000, n // 100)), key=key, seed=seed)
     sizes = {r["cluster"]: r["count"] for r in first.groupBy("cluster").count().collect()}  # one row to a centre
     labels = ward(centres, k, np.array([sizes.get(i, 1) for i in range(len(centres))]))
@@ -227,44 +329,40 @@ def dbscan(x: np.ndarray, eps: float, least: int = 10) -> np.ndarray:
     return labels
 
 
-def dbscan_blocks(table: DataFrame, eps: float, least: int = 10, *, key: str = "seq_id", block: int | None = None) -> DataFrame:
-    """key, cluster as of dbscan(), over blocks. Core points come from counts of near ones;
-    each pair of blocks gives a forest of its near core points, whose components are found
-    by the least key; other points go to the first cluster that has a core point near."""
-    kind = table.select(key).schema[0].dataType.simpleString()
-    table = table.select(key, "features")
-
-    def count(own: pd.DataFrame, x: np.ndarray, other: pd.DataFrame, y: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({key: own[key], "n": [int((np.linalg.norm(y - v, axis=1) <= eps).sum()) for v in x]})
-
-    def forest(own: pd.DataFrame, x: np.ndarray, other: pd.DataFrame, y: np.ndarray) -> pd.DataFrame:
-        root = list(range(len(x) + len(y)))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        edges = []
-        for i, v in enumerate(x):
-            for j in np.flatnonzero(np.linalg.norm(y - v, axis=1) <= eps):
-                a, b = find(i), find(len(x) + int(j))
-                if a != b:
-                    root[b] = a
-                    edges.append((own[key][i], other[key][int(j)]))
-        return pd.DataFrame(edges, columns=[key, "near"])
-
-    def first(own: pd.DataFrame, x: np.ndarray, other: pd.DataFrame, y: np.ndarray) -> pd.DataFrame:
-        label = other["root"].to_numpy()
-        hits = [label[(np.linalg.norm(y - v, axis=1) <= eps) & other["core"].to_numpy()] for v in x]
-        return pd.DataFrame([(i, min(h)) for i, h in zip(own[key], hits, strict=True) if len(h)], columns=[key, "root"])
-
-    n = _met(table, count, f"{key} {kind}, n long", key=key, block=block).groupBy(key).agg(F.sum("n").alias("n"))
-    core = settled(table.join(n.where(F.col("n") >= least).select(key), key, "left_semi"))
-    edges = _met(core, forest, f"{key} {kind}, near {kind}", key=key, block=block).where(F.col(key) != F.col("near"))
-    edges = settled(edges.union(edges.select("near", key)).distinct())
-    roots = settled(core.select(key, F.col(key).alias("root")))
+def _within(x: np.ndarray, y: np.ndarray, eps: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of x and y that are at most eps apart, some rows of x at a time."""
+    size_x, size_y = (x * x).sum(1), (y * y).sum(1)
+    slack = 1e-9 * (size_x.max(initial=0) + size_y.max(initial=0) + eps * eps)
+    for at in range(0, len(x), 512):
+        i, j = np.nonzero(size_x[at : at + 512, None] + size_y[None, :] - 2 * x[at : at + 512] @ y.T <= eps * eps + slack)
+        good = ((x[at + i] - y[j]) ** 2).sum(1) <= eps * eps * (1 + 1e-15)
+        yield at + i[good], j[good]
+
+
+def _roots(n: int, edges: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The least node that each of n nodes is connected with."""
+    a, b = (np.concatenate([np.empty(0, np.int64), *v]) for v in zip(*edges)) if edges else (np.empty(0, np.int64),) * 2
+    root = np.arange(n)
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        for v in (a, b):
+            np.minimum.at(new, root[v], low)
+            np.minimum.at(new, v, low)
+        while not np.array_equal(new, new[new]):
+            new = new[new]
+        if np.array_equal(new, root):
+            break
+        root = new
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    return root
+
+
+def connected(edges: DataFrame, nodes: DataFrame, *, key: str) -> DataFrame:
+    """key, root: the least key that each node's edges (key, near; both ways) lead to. Rounds
+    of the least neighbour's root, and that root's own root, written and replaced."""
+    roots = settled(nodes.select(key, F.col(key).alias("root")))
     while True:
         passed = edges.join(roots.withColumnRenamed(key, "near"), "near").groupBy(key).agg(F.min("root").alias("low"))
         new = roots.join(passed, key, "left").select(key, "root", F.least("root", F.coalesce("low", "root")).alias("low"))
@@ -273,12 +371,65 @@ def dbscan_blocks(table: DataFrame, eps: float, least: int = 10, *, key: str = "
         changed = new.where(F.col("new") != F.col("root")).limit(1).count()
         roots = new.select(key, F.col("new").alias("root"))
         if not changed:
-            break
-    marked = settled(table.join(roots, key, "left").withColumn("core", F.col("root").isNotNull()))
-    reached = _met(marked, first, f"{key} {kind}, root {kind}", key=key, keep=("root", "core"), block=block).groupBy(key).agg(F.min("root").alias("reached"))
-    numbers = roots.select("root").distinct().withColumn("cluster", F.row_number().over(Window.orderBy("root")) - 1)
-    found = marked.join(reached, key, "left").select(key, F.coalesce("root", "reached").alias("root"))
-    return found.join(numbers, "root", "left").select(key, F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster"))
+            return roots
+
+
+def _counted(roots: DataFrame) -> DataFrame:
+    """root, cluster: clusters count from 0 in the order of their roots."""
+    return numbered(roots.select("root").distinct(), ["root"], "n").select("root", (F.col("n").cast("int") - 1).alias("cluster"))
+
+
+def dbscan_blocks(table: DataFrame, eps: float, least: int = 10, *, key: str = "seq_id", block: int | None = None, seen: list | None = None) -> DataFrame:
+    """key, cluster as of dbscan(). Joins over Voronoi cells (cells.py), in which points go to those rings
+    only that come within eps: one counts near points, one connects core points, one looks for the core
+    points near others. Points of a ring that is narrower than eps and has enough of them are core
+    points without being counted. Each chunk gives the forest of its near core points, whose
+    components are found by the least key; other points go to the first cluster with a core point near.
+    Copies of a vector are one point with a weight. seen: the indexes are appended."""
+    kind = table.select(key).schema[0].dataType.simpleString()
+    table = table.select(key, F.transform("features", lambda v: v.cast("double")).alias("features"))
+    points = settled(vectors(table, key=key))
+    index = Cells(points, key=key, keep=("n",), block=block)
+
+    def count(own: pa.Table, x: np.ndarray, other: pa.Table, y: np.ndarray) -> pa.Table:
+        weight, total = other.column("n").to_numpy(), np.zeros(len(x), np.int64)
+        for i, j in _within(x, y, eps):
+            np.add.at(total, i, weight[j])
+        return pa.table({key: own.column(key), "n": total})
+
+    def forest(own: pa.Table, x: np.ndarray, other: pa.Table, y: np.ndarray) -> pa.Table:
+        names = pa.concat_arrays([*own.column(key).chunks, *other.column(key).chunks])
+        root = _roots(len(names), [(i, len(x) + j) for i, j in _within(x, y, eps)])
+        moved = pa.array(np.flatnonzero(root != np.arange(len(root))))
+        return pa.table({key: names.take(moved), "near": names.take(pa.array(root[root != np.arange(len(root))]))})
+
+    def first(own: pa.Table, x: np.ndarray, other: pa.Table, y: np.ndarray) -> pa.Table:
+        rank = rank_of(other.column("root"))
+        order = np.argsort(rank)
+        best = np.full(len(x), len(y))
+        for i, j in _within(x, y, eps):
+            np.minimum.at(best, i, rank[j])
+        some = np.flatnonzero(best < len(y))
+        return pa.table({key: own.column(key).take(pa.array(some)), "root": other.column("root").take(pa.array(order[best[some]]))})
+
+    dense = index.dense(eps, least)
+    sure = index.table.where(F.col("__ring").isin(dense)) if dense else None
+    asks = index.table.where(~F.col("__ring").isin(dense)) if dense else points
+    n = index.join(asks, count, f"{key} {kind}, n long", bound=eps).groupBy(key).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    core = n.select(key) if sure is None else n.select(key).union(sure.select(key))
+    core = settled(points.join(core, key, "left_semi").select(key, "features"))
+    inner = Cells(core, key=key, block=block)
+    edges = inner.join(core, forest, f"{key} {kind}, near {kind}", bound=eps).where(F.col(key) != F.col("near"))
+    edges = settled(edges.union(edges.select("near", key)).distinct())
+    roots = connected(edges, core, key=key)
+    others = points.join(core, key, "left_anti")
+    outer = Cells(core.join(roots, key), key=key, keep=("root",), block=block)
+    reached = outer.join(others, first, f"{key} {kind}, root {kind}", bound=eps).groupBy(key).agg(F.min("root").alias("root"))
+    if seen is not None:
+        seen += [index, inner, outer]
+    found = settled(roots.union(reached))
+    named = points.select(key, "features").join(found.join(_counted(found), "root").select(key, "cluster"), key, "left").select("features", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    return table.join(named, "features").select(key, "cluster")
 
 
 def _reach(x: np.ndarray, least: int) -> np.ndarray:
@@ -464,8 +615,6 @@ def spectral(table: DataFrame, k: int, *, near: int = 10, key: str = "seq_id") -
 
 def _estimated(method: str, table: DataFrame, x: np.ndarray, k: int, key: str) -> np.ndarray:
     p = lambda q, rank=1: neighbour_percentile(table, q, rank=rank, key=key)
-    if method == "dbscan":
-        return dbscan(x, p(0.9), 10)
     if method == "hdbscan":
         return hdbscan(x, max(int(p(0.9)), 1), 10)
     if method == "birch":
@@ -492,13 +641,13 @@ def cluster(table: DataFrame, method: str, k: int = 10, *, key: str = "seq_id",
         return mixture(table, None, key=key, seed=seed)
     if method == "hierarchical":
         return ward_tiered(table, k, key=key, seed=seed)
+    if method == "dbscan":
+        return dbscan_blocks(table, neighbour_percentile(table, 0.9, key=key), 10, key=key)
+    if method == "spectral":
+        return spectral(table, k, key=key)
     if table.count() > MOST:
-        if method == "dbscan":
-            return dbscan_blocks(table, neighbour_percentile(table, 0.9, key=key), 10, key=key)
         reps = settled(reduced(table.select(key, "features"), MOST, key=key, seed=seed))
         return propagated(table, reps.join(cluster(reps, method, k, key=key, seed=seed), key), key=key)
-    if method == "spectral":
-        return spectral(table, k, key=key)
     ids, x = points_of(table, key=key)
     return _labelled(table, ids, _estimated(method, table, x, k, key), key)
 
@@ -654,7 +803,7 @@ def compared(table: DataFrame, methods: list[str], k: int, *, key: str = "seq_id
 
 def pipeline(table: DataFrame, k: int, *, reduce_to: int = 5_000, strategy: str = "kmeans", key: str = "seq_id", seed: int = 42) -> DataFrame:
     """Reduce, cluster the representatives by Ward, label every point by the nearest one."""
-    reps = settled(reduced(table, min(reduce_to, MOST), strategy, key=key, seed=seed))
+    reps = settled(reduced(table, reduce_to, strategy, key=key, seed=seed))
     labels = ward_tiered(reps, k, key=key, seed=seed)
     return propagated(table, reps.join(labels, key), key=key)
 
