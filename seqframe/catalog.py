@@ -153,8 +153,8 @@ def primer_share(spark, sf_dir):
     return search.primer_summary(_aligned(spark, sf_dir), 60.0)
 
 
-def _aligned(spark, sf_dir):
-    return search.local_alignments(reads_of(spark, sf_dir), {"Left": "ACGTGATCCTAGTACA", "Right": "GATCACGTCTAG"})
+def _aligned(spark, sf_dir, drawing=False):
+    return search.local_alignments(reads_of(spark, sf_dir), {"Left": "ACGTGATCCTAGTACA", "Right": "GATCACGTCTAG"}, drawing=drawing)
 
 
 @query()
@@ -164,7 +164,7 @@ def motif_window(spark, sf_dir):
 
 @query()
 def primer_alignment(spark, sf_dir):
-    return _aligned(spark, sf_dir)
+    return _aligned(spark, sf_dir, drawing=True)
 
 
 @query("""WITH w AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM documents)
@@ -685,6 +685,45 @@ def motif_tree(spark, sf_dir):
     return motif.motif_tree(reads, reads.agg(F.min(F.length("seq"))).first()[0] or 0)
 
 
+# The same over reads that are aligned at a motif: its first 20 letters from each occurrence on
+
+_ALIGNED = f"{_MATCHES}, at_motif AS (SELECT substring(r.seq, position + 1, 20) AS seq FROM matches JOIN reads r USING (seq_id) WHERE query_name = 'Left' AND length(r.seq) >= position + 20)"
+_ALIGNED_PWM = f"""{_ALIGNED}, counts AS (SELECT pos, base, count(*) FILTER (substring(seq, pos + 1, 1) = base) AS n FROM (SELECT seq, unnest(range(20)) AS pos FROM at_motif),
+(VALUES ('A'), ('C'), ('G'), ('T')) b(base) GROUP BY pos, base)"""
+_ALIGNED_SETS = f"{_ALIGNED_PWM}, s AS (SELECT pos, base, n FROM (SELECT *, max(n) OVER (PARTITION BY pos) AS top FROM counts) WHERE n > 0.8 * top)"
+
+
+def _windows(spark, sf_dir):
+    return motif.windows(reads_of(spark, sf_dir), MOTIFS["Left"], 20)
+
+
+@query(f"WITH {_ALIGNED_PWM} SELECT CAST(pos AS INTEGER) AS pos, base, n, round(n / (SELECT count(*) FROM at_motif)::DOUBLE, 9) AS freq FROM counts")
+def pwm_at_motif(spark, sf_dir):
+    return motif.position_weights(_windows(spark, sf_dir)).withColumn("freq", F.round("freq", 9))
+
+
+@query(f"WITH {_ALIGNED_PWM} SELECT string_agg(base, '' ORDER BY pos) AS consensus FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY n DESC, base) AS r FROM counts) WHERE r = 1")
+def consensus_at_motif(spark, sf_dir):
+    return motif.consensus_sequence(motif.position_counts(_windows(spark, sf_dir)))
+
+
+@query(f"WITH {_ALIGNED_SETS} SELECT CAST(pos AS INTEGER) AS pos, base, n FROM s")
+def consensus_sets_at_motif(spark, sf_dir):
+    return motif.consensus_sets(motif.position_counts(_windows(spark, sf_dir)), 0.8)
+
+
+@query(f"WITH {_ALIGNED_SETS} SELECT a.pos || '_' || a.base AS source, b.pos || '_' || b.base AS target, 1 AS value FROM s a JOIN s b ON b.pos = a.pos + 1")
+def motif_graph_at_motif(spark, sf_dir):
+    return motif.motif_graph(motif.consensus_sets(motif.position_counts(_windows(spark, sf_dir)), 0.8))[1]
+
+
+@query(f"""WITH {_ALIGNED}, c AS (SELECT k, substring(seq, 1, k) AS motif, substring(seq, 1, k - 1) AS parent, count(*) AS n FROM (SELECT seq, unnest(range(1, 21)) AS k FROM at_motif) GROUP BY 1, 2, 3),
+ok AS (SELECT k, motif, n FROM (SELECT *, max(n) OVER (PARTITION BY k, parent) AS top FROM c) WHERE n >= top * (1 - 0.3))
+SELECT t.motif, t.n FROM ok t JOIN ok p ON p.motif = substring(t.motif, 1, p.k) WHERE t.k = 20 GROUP BY t.motif, t.n HAVING count(*) = 20""")
+def motif_tree_at_motif(spark, sf_dir):
+    return motif.motif_tree(_windows(spark, sf_dir), 20, 0.3)
+
+
 # Clusters
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqframe.functions.sequence import letters
+from seqframe.scratch import settled, small
 
 BASES = ("A", "C", "G", "T")
 
@@ -48,20 +52,55 @@ def consensus_sets(weights: DataFrame, share: float = 0.5) -> DataFrame:
     return weights.withColumn("__top", top).where(F.col("n") > F.col("__top") * share).select("pos", "base", "n")
 
 
+def windows(reads: DataFrame, motif: str, size: int, *, seq: str = "seq", keep: tuple[str, ...] = ()) -> DataFrame:
+    """seq: `size` letters from each occurrence of the motif on, overlapping ones too; what
+    runs past a read's end is left out. So reads are aligned at a motif."""
+    if size < len(motif):
+        raise ValueError("windows hold their motif")
+    found = F.regexp_extract_all(F.col(seq), F.lit(rf"(?=(\Q{motif}\E.{{{size - len(motif)}}}))"), F.lit(1))
+    return reads.select(*keep, F.explode(found).alias("seq"))
+
+
+_LEVELS = 6  # letters that a round of motif_tree() goes down
+
+
+def _pruned(counts: dict[str, int], start: int, end: int, threshold: float) -> dict[str, int]:
+    """Counts by the first `end` letters of strings that share the first `start`, where every letter between was
+    among the most frequent behind what stands before it."""
+    for k in range(start + 1, end + 1):
+        level, top = Counter(), {}
+        for s, n in counts.items():
+            level[s[:k]] += n
+        level = {m: n for m, n in level.items() if m[-1] in BASES}
+        for m, n in level.items():
+            top[m[:-1]] = max(n, top.get(m[:-1], 0))
+        kept = {m for m, n in level.items() if n >= top[m[:-1]] * (1 - threshold)}
+        counts = {s: n for s, n in counts.items() if s[:k] in kept}
+    return counts
+
+
+def _pruner(start: int, end: int, threshold: float):
+    def prune(group: pa.Table) -> pa.Table:
+        left = _pruned(dict(zip(group.column("motif").to_pylist(), group.column("n").to_pylist(), strict=True)), start, end, threshold)
+        return pa.table({"motif": pa.array(list(left), pa.string()), "n": pa.array(list(left.values()), pa.int64())})
+
+    return prune
+
+
 def motif_tree(seqs: DataFrame, depth: int, threshold: float = 0.1, *, seq: str = "seq") -> DataFrame:
     """motif, n: prefixes of `depth` letters reached by taking, at each position, every
     base whose count among the sequences with the prefix so far is at least
-    (1 - threshold) of the greatest. A level is one aggregation of prefix counts, of
-    which there are at most four to a branch."""
-    rows = seqs.where(F.length(seq) >= depth).select(F.substring(F.col(seq), 1, depth).alias("seq")).groupBy("seq").agg(F.count("*").alias("n"))
-    kept = rows.select(F.col("seq").alias("motif"), "n").limit(0)
-    for k in range(1, depth + 1):
-        level = rows.groupBy(F.substring("seq", 1, k).alias("motif")).agg(F.sum("n").alias("n"))
-        level = level.where(F.substring("motif", k, 1).isin(*BASES)).withColumn("parent", F.substring("motif", 1, k - 1))
-        if k > 1:
-            level = level.join(kept.select(F.col("motif").alias("parent")), "parent", "left_semi")
-        top = F.max("n").over(Window.partitionBy("parent"))
-        kept = level.withColumn("__top", top).where(F.col("n") >= F.col("__top") * (1 - threshold)).select("motif", "n")
+    (1 - threshold) of the greatest. Rounds of a few levels: the sequences, counted once, that go on from the
+    frontier are counted by their next letters, with partial counts; to a branch of the frontier that is a trie of
+    a few thousand strings at most, which is pruned by itself, and what is left is written as
+    the next frontier. So plans stay as small as a round, however deep the tree is."""
+    rows = settled(seqs.where(F.length(seq) >= depth).select(F.substring(F.col(seq), 1, depth).alias("seq")).groupBy("seq").agg(F.count("*").alias("n")))
+    kept, at = rows.select(F.col("seq").alias("motif"), "n"), 0
+    while at < depth:
+        start, end = at, min(depth, at + _LEVELS)
+        alive = rows if not at else rows.join(small(kept.select("motif")), F.substring("seq", 1, at) == F.col("motif"), "left_semi")
+        trie = alive.groupBy(F.substring("seq", 1, end).alias("motif")).agg(F.sum("n").alias("n")).withColumn("branch", F.substring("motif", 1, start))
+        kept, at = settled(trie.groupBy("branch").applyInArrow(_pruner(start, end, threshold), "motif string, n long")), end
     return kept
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqframe.functions.sequence import edit_budget, exact_edit_budget, kmers, reverse_complement, wildcard_similarity
+from seqframe.operators.localalign import aligned
 from seqframe.operators.seeds import Automaton, Budgeted, Text
 
 _BLOCK = 1 << 20  # letters of motifs that are searched for together, about
@@ -350,32 +351,7 @@ def align_local(motif: str, seq: str) -> tuple[int, list[tuple[int, int, int, in
     """Best local alignment with +1 for equal, 0 for unequal and -1 for gaps: score,
     blocks (from and to in the motif, from and to in the sequence), equal pairs. Among
     equally good ones the earliest end in the sequence, diagonal steps first."""
-    a, b = np.frombuffer(motif.encode("utf-32-le"), np.uint32), np.frombuffer(seq.encode("utf-32-le"), np.uint32)
-    h = np.zeros((len(a) + 1, len(b) + 1), np.int32)
-    fall = np.arange(len(b) + 1)
-    for i in range(1, len(a) + 1):
-        row = np.maximum(0, np.maximum(h[i - 1, 1:] - 1, h[i - 1, :-1] + (a[i - 1] == b)))
-        h[i, 1:] = np.maximum.accumulate(np.concatenate([[0], row]) + fall)[1:] - fall[1:]
-    score = int(h.max(initial=0))
-    if not score:
-        return 0, [], 0
-    at = np.argwhere(h == score)
-    i, j = map(int, at[np.lexsort((at[:, 0], at[:, 1]))[0]])
-    blocks: list[list[int]] = []
-    equal, open_block = 0, False
-    while i and j and h[i, j]:
-        same = bool(a[i - 1] == b[j - 1])
-        if h[i, j] == h[i - 1, j - 1] + same:
-            equal += same
-            if open_block:
-                blocks[-1][0], blocks[-1][2] = i - 1, j - 1
-            else:
-                blocks.append([i - 1, i, j - 1, j])
-            i, j, open_block = i - 1, j - 1, True
-        else:
-            i, j = (i - 1, j) if h[i, j] == h[i - 1, j] - 1 else (i, j - 1)
-            open_block = False
-    return score, [tuple(x) for x in reversed(blocks)], equal
+    return aligned(Text([seq]), motif)[0]
 
 
 def drawn(motif: str, seq: str, blocks: list[tuple[int, int, int, int]], width: int = 60) -> str:
@@ -397,32 +373,34 @@ def drawn(motif: str, seq: str, blocks: list[tuple[int, int, int, int]], width:
 _ALIGNED = "{id} {type}, query_name string, score int, alignment_length int, percent_identity double, starts array<int>, ends array<int>, motif_aligned string, seq_aligned string, marked string, drawing string"
 
 
-def local_alignments(reads: DataFrame, queries: DataFrame | Mapping[str, str], *, key: str = "seq_id", seq: str = "seq", denominator: str = "primer") -> DataFrame:
+def local_alignments(reads: DataFrame, queries: DataFrame | Mapping[str, str], *, key: str = "seq_id", seq: str = "seq", denominator: str = "primer", drawing: bool = False) -> DataFrame:
     """The best alignment of each motif with each read. percent_identity is 100 * equal
-    pairs over the length of the primer or of the sequence, unrounded."""
+    pairs over the length of the primer or of the sequence, unrounded. drawing: the
+    alignment in lines, only if asked for (else null)."""
     if denominator not in ("primer", "sequence"):
         raise ValueError(f"no denominator {denominator!r}")
     kind = reads.select(key).schema[0].dataType.simpleString()
     schema = _ALIGNED.format(id=key, type=kind)
+    names = [c.split()[0] for c in schema.split(", ")]
+    ints = pa.list_(pa.int32())
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.float64(), ints, ints, pa.string(), pa.string(), pa.string(), pa.string()]
 
     def search(motifs: list[tuple[str, str]]) -> DataFrame:
-        def run(frames):
-            import pandas as pd
-
-            for frame in frames:
-                rows = []
-                for name, s in zip(frame.iloc[:, 0], frame.iloc[:, 1], strict=True):
-                    s = s or ""
-                    for q, motif in motifs:
-                        score, blocks, equal = align_local(motif, s)
-                        ma, sa = ("".join(x[b[k] : b[k + 1]] for b in blocks) for x, k in ((motif, 0), (s, 2)))
-                        a, e = (min(b[2] for b in blocks), max(b[3] for b in blocks)) if blocks else (0, 0)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in _slices(batches, 1):
+                seqs = [s or "" for s in part.column(1).to_pylist()]
+                text = Text(seqs)
+                for q, motif in motifs:
+                    rows = []
+                    for s, (score, blocks, equal) in zip(seqs, aligned(text, motif), strict=True):
+                        ma, sa = ("".join([x[b[k] : b[k + 1]] for b in blocks]) for x, k in ((motif, 0), (s, 2)))
+                        a, e = (blocks[0][2], blocks[-1][3]) if blocks else (0, 0)
                         marked = f"{s[:a]}<{q}>{s[a:e]}</{q}>{s[e:]}" if blocks else s
                         whole = len(motif) if denominator == "primer" else len(s)
-                        rows.append((name, q, score, len(ma), 100.0 * equal / whole if whole else 0.0, [b[2] for b in blocks], [b[3] for b in blocks], ma, sa, marked, drawn(motif, s, blocks)))
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+                        rows.append((q, score, len(ma), 100.0 * equal / whole if whole else 0.0, [b[2] for b in blocks], [b[3] for b in blocks], ma, sa, marked, drawn(motif, s, blocks) if drawing else None))
+                    yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds, strict=True))], names=names)
 
-        return reads.select(key, F.col(seq).alias("seq")).mapInPandas(run, schema)
+        return reads.select(key, F.col(seq).cast("string").alias("seq")).mapInArrow(run, schema)
 
     return _by_block(queries, search)
 
