@@ -18,7 +18,11 @@ a budget, are answered from there for any number of budgets, without a second en
 only the stretch in which a budget ends is looked into. The longest prefix may end inside
 a word. Positions are code points.
 
-Null text counts as empty. Each input row gives one output row, repeated rows too.
+Special strings are found first, and prefixes that end in one are counted with it as plain
+text. The normal form is walked once (plain_inside), so that an unspaced text takes time in
+proportion to its length, in whatever form it is written.
+
+Null text counts as empty. Other columns aren't looked at, whatever their names. Each input row gives one output row, repeated rows too.
 Empty tables give empty results. Nothing is shuffled. Memory: a slice of texts of a few
 MB, and caches that are bounded in bytes.
 """
@@ -27,7 +31,9 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import cache
 from itertools import accumulate
 
 import numpy as np
@@ -42,6 +48,7 @@ from seqframe.llm.common import kind_of, slices, text_of
 _CACHE_BYTES = 128 << 20  # of each of two caches, about
 _VERDICTS = 400_000  # entries after which the cache of verdicts is emptied
 _TEXTS = 4 << 20  # bytes of texts that are counted together
+_SPELLED = 16  # letters of the longest word that the split pattern spells out, at least
 
 
 def byte_letters() -> list[str]:
@@ -52,6 +59,24 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in seen else chr(next(rest)) for b in range(256)]
 
 
+def _literal(word: str) -> bool:
+    """Whether a word is one that the split pattern spells out: signs with letters behind them."""
+    return word[0] in "'<" and any(c.isalpha() for c in word)
+
+
+def _kind(c: str) -> str:
+    """Letters and signs go together with their like; numbers and space don't (empty)."""
+    kind = unicodedata.category(c)[0]
+    return "L" if kind == "L" else "" if kind == "N" or c.isspace() else "S"
+
+
+@cache
+def composing() -> frozenset[str]:
+    """Characters that may compose with, or be sorted among, what stands before them."""
+    second = {chr(int(parts[1], 16)) for c in range(0x110000) if len(parts := unicodedata.decomposition(chr(c)).split()) == 2 and parts[0][0] != "<"}
+    return frozenset(second | {chr(c) for c in range(0x110000) if unicodedata.combining(chr(c))} | {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))})
+
+
 class PrefixCounter:
     """Counts by a tokenizers file: BPE with an end-of-word mark over byte letters."""
 
@@ -169,27 +194,83 @@ class PrefixCounter:
         return [([x - 1 for x in accumulate([len(c) + 1 for c in parts])], list(accumulate(map(count, parts)))) for parts in cut]
 
     def inside(self, text: str) -> list[int]:
-        """Tokens of the prefixes of 0, 1, ... code points of a stretch between spaces."""
+        """Tokens of the prefixes of 0, 1, ... code points of a stretch between spaces. A prefix
+        that ends within a special string has it as plain text, behind the part before."""
+        out, done, start = [0], 0, 0
+        for m in self.find_special.finditer(text) if self.find_special and "<" in text else ():
+            part = self.plain_inside(text[start : m.end() - 1])
+            out += [done + n for n in part[1:]]
+            done += part[m.start() - start] + 1
+            out.append(done)
+            start = m.end()
+        return out + [done + n for n in self.plain_inside(text[start:])[1:]]
+
+    def plain_inside(self, text: str) -> list[int]:
+        """The same without special strings. The normal form is walked once: it is made of clusters of
+        code points, none of which composes with what stands before it. Prefixes that end
+        between clusters are prefixes of the normal form; of one that ends within a cluster only the
+        end is another, and goes on from the row of the word before it."""
         plain = self.normal(text)
-        special = self.find_special and "<" in text and self.find_special.search(text)
-        if special or len(plain) != len(text) or not unicodedata.is_normalized("NFC", text):
-            # Prefixes of the text aren't those of its normal form: count from the last sure border on.
-            out, done, start = [0], 0, 0
-            for i in range(1, len(text) + 1):
-                out.append(done + self.stretch(text[start:i]))
-                if i < len(text) and text[i - 1 : i + 1].isascii() and "<" not in text[start : i + 1] and text[i - 1].isdigit():
-                    done, start = out[-1], i
-            return out
-        out = [0]
-        for m in self.split.finditer(plain):
+        counts, words = self._prefixes(plain)
+        if len(plain) == len(text) and unicodedata.is_normalized("NFC", text):
+            return counts
+        follows, starts, out = composing(), [m.start() for m in words], [0]
+        rows: dict[int, tuple[str, list[str], list[int]]] = {}
+        at, done = 0, 0  # of the text and of its normal form
+        while at < len(text):
+            end = at + 1
+            while end < len(text) and text[end] in follows:
+                end += 1
+            for i in range(at + 1, end):
+                tail, k = self.normal(text[at:i]), bisect_left(starts, done) - 1  # the word that begins before
+                spelled_out = next((j for j in range(bisect_left(starts, done - _SPELLED), k + 1) if words[j][0][0] in "'<"), None)
+                if spelled_out is not None:  # a word of the pattern may end here
+                    out.append(counts[starts[spelled_out]] + self._loose(plain[starts[spelled_out] : done] + tail))
+                    continue
+                more = 0
+                if k >= 0 and words[k].end() >= done and not _literal(words[k][0]):
+                    kind = _kind(words[k][0][0])
+                    while more < len(tail) and kind and _kind(tail[more]) == kind:
+                        more += 1
+                if not more:
+                    out.append(counts[done] + self._loose(tail))
+                    continue
+                if k not in rows:
+                    spelled = self.spelled(words[k][0])
+                    rows[k] = spelled, *self.row(spelled, len(spelled))
+                before = len(words[k][0][: done - starts[k]].encode())
+                out.append(counts[starts[k]] + self._extended(*rows[k], before, self.spelled(tail[:more])) + self._loose(tail[more:]))
+            done += len(self.normal(text[at:end]))
+            out.append(counts[done])
+            at = end
+        return out
+
+    def _prefixes(self, plain: str) -> tuple[list[int], list]:
+        """Tokens of each prefix of a normal form, and its words."""
+        out, words = [0], list(self.split.finditer(plain))
+        for m in words:
             w, done = m[0], out[-1]
             out += [done] * (m.start() + 1 - len(out))
-            if w[0] == "'" and w[1:].isalpha():  # shortened, it is two words
-                out += [done + self.stretch(w[:i]) for i in range(1, len(w))] + [done + self.word_count(self.spelled(w))]
+            if _literal(w):  # shortened, it is several words
+                out += [done + self._loose(w[:i]) for i in range(1, len(w) + 1)]
             else:
                 counts = self.prefix_counts(self.spelled(w))
                 out += [done + counts[e] for e in accumulate([len(c.encode()) for c in w])]
-        return out + [out[-1]] * (len(text) + 1 - len(out))
+        return out + [out[-1]] * (len(plain) + 1 - len(out)), words
+
+    def _loose(self, text: str) -> int:
+        """Tokens of a short normal text in which special strings are plain text."""
+        return sum(self.word_count(self.spelled(w)) for w in self.split.findall(text))
+
+    def _extended(self, word: str, last: list[str], count: list[int], upto: int, more: str) -> int:
+        """Tokens of the word of the first `upto` units of another one, whose row is given, and more."""
+        first = max(0, upto - self.most)
+        text, last, count = word[first:upto] + more, last[first : upto + 1], count[first : upto + 1]
+        for i in range(upto - first + 1, len(text)):
+            t = self._last(text, i, last, "")
+            last.append(t)
+            count.append(count[i - len(t)] + 1)
+        return count[len(text) - len(self._last(text, len(text), last, self.mark)) + len(self.mark)] + 1
 
     def fits(self, text: str, ends: list[int], counts: list[int], budget: int) -> int:
         """Code points of the longest prefix of text with at most `budget` tokens, from what

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import public_tokenizers as P
@@ -88,3 +89,25 @@ def test_odd_rows(spark, odd, nothing):
     assert texts == sorted(r.text or "" for r in odd.collect())
     assert sorted(bytes(r.decoded).decode() for r in bpe.decode(coded, RANKS, P.PATTERN).collect()) == texts
     assert bpe.encode(nothing, RANKS, P.PATTERN).count() == 0
+
+
+ODD = st.lists(st.sampled_from([*"\n,.'<|>aesrx19ßσΣİǰ²漢が̸̣́̈ো한한", "'s", "'ll", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "é", "ve"]), max_size=14).map("".join)
+
+
+@settings(max_examples=500, deadline=None)
+@given(ODD)
+def test_prefixes_of_any_form(words, text):
+    """Decomposed letters, lengths that change in lower case, special strings: each prefix as the library counts it."""
+    counter, library = words
+    want = [len(e.ids) for e in library.encode_batch([text[:i] for i in range(len(text) + 1)], add_special_tokens=False)]
+    assert counter.inside(text) == want
+
+
+@pytest.mark.parametrize("unit", ["がぎ", "İxİ", "漢字かな交じり文", "éẍ", "漢字<|endoftext|>かな", "한", "ab'll9"])
+def test_long_unspaced_texts_take_their_length(words, unit):
+    text = unit * (20_000 // len(unit))
+    began = time.process_time()
+    counts = words[0].inside(text)
+    assert time.process_time() - began < 4 and len(counts) == len(text) + 1
+    at = [0, 1, 2, 3, 777, len(text) // 2, len(text) - 1, len(text)]
+    assert [counts[i] for i in at] == [len(words[1].encode(text[:i], add_special_tokens=False).ids) for i in at]
