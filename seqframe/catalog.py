@@ -20,6 +20,7 @@ from seqframe.operators import cluster, embed, layout, motif, pairs, search, sta
 from seqframe.schema import neighbour_rules, primer_rules, queries_df
 from seqframe.scratch import shared_dir
 from seqframe.sources import fastq, tables
+from seqframe.streaming import matches as streaming
 
 MOTIFS = {"Left": "ACGT", "Right": "GATC", "RCLeft": "CTAG", "RCRight": "TACA", "Barcode1": "GGCA"}
 NAMES = sorted(MOTIFS)
@@ -685,6 +686,32 @@ def motif_tree(spark, sf_dir):
     return motif.motif_tree(reads, reads.agg(F.min(F.length("seq"))).first()[0] or 0)
 
 
+# Streams
+
+
+@query("""WITH e AS (SELECT user_id, event_type, event_id, epoch_ms(ts) AS ms FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL),
+o AS (SELECT *, lag(ms) OVER w AS prior, lag(event_type) OVER w AS prior_type FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id, event_type)),
+s AS (SELECT *, sum(CASE WHEN prior IS NULL OR prior_type = 'purchase' OR ms - prior > 21600000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ms, event_id, event_type) AS g FROM o),
+r AS (SELECT user_id, g, count(*) FILTER (event_type <> 'purchase') AS n, string_agg(event_type, ',' ORDER BY event_id, event_type) FILTER (event_type <> 'purchase') AS names, bool_or(event_type = 'purchase') AS complete, max(ms) AS last_at FROM s GROUP BY user_id, g)
+SELECT user_id AS seq_id, n, coalesce(names, '') AS names, complete FROM r WHERE complete OR last_at + 21600000 < (SELECT max(ms) - 3600000 FROM e) OR g < (SELECT max(g) FROM r q WHERE q.user_id = r.user_id)""")
+def stream_reads(spark, sf_dir):
+    """Events as a stream of matches: users are reads, purchases end them, and six hours without an event do."""
+    path = f"{sf_dir}/[e]vents.parquet"  # a pattern may name a file, of which a stream takes no path
+    stream = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(path)
+    rows = stream.select(F.col("user_id").alias("seq_id"), F.col("event_type").alias("query_name"), F.col("event_id").alias("position"), F.col("ts").cast("timestamp").alias("ts"))
+    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    before = {k: spark.conf.get(k, None) for k in streaming.STATE_STORE}
+    try:
+        for k, v in streaming.STATE_STORE.items():
+            spark.conf.set(k, v)
+        found = streaming.expiring_reads(rows, late="1 hour", wait=21_600, end="purchase")
+        found.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
+    return spark.read.schema(found.schema).parquet(f"{out}/rows")
+
+
 # The same over reads that are aligned at a motif: its first 20 letters from each occurrence on
 
 _ALIGNED = f"{_MATCHES}, at_motif AS (SELECT substring(r.seq, position + 1, 20) AS seq FROM matches JOIN reads r USING (seq_id) WHERE query_name = 'Left' AND length(r.seq) >= position + 20)"
@@ -805,6 +832,17 @@ def ward_clusters(spark, sf_dir):
     return cluster.ward_clusters(features_of(spark, sf_dir), 10, key="vec_id")
 
 
+@query(f"""WITH {_READS}, t AS (SELECT seq_id AS n, barcode, seq, repeat('I', length(seq)) AS qual FROM reads WHERE seq <> '')
+SELECT barcode, CAST(n AS VARCHAR) AS read_id, seq, qual FROM t""")
+def fastq_many_files(spark, sf_dir):
+    """FASTQ files in a folder for each barcode, all read at once by their splits."""
+    path = f"{shared_dir(spark)}/many-{uuid.uuid4().hex}"
+    rows = reads_of(spark, sf_dir).where("seq <> ''").select("barcode", "seq_id", F.col("seq_id").cast("string").alias("read_id"), F.lit(None).cast("string").alias("description"), "seq", F.expr("repeat('I', length(seq))").alias("qual"))
+    rows.select("barcode", fastq.fastq_line().alias("value")).write.partitionBy("barcode").text(path)
+    found = fastq.read_fastq_files(spark, f"{path}/*/*.txt", path=True)
+    return found.select(F.regexp_extract("path", "barcode=([^/]*)/", 1).alias("barcode"), "read_id", "seq", "qual")
+
+
 @query()
 def kmeans_of_components(spark, sf_dir):
     """k-means after a reduction to principal components."""

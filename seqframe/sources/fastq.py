@@ -23,10 +23,12 @@ def _splits(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file", "at", "i", F.rtrim("value", F.lit("\r")).alias("line"))
 
 
-def _before(splits: DataFrame, count: Column, name: str) -> DataFrame:
-    """file, at, first (the least i), name: what count adds up to in all splits before. A row to a split."""
+def _before(splits: DataFrame, count: Column, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """file, at, first (the least i), name: what count adds up to in all splits before (of the file, if `by`
+    names it). A row to a split."""
     counts = splits.groupBy("file", "at").agg(F.min("i").alias("first"), count.alias("__n"))
-    return small(counts.select("file", "at", "first", F.coalesce(F.sum("__n").over(Window.orderBy("file", "at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(name)))
+    before = Window.partitionBy(*by).orderBy("file", "at").rowsBetween(Window.unboundedPreceding, -1)
+    return small(counts.select("file", "at", "first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(name)))
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -52,15 +54,19 @@ def fastq_records(lines: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return records.select(*by, "rec_no", F.split(description, r"\s+")[0].alias("read_id"), description.alias("description"), "seq", "qual")
 
 
-def read_fastq_files(spark: SparkSession, pattern: str) -> DataFrame:
+def read_fastq_files(spark: SparkSession, pattern: str, *, path: bool = False) -> DataFrame:
     """Many FASTQ files at once: the columns of read_fastq and barcode, the file's name
-    without its ending. Numbers restart in each. A file is split into lines in one row, so that each
-    should be small; a record that is cut short raises an error as in read_fastq."""
-    files = spark.read.text(pattern, wholetext=True).select(F.input_file_name().alias("path"), "value")
+    without its ending (and path, if asked for). Numbers restart in each file. Files of any size are read by their
+    splits, each of which counts its lines; a record that is cut short raises an error as in
+    read_fastq. Empty lines at a file's end are left out."""
+    splits = _splits(spark, pattern)
+    lines = splits.join(_before(splits, F.count("*"), "before", ("file",)), ["file", "at"])
+    lines = lines.select(F.col("file").alias("path"), (F.col("before") + F.col("i") - F.col("first")).alias("no"), "line")
+    full = F.max(F.when(F.col("line") != "", F.col("no")))
+    ends = small(lines.groupBy("path").agg(full.alias("end")))
+    lines = lines.join(ends, "path").where(F.col("no") <= F.col("end")).drop("end")
     name = F.regexp_extract("path", r"([^/]+?)(?:\.(?:fastq|fq))?$", 1)
-    text = F.regexp_replace("value", r"[\r\n]+\z", "")
-    lines = files.where(F.length(text) > 0).select(name.alias("barcode"), F.posexplode(F.split(text, r"\r?\n")).alias("no", "line"))
-    return fastq_records(lines, ("barcode",))
+    return fastq_records(lines, ("path",)).withColumn("barcode", name).select("barcode", "rec_no", "read_id", "description", "seq", "qual", *["path"] * path)
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:

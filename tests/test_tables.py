@@ -33,6 +33,19 @@ def test_fastq_round_trip(spark, tmp_path):
     assert len(many) == 25 and many[0].barcode == "a" and {r.qual[:1] for r in many} == {"@"}
 
 
+def test_many_files_are_read_by_their_splits(spark, tmp_path):
+    """Splits of many files, of which each is numbered by itself, give what whole files give."""
+    want = []
+    for name, n in (("a", 40), ("b", 3), ("c", 25)):
+        (tmp_path / f"{name}.fq").write_text("".join(f"@{name}{i} x\n{'ACGT' * (i + 1)}\n+\n{'@II#' * (i + 1)}\n" for i in range(n)) + "\n" * (n % 2))
+        want += [(name, i, f"{name}{i}", f"{name}{i} x", "ACGT" * (i + 1), "@II#" * (i + 1)) for i in range(n)]
+    for size in ("128m", "50"):
+        with_splits(spark, size)
+        assert sorted(tuple(r) for r in fastq.read_fastq_files(spark, str(tmp_path / "*.fq")).collect()) == want
+    assert spark.read.text(str(tmp_path / "a.fq")).rdd.getNumPartitions() > 8
+    with_splits(spark, "128m")
+
+
 def test_broken_fastq_is_an_error(spark, tmp_path):
     (tmp_path / "b.fastq").write_text("@r\nACGT\n+\nII\n")
     with pytest.raises(Exception, match="not a FASTQ record"):
