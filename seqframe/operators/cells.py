@@ -32,7 +32,7 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """A column of lists of one length."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = pc.list_flatten(column).to_numpy(zero_copy_only=False).astype(float)
-    return flat.reshape(len(column), -1)
+    return flat.reshape(len(column), -1 if len(column) else 0)
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:

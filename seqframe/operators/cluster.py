@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from seqframe.functions.sequence import distance
 from seqframe.operators.cells import Cells, matrix, nearest, place_of, rank_of
 from seqframe.operators.cells import distances as between
+from seqframe.operators.features import MOST_FEATURES, Tree
 from seqframe.operators.pairs import numbered
 from seqframe.operators.stats import quantile, sample_of, standardized
 from seqframe.scratch import settled
@@ -586,21 +587,55 @@ def affinity_propagation(x: np.ndarray, preference: float, *, damping: float = 0
     return labels
 
 
-def leaders(x: np.ndarray, threshold: float, k: int) -> np.ndarray:
-    """One pass gathers points within the threshold of a growing centre; Ward on the centres."""
-    centre, size, own = [], [], np.zeros(len(x), int)
-    for i, p in enumerate(x):
-        d = np.linalg.norm(np.array(centre) - p, axis=1) if centre else np.array([np.inf])
-        j = int(d.argmin())
-        if d[j] <= threshold:
-            size[j] += 1
-            centre[j] = centre[j] + (p - centre[j]) / size[j]
-        else:
-            j = len(centre)
-            centre.append(p.astype(float))
-            size.append(1)
-        own[i] = j
-    return ward(np.array(centre), k, np.array(size))[own] if centre else own
+_FED = 20_000  # points of a first tree, about
+_FAN = 8  # trees whose features meet in one
+
+
+def clustering_features(table: DataFrame, threshold: float, *, key: str = "seq_id", most: int = MOST_FEATURES, fed: int = _FED) -> DataFrame:
+    """n, mean array<double>, s (sum of squared deviations), threshold: at most `most` features of all
+    points, each of a radius of at most the greatest threshold given. A tree (features.py) to a share of the
+    points by hash; rounds then feed the features of eight trees to one, until there is one.
+    No task has more than a share's points, or eight trees' features."""
+    schema = "part int, n double, mean array<double>, s double, threshold double"
+    n = table.count()
+    parts = max(1, -(-n // fed))
+    share = F.pmod(F.xxhash64(key, F.lit("share")), F.lit(parts)).cast("int")
+    rows = table.select(share.alias("part"), F.lit(1.0).alias("n"), F.transform("features", lambda v: v.cast("double")).alias("mean"), F.lit(0.0).alias("s"), F.lit(float(threshold)).alias("threshold"), F.xxhash64(key).alias("turn"))
+
+    def grow(group: pa.Table) -> pa.Table:
+        x = matrix(group.column("mean"))
+        weight, s, turn = (group.column(c).to_numpy() for c in ("n", "s", "turn"))
+        tree = Tree(x.shape[1], float(group.column("threshold").to_numpy().max()), most)
+        for i in np.lexsort((*x.T[::-1], turn)).tolist():
+            tree.add(float(weight[i]), x[i], float(s[i]))
+        n, mean, s = tree.leaves()
+        return pa.table({"part": pa.array(np.full(len(n), group.column("part")[0].as_py() // _FAN, np.int32)), "n": n, "mean": pa.array(mean.tolist(), pa.list_(pa.float64())), "s": s, "threshold": np.full(len(n), tree.threshold)})
+
+    while True:
+        found = settled(rows.groupBy("part").applyInArrow(grow, schema))
+        if parts == 1:
+            return found.drop("part")
+        parts = -(-parts // _FAN)
+        rows = found.withColumn("turn", F.lit(0).cast("long"))
+
+
+def birch(table: DataFrame, k: int, threshold: float, *, key: str = "seq_id", most: int = MOST_FEATURES, fed: int = _FED) -> DataFrame:
+    """key, cluster: Ward over the means of the clustering features, with their numbers, into k;
+    each point has the label of the nearest mean. The features are a bounded number of rows."""
+    kept = clustering_features(table, threshold, key=key, most=most, fed=fed).orderBy("mean").toArrow()
+    means = matrix(kept.column("mean"))
+    if not len(means):
+        return table.select(key, F.lit(0).alias("cluster"))
+    labels = ward(means, k, kept.column("n").to_numpy())
+    kind = table.select(key).schema[0].dataType.simpleString()
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(labels[between(matrix(part.column(1)), means).argmin(1)], pa.int32())], names=[key, "cluster"])
+
+    return table.select(key, F.transform("features", lambda v: v.cast("double")).alias("features")).mapInArrow(label, f"`{key}` {kind}, cluster int")
 
 
 def spectral(table: DataFrame, k: int, *, near: int = 10, key: str = "seq_id") -> DataFrame:
@@ -617,8 +652,6 @@ def _estimated(method: str, table: DataFrame, x: np.ndarray, k: int, key: str) -
     p = lambda q, rank=1: neighbour_percentile(table, q, rank=rank, key=key)
     if method == "hdbscan":
         return hdbscan(x, max(int(p(0.9)), 1), 10)
-    if method == "birch":
-        return leaders(x, p(0.75), k)
     if method == "optics":
         return optics(x, max(2, int(p(0.9))))
     if method == "meanshift":
@@ -643,6 +676,8 @@ def cluster(table: DataFrame, method: str, k: int = 10, *, key: str = "seq_id",
         return ward_tiered(table, k, key=key, seed=seed)
     if method == "dbscan":
         return dbscan_blocks(table, neighbour_percentile(table, 0.9, key=key), 10, key=key)
+    if method == "birch":
+        return birch(table, k, neighbour_percentile(table, 0.75, key=key), key=key)
     if method == "spectral":
         return spectral(table, k, key=key)
     if table.count() > MOST:

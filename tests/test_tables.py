@@ -142,7 +142,6 @@ def test_bandwidth_and_preference():
     rng = np.random.default_rng(4)
     x = np.concatenate([rng.normal(c, 0.3, (20, 2)) for c in ((0, 0), (6, 0), (0, 6))])
     assert same_partition(cluster.mean_shift(x, 2.0).tolist(), 20)
-    assert same_partition(cluster.leaders(x, 2.0, 3).tolist(), 20)
 
 
 def test_ward_heights_and_brute_force():
