@@ -22,12 +22,11 @@ from pyspark.sql import functions as F
 
 from seqframe.functions.sequence import edit_budget, exact_edit_budget, kmers, reverse_complement, wildcard_similarity
 from seqframe.operators.localalign import aligned
-from seqframe.operators.seeds import Automaton, Budgeted, Text
+from seqframe.operators.seeds import Automaton, Budgeted, Letters, Text
 
 _BLOCK = 1 << 20  # letters of motifs that are searched for together, about
 _SLICE = 1 << 21  # letters of reads that are one text
 _ROWS = 1 << 17  # of an output batch
-_MATCH = "{id} {type}, query_name string, position int, length int, score double"
 
 
 def motif_blocks(queries: DataFrame | Mapping[str, str]) -> Iterator[list[tuple[str, str]]]:
@@ -191,30 +190,6 @@ def best_locations(seqs: list[str], motif: str, budget: int) -> list[list[tuple[
     return found
 
 
-def _mapped(reads: DataFrame, motifs: list[tuple[str, str]], per_motif, key: str, seq: str) -> DataFrame:
-    """Matches by per_motif(seqs, motif) -> for each read a list of (position, length, score)."""
-    kind = reads.select(key).schema[0].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                seqs = [s or "" for s in part.column(1).to_pylist()]
-                who, names, rows = [], [], []
-                for name, motif in motifs:
-                    for k, hits in enumerate(per_motif(seqs, motif)):
-                        who += [k] * len(hits)
-                        names += [name] * len(hits)
-                        rows += hits
-                p, n, s = zip(*rows, strict=True) if rows else ((), (), ())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(who, pa.int64())), pa.array(names, pa.string()), pa.array(p, pa.int32()), pa.array(n, pa.int32()), pa.array(s, pa.float64())],
-                    names=[key, "query_name", "position", "length", "score"],
-                )
-
-    return reads.select(key, F.col(seq).cast("string").alias("seq")).mapInArrow(run, _MATCH.format(id=key, type=kind))
-
-
 def edit_matches(reads: DataFrame, queries: DataFrame | Mapping[str, str], threshold: float = 0.9, *, key: str = "seq_id", seq: str = "seq", exact_budget: bool = False, length_mode: str = "span") -> DataFrame:
     """The best places of each motif in each read within the edit budget of the
     threshold; score 1 - distance / length of the motif. length_mode 'span' gives the
@@ -244,16 +219,34 @@ def edit_matches(reads: DataFrame, queries: DataFrame | Mapping[str, str], thres
     return _by_block(queries, search)
 
 
-def indel_similarity(windows: np.ndarray, motif: np.ndarray) -> np.ndarray:
-    """Longest common subsequence over length, for windows as long as the motif."""
-    m = len(motif)
-    row = np.zeros((m + 1, len(windows)), np.int32)
-    for c in motif:
-        new = np.zeros_like(row)
+def window_scores(text: Text, motif: str) -> np.ndarray:
+    """For each place of a text the indel similarity of the window as long as the motif that begins
+    there: the longest common subsequence over the length; -1 where a read ends within. Bit vectors, with
+    a step for each letter of the window and all windows of a part at once."""
+    letters = Letters([np.frombuffer(motif.encode("utf-32-le"), np.uint32)])
+    m, n, words = len(motif), len(text.codes), letters.words
+    out = np.full(n, -1.0)
+    inside = np.flatnonzero(text.ends[text.owner(np.arange(n))] - np.arange(n) >= m)
+    table = np.concatenate([letters.masks, np.zeros((words, 1), np.uint64)], axis=1)  # of letters that the motif lacks
+    code = np.where(letters.coded(text.codes) == len(letters.alphabet), table.shape[1] - 1, letters.coded(text.codes))
+    low = np.array([(1 << min(64, m - 64 * w)) - 1 for w in range(words)], np.uint64)
+    for k in range(0, len(inside), 1 << 15):
+        at = inside[k : k + (1 << 15)]
+        free = [np.full(len(at), ~np.uint64(0)) for _ in range(words)]
         for j in range(m):
-            new[j + 1] = np.where(windows[:, j] == c, row[j] + 1, np.maximum(row[j + 1], new[j]))
-        row = new
-    return row[m] / m
+            masks, carry = table[:, code[at + j]], None
+            for w in range(words):
+                used = free[w] & masks[w]
+                total = free[w] + used
+                over = total < used
+                if carry is not None:
+                    total += carry
+                    over |= total < carry
+                free[w] = total | (free[w] & ~used)
+                carry = over.astype(np.uint64)
+        left = sum(np.bitwise_count(f & x).astype(np.int64) for f, x in zip(free, low, strict=True))
+        out[at] = (m - left) / m
+    return out
 
 
 def peaks(x: np.ndarray, *, width: float | None = None, apart: int | None = None) -> list[int]:
@@ -272,11 +265,14 @@ def peaks(x: np.ndarray, *, width: float | None = None, apart: int | None = None
         i += 1
     if apart is not None:
         keep = dict.fromkeys(found, True)
+        place = {p: k for k, p in enumerate(found)}  # in order, so that those too near are neighbours
         for p in sorted(found, key=lambda p: (x[p], p), reverse=True):
             if keep[p]:
-                for other in found:
-                    if other != p and abs(other - p) < apart:
-                        keep[other] = False
+                for step in (-1, 1):
+                    k = place[p] + step
+                    while 0 <= k < len(found) and abs(found[k] - p) < apart:
+                        keep[found[k]] = False
+                        k += step
         found = [p for p in found if keep[p]]
     return [p for p in found if width is None or _half_width(x, p) >= width]
 
@@ -318,23 +314,28 @@ def window_matches(reads: DataFrame, queries: DataFrame | Mapping[str, str], thr
     if pick not in ("all", "width", "distance"):
         raise ValueError(f"no way {pick!r} to pick")
 
-    def per_motif(seqs, motif):
-        q, out = np.frombuffer(motif.encode("utf-32-le"), np.uint32), []
-        for s in seqs:
-            if len(s) < len(motif) or not motif:
-                out.append([])
-                continue
-            score = indel_similarity(np.lib.stride_tricks.sliding_window_view(np.frombuffer(s.encode("utf-32-le"), np.uint32), len(q)), q)
-            at = np.flatnonzero(score >= threshold)
-            score = score[at]
-            if pick == "width":
-                best = peaks(score, width=len(q)) or fragment_peaks(at, score, len(q))
-            else:
-                best = peaks(score, apart=50) if pick == "distance" else range(len(at))
-            out.append([(int(at[k]), len(q), float(score[k])) for k in best])
-        return out
+    def search(block: list[tuple[str, str]]) -> DataFrame:
+        motifs = [(n, q) for n, q in block if q]
 
-    return _by_block(queries, lambda motifs: _mapped(reads, motifs, per_motif, key, seq))
+        def find(text: Text) -> tuple:
+            found = []
+            for k, (_, q) in enumerate(motifs):
+                scores = window_scores(text, q)
+                at = np.flatnonzero(scores >= threshold) if threshold > 0 else np.flatnonzero(scores >= 0)
+                owner = text.owner(at)
+                if pick != "all" and len(at):
+                    cuts = np.flatnonzero(np.diff(owner)) + 1
+                    best = []
+                    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)], strict=True):  # reads with passing windows only
+                        score, place = scores[at[a:b]], at[a:b] - text.starts[owner[a]]
+                        best += [a + i for i in (peaks(score, apart=50) if pick == "distance" else peaks(score, width=len(q)) or fragment_peaks(place, score, len(q)))]
+                    at, owner = at[best], owner[best]
+                found.append((np.full(len(at), k), owner, at - text.starts[owner], np.full(len(at), len(q)), scores[at]))
+            return tuple(np.concatenate(x) for x in zip(*found)) if found else tuple(np.empty(0, np.int64) for _ in range(5))
+
+        return _searched(reads, motifs, lambda: find, key, seq)
+
+    return _by_block(queries, search)
 
 
 def best_of_islands(passing: DataFrame, *, key: str = "seq_id") -> DataFrame:
