@@ -918,6 +918,31 @@ def row_index(spark, sf_dir):
     return layout.row_index(_clustered(spark, sf_dir)).select("cluster", "seq_id", "query_name", "position", "row")
 
 
+@query("""WITH f AS (SELECT user_id, min(event_id) AS first FROM events GROUP BY user_id), r AS (SELECT user_id, CAST(row_number() OVER (ORDER BY first, user_id) - 1 AS INTEGER) AS row FROM f)
+SELECT user_id AS seq_id, event_type AS query_name, event_id AS position, row FROM events JOIN r USING (user_id)""")
+def row_first_seen(spark, sf_dir):
+    """Rows in the order in which reads are first seen; events stand for matches, users for reads."""
+    rows = _table(spark, sf_dir, "events").select(F.col("user_id").alias("seq_id"), F.col("event_type").alias("query_name"), F.col("event_id").alias("position"))
+    return layout.row_index(rows, first="position").select("seq_id", "query_name", "position", "row")
+
+
+@query(f"""WITH {_MATCHES}, n AS (SELECT barcode, count(DISTINCT seq_id) AS n FROM matches GROUP BY 1 ORDER BY n DESC, barcode LIMIT 2)
+SELECT barcode AS cluster, seq_id, query_name, position FROM matches WHERE barcode IN (SELECT barcode FROM n)""")
+def thinned_matches(spark, sf_dir):
+    """The two largest clusters, with as many reads of each as there are."""
+    return layout.thinned(_clustered(spark, sf_dir), clusters=2, reads=1 << 30, most=50).select("cluster", "seq_id", "query_name", "position")
+
+
+@query(f"""WITH {_READS} SELECT CAST(label AS INTEGER) AS cluster, CAST(seq_id AS VARCHAR) AS read_id, seq FROM reads JOIN embeddings ON vec_id = seq_id WHERE seq <> ''""")
+def cluster_fastq(spark, sf_dir):
+    """Reads of each cluster as FASTQ in a folder of its own, read back by folder."""
+    path = f"{shared_dir(spark)}/clusters-{uuid.uuid4().hex}"
+    rows = reads_of(spark, sf_dir).where("seq <> ''").select("seq_id", F.col("seq_id").cast("string").alias("read_id"), F.lit(None).cast("string").alias("description"), "seq", F.expr("repeat('I', length(seq))").alias("qual"))
+    fastq.write_cluster_fastq(rows, features_of(spark, sf_dir).select(F.col("vec_id").alias("seq_id"), "cluster"), path)
+    found = fastq.read_fastq_files(spark, f"{path}/*/*.txt", path=True)
+    return found.select(F.regexp_extract("path", "cluster=([0-9]+)/", 1).cast("int").alias("cluster"), "read_id", "seq")
+
+
 @query(f"""WITH {_MATCHES}, cells AS (SELECT seq_id, unnest(range(position, position + length)) AS pos, query_idx, position FROM matches)
 SELECT seq_id, CAST(pos AS INTEGER) AS pos, query_idx FROM (SELECT *, row_number() OVER (PARTITION BY seq_id, pos ORDER BY position DESC, query_idx DESC) AS r FROM cells) WHERE r = 1""")
 def raster(spark, sf_dir):

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqframe.functions.sequence import kmers, letters, padded, position_weight, positional_encoding, relative_position, token
+from seqframe.scratch import small
 
 
 def direct(matches: DataFrame, names: list[str], *, key: str = "seq_id", fill: int | None = 0) -> DataFrame:
@@ -103,7 +104,7 @@ def projected(matches: DataFrame, *, key: str = "seq_id", length: int = 20, size
     last = F.max("position").over(Window.partitionBy(key))
     names = matches.select("query_name").distinct()
     index = names.withColumn("__i", F.dense_rank().over(Window.orderBy("query_name")))
-    rows = matches.withColumn("__p", relative_position(F.col("position"), last)).join(F.broadcast(index), "query_name")
+    rows = matches.withColumn("__p", relative_position(F.col("position"), last)).join(small(index), "query_name")
     one = F.array_sort(F.collect_list(F.struct("position", "query_name", F.col("__i").cast("double").alias("i"), F.col("__p").alias("p"))))
     flat = rows.groupBy(key).agg(F.flatten(F.transform(one, lambda x: F.array(x["i"], x["p"]))).alias("x"))
     flat = flat.select(key, padded("x", 2 * length, F.lit(0.0)).alias("x"))

@@ -19,9 +19,13 @@ def with_query_index(matches: DataFrame, queries: DataFrame) -> DataFrame:
     return matches.join(small(queries.select("query_name", "query_idx")), "query_name")
 
 
-def row_index(matches: DataFrame, *, key: str = "seq_id", by: str | None = "cluster") -> DataFrame:
-    """A dense row number from 0 for each read, in the order of cluster and read. Reads
-    are ranked in two steps, within ranges and over the ranges' sizes, so that no task sees all."""
+def row_index(matches: DataFrame, *, key: str = "seq_id", by: str | None = "cluster", first: str | None = None) -> DataFrame:
+    """A dense row number from 0 for each read, in the order of cluster and read, or of the
+    least `first` of each read (as the reads are first seen). Reads are ranked in two steps,
+    within ranges and over the ranges' sizes, so that no task sees all."""
+    if first:
+        seen = matches.groupBy(key).agg(F.min(first).alias("__first"))
+        return matches.join(numbered(seen, ["__first", key], "__n").select(key, (F.col("__n").cast("int") - 1).alias("row")), key)
     order = [by, key] if by else [key]
     rows = numbered(matches.select(*order).distinct(), order, "__n").select(*order, (F.col("__n").cast("int") - 1).alias("row"))
     return matches.join(rows, order)
@@ -171,5 +175,5 @@ def shaded(grid: DataFrame, how: str = "log") -> DataFrame:
     if how == "eq_hist":
         counts = grid.groupBy("n").agg(F.count("*").alias("__c"))
         ranks = counts.withColumn("level", F.sum("__c").over(Window.orderBy("n")) / F.sum("__c").over(Window.partitionBy())).drop("__c")
-        return grid.join(F.broadcast(ranks), "n")
+        return grid.join(small(ranks), "n")
     raise ValueError(f"no shading {how!r}")

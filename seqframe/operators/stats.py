@@ -150,9 +150,26 @@ def quantile(rows: DataFrame, column: str, q: float, *, most: int = 10_000, slot
     return low
 
 
-def sample_of(rows: DataFrame, n: int, *, key: str, seed: int = 42) -> DataFrame:
-    """n rows that depend on the key and the seed only."""
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+def sample_of(rows: DataFrame, n: int, *, key: str, seed: int = 42, most: int = 10_000) -> DataFrame:
+    """n rows that depend on the key and the seed only: those of least hash, and of equal ones of
+    least key. Large samples are no sort of all rows: counts by the hash's leading bits, in rounds, lead to a
+    cut-off, below which all rows are taken; only the last few are sorted."""
+    h = F.xxhash64(F.col(key), F.lit(seed))
+    if n <= most:
+        return rows.orderBy(h, key).limit(n)  # kept as the least n of each task
+    low, bits, below = -(1 << 63), 64, 0  # hashes from low on that agree with it but for `bits` bits
+    while True:
+        inside = F.shiftright(h, bits) == low >> bits if bits < 64 else F.lit(True)
+        bits -= 12 if bits > 12 else bits
+        counts = rows.where(inside).groupBy(F.shiftright(h, bits).alias("b")).agg(F.count("*").alias("n")).orderBy("b").collect()  # 4,096 rows at most
+        ends = list(accumulate((r["n"] for r in counts), initial=below))
+        if ends[-1] <= n:
+            return rows if low == -(1 << 63) and bits >= 52 else rows.where(h < F.lit(low)).union(rows.where(inside))
+        at = next(k for k in range(len(counts)) if n < ends[k + 1])
+        low, below = counts[at]["b"] << bits, ends[at]
+        if counts[at]["n"] <= most or not bits:
+            last = rows.where(F.shiftright(h, bits) == low >> bits).orderBy(h, key).limit(n - below)
+            return rows.where(h < F.lit(low)).union(last)
 
 
 def sample_per_cluster(rows: DataFrame, n: int, *, key: str = "seq_id", seed: int = 42) -> DataFrame:

@@ -242,3 +242,20 @@ def test_reads_leave_the_stream_once(spark, tmp_path):
     q = streaming.whole_reads(stream).writeStream.format("memory").queryName("whole").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(150)
     assert sorted(tuple(r) for r in spark.table("whole").collect()) == [("a", 2, "x,y"), ("b", 1, "x")]
+
+
+def test_large_samples_equal_the_sorted_ones(spark):
+    from seqframe.operators import stats
+
+    rows = spark.range(3000).selectExpr("id % 2900 as k", "id").cache()
+    for n in (0, 1, 57, 2950, 2999, 3000, 9999):
+        want = [r.k for r in rows.orderBy("k").orderBy(F.xxhash64(F.col("k"), F.lit(42)), "k").limit(n).collect()]
+        for most in (1, 20, 10_000):
+            got = stats.sample_of(rows, n, key="k", most=most)
+            assert sorted(r.k for r in got.collect()) == sorted(want), (n, most)
+    assert stats.sample_of(rows.limit(0), 50, key="k", most=1).count() == 0
+
+
+def test_rows_as_they_are_first_seen(spark):
+    rows = spark.createDataFrame([("b", 3), ("a", 9), ("b", 1), ("c", 2), ("a", 4)], "seq_id string, n int")
+    assert {r.seq_id: r.row for r in layout.row_index(rows, first="n").collect()} == {"b": 0, "c": 1, "a": 2}
