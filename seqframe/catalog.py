@@ -933,6 +933,14 @@ def thinned_matches(spark, sf_dir):
     return layout.thinned(_clustered(spark, sf_dir), clusters=2, reads=1 << 30, most=50).select("cluster", "seq_id", "query_name", "position")
 
 
+@query()
+def kmer_word_vectors(spark, sf_dir):
+    """Word vectors of 5-mers, and their means over each read."""
+    reads = reads_of(spark, sf_dir)
+    model = embed.word_model(embed.kmer_sequences(reads), size=16, rounds=1)
+    return embed.embed_kmers(reads, model)
+
+
 @query(f"""WITH {_READS} SELECT CAST(label AS INTEGER) AS cluster, CAST(seq_id AS VARCHAR) AS read_id, seq FROM reads JOIN embeddings ON vec_id = seq_id WHERE seq <> ''""")
 def cluster_fastq(spark, sf_dir):
     """Reads of each cluster as FASTQ in a folder of its own, read back by folder."""

@@ -85,6 +85,17 @@ def kmer_sequences(reads: DataFrame, k: int = 5, *, key: str = "seq_id", seq: st
     return reads.select(key, kmers(seq, k).alias("tokens"))
 
 
+def embed_kmers(reads: DataFrame, model: Word2VecModel, k: int = 5, *, key: str = "seq_id", seq: str = "seq") -> DataFrame:
+    """key, features: the mean of the vectors of all k-mers of a read that the model knows, zeros for
+    reads without any. A read's k-mers are counted first, so that each meets its vector once."""
+    size = model.getVectorSize()
+    counts = reads.select(key, F.explode(kmers(seq, k)).alias("__word")).groupBy(key, "__word").agg(F.count("*").alias("__n"))
+    known = counts.join(_vectors(model), "__word")
+    sums = known.groupBy(key).agg(F.sum("__n").alias("__n"), *[F.sum(F.col("__v")[i] * F.col("__n")).alias(f"__s{i}") for i in range(size)])
+    means = sums.select(key, F.array(*[F.col(f"__s{i}") / F.col("__n") for i in range(size)]).alias("features"))
+    return reads.select(key).join(means, key, "left").select(key, F.coalesce("features", F.array_repeat(F.lit(0.0), size)).alias("features"))
+
+
 def kmer_frequencies(reads: DataFrame, k: int = 4, *, key: str = "seq_id", seq: str = "seq") -> DataFrame:
     """key, features: k-mer counts over their sum, in a vocabulary of all k-mers present."""
     rows = kmer_sequences(reads, k, key=key, seq=seq)

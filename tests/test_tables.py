@@ -259,3 +259,13 @@ def test_large_samples_equal_the_sorted_ones(spark):
 def test_rows_as_they_are_first_seen(spark):
     rows = spark.createDataFrame([("b", 3), ("a", 9), ("b", 1), ("c", 2), ("a", 4)], "seq_id string, n int")
     assert {r.seq_id: r.row for r in layout.row_index(rows, first="n").collect()} == {"b": 0, "c": 1, "a": 2}
+
+
+def test_kmer_vectors_are_means_over_all_kmers(spark):
+    reads = spark.createDataFrame([(1, "ACGTACGTACGT"), (2, "ACG"), (3, None), (4, "TTTTTTTACGTAC")], "seq_id long, seq string")
+    model = embed.word_model(embed.kmer_sequences(reads, 4), size=5, rounds=1, least=1)
+    by_counts = {r.seq_id: r.features for r in embed.embed_kmers(reads, model, 4).collect()}
+    by_tokens = {r.seq_id: r.features for r in embed.embed_tokens(embed.kmer_sequences(reads, 4), model).collect()}
+    assert by_counts.keys() == by_tokens.keys() == {1, 2, 3, 4} and by_counts[2] == by_counts[3] == [0.0] * 5
+    for k in by_counts:
+        np.testing.assert_allclose(by_counts[k], by_tokens[k], atol=1e-9)
