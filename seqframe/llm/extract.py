@@ -59,6 +59,8 @@ NAMES = frozenset(
 VOICES = frozenset("comment comments commentlist disqus reply replies respond cookie cookies consent gdpr".split())
 #: Words of page headers; inside an article they are its title.
 HEADER_NAMES = frozenset(["header"])
+#: Words that stand beside a name without saying more of a part of an article.
+BESIDES = frozenset("area bar block body box btn button buttons card cards container group icon icons inline item items link links list post posts row section slot text title unit wrap".split())
 #: In a name, these say that the part itself is something else: "no-comments", "has-sidebar", "sidebar-layout".
 OTHERWISE = frozenset("no not has have with without is js hide layout wrapper wrap page container content main body site inner left right col column grid row".split())
 # Frequent function words.
@@ -69,6 +71,7 @@ STOP_WORDS = {
     "es": "de la que el en y a los del se las por un para con no una su al lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre también me hasta hay donde quien".split(),
 }
 LONG, PROSE, LINKED, STOPS = 70, 200, 0.4, 0.25
+LINK_RUN = 2  # blocks of links that may stand between good blocks of an article
 LISTED = 0.08  # share of stop words in a page's longer blocks from which its language has a list
 _WIDE = re.compile("[\u2E80-\u9FFF\uAC00-\uD7AF\uF900-\uFAFF\U00020000-\U0003FFFF]")
 
@@ -86,14 +89,20 @@ class Block:
         self.label: bool | None = None
 
 
-def _names(attrs: str) -> tuple[bool, bool, bool]:
-    """Whether the attributes name a part that is out, whether for good, and whether they name a header."""
+def _names(attrs: str, article: bool = False, block: bool = False) -> tuple[bool, bool, bool]:
+    """Whether the attributes name a part that is out, whether for good, and whether they name a header.
+    In an article a name must say nothing else ("related", "share-buttons", but not "related-work"), for
+    authors name their parts by what these tell of; ids of its blocks are slugs of their words and say nothing."""
     out = sure = head = False
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
+            if article and block and name == "id":
+                continue
             for word in value.split():
                 parts = {p.lower() for p in _PART.findall(word)}
+                if article and parts.isdisjoint(VOICES) and not parts <= NAMES | BESIDES:
+                    continue
                 if parts.isdisjoint(OTHERWISE):
                     out |= not parts.isdisjoint(NAMES)
                     sure |= not parts.isdisjoint(VOICES)
@@ -172,7 +181,7 @@ def blocks(page: str, stop: frozenset) -> list[Block]:
                             break
                 else:
                     _, out, part, article, form, section = stack[-1]
-                    named, sure, head = _names(attrs) if attrs else (False, False, False)
+                    named, sure, head = _names(attrs, article) if attrs else (False, False, False)
                     if tag in ("article", "main", "section", "aside", "nav", "footer", "header", "form") or named:
                         sections += 1
                         section = sections
@@ -189,7 +198,7 @@ def blocks(page: str, stop: frozenset) -> list[Block]:
                     out = out or sure or tag in OUTSIDE or ((tag == "header" or head) and not article)
                     stack.append((tag, out, part, article, form, section))
             elif not closing and attrs:
-                here = _names(attrs)[0]
+                here = _names(attrs, stack[-1][3], True)[0]
     flush()
     return found
 
@@ -206,8 +215,8 @@ def _densities(found: list[Block]) -> list[bool | None]:
         prose = b.stops >= STOPS or not listed
         got: bool | None = None
         if b.linked > LINKED and not (b.stops >= STOPS and b.size >= LONG and b.linked < 0.9):
-            got = None if b.heading else False
-        elif "©" in b.text and not b.article:
+            got = None if b.heading or (b.article and not b.form) else False
+        elif "©" in b.text and not b.article and b.size < LONG:
             got = False
         elif b.article and not b.form:
             got = True if b.size >= LONG or b.stops >= STOPS else None
@@ -248,9 +257,19 @@ def label(found: list[Block]) -> list[Block]:
         if b.label is not None and not (b.out or b.part or b.linked > LINKED and b.article):
             last[b.section] = k
     decided = [b.label for b in found]
+    run = [0] * len(found)  # length of the run of blocks of links that a block is in
+    for k, b in enumerate(found):
+        if b.article and b.linked > LINKED:
+            run[k] = run[k - 1] + 1 if k else 1
+    for k in range(len(found) - 2, -1, -1):
+        if run[k] and run[k + 1]:
+            run[k] = run[k + 1]
     for k, b in enumerate(found):
         if decided[k] is None:
             p, f = before[k], after[k]
+            if run[k] and not b.heading:  # links between good blocks belong to the text, but for lists of them
+                b.label = run[k] <= LINK_RUN and p is not None and f is not None and bool(decided[p] and decided[f])
+                continue
             if p is None and f is None:
                 b.label = b.article and not b.form
             elif p is None or f is None or decided[p] == decided[f]:

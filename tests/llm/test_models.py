@@ -182,3 +182,20 @@ def test_pages_odd_rows(spark):
     clash = spark.createDataFrame([(1, "u", "<article><p>" + PROSE, "x", 5, "y")], "page_id long, url string, html string, text string, n_chars int, k string")
     assert [tuple(r) for r in extract.extract(clash).collect()] == [(1, "u", PROSE.strip(), len(PROSE.strip()))]
     assert extract.extract(clash.limit(0)).count() == 0
+
+
+def test_an_article_keeps_what_is_named_by_its_words():
+    """Names, ids and links within an article don't remove its text; menus and adverts in it still go."""
+    def kept(*parts):
+        page = f"<body><nav><a href=/>Home</a></nav><article><h1>Title of it</h1><p>{PROSE}</p>{''.join(parts)}<p>{PROSE}</p></article></body>"
+        return extract.main_text(page, frozenset(w for words in extract.STOP_WORDS.values() for w in words)).split("\n")[2:-1]
+
+    assert kept('<h2 id="search">Search trees</h2>') == ["Search trees"]
+    assert kept('<h2 id="related-work">Related work</h2>') == ["Related work"]
+    assert kept(f'<p class="social-history">{PROSE}</p>') == [" ".join(PROSE.split())]
+    assert kept(f'<section id="related-work"><h2>Related</h2><p>{PROSE}</p><p>{PROSE}</p></section>') == ["Related", *[" ".join(PROSE.split())] * 2]
+    assert kept("<p>See <a href=x>the full report of the committee</a>.</p>") == ["See the full report of the committee."]
+    assert kept('<div class="share-buttons"><a href=x>Share</a></div>', f'<div class="ad">{PROSE}</div>', f'<section class="comments-area"><p>{PROSE}</p></section>') == []
+    assert kept("<ul>" + "".join(f"<li><a href=x>Other page {i}</a></li>" for i in range(6)) + "</ul>") == []
+    page = f"<body><p>{PROSE}</p><p>The sign \u00a9 stands for copyright and it is in this sentence of the text, which is a long one.</p><p>{PROSE}</p><p>\u00a9 Us</p></body>"
+    assert extract.main_text(page, frozenset(extract.STOP_WORDS["en"])).count("\u00a9") == 1
