@@ -15,7 +15,6 @@ import numpy as np
 _WORD = 64
 _LANES = 1 << 15  # motifs at places that are verified together
 _DENSE = 1 << 22  # entries of a letter table that is looked up directly
-_CELLS = 1 << 16  # of the bitmap of known hashes, at least
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _ONE = np.uint64(1)
