@@ -54,5 +54,5 @@ def test_rows_are_judged_one_by_one(spark):
 
 
 def test_registry():
-    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLE_SQL) <= set(QUERIES) and bpe and langid
