@@ -93,7 +93,10 @@ def motif_tree(seqs: DataFrame, depth: int, threshold: float = 0.1, *, seq: str
     (1 - threshold) of the greatest. Rounds of a few levels: the sequences, counted once, that go on from the
     frontier are counted by their next letters, with partial counts; to a branch of the frontier that is a trie of
     a few thousand strings at most, which is pruned by itself, and what is left is written as
-    the next frontier. So plans stay as small as a round, however deep the tree is."""
+    the next frontier. So plans stay as small as a round, however deep the tree is. No prefix has no
+    letters: of depth 0, as with an empty sequence among the others, the tree is empty."""
+    if depth < 1:
+        return seqs.select(F.col(seq).cast("string").alias("motif"), F.lit(0).cast("long").alias("n")).limit(0)
     rows = settled(seqs.where(F.length(seq) >= depth).select(F.substring(F.col(seq), 1, depth).alias("seq")).groupBy("seq").agg(F.count("*").alias("n")))
     kept, at = rows.select(F.col("seq").alias("motif"), "n"), 0
     while at < depth:
