@@ -44,3 +44,17 @@ def test_every_method_labels_all_points(spark, monkeypatch, method):
     monkeypatch.setattr(cluster, "MOST", 40)
     table, _, _ = points(spark, 120)
     assert len({r.seq_id for r in cluster.cluster(table.drop("cluster"), method, 3).collect()}) == 120
+
+
+def test_silhouettes_in_wide_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 8)) + 1000
+    x = np.concatenate([x, x[:20], x[:20] + 1e-7])
+    want = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.testing.assert_allclose(cluster._exact(x, x), want, rtol=1e-7, atol=1e-12)
+    seen, met = [], cluster._met
+    monkeypatch.setattr(cluster, "_met", lambda *a, **k: seen.append(k["block"]) or met(*a, **k))
+    monkeypatch.setattr(cluster, "BLOCK", 2)
+    table, _, _ = points(spark, 320)
+    n = table.where("cluster >= 0").count()
+    assert cluster.silhouettes(table).count() == n and seen == [-(-n // 16)]
