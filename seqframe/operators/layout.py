@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqframe.operators.pairs import numbered
 from seqframe.operators.stats import sample_of, sample_per_cluster, top_clusters
-from seqframe.scratch import small
+from seqframe.scratch import dealt, small
 
 
 def with_clusters(matches: DataFrame, assigned: DataFrame, *, key: str = "seq_id") -> DataFrame:
@@ -120,8 +120,8 @@ def thinned(matches: DataFrame, *, key: str = "seq_id", clusters: int = 30, read
 
 def dashboard(matches: DataFrame, *, key: str = "seq_id", most: int = 100_000, upto: int | None = None) -> DataFrame:
     """Distinct points of a dashboard, at most so many, none that ends right of upto."""
-    rows = matches.select("cluster", key, "query_name", "position", "length").distinct()
-    rows = rows if upto is None else rows.where(F.col("position") + F.col("length") <= upto)
+    rows = matches.select("cluster", key, "query_name", "position", "length")
+    rows = dealt(rows if upto is None else rows.where(F.col("position") + F.col("length") <= upto), key).distinct()
     return sample_of(rows.withColumn("__k", F.concat_ws("|", key, "query_name", "position")), most, key="__k").drop("__k")
 
 
