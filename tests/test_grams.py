@@ -25,7 +25,7 @@ def test_counts_and_lists_equal_plain_ones():
             assert {(int(i), w): int(n) for i, w, n in got} == want and len(got) == len(want)
             whole = grams.counted(column, k, whole=True)
             assert dict(zip(whole[1], map(int, whole[2]), strict=True)) == Counter(w for s in words for w in plain(s, k))
-            assert grams.spelled(column, k).to_pylist() == [None if s is None else plain(s, k) for s in words]
+            assert grams.spelled(column, k).to_pylist() == [plain(s, k) for s in words]
 
 
 def test_queries_count_without_a_row_to_each_place(spark):
