@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,6 +87,58 @@ def walked_boxes(cells: DataFrame, *, key: str = "seq_id") -> DataFrame:
     return found.select(key, F.explode("found").alias("b")).select(key, F.col("b.pos").alias("start"), "b.query_idx", "b.length")
 
 
+def walked_matches(matches: DataFrame, *, order: list[str], key: str = "seq_id") -> DataFrame:
+    """walked_boxes() of the raster of whole matches, without its cells: matches are dealt by read and sorted by
+    position, and the walk looks up the last one in the given order (of numbers) that covers its place. A task keeps
+    the matches that cover one place."""
+    rows = matches.where(F.col("position").isNotNull() & (F.col("length") > 0))
+    whole = ["position", "length", "query_idx"]
+    more = [c for c in order if c not in whole]
+    places = [[*whole, *more].index(c) for c in order]
+    rows = rows.select(key, *(F.col(c).cast("int").alias(f"__{c}") for c in whole), *(F.col(c).cast("double").alias(f"__{c}") for c in more))
+    kind = rows.schema[key].dataType.simpleString()
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, at, over, found = None, 0, [], ([], [], [], [])
+
+        def go(upto: float) -> None:
+            """Boxes that begin left of upto."""
+            nonlocal at
+            while over and at < upto:
+                _, end, length, query = over[0]
+                if end <= at:
+                    heapq.heappop(over)
+                    continue
+                for column, value in zip(found, (now, at, query, length)):
+                    column.append(value)
+                at += length
+
+        def boxes(own: pa.DataType) -> pa.RecordBatch:
+            nonlocal found
+            out, found = found, ([], [], [], [])
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (own, pa.int32(), pa.int32(), pa.int32()))], names=[key, "start", "query_idx", "length"])
+
+        first = True
+        for batch in batches:
+            for read, *values in zip(*(c.to_pylist() for c in batch.columns)):
+                position, length, query = values[:3]
+                if first or read != now:
+                    go(float("inf"))
+                    now, at, over, first = read, 0, [], False
+                go(position)
+                if not over:
+                    at = max(at, position)
+                heapq.heappush(over, ([-values[i] for i in places], position + length, length, query))
+            own = batch.column(0).type
+            yield boxes(own)
+        go(float("inf"))
+        if not first:
+            yield boxes(own)
+
+    rows = rows.repartition(key).sortWithinPartitions(key, "__position")
+    return rows.mapInArrow(walk, f"`{key}` {kind}, start int, query_idx int, length int")
+
+
 def merged(matches: DataFrame) -> DataFrame:
     """Compression 'merge': different (motif, position, length) of a cluster."""
     return matches.select("cluster", "query_name", "position", "length").distinct()

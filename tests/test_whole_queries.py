@@ -1,8 +1,10 @@
 """Queries without SQL do the whole job."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from seqframe import catalog
+from seqframe.operators import layout
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,6 +15,26 @@ def test_boxes_reach_the_last_match(spark):
     assert last > 400 and got >= last
 
 
+def test_boxes_are_walked_without_cells(spark):
+    rng = np.random.default_rng(3)
+    kind = "seq_id long, position int, length int, query_idx int"
+    rows = [(int(r), int(p), int(n), int(q)) for r, p, n, q in zip(rng.integers(0, 40, 3_000), rng.integers(0, 600, 3_000), rng.choice([0, 1, 3, 4, 9, 80], 3_000), rng.permutation(3_000))]
+    some = spark.createDataFrame(rows, kind)
+    for order in (["position", "query_idx"], ["query_idx"]):
+        want = layout.walked_boxes(layout.raster(some, None, order=order)).collect()
+        got = layout.walked_matches(some, order=order)
+        assert got.columns == ["seq_id", "start", "query_idx", "length"] and sorted(map(tuple, got.collect())) == sorted(map(tuple, want))
+    far = spark.createDataFrame([(1, 0, 2_000_000_000, 0), (1, 5, 3, 1)], kind)  # a match whose cells can't be listed
+    assert [tuple(r) for r in layout.walked_matches(far, order=["position"]).collect()] == [(1, 0, 0, 2_000_000_000)]
+    assert layout.walked_matches(far.limit(0), order=["position"]).count() == 0
+
+
+def test_the_query_walks_no_cells(spark):
+    want = layout.walked_boxes(layout.raster(catalog._clustered(spark, SF), None, order=["position", "query_idx"])).collect()
+    got = catalog.QUERIES["box_walk"](spark, SF)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and "sequence(" not in got._jdf.queryExecution().toString()
+
+
 def test_every_read_is_aligned(spark):
     reads = catalog.reads_of(spark, SF)
     got = catalog.QUERIES["primer_alignment"](spark, SF)
