@@ -44,6 +44,15 @@ def test_ward_equals_the_small_form(spark, n, block, k):
     assert got == cluster.ward(x, k).tolist()
 
 
+def test_ward_builds_no_cells_where_they_are_of_no_use(spark, monkeypatch):
+    x, built, asked = sphere(500), [], []
+    cells, meeting = cluster.Cells, cluster.meeting
+    monkeypatch.setattr(cluster, "Cells", lambda *a, **k: built.append(1) or cells(*a, **k))
+    monkeypatch.setattr(cluster, "meeting", lambda *a, **k: asked.append(a[2:4]) or meeting(*a, **k))
+    got = labels_of(cluster.ward_clusters(table_of(spark, x), 5, block=250), 500)
+    assert got == cluster.ward(x, 5).tolist() and len(built) == 1 and asked and all(few < n for few, n in asked)
+
+
 def test_ward_merges_copies_first(spark):
     x = np.concatenate([np.zeros((90, 2)), np.ones((60, 2)), [[9.0, 9.0]]])
     merges = cluster.ward_joins(table_of(spark, x), block=2).collect()
