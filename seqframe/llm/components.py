@@ -4,7 +4,8 @@ Each round gives a node the smallest label among its neighbours and itself, then
 label of that label. Tables of a round are written to the shared folder and replace
 those of the round before. Edges are joined as they come: a node's number of edges
 should be bounded by its source, while a label may be as popular as it likes, for such
-joins have one row to a label on the other side and are split when they are skewed.
+joins have one row to a label on the other side and are split when they are skewed. They
+merge by a hint: compressed files would let Spark broadcast tables many times their size.
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ def connected(edges: DataFrame, u: str, v: str) -> DataFrame:
     both, kept = cut(pairs.union(pairs.select("near", "node")).distinct())
     now, at = cut(both.groupBy("node").agg(F.min("near").alias("m")).select("node", F.least("node", "m").alias("component")))
     while True:
-        told = both.join(now, "node").groupBy(F.col("near").alias("node")).agg(F.min("component").alias("m"))
+        told = both.join(now.hint("merge"), "node").groupBy(F.col("near").alias("node")).agg(F.min("component").alias("m"))
         told, told_at = cut(told)
-        lower, lower_at = cut(now.join(told, "node").select("node", F.least("component", "m").alias("component"), (F.col("m") < F.col("component")).alias("moved")))
+        lower, lower_at = cut(now.join(told.hint("merge"), "node").select("node", F.least("component", "m").alias("component"), (F.col("m") < F.col("component")).alias("moved")))
         root = lower.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        jumped, jumped_at = cut(lower.join(root, "component").select("node", F.col("root").alias("component"), (F.col("moved") | (F.col("root") < F.col("component"))).alias("moved")))
+        jumped, jumped_at = cut(lower.join(root.hint("merge"), "component").select("node", F.col("root").alias("component"), (F.col("moved") | (F.col("root") < F.col("component"))).alias("moved")))
         moved = has_rows(jumped.where("moved"))
         for path in (at, told_at, lower_at):
             drop(spark, path)

@@ -77,13 +77,14 @@ def _ball(f, bits: int) -> list:
 
 def links(prints: DataFrame, f: str = "fingerprint") -> DataFrame:
     """Columns: a, b: links between different fingerprints, enough to connect each two
-    that differ in at most two bits. One row to a fingerprint is expected."""
+    that differ in at most two bits. One row to a fingerprint is expected. Spark sizes an
+    exploded table like the one before, and would broadcast it: the hints forbid that."""
     f = F.col(f)
     upper, lower = _halves(f)
     table = prints.select(f.alias("a"), F.explode(F.array(upper, lower)).alias("key"))
     table = table.groupBy("key").agg(F.count("*").alias("n"), F.min("a").alias("lo"), F.max("a").alias("hi"))
     lookups = prints.select(f.alias("a"), F.explode(F.array(*_ball(upper, 32), lower)).alias("key"))
-    met = lookups.join(table, "key").where("n > 1 or lo <> a").select("a", "n", "lo", "hi")
+    met = lookups.hint("merge").join(table.hint("merge"), "key").where("n > 1 or lo <> a").select("a", "n", "lo", "hi")
     met, _ = cut(met.select("a", F.when(F.col("n") <= 2, F.array("lo", "hi")).alias("near")).distinct())
     few = met.select("a", F.explode("near").alias("b"))
     many = met.where("near is null").select("a").distinct()
@@ -104,12 +105,13 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     prints, _ = cut(fingerprints(docs, key=key, text=text, width=width))
     nodes, _ = cut(prints.groupBy("fingerprint").agg(F.min(key).alias("least")))
     grouped = connected(links(nodes), "a", "b").withColumnRenamed("node", "fingerprint")
+    nodes = nodes.hint("merge")
     named = grouped.join(nodes, "fingerprint")
     least = named.groupBy("component").agg(F.min("least").alias("of_component"))
-    named, _ = cut(grouped.join(least, "component").select("fingerprint", F.col("component").alias("group"), "of_component"))
+    named, _ = cut(grouped.join(least.hint("merge"), "component").select("fingerprint", F.col("component").alias("group"), "of_component"))
     labels = nodes.join(named, "fingerprint", "left").select("fingerprint", F.coalesce("group", "fingerprint").alias("group"), F.when(F.col("group").isNull(), F.col("least")).otherwise(F.col("of_component")).alias("component_id"))
     labels, _ = cut(labels)
-    return prints.join(labels, "fingerprint").select(key, "h", "fingerprint", "group", "component_id")
+    return prints.join(labels.hint("merge"), "fingerprint").select(key, "h", "fingerprint", "group", "component_id")
 
 
 def hexadecimal(f: str = "fingerprint"):

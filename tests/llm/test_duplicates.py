@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from seqframe.llm import simhash, substrings
 from seqframe.llm.components import connected
@@ -49,6 +50,15 @@ def test_long_chains(spark):
     assert connected(edges.limit(0), "a", "b").count() == 0
 
 
+def test_exploded_tables_are_not_broadcast(spark, monkeypatch):
+    """Spark sized them like the rows before explode, and the driver held 34 rows to a fingerprint."""
+    plans, real = [], simhash.cut
+    monkeypatch.setattr(simhash, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("one two three "), F.col("id") % 200).alias("text"))
+    found = simhash.near_duplicates(docs)
+    assert found.count() == 300 and len(plans) == 5 and not any("Broadcast" in p for p in plans)
+
+
 def test_simhash_odd_rows(odd, nothing):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == odd.count()
