@@ -127,6 +127,7 @@ def linked(found: DataFrame, *, scope: int = 256) -> DataFrame:
     other = weak.select("id", "h", F.explode(F.concat("base", "weak")).alias("s")).select(F.col("id").alias("id2"), F.col("h").alias("h2"), F.col("s.kind").alias("kind2"), F.col("s.start").alias("start2"), F.col("s.end").alias("end2"))
     other = other.withColumn("role2", _role("kind2")).select("id2", "h2", "role2", "start2", "end2", _bins(F.col("start2"), F.col("end2"), 2 * scope).alias("bin2"))
     met = F.expr(f"id <=> id2 and h = h2 and bin = bin2 and start2 < end + {scope} and start < end2 + {scope} and (role = 'what') <> (role2 = 'what')")
+    other = other.hint("merge")  # Spark sizes exploded rows like those before, and would broadcast them
     return own.join(other, met, "left_semi").groupBy("id", "h").agg(F.collect_set("s").alias("extra"))
 
 

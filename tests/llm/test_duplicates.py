@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from seqframe.llm import simhash, substrings
+from seqframe.llm import secrets, simhash, substrings
 from seqframe.llm.components import connected
 
 
@@ -57,6 +57,8 @@ def test_exploded_tables_are_not_broadcast(spark, monkeypatch):
     docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("one two three "), F.col("id") % 200).alias("text"))
     found = simhash.near_duplicates(docs)
     assert found.count() == 300 and len(plans) == 5 and not any("Broadcast" in p for p in plans)
+    made = spark.createDataFrame([(1, 2, [(0, 0, 9)], [(300, 4, 309)])], "id long, h long, base array<struct<start:int,kind:int,end:int>>, weak array<struct<start:int,kind:int,end:int>>")
+    assert "Broadcast" not in secrets.linked(made)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_simhash_odd_rows(odd, nothing):
