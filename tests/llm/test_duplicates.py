@@ -124,3 +124,35 @@ def test_repeats_odd_rows(odd, nothing):
     kept = {r.doc_id: len(r.kept) for r in got}
     assert kept[6] == 0 and kept[5] == {r.doc_id: r.n_bytes for r in got}[5] and kept[1] == 33
     assert substrings.remove_repeats(nothing).count() == 0
+
+
+def test_places_are_sent_as_differences():
+    """Before, four bytes each to a number of a document and a place, which Spark's compression left nearly as they were."""
+    import zlib
+
+    p = np.sort(np.random.default_rng(0).integers(0, 1 << 32, 5_000))
+    for x in (p, p[::-1], np.array([0, (1 << 32) - 1, 0, 7]), p[:0]):
+        assert (substrings._opened("p", substrings._packed("p", x)) == x.astype("<u4")).all()
+    near = np.cumsum(np.random.default_rng(1).integers(1, 64, 5_000))
+    assert len(zlib.compress(substrings._packed("p", near), 1)) < 2 * len(near)
+
+
+def test_texts_travel_as_frames(spark):
+    rows = spark.createDataFrame([(1, 2, "é" * 90), (2, 3, None), (3, 4, "")], "id long, h long, text string")
+    some = spark.createDataFrame([(i, i, f"the text number {i * i} of many others " * 9) for i in range(900)], "id long, h long, text string")
+    for known in (b"", substrings._dictionary(some)):
+        got = {r.id: substrings._unframed(known)(r.z).decode() for r in substrings._frames(rows, known).collect()}
+        assert got == {1: "é" * 90, 2: "", 3: ""}
+    assert substrings._dictionary(rows) == b"" and substrings._dictionary(some)
+
+
+def test_shuffles_of_a_written_table_are_deleted(spark):
+    """They stayed until the driver's memory was collected."""
+    from seqframe.llm import common
+
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").count("shuffle_")
+    real, before = spark.conf.get(common._FREE, None), files()
+    made, _ = common.cut(spark.range(1_000).groupBy((F.col("id") % 7).alias("k")).count(), free=True)
+    assert files() <= before and spark.conf.get(common._FREE, None) == real and made.count() == 7
+    common.cut(spark.range(1_000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert files() > before or real == "true"
