@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqframe.llm import codepoints
-from seqframe.llm.common import cut, passes, text_of
+from seqframe.llm.common import bitmap, cut, passes, text_of
 
 #: One in so many trusted documents is held out.
 HELD_OUT = 5
@@ -42,7 +42,7 @@ def classify(docs: DataFrame, trusted_keys: DataFrame, *, key: str = "doc_id", t
     learn = good.where(~held_out("id"))
     learn, _ = cut(learn)
     # The bitmap lets all of these pass and few others, whose ids alone are sorted out: so the texts stay where they are.
-    some = passes(rows, learn)
+    some = passes(bitmap(learn))
     others, _ = cut(rows.select("id").where(some).join(learn.hint("merge"), "id", "left_anti").distinct())
     counts, _ = cut(codepoints.count_grams(rows.select("id", "text").where(some).join(others, "id", "left_anti")))
     scored, _ = cut(codepoints.perplexities(rows, counts))

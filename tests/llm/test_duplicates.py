@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from seqframe.llm import secrets, simhash, substrings
+from seqframe.llm import common, secrets, simhash, substrings
 from seqframe.llm.components import connected
 
 
@@ -138,18 +138,16 @@ def test_places_are_sent_as_differences():
 
 
 def test_texts_travel_as_frames(spark):
-    rows = spark.createDataFrame([(1, 2, "é" * 90), (2, 3, None), (3, 4, "")], "id long, h long, text string")
+    rows = spark.createDataFrame([(1, 2, "é" * 90), (2, 3, None), (3, 4, ""), (4, 5, "not let through")], "id long, h long, text string")
     some = spark.createDataFrame([(i, i, f"the text number {i * i} of many others " * 9) for i in range(900)], "id long, h long, text string")
     for known in (b"", substrings._dictionary(some)):
-        got = {r.id: substrings._unframed(known)(r.z).decode() for r in substrings._frames(rows, known).collect()}
+        got = {r.id: substrings._unframed(known)(r.z).decode() for r in substrings._frames(rows, known, common.bitmap(rows.where("id < 4"))).collect()}
         assert got == {1: "é" * 90, 2: "", 3: ""}
     assert substrings._dictionary(rows) == b"" and substrings._dictionary(some)
 
 
 def test_shuffles_of_a_written_table_are_deleted(spark):
     """They stayed until the driver's memory was collected."""
-    from seqframe.llm import common
-
     files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").count("shuffle_")
     real, before = spark.conf.get(common._FREE, None), files()
     made, _ = common.cut(spark.range(1_000).groupBy((F.col("id") % 7).alias("k")).count(), free=True)
